@@ -46,16 +46,14 @@ _INF = float("inf")
 
 
 def ieee_div(a: Column, b: Column) -> Column:
-    """``a / b`` on doubles with IEEE results for a zero divisor (NULLs propagate)."""
+    """``a / b`` on doubles with IEEE results for a zero divisor (NULLs propagate).
+
+    ``a * inf`` is exactly the IEEE quotient by zero: +-inf for a != 0, NaN
+    for 0 or NaN, NULL for NULL.
+    """
     a = a.cast("double")
     b = b.cast("double")
-    by_zero = (
-        F.when(a.isNull(), F.lit(None).cast("double"))
-        .when(F.isnan(a) | (a == 0), F.lit(float("nan")))
-        .when(a > 0, F.lit(_INF))
-        .otherwise(F.lit(-_INF))
-    )
-    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+    return F.when(b == 0, a * F.lit(_INF)).otherwise(F.try_divide(a, b))
 
 
 def ieee_ln(x: Column) -> Column:

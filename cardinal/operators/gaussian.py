@@ -71,6 +71,7 @@ class GaussianEncodingCard(Card):
             raise ValueError(f"unknown method {self.method!r}; valid: {', '.join(DEFAULT_MAX)}")
         if self.n_components < 1 or self.lambda_ <= 0:
             raise ValueError("n_components must be >= 1 and lambda > 0")
+        object.__setattr__(self, "max", float(self.max if self.max is not None else DEFAULT_MAX[self.method]))
 
     @classmethod
     def from_config(cls, d):

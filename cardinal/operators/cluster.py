@@ -97,20 +97,20 @@ def kmeans_fit(df: DataFrame, inputs: list[str], k: int, *, weights: str | None
         it = 0
         for it in range(1, iterations + 1):
             if wide:
-                dists = F.array(*[dist.array_column(F.col("x"), c) for c in centres])
+                rows = _wide_step(feats, centres, dist)
             else:
                 dists = F.array(*[dist.column(comps, c) for c in centres])
-            staged = feats.select("*", dists.alias("_d")).select(
-                *comps, "w", F.array_position("_d", F.array_min("_d")).cast("int").alias("label"),
-                F.array_min("_d").alias("dmin"))
-            staged = staged.toDF(*[f"c{i}" for i in range(d)], "w", "label", "dmin")
-            x = [F.col(f"c{i}") for i in range(d)]
-            rows = (
-                staged.groupBy("label")
-                .agg(*[F.sum(F.col("w") * x[i]).alias(f"s{i}") for i in range(d)],
-                     F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("dmin")).alias("obj"))
-                .collect()  # one row per cluster
-            )
+                staged = feats.select("*", dists.alias("_d")).select(
+                    *comps, "w", F.array_position("_d", F.array_min("_d")).cast("int").alias("label"),
+                    F.array_min("_d").alias("dmin"))
+                staged = staged.toDF(*[f"c{i}" for i in range(d)], "w", "label", "dmin")
+                x = [F.col(f"c{i}") for i in range(d)]
+                rows = (
+                    staged.groupBy("label")
+                    .agg(*[F.sum(F.col("w") * x[i]).alias(f"s{i}") for i in range(d)],
+                         F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("dmin")).alias("obj"))
+                    .collect()  # one row per cluster
+                )
             new = centres.copy()
             obj = 0.0
             for r in rows:
@@ -128,6 +128,46 @@ def kmeans_fit(df: DataFrame, inputs: list[str], k: int, *, weights: str | None
         feats.unpersist()
 
 
+def _wide_step(feats: DataFrame, centres: np.ndarray, dist: Dissimilarity) -> list:
+    """One Lloyd step for wide points: numpy distances per Arrow batch.
+
+    Each partition emits k partial rows (label, w*x sums, w, objective);
+    ``groupBy(label)`` adds them, so k rows reach the driver.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    k, d = centres.shape
+
+    def kernel(it):
+        sums = np.zeros((k, d))
+        sw = np.zeros(k)
+        obj = np.zeros(k)
+        for pdf in it:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["x"].to_numpy()).astype(float)
+            w = pdf["w"].to_numpy(dtype=float)
+            D = np.column_stack([dist.numpy(X, c) for c in centres])
+            lab = D.argmin(1)
+            np.add.at(sums, lab, X * w[:, None])
+            sw += np.bincount(lab, weights=w, minlength=k)
+            obj += np.bincount(lab, weights=w * D[np.arange(len(lab)), lab], minlength=k)
+        keep = sw > 0
+        yield pd.DataFrame({"label": np.arange(1, k + 1)[keep], "s": [r.tolist() for r in sums[keep]],
+                            "sw": sw[keep], "obj": obj[keep]})
+
+    schema = T.StructType([T.StructField("label", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
+                           T.StructField("sw", T.DoubleType()), T.StructField("obj", T.DoubleType())])
+    part = feats.select("x", "w").mapInPandas(kernel, schema)
+    return (
+        part.groupBy("label")
+        .agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(d)], F.sum("sw").alias("sw"),
+             F.sum("obj").alias("obj"))
+        .collect()  # one row per cluster
+    )
+
+
 @dataclass(frozen=True)
 class KMeansMethod:
     classes: int

@@ -86,9 +86,13 @@ def asof_brackets(df: DataFrame, x: Column, knots: DataFrame, num_partitions: in
         .withColumn("_ip_pid", F.spark_partition_id())
         .withColumn("_ip_pos", F.monotonically_increasing_id())
     )
-    w = Window.partitionBy("_ip_pid").orderBy("_ip_pos")
-    lo = F.last(_K, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hi = F.first(_K, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both brackets are running frames (unbounded preceding .. current row);
+    # the upper one runs over descending positions, because a
+    # current-row..unbounded-following frame is re-evaluated per row.
+    fwd = Window.partitionBy("_ip_pid").orderBy(F.col("_ip_pos").asc())
+    bwd = Window.partitionBy("_ip_pid").orderBy(F.col("_ip_pos").desc())
+    lo = F.last(_K, ignorenulls=True).over(fwd.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hi = F.last(_K, ignorenulls=True).over(bwd.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = reliable_checkpoint(staged.select("*", lo.alias("_ip_llo"), hi.alias("_ip_lhi")))
 
     kstruct = knots.schema[_K].dataType

@@ -323,7 +323,9 @@ class GLMCard(Card):
         w = qcol(self.weights) if self.weights else F.lit(1.0)
         complete = train.dropna(subset=vars_ + [self.target] + ([self.weights] if self.weights else []))
         res = irls(complete, X, qcol(self.target), w, self.distribution, self.link_name, theta=self.theta)
-        return CardState(content={"coef": res["coef"], "columns": specs, "deviance": res["deviance"],
+        cat_levels = {v: sorted(r[0] for r in complete.select(qcol(v)).distinct().collect())
+                      for v in vars_ if not is_numerical(complete.schema[v].dataType)}
+        return CardState(content={"coef": res["coef"], "columns": specs, "deviance": res["deviance"], "levels": cat_levels,
                                   "iterations": res["iterations"]})
 
     def transform(self, df, state, id_var=None):
@@ -338,6 +340,9 @@ class GLMCard(Card):
         ok = F.lit(True)
         for v in vars_:
             ok = ok & qcol(v).isNotNull()
+        # A category level unseen in training has no coefficient: NULL prediction.
+        for v, lvls in state.content.get("levels", {}).items():
+            ok = ok & qcol(v).isin(list(lvls))
         pred = F.when(ok, linv(eta)).cast("double")
         keep = [qcol(c) for c in df.columns if c != self.output]
         return df.select(*keep, pred.alias(self.output))

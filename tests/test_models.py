@@ -116,3 +116,11 @@ def test_interp_linear_quadratic_match_numpy(spark):
     none = interp.InterpCard(input="x", targets=("y",), method="linear", partition="p")
     with pytest.raises(Exception):
         CardGraph([none]).train_evaljoin(df, "id").collect()
+
+
+def test_glm_unseen_level_predicts_null(spark):
+    df = spark.createDataFrame([(1, "a", 1.0, 1), (2, "a", 2.0, 1), (3, "b", 5.0, 1), (4, "b", 7.0, 1), (5, "c", 1.0, 2)],
+                               "id long, g string, y double, p int")
+    card = glm.GLMCard(target="y", formula=(1, "g"), partition="p")
+    out = {r.id: r.y_hat for r in CardGraph([card]).train_evaljoin(df, "id").collect()}
+    assert abs(out[1] - 1.5) < 1e-9 and abs(out[3] - 6.0) < 1e-9 and out[5] is None

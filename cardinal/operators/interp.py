@@ -1,4 +1,4 @@
-"""Interpolation card (I1-I3, I8): knots are the training rows, evaluated at every row.
+"""Interpolation card (I1-I3, I6-I8): knots are the training rows, evaluated at every row.
 
 The as-of bracket (nearest knot at or before / at or after each row's
 input) is computed without a single-partition window:
@@ -55,22 +55,76 @@ def knot_table(train: DataFrame, x: Column, targets: list[str]) -> DataFrame:
     ys = [f"y{i}" for i in range(len(targets))]
     pt = lambda p: F.struct(F.col(f"{p}.x").alias("x"), *[F.col(f"{p}.{y}").alias(y) for y in ys])
     a = ranked.alias("a")
-    out = (
+    joined = (
         a.join(ranked.alias("m2"), F.col("m2.r") == F.col("a.r") - 2, "left")
         .join(ranked.alias("m1"), F.col("m1.r") == F.col("a.r") - 1, "left")
         .join(ranked.alias("p1"), F.col("p1.r") == F.col("a.r") + 1, "left")
         .join(ranked.alias("p2"), F.col("p2.r") == F.col("a.r") + 2, "left")
-        .select(F.col("a.x").alias("x"), F.struct(
-            F.col("a.r").alias("r"), F.col("a.x").alias("x"), *[F.col(f"a.{y}").alias(y) for y in ys],
-            F.when(F.col("m2.r").isNotNull(), pt("m2")).alias("m2"),
-            F.when(F.col("m1.r").isNotNull(), pt("m1")).alias("m1"),
-            F.when(F.col("p1.r").isNotNull(), pt("p1")).alias("p1"),
-            F.when(F.col("p2.r").isNotNull(), pt("p2")).alias("p2"),
-        ).alias(_K))
     )
+    slopes = []
+    for y in ys:
+        slopes += [pchip_slope(y).alias(f"dp_{y}"), akima_slope(y).alias(f"da_{y}")]
+    out = joined.select(F.col("a.x").alias("x"), F.struct(
+        F.col("a.r").alias("r"), F.col("a.x").alias("x"), *[F.col(f"a.{y}").alias(y) for y in ys],
+        *slopes,
+        F.when(F.col("m2.r").isNotNull(), pt("m2")).alias("m2"),
+        F.when(F.col("m1.r").isNotNull(), pt("m1")).alias("m1"),
+        F.when(F.col("p1.r").isNotNull(), pt("p1")).alias("p1"),
+        F.when(F.col("p2.r").isNotNull(), pt("p2")).alias("p2"),
+    ).alias(_K))
     return out
 
 
+def _secant(p: str, q: str, y: str) -> Column:
+    """Slope of the segment between joined knots ``p`` and ``q`` (NULL if either is missing)."""
+    return (F.col(f"{q}.{y}") - F.col(f"{p}.{y}")) / (F.col(f"{q}.x") - F.col(f"{p}.x"))
+
+
+def pchip_slope(y: str) -> Column:
+    """Fritsch-Carlson monotone slope at knot ``a`` (three-point rule at the ends)."""
+    h0 = F.col("a.x") - F.col("m1.x")
+    h1 = F.col("p1.x") - F.col("a.x")
+    d0, d1 = _secant("m1", "a", y), _secant("a", "p1", y)
+    w1, w2 = 2 * h1 + h0, h1 + 2 * h0
+    interior = F.when(d0 * d1 <= 0, F.lit(0.0)).otherwise((w1 + w2) / (w1 / d0 + w2 / d1))
+
+    def end(hA, hB, dA, dB):
+        e = ((2 * hA + hB) * dA - hA * dB) / (hA + hB)
+        return (F.when(F.signum(e) != F.signum(dA), F.lit(0.0))
+                .when((F.signum(dA) != F.signum(dB)) & (F.abs(e) > 3 * F.abs(dA)), 3 * dA)
+                .otherwise(e))
+
+    first = end(h1, F.col("p2.x") - F.col("p1.x"), d1, _secant("p1", "p2", y))
+    last = end(h0, F.col("m1.x") - F.col("m2.x"), d0, _secant("m2", "m1", y))
+    two = F.coalesce(d0, d1)
+    return (F.when(F.col("m1.r").isNull() & F.col("p1.r").isNull(), F.lit(0.0))
+            .when(F.col("m1.r").isNull(), F.when(F.col("p2.r").isNull(), two).otherwise(first))
+            .when(F.col("p1.r").isNull(), F.when(F.col("m2.r").isNull(), two).otherwise(last))
+            .otherwise(interior))
+
+
+def akima_slope(y: str) -> Column:
+    """Akima (1970) slope at knot ``a`` from the four surrounding secants, ends extended linearly."""
+    sm2, sm1 = _secant("m2", "m1", y), _secant("m1", "a", y)
+    s0, sp1 = _secant("a", "p1", y), _secant("p1", "p2", y)
+    # missing secants beyond the ends: m_-1 = 2 m_0 - m_1, m_-2 = 3 m_0 - 2 m_1 (mirrored on the right)
+    sm1_ = F.coalesce(sm1, 2 * s0 - sp1)
+    sm2_ = F.coalesce(sm2, F.when(sm1.isNull(), 3 * s0 - 2 * sp1).otherwise(2 * sm1 - s0))
+    s0_ = F.coalesce(s0, 2 * sm1 - sm2)
+    sp1_ = F.coalesce(sp1, F.when(s0.isNull(), 3 * sm1 - 2 * sm2).otherwise(2 * s0 - sm1))
+    w1 = F.abs(sp1_ - s0_)
+    w2 = F.abs(sm1_ - sm2_)
+    return F.when(w1 + w2 == 0, (sm1_ + s0_) / 2).otherwise((w1 * sm1_ + w2 * s0_) / (w1 + w2))
+
+
+def _hermite(X, lo, hi, y, slope):
+    h = hi.x - lo.x
+    t = (X - lo.x) / h
+    t2, t3 = t * t, t * t * t
+    return ((2 * t3 - 3 * t2 + 1) * lo[y] + (t3 - 2 * t2 + t) * h * lo[f"{slope}_{y}"]
+            + (-2 * t3 + 3 * t2) * hi[y] + (t3 - t2) * h * hi[f"{slope}_{y}"])
+
+
 def asof_brackets(df: DataFrame, x: Column, knots: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Add ``_ip_lo`` (last knot with x_k <= x) and ``_ip_hi`` (first knot with x_k >= x)."""
     spark = df.sparkSession
@@ -136,7 +190,7 @@ def _quad(x, pts):
             + y2 * ((x - x0) * (x - x1)) / ((x2 - x0) * (x2 - x1)))
 
 
-INTERP_METHODS = ("constant", "linear", "quadratic")
+INTERP_METHODS = ("constant", "linear", "quadratic", "pchip", "akima")
 EXTRAPOLATIONS = ("none", "constant", "linear", "extension")
 
 
@@ -157,6 +211,11 @@ def interpolate(df: DataFrame, input: str, targets: list[str], outputs: list[str
             inside = F.when(lo.x == X, lo[y]).otherwise(_lin(X, lo.x, lo[y], hi.x, hi[y]))
             end_piece_left = _lin(X, hi.x, hi[y], hi.p1.x, hi.p1[y])
             end_piece_right = _lin(X, lo.m1.x, lo.m1[y], lo.x, lo[y])
+        elif method in ("pchip", "akima"):
+            sl = "dp" if method == "pchip" else "da"
+            inside = F.when(lo.x == X, lo[y]).otherwise(_hermite(X, lo, hi, y, sl))
+            end_piece_left = hi[y] + (X - hi.x) * hi[f"{sl}_{y}"]
+            end_piece_right = lo[y] + (X - lo.x) * lo[f"{sl}_{y}"]
         else:
             fwd = [(lo.x, lo[y]), (hi.x, hi[y]), (hi.p1.x, hi.p1[y])]
             bwd = [(lo.m1.x, lo.m1[y]), (lo.x, lo[y]), (hi.x, hi[y])]
@@ -180,6 +239,7 @@ def interpolate(df: DataFrame, input: str, targets: list[str], outputs: list[str
         val = (F.when(X.isNull(), F.lit(None))
                .when(lo.isNull() & hi.isNull(), F.lit(None))
                .when(lo.isNull(), left_val)
+               .when(lo.x == X, lo[y])
                .when(hi.isNull(), right_val)
                .otherwise(inside))
         exprs.append(val.cast("double").alias(out))

@@ -124,3 +124,59 @@ def test_glm_unseen_level_predicts_null(spark):
     card = glm.GLMCard(target="y", formula=(1, "g"), partition="p")
     out = {r.id: r.y_hat for r in CardGraph([card]).train_evaljoin(df, "id").collect()}
     assert abs(out[1] - 1.5) < 1e-9 and abs(out[3] - 6.0) < 1e-9 and out[5] is None
+
+
+def _np_pchip_slopes(x, y):
+    h = np.diff(x)
+    d = np.diff(y) / h
+    n = len(x)
+    m = np.zeros(n)
+    for k in range(1, n - 1):
+        if d[k - 1] * d[k] > 0:
+            w1, w2 = 2 * h[k] + h[k - 1], h[k] + 2 * h[k - 1]
+            m[k] = (w1 + w2) / (w1 / d[k - 1] + w2 / d[k])
+
+    def end(h0, h1, d0, d1):
+        e = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+        if np.sign(e) != np.sign(d0):
+            return 0.0
+        if np.sign(d0) != np.sign(d1) and abs(e) > 3 * abs(d0):
+            return 3 * d0
+        return e
+
+    m[0] = end(h[0], h[1], d[0], d[1])
+    m[-1] = end(h[-1], h[-2], d[-1], d[-2])
+    return m
+
+
+def _np_akima_slopes(x, y):
+    s = np.diff(y) / np.diff(x)
+    ext = np.concatenate([[3 * s[0] - 2 * s[1], 2 * s[0] - s[1]], s, [2 * s[-1] - s[-2], 3 * s[-1] - 2 * s[-2]]])
+    t = np.zeros(len(x))
+    for i in range(len(x)):
+        mm2, mm1, m0, mp1 = ext[i], ext[i + 1], ext[i + 2], ext[i + 3]
+        w1, w2 = abs(mp1 - m0), abs(mm1 - mm2)
+        t[i] = (mm1 + m0) / 2 if w1 + w2 == 0 else (w1 * mm1 + w2 * m0) / (w1 + w2)
+    return t
+
+
+def _np_hermite(x, y, m, q):
+    k = np.clip(np.searchsorted(x, q, side="right") - 1, 0, len(x) - 2)
+    h = x[k + 1] - x[k]
+    t = (q - x[k]) / h
+    return ((2 * t ** 3 - 3 * t ** 2 + 1) * y[k] + (t ** 3 - 2 * t ** 2 + t) * h * m[k]
+            + (-2 * t ** 3 + 3 * t ** 2) * y[k + 1] + (t ** 3 - t ** 2) * h * m[k + 1])
+
+
+@pytest.mark.parametrize("method", ["pchip", "akima"])
+def test_hermite_methods_match_numpy(spark, method):
+    xs = np.array([0.0, 1.0, 2.5, 4.0, 7.0, 8.0, 9.5])
+    ys = np.array([0.0, 2.0, 1.0, 1.0, 5.0, 4.0, 6.0])
+    q = np.linspace(0, 9.5, 39)
+    rows = [(int(i), float(a), float(b), 1) for i, (a, b) in enumerate(zip(xs, ys))]
+    rows += [(100 + i, float(a), None, 2) for i, a in enumerate(q)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, p int")
+    card = interp.InterpCard(input="x", targets=("y",), method=method, partition="p")
+    out = CardGraph([card]).train_evaljoin(df, "id").where("p = 2").orderBy("id").toPandas()
+    m = _np_pchip_slopes(xs, ys) if method == "pchip" else _np_akima_slopes(xs, ys)
+    assert np.allclose(out.y_hat, _np_hermite(xs, ys, m, q))

@@ -128,12 +128,21 @@ class Card:
         return json.dumps(self.to_dict())
 
 
+def load_builtin_cards() -> None:
+    """Import the operator modules so their cards register themselves."""
+    import importlib
+
+    for mod in ("split", "rescale", "gaussian", "cluster", "dimred", "glm", "mixed", "interp", "nn", "wild"):
+        importlib.import_module(f"cardinal.operators.{mod}")
+
+
 def card_from_dict(d: Mapping[str, Any]) -> Card:
     """Build a card from its config dict (L1).
 
     ``type`` picks the card; unknown keys are rejected; required fields must
     be present.  Method dicts are handled by each card's ``from_config``.
     """
+    load_builtin_cards()
     d = dict(d)
     kind = d.pop("type", None)
     if kind not in CARD_REGISTRY:

@@ -225,3 +225,34 @@ def test_mixed_model_profiled_deviance_matches_dense(spark):
     node_out = CardGraph([card]).train_evaljoin(df)
     res = node_out.select("y", "y_hat").toPandas()
     assert np.corrcoef(res.y, res.y_hat)[0, 1] > 0.95
+
+
+def _np_natural_spline(x, y, q):
+    n = len(x)
+    h = np.diff(x)
+    A = np.zeros((n, n))
+    rhs = np.zeros(n)
+    A[0, 0] = A[-1, -1] = 1.0
+    for i in range(1, n - 1):
+        A[i, i - 1], A[i, i], A[i, i + 1] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        rhs[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    M = np.linalg.solve(A, rhs)
+    k = np.clip(np.searchsorted(x, q, side="right") - 1, 0, n - 2)
+    a, b, hk = x[k + 1] - q, q - x[k], h[k]
+    return M[k] * a ** 3 / (6 * hk) + M[k + 1] * b ** 3 / (6 * hk) + (y[k] / hk - M[k] * hk / 6) * a \
+        + (y[k + 1] / hk - M[k + 1] * hk / 6) * b
+
+
+def test_cubic_spline_blocks_match_global_solve(spark, monkeypatch):
+    monkeypatch.setattr(interp, "SPLINE_BLOCK", 16)
+    monkeypatch.setattr(interp, "SPLINE_HALO", 12)
+    rng = np.random.default_rng(7)
+    xs = np.cumsum(rng.uniform(0.2, 2.0, size=70))
+    ys = np.sin(xs) + rng.normal(scale=0.1, size=70)
+    q = np.linspace(xs[0], xs[-1], 101)
+    rows = [(int(i), float(a), float(b), 1) for i, (a, b) in enumerate(zip(xs, ys))]
+    rows += [(1000 + i, float(a), None, 2) for i, a in enumerate(q)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, p int")
+    card = interp.InterpCard(input="x", targets=("y",), method="cubicspline", partition="p")
+    out = CardGraph([card]).train_evaljoin(df, "id").where("p = 2").orderBy("id").toPandas()
+    assert np.allclose(out.y_hat, _np_natural_spline(xs, ys, q), atol=1e-6)

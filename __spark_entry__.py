@@ -623,6 +623,8 @@ _reg("interp_constant", _interp("constant", extrapolation_left="constant", extra
 _reg("interp_quadratic", _interp("quadratic", extrapolation_left="linear", extrapolation_right="linear"), None)
 _reg("interp_pchip", _interp("pchip", extrapolation_left="constant", extrapolation_right="constant"), None)
 _reg("interp_akima", _interp("akima", extrapolation_left="extension", extrapolation_right="extension"), None)
+_reg("interp_quadraticspline", _interp("quadraticspline", extrapolation_left="constant",
+                                      extrapolation_right="constant"), None)
 _reg("interp_cubicspline", _interp("cubicspline", extrapolation_left="extension", extrapolation_right="extension"),
      None)
 

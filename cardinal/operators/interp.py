@@ -1,4 +1,4 @@
-"""Interpolation card (I1-I3, I6-I8): knots are the training rows, evaluated at every row.
+"""Interpolation card (I1-I8): knots are the training rows, evaluated at every row.
 
 The as-of bracket (nearest knot at or before / at or after each row's
 input) is computed without a single-partition window:
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from cardinal.functions.columns import asc, ieee_div, join_names, qcol
 from cardinal.operators.filters import training_rows
-from cardinal.operators.ranking import RN, ordered_numbers
+from cardinal.operators.ranking import RN, ordered_cumsum, ordered_numbers
 from cardinal.plans.card import Card, CardState, OutputVariables, SourceVariables, check_fields, method_of, register_card
 from cardinal.session import reliable_checkpoint
 
@@ -104,7 +104,29 @@ def spline_second_derivatives(ranked: DataFrame, ys: list[str]) -> DataFrame:
     return exploded.groupBy("blk").applyInPandas(solve, out_schema)
 
 
-def knot_table(train: DataFrame, x: Column, targets: list[str], spline: bool = False) -> DataFrame:
+def quadratic_spline_slopes(ranked: DataFrame, ys: list[str]) -> DataFrame:
+    """Knot slopes of the C1 quadratic spline with zero initial slope.
+
+    ``z_{i+1} = 2 d_i - z_i`` unrolls to ``z_i = (-1)^i sum_{j<i} (-1)^(j+1) 2 d_i``:
+    an exclusive running sum over the knot order, computed distributed.
+    """
+    a, n = ranked.alias("a"), ranked.alias("n")
+    sec = a.join(n, F.col("n.r") == F.col("a.r") + 1, "left").select(
+        F.col("a.r").alias("r"),
+        *[((F.col(f"n.{y}") - F.col(f"a.{y}")) / (F.col("n.x") - F.col("a.x"))).alias(f"d_{y}") for y in ys])
+    # ranks are 1-based: knot j = r - 1, so (-1)^(j+1) = (-1)^r and (-1)^i = (-1)^(r-1)
+    sign = F.when(F.col("r") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    out = sec.select("r")
+    for y in ys:
+        terms = sec.select("r", (sign * 2 * F.coalesce(F.col(f"d_{y}"), F.lit(0.0))).alias("t"))
+        cs = ordered_cumsum(terms, "r", "t", "c")
+        z = F.when(F.col("r") % 2 == 1, F.col("c")).otherwise(-F.col("c"))
+        out = out.join(cs.select("r", z.alias(f"Q_{y}")), "r")
+    return out
+
+
+def knot_table(train: DataFrame, x: Column, targets: list[str], spline: bool = False,
+               quadspline: bool = False) -> DataFrame:
     """Distinct knots ``(r, x, y...)`` with neighbours; duplicate inputs are averaged."""
     k = (
         train.select(x.alias("x"), *[qcol(t).cast("double").alias(f"y{i}") for i, t in enumerate(targets)])
@@ -117,7 +139,9 @@ def knot_table(train: DataFrame, x: Column, targets: list[str], spline: bool = F
     ys = [f"y{i}" for i in range(len(targets))]
     if spline:
         ranked = reliable_checkpoint(ranked.join(spline_second_derivatives(ranked, ys), "r"))
-    extra = [f"M_{y}" for y in ys] if spline else []
+    if quadspline:
+        ranked = reliable_checkpoint(ranked.join(quadratic_spline_slopes(ranked, ys), "r"))
+    extra = ([f"M_{y}" for y in ys] if spline else []) + ([f"Q_{y}" for y in ys] if quadspline else [])
     pt = lambda p: F.struct(F.col(f"{p}.x").alias("x"), *[F.col(f"{p}.{y}").alias(y) for y in ys + extra])
     a = ranked.alias("a")
     joined = (
@@ -131,6 +155,8 @@ def knot_table(train: DataFrame, x: Column, targets: list[str], spline: bool = F
         slopes += [pchip_slope(y).alias(f"dp_{y}"), akima_slope(y).alias(f"da_{y}")]
         if spline:
             slopes.append(F.col(f"a.M_{y}").alias(f"M_{y}"))
+        if quadspline:
+            slopes.append(F.col(f"a.Q_{y}").alias(f"Q_{y}"))
     out = joined.select(F.col("a.x").alias("x"), F.struct(
         F.col("a.r").alias("r"), F.col("a.x").alias("x"), *[F.col(f"a.{y}").alias(y) for y in ys],
         *slopes,
@@ -257,7 +283,7 @@ def _quad(x, pts):
             + y2 * ((x - x0) * (x - x1)) / ((x2 - x0) * (x2 - x1)))
 
 
-INTERP_METHODS = ("constant", "linear", "quadratic", "pchip", "akima", "cubicspline")
+INTERP_METHODS = ("constant", "linear", "quadratic", "quadraticspline", "pchip", "akima", "cubicspline")
 EXTRAPOLATIONS = ("none", "constant", "linear", "extension")
 
 
@@ -278,6 +304,13 @@ def interpolate(df: DataFrame, input: str, targets: list[str], outputs: list[str
             inside = F.when(lo.x == X, lo[y]).otherwise(_lin(X, lo.x, lo[y], hi.x, hi[y]))
             end_piece_left = _lin(X, hi.x, hi[y], hi.p1.x, hi.p1[y])
             end_piece_right = _lin(X, lo.m1.x, lo.m1[y], lo.x, lo[y])
+        elif method == "quadraticspline":
+            h = hi.x - lo.x
+            t = X - lo.x
+            dsec = (hi[y] - lo[y]) / h
+            inside = F.when(lo.x == X, lo[y]).otherwise(lo[y] + lo[f"Q_{y}"] * t + (dsec - lo[f"Q_{y}"]) * t * t / h)
+            end_piece_left = hi[y] + (X - hi.x) * hi[f"Q_{y}"]
+            end_piece_right = lo[y] + (X - lo.x) * (2 * (lo[y] - lo.m1[y]) / (lo.x - lo.m1.x) - lo.m1[f"Q_{y}"])
         elif method == "cubicspline":
             h = hi.x - lo.x
             a_, b_ = hi.x - X, X - lo.x
@@ -376,7 +409,7 @@ class InterpCard(Card):
     def fit(self, df, id_var=None):
         x = numeric_input(qcol(self.input), df.schema[self.input].dataType)
         knots = knot_table(training_rows(df, self.partition), x, list(self.targets),
-                           spline=self.method == "cubicspline")
+                           spline=self.method == "cubicspline", quadspline=self.method == "quadraticspline")
         return CardState(tables={"knots": reliable_checkpoint(knots)})
 
     def transform(self, df, state, id_var=None):

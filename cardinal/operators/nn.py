@@ -14,7 +14,8 @@ An epoch is ``batches`` global steps over a seeded hash split of the
 training rows (one step per batch, the whole split by default); the
 validation loss is computed after each epoch and the best weights are kept.
 Trajectories differ from per-32-row training by design; gradients, losses
-and metrics are exact.  Prediction is one ``mapInPandas`` pass.
+and metrics are exact.  Prediction is JVM-side: one projection of column
+expressions per dense layer.
 """
 
 from __future__ import annotations
@@ -81,6 +82,56 @@ ACTIVATIONS = {
 }
 
 
+def activation_expr(name: str, z):
+    """The same activations as Spark column expressions (for prediction)."""
+    one, zero = F.lit(1.0), F.lit(0.0)
+    sig = lambda v: one / (one + F.exp(-v))
+    softplus = lambda v: F.greatest(v, zero) + F.log1p(F.exp(-F.abs(v)))
+    if name == "identity":
+        return z
+    if name == "relu":
+        return F.greatest(z, zero)
+    if name == "relu6":
+        return F.least(F.greatest(z, zero), F.lit(6.0))
+    if name == "leakyrelu":
+        return F.when(z > 0, z).otherwise(z * 0.01)
+    if name == "rrelu":
+        return F.when(z > 0, z).otherwise(z * ((1 / 8 + 1 / 3) / 2))
+    if name in ("elu", "celu"):
+        return F.when(z > 0, z).otherwise(F.expm1(z))
+    if name == "selu":
+        return F.when(z > 0, z * _SELU_L).otherwise(F.expm1(z) * (_SELU_L * _SELU_A))
+    if name == "gelu":
+        return z * 0.5 * (one + F.tanh((z + F.pow(z, 3) * 0.044715) * 0.7978845608028654))
+    if name == "sigmoid":
+        return sig(z)
+    if name == "hardsigmoid":
+        return F.least(F.greatest(z / 6.0 + 0.5, zero), one)
+    if name == "tanh":
+        return F.tanh(z)
+    if name == "hardtanh":
+        return F.least(F.greatest(z, F.lit(-1.0)), one)
+    if name == "softplus":
+        return softplus(z)
+    if name == "softsign":
+        return z / (one + F.abs(z))
+    if name == "softshrink":
+        return F.when(z > 0.5, z - 0.5).when(z < -0.5, z + 0.5).otherwise(zero)
+    if name == "logsigmoid":
+        return -softplus(-z)
+    if name == "logcosh":
+        return z + softplus(z * -2.0) - math.log(2)
+    if name == "lisht":
+        return z * F.tanh(z)
+    if name == "swish":
+        return z * sig(z)
+    if name == "tanhshrink":
+        return z - F.tanh(z)
+    if name == "trelu":
+        return F.when(z > 1, z).otherwise(zero)
+    raise ValueError(f"unknown activation {name!r}")
+
+
 # -- network ----------------------------------------------------------------------
 
 def init_params(sizes: Sequence[int], seed: int) -> list[np.ndarray]:
@@ -405,46 +456,38 @@ class DenseNetCard(Card):
                                   "successful": bool(best[0] < math.inf), "history": history})
 
     def transform(self, df, state, id_var=None):
+        """Prediction as column expressions: one projection per dense layer (JVM-side, codegen)."""
         params = [np.asarray(p, dtype=float) for p in state.content["params"]]
         acts = state.content["acts"]
         cats = state.content["levels"]
         outs = self.outputs()
-        spans, k = [], 0
-        for t in self.targets:
-            w = len(cats[t]) if t in cats else 1
-            spans.append((t, k, k + w))
-            k += w
-        cols = list(df.columns)
-        tmp = df.select("*", F.array(*[qcol(c).cast("double") for c in self.inputs]).alias("_nn_x"))
-        out_fields = [T.StructField(f.name, f.dataType, True) for f in tmp.schema.fields]
-        for (t, a, b), name in zip(spans, outs):
-            out_fields.append(T.StructField(name, T.StringType() if t in cats else T.DoubleType(), True))
-        schema = T.StructType(out_fields)
-
-        def predict(it):
-            for pdf in it:
-                if pdf.empty:
-                    yield pdf.assign(**{n: pd.Series(dtype=object) for n in outs})
-                    continue
-                xs = pdf["_nn_x"]
-                ok = xs.map(lambda v: v is not None and not any(x is None or x != x for x in v)).to_numpy()
-                res = {n: [None] * len(pdf) for n in outs}
-                if ok.any():
-                    X = np.stack(xs[ok].to_numpy()).astype(float)
-                    out = forward(params, acts, X)[0][-1]
-                    idx = np.flatnonzero(ok)
-                    for (t, a, b), name in zip(spans, outs):
-                        if t in cats:
-                            labels = np.asarray(cats[t], dtype=object)[out[:, a:b].argmax(1)]
-                        else:
-                            labels = out[:, a]
-                        col = res[name]
-                        for i, v in zip(idx, labels):
-                            col[i] = v if t in cats else float(v)
-                yield pdf.assign(**res)
-
-        return tmp.mapInPandas(predict, schema).select(*[qcol(c) for c in cols if c not in outs],
-                                                      *[qcol(n) for n in outs])
+        cols = [c for c in df.columns if c not in outs]
+        h = [qcol(c).cast("double") for c in self.inputs]
+        cur = df
+        for li, act in enumerate(acts):
+            W, b = params[2 * li], params[2 * li + 1]
+            units = []
+            for j in range(W.shape[1]):
+                z = F.lit(float(b[j]))
+                for i, x in enumerate(h):
+                    z = z + x * F.lit(float(W[i, j]))
+                units.append(activation_expr(act, z).alias(f"_nn{li}_{j}"))
+            cur = cur.select(*[qcol(c) for c in cols], *units)
+            h = [F.col(f"_nn{li}_{j}") for j in range(W.shape[1])]
+        preds, k = [], 0
+        for t, name in zip(self.targets, outs):
+            if t in cats:
+                width = len(cats[t])
+                block = h[k:k + width]
+                arr = F.array(*block)
+                label = F.element_at(F.array(*[F.lit(v) for v in cats[t]]),
+                                     F.array_position(arr, F.array_max(arr)).cast("int"))
+                preds.append(F.when(F.array_max(arr).isNotNull(), label).alias(name))
+                k += width
+            else:
+                preds.append(h[k].alias(name))
+                k += 1
+        return cur.select(*[qcol(c) for c in cols], *preds)
 
     def report(self, state):
         hist = state.content.get("history", [])

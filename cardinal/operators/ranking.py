@@ -254,3 +254,27 @@ def add_row_id(df: DataFrame, name: str = "_id", order_by: Sequence[str] | None
         .join(F.broadcast(off), "_cd_part", "left")
         .select(*[qcol(c) for c in cols], (F.col("_cd_off") + idx + 1).cast("bigint").alias(name))
     )
+
+
+def ordered_cumsum(df: DataFrame, order_col: str, value_col: str, output: str,
+                   num_partitions: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value_col`` in ``order_col`` order (unique keys).
+
+    Range partitions give ordered slices; a running window per slice gives
+    local sums, and one total per slice (at most ``P`` rows) gives each
+    slice's carry, broadcast back.  No single-partition window.
+    """
+    spark = df.sparkSession
+    P = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = list(df.columns)
+    staged = df.repartitionByRange(P, asc(order_col)).withColumn("_cs_pid", F.spark_partition_id())
+    w = Window.partitionBy("_cs_pid").orderBy(asc(order_col)).rowsBetween(Window.unboundedPreceding, -1)
+    local = reliable_checkpoint(staged.withColumn("_cs_local", F.coalesce(F.sum(value_col).over(w), F.lit(0.0))))
+    totals = local.groupBy("_cs_pid").agg(F.sum(value_col).alias("t")).collect()  # one row per range partition
+    carry, acc = [], 0.0
+    for r in sorted(totals, key=lambda r: r["_cs_pid"]):
+        carry.append((r["_cs_pid"], acc))
+        acc += r["t"] or 0.0
+    cdf = spark.createDataFrame(carry, "_cs_pid int, _cs_carry double")
+    return local.join(F.broadcast(cdf), "_cs_pid", "left").select(
+        *[qcol(c) for c in cols], (F.col("_cs_local") + F.coalesce("_cs_carry", F.lit(0.0))).alias(output))

@@ -5,8 +5,8 @@ Numerical columns (any number except booleans) are summarised by
 distinct values with NULL last.  All numerical extrema come from one
 aggregation job.  Distinct values are computed per column as a distributed
 ``distinct`` (partial aggregation, no per-row collection), so a
-high-cardinality column never becomes one giant array in a task; only the
-final, already-distinct list reaches the driver when a caller asks for it.
+high-cardinality column never becomes one giant array in a task; the list
+reaches the driver only under a measured bound.
 """
 
 from __future__ import annotations
@@ -48,7 +48,9 @@ class ColumnSummary:
     name: str
     kind: str  # "numerical" | "categorical"
     eltype: str
-    summary: object  # {"min":..,"max":..} or list of values
+    summary: object  # {"min":..,"max":..}, list of values, or None when too long to embed
+    values: DataFrame | None = None  # categorical: sorted distinct values, NULL last (distributed)
+    n_distinct: int | None = None
 
 
 def numeric_extrema(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -65,23 +67,38 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(qcol(column).alias(column)).distinct().orderBy(asc(column))
 
 
-def summarize(df: DataFrame) -> list[ColumnSummary]:
+# Largest distinct list embedded in the summary metadata; larger categorical
+# summaries stay distributed DataFrames (``ColumnSummary.values``).
+DISPLAY_LEVELS = 10_000
+
+
+def summarize(df: DataFrame, display_levels: int = DISPLAY_LEVELS) -> list[ColumnSummary]:
     """Summary of every column (A1 + A2).
 
-    Returns small metadata objects; the data work is one aggregation job for
-    the extrema and one distinct job per categorical column.
+    Numerical extrema come from one aggregation job.  Each categorical
+    column's sorted distinct values are a lazy DataFrame; the list itself is
+    materialised on the driver only after a distinct-count estimate bounds it
+    by ``display_levels`` (otherwise ``summary`` is ``None`` and the
+    caller pages through ``values``).
     """
     fields = df.schema.fields
     num = [f.name for f in fields if is_numerical(f.dataType)]
     ext = numeric_extrema(df, num).first() if num else None
+    cats = [f.name for f in fields if f.name not in num]
+    # HyperLogLog estimates (one pass, no per-column expansion) decide what may be embedded
+    counts = (df.agg(*[F.approx_count_distinct(qcol(c), 0.02).alias(c) for c in cats]).first().asDict()
+              if cats else {})
     out = []
     for f in fields:
         if f.name in num:
             summ = {"min": ext[f"{f.name}_min"], "max": ext[f"{f.name}_max"]}
             out.append(ColumnSummary(f.name, "numerical", type_label(f.dataType), summ))
         else:
-            vals = [r[0] for r in distinct_values(df, f.name).collect()]
-            out.append(ColumnSummary(f.name, "categorical", type_label(f.dataType), vals))
+            values = distinct_values(df, f.name)
+            # +1: the estimate ignores NULL, the distinct list keeps it; 10% margin for the estimate
+            small = (counts[f.name] + 1) * 1.1 <= display_levels
+            summ = [r[0] for r in values.collect()] if small else None
+            out.append(ColumnSummary(f.name, "categorical", type_label(f.dataType), summ, values, counts[f.name]))
     return out
 
 

@@ -256,3 +256,22 @@ def test_cubic_spline_blocks_match_global_solve(spark, monkeypatch):
     card = interp.InterpCard(input="x", targets=("y",), method="cubicspline", partition="p")
     out = CardGraph([card]).train_evaljoin(df, "id").where("p = 2").orderBy("id").toPandas()
     assert np.allclose(out.y_hat, _np_natural_spline(xs, ys, q), atol=1e-6)
+
+
+def test_quadratic_spline_matches_recurrence(spark):
+    xs = np.array([0.0, 1.0, 2.5, 4.0, 7.0, 8.0, 9.5])
+    ys = np.array([0.0, 2.0, 1.0, 1.0, 5.0, 4.0, 6.0])
+    q = np.linspace(0, 9.5, 39)
+    d = np.diff(ys) / np.diff(xs)
+    z = np.zeros(len(xs))
+    for i in range(len(xs) - 1):
+        z[i + 1] = 2 * d[i] - z[i]
+    k = np.clip(np.searchsorted(xs, q, side="right") - 1, 0, len(xs) - 2)
+    t = q - xs[k]
+    exp = ys[k] + z[k] * t + (d[k] - z[k]) * t * t / (xs[k + 1] - xs[k])
+    rows = [(int(i), float(a), float(b), 1) for i, (a, b) in enumerate(zip(xs, ys))]
+    rows += [(100 + i, float(a), None, 2) for i, a in enumerate(q)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, p int")
+    card = interp.InterpCard(input="x", targets=("y",), method="quadraticspline", partition="p")
+    out = CardGraph([card]).train_evaljoin(df, "id").where("p = 2").orderBy("id").toPandas()
+    assert np.allclose(out.y_hat, exp)

@@ -77,3 +77,11 @@ def test_stream_scoring_matches_batch(spark):
     with pytest.raises(ValueError):
         apply_frozen(stream, [Node(split := SplitCard(PercentileMethod(0.5), order_by=("ts",)))])
     del split
+
+
+def test_activation_expressions_match_numpy(spark):
+    xs = [-7.0, -2.5, -0.3, 0.0, 0.4, 1.5, 8.0]
+    df = spark.createDataFrame([(x,) for x in xs], "z double")
+    for name, (f, _) in nn.ACTIVATIONS.items():
+        got = [r[0] for r in df.select(nn.activation_expr(name, F.col("z"))).collect()]
+        assert np.allclose(got, f(np.array(xs)), atol=1e-12), name

@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 from cardinal.functions.columns import qcol
 
 
+def _literal(v) -> Column:
+    """Naive datetimes are wall-clock values (independent of the session time zone)."""
+    import datetime as dt
+
+    if isinstance(v, dt.datetime) and v.tzinfo is None:
+        return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(v)
+
+
 @dataclass(frozen=True)
 class IntervalFilter:
     """Closed interval ``min <= col <= max`` (NULL drops the row)."""
@@ -25,7 +34,7 @@ class IntervalFilter:
     max: object
 
     def predicate(self) -> Column:
-        return qcol(self.colname).between(F.lit(self.min), F.lit(self.max))
+        return qcol(self.colname).between(_literal(self.min), _literal(self.max))
 
     def to_dict(self) -> dict:
         return {"type": "interval", "colname": self.colname, "interval": {"min": self.min, "max": self.max}}

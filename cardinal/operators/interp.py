@@ -35,8 +35,12 @@ _X = "_ip_x"
 
 
 def numeric_input(c: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double") / 1e6
+    if isinstance(dtype, T.TimestampNTZType):
+        # wall-clock seconds since 1970-01-01, independent of the session time zone
+        return (F.unix_date(c.cast("date")).cast("double") * 86400.0 + F.hour(c) * 3600.0 + F.minute(c) * 60.0
+                + F.date_part(F.lit("SECOND"), c).cast("double"))
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double") / 1e6
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double")
     return c.cast("double")

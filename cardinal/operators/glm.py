@@ -203,14 +203,13 @@ def irls(df: DataFrame, X: list[Column], y: Column, w: Column, family: str, link
                      w.cast("double").alias("w")).dropna().persist(StorageLevel.MEMORY_AND_DISK)
     xs = [F.col(f"x{i}") for i in range(p)]
     try:
-        beta = None
-        dev_old = np.inf
-        it = 0
-        for it in range(1, iterations + 1):
-            if beta is None:
-                eta = lk(initial_mu(family, F.col("y")))
-            else:
-                eta = _linear(beta, xs)
+        beta = None          # current iterate (None: start from the initial fitted values)
+        prev = None          # last accepted (beta, deviance)
+        dev = np.inf
+        it = halvings = 0
+        while it < iterations:
+            it += 1
+            eta = lk(initial_mu(family, F.col("y"))) if beta is None else _linear(beta, xs)
             # Staged projections keep each generated expression small: eta,
             # then mu and dmu/deta, then the working weight and response.
             stage = data.select(*xs, "y", "w", eta.alias("eta"))
@@ -218,33 +217,40 @@ def irls(df: DataFrame, X: list[Column], y: Column, w: Column, family: str, link
             stage = stage.select(*xs, "y", "w", "eta", "mu", "d", variance(family, F.col("mu")).alias("v"))
             wt = ieee_div(F.col("w") * F.col("d") * F.col("d"), F.col("v"))
             z = F.col("eta") + ieee_div(F.col("y") - F.col("mu"), F.col("d"))
-            stage = stage.select(*xs, wt.alias("wt"), z.alias("z"))
+            dres = F.col("w") * deviance_resid(family, F.col("y"), F.col("mu"))
+            stage = stage.select(*xs, wt.alias("wt"), z.alias("z"), dres.alias("dres"))
             ok = ~(F.isnan("wt") | F.isnan("z") | (F.abs("wt") == float("inf")) | (F.abs("z") == float("inf")))
-            stage = stage.where(ok)
-            aggs = [F.sum(F.col("wt") * xs[i] * xs[j]).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]
-            aggs += [F.sum(F.col("wt") * xs[i] * F.col("z")).alias(f"b{i}") for i in range(p)]
+            wok = F.when(ok, F.col("wt"))
+            # One pass: deviance of the current iterate and the next weighted system.
+            aggs = [F.sum(wok * xs[i] * xs[j]).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]
+            aggs += [F.sum(wok * xs[i] * F.col("z")).alias(f"b{i}") for i in range(p)]
+            aggs += [F.sum("dres").alias("dev")]
             r = stage.agg(*aggs).first()
+            if beta is not None:
+                dev = float(r["dev"]) if r["dev"] is not None else np.inf
+                if prev is not None and (not np.isfinite(dev) or dev > prev[1] + tol * (abs(prev[1]) + 0.1)):
+                    halvings += 1  # step halving towards the last accepted iterate
+                    if halvings > 20:
+                        raise ValueError("GLM fit diverged (step halving failed)")
+                    beta = (beta + prev[0]) / 2
+                    continue
+                if not np.isfinite(dev):
+                    raise ValueError("GLM fit diverged (non-finite deviance)")
+                converged = prev is not None and abs(dev - prev[1]) <= tol * (abs(dev) + 0.1)
+                prev = (beta, dev)
+                halvings = 0
+                if converged or (family == "normal" and link == "identity"):
+                    break
             A = np.zeros((p, p))
             b = np.zeros(p)
             for i in range(p):
                 b[i] = r[f"b{i}"]
                 for j in range(i, p):
                     A[i, j] = A[j, i] = r[f"a{i}_{j}"]
-            new = np.linalg.lstsq(A, b, rcond=None)[0]
-            dev = _deviance(data, xs, new, family, linv)
-            if beta is not None and (not np.isfinite(dev) or dev > dev_old + tol * (abs(dev_old) + 0.1)):
-                for _ in range(20):  # step halving
-                    new = (new + beta) / 2
-                    dev = _deviance(data, xs, new, family, linv)
-                    if np.isfinite(dev) and dev <= dev_old:
-                        break
-            converged = beta is not None and abs(dev - dev_old) <= tol * (abs(dev) + 0.1)
-            if not np.isfinite(dev):
-                raise ValueError("GLM fit diverged (non-finite deviance)")
-            beta, dev_old = new, dev
-            if family == "normal" and link == "identity" or converged:
-                break
-        return {"coef": beta.tolist(), "deviance": float(dev_old), "iterations": it}
+            beta = np.linalg.lstsq(A, b, rcond=None)[0]
+        final = prev[0] if prev is not None else beta
+        return {"coef": np.asarray(final).tolist(), "deviance": float(prev[1]) if prev else float("nan"),
+                "iterations": it}
     finally:
         data.unpersist()
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import copy
 import json
-import os
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -85,7 +84,6 @@ class Node:
     # -- persistence (L16) -----------------------------------------------------
     def save(self, path: str) -> None:
         """Card config + JSON state; keyed state tables as parquet beside it."""
-        os.makedirs(path, exist_ok=True) if "://" not in path else None
         tables = {}
         for name, t in self.state.tables.items():
             tpath = f"{path.rstrip('/')}/{name}.parquet"

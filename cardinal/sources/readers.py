@@ -175,12 +175,11 @@ def _apply_post(df: DataFrame, post: Mapping[str, object]) -> DataFrame:
             for f in df.schema.fields
         ])
     if "decimal_separator" in post:
+        # numbers written with another decimal separator: replace it, then try the cast
         sep = post["decimal_separator"]
-        num = re.compile(r"^-?\d+(" + re.escape(sep) + r"\d+)?$")
-        del num  # the cast below is the check
         df = df.select(*[
-            (F.coalesce(F.regexp_replace(qcol(f.name), re.escape(sep), ".").try_cast("double"), F.lit(None))
-             .alias(f.name) if isinstance(f.dataType, T.StringType) else qcol(f.name))
+            (F.regexp_replace(qcol(f.name), re.escape(sep), ".").try_cast("double").alias(f.name)
+             if isinstance(f.dataType, T.StringType) else qcol(f.name))
             for f in df.schema.fields
         ])
     if "force_not_null" in post:
@@ -191,7 +190,8 @@ def _apply_post(df: DataFrame, post: Mapping[str, object]) -> DataFrame:
     return df
 
 
-def _file_stem(col: str = "_metadata.file_name"):
+def _file_stem():
+    """File name without its extension, from the scan's metadata column."""
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
 
 

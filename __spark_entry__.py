@@ -890,7 +890,15 @@ def mixed_weighted(spark, d):
     return _card_eval(card, _t(spark, d, "orders"), "o_orderkey").select("o_orderkey", "o_totalprice_hat")
 
 
+def glmm_binomial(spark, d):
+    ev = _t(spark, d, "events").withColumn("is_purchase", (F.col("event_type") == "purchase").cast("int"))
+    card = MixedModelCard(target="is_purchase", fixed=(1, "value"), random=(1,), group="user_id",
+                          distribution="binomial")
+    return _card_eval(card, ev, "event_id").select("event_id", "is_purchase_hat")
+
+
 _reg("mixed_random_intercept", mixed_random_intercept, None)
+_reg("glmm_binomial", glmm_binomial, None)
 _reg("mixed_weighted", mixed_weighted, None)
 
 

@@ -1,4 +1,4 @@
-"""Linear mixed model card with one grouping factor.
+"""Linear and generalised linear mixed model card with one grouping factor.
 
 Model: ``y = X beta + Z b_g + e``, ``b_g ~ N(0, sigma^2 L L')``, ``e ~ N(0, sigma^2)``,
 fitted by maximum likelihood through the profiled deviance of the penalised
@@ -14,8 +14,11 @@ least-squares formulation (Bates et al. 2015):
 * the conditional modes ``b_g`` (BLUPs) stay a DataFrame keyed by the group;
   prediction joins them back (broadcast only under a measured row bound).
 
-A group level unseen in training predicts NULL.  Weights are frequency
-weights.
+Other families/links (G7) use the Laplace approximation: at each ``theta``
+penalised IRLS (fixed effects updated inside it) runs the same per-group
+statistics with GLM working weights, and ``theta`` minimises the Laplace
+deviance.  A group level unseen in training predicts NULL.  Weights are
+frequency weights.
 """
 
 from __future__ import annotations
@@ -173,11 +176,63 @@ def golden(f, lo=0.0, hi=10.0, tol=1e-5, maxiter=80):
     return np.array([x]), f(x)
 
 
+def brent(f, lo: float = 0.0, hi: float = 5.0, tol: float = 1e-3, maxiter: int = 60):
+    """Brent's minimiser on [lo, hi]: parabolic steps with golden-section fallback."""
+    cg = (3 - math.sqrt(5)) / 2
+    a, b = lo, hi
+    x = w = v = a + cg * (b - a)
+    fx = fw = fv = f(x)
+    d = e = 0.0
+    for _ in range(maxiter):
+        m = (a + b) / 2
+        tol1 = tol * (abs(x) + 0.1)  # relative, with an absolute floor near the theta = 0 boundary
+        if abs(x - m) <= 2 * tol1 - (b - a) / 2:
+            break
+        use_golden = True
+        if abs(e) > tol1:
+            r = (x - w) * (fx - fv)
+            qq = (x - v) * (fx - fw)
+            pp = (x - v) * qq - (x - w) * r
+            qq = 2 * (qq - r)
+            if qq > 0:
+                pp = -pp
+            qq = abs(qq)
+            if abs(pp) < abs(0.5 * qq * e) and a * qq < x * qq + pp < b * qq:
+                e, d = d, pp / qq
+                u = x + d
+                if u - a < 2 * tol1 or b - u < 2 * tol1:
+                    d = tol1 if x < m else -tol1
+                use_golden = False
+        if use_golden:
+            e = (a - x) if x >= m else (b - x)
+            d = cg * e
+        u = x + (d if abs(d) >= tol1 else (tol1 if d > 0 else -tol1))
+        fu = f(u)
+        if fu <= fx:
+            if u >= x:
+                a = x
+            else:
+                b = x
+            v, w, x = w, x, u
+            fv, fw, fx = fw, fx, fu
+        else:
+            if u < x:
+                a = u
+            else:
+                b = u
+            if fu <= fw or w == x:
+                v, w, fv, fw = w, u, fw, fu
+            elif fu <= fv or v == x or v == w:
+                v, fv = u, fu
+    return np.array([x]), fx
+
+
 def blups(groups: DataFrame, theta, beta, q: int, p: int) -> DataFrame:
-    """Conditional modes ``b_g = L A_g^-1 L' (Z'y - Z'X beta)`` as a keyed DataFrame."""
+    """Conditional modes ``b_g = L A_g^-1 L' (Z'y - Z'X beta)`` (and ``|u_g|^2``) as a keyed DataFrame."""
     L = _lower(np.asarray(theta, dtype=float), q)
     gtype = groups.schema["g"].dataType
-    schema = T.StructType([T.StructField("g", gtype)] + [T.StructField(f"b{j}", T.DoubleType()) for j in range(q)])
+    schema = T.StructType([T.StructField("g", gtype)] + [T.StructField(f"b{j}", T.DoubleType()) for j in range(q)]
+                          + [T.StructField("usq", T.DoubleType())])
 
     def kernel(it):
         for pdf in it:
@@ -191,11 +246,98 @@ def blups(groups: DataFrame, theta, beta, q: int, p: int) -> DataFrame:
             out = {"g": pdf["g"]}
             for j in range(q):
                 out[f"b{j}"] = b[:, j]
+            out["usq"] = (u * u).sum(1)
             yield pd.DataFrame(out)
 
     return groups.mapInPandas(kernel, schema)
 
 
+def _eta(X: list, beta, Z: list, bcols: list):
+    eta = None
+    for b, x in zip(beta, X):
+        t = F.lit(float(b)) * x
+        eta = t if eta is None else eta + t
+    for z, bc in zip(Z, bcols):
+        eta = eta + F.coalesce(bc, F.lit(0.0)) * z
+    return eta
+
+
+def pirls(df: DataFrame, X: list, Z: list, y, w, g: str, theta, family: str, link: str, beta0,
+          b_table: DataFrame | None = None, tol: float = 1e-7, iterations: int = 30):
+    """Penalised IRLS at fixed ``theta`` (fixed effects updated inside, as in the fast Laplace fit).
+
+    Each iteration joins the current group modes (a table keyed by group),
+    forms GLM working weights and responses per row, and runs two
+    aggregations: per-group weighted statistics, and one global pass that also
+    yields the penalised deviance of the current iterate.  The penalised
+    system is then solved per group.  ``b_table``/``beta0`` warm-start the
+    iteration.  Returns ``(laplace_deviance, beta, b_table)``.
+    """
+    from cardinal.operators.glm import deviance_resid, link_fns, variance
+    from cardinal.functions.columns import ieee_div
+
+    _, linv, mu_eta = link_fns(link)
+    p, q = len(X), len(Z)
+    L = _lower(np.atleast_1d(np.asarray(theta, dtype=float)), q)
+    base = df.select(qcol(g).alias("_g"), *[x.alias(f"_x{i}") for i, x in enumerate(X)],
+                     *[z.alias(f"_z{j}") for j, z in enumerate(Z)], y.cast("double").alias("_y"),
+                     w.cast("double").alias("_w")).dropna()
+    xs = [F.col(f"_x{i}") for i in range(p)]
+    zs = [F.col(f"_z{j}") for j in range(q)]
+    beta = np.asarray(beta0, dtype=float)
+    prev = np.inf
+    logdet = 0.0
+    dev = np.inf
+    small = None
+    for _ in range(iterations):
+        if b_table is None:
+            cur = base.select("*", *[F.lit(0.0).alias(f"b{j}") for j in range(q)], F.lit(0.0).alias("usq"))
+        else:
+            side = b_table.withColumnRenamed("g", "_bg")
+            if small is None:  # one row per group: the bound holds for every iteration once measured
+                side, small = broadcast_if_bounded(side)
+            elif small:
+                side = F.broadcast(side)
+            cur = base.join(side, F.col("_g") == F.col("_bg"), "left")
+        st = cur.select("*", _eta(xs, beta, zs, [F.col(f"b{j}") for j in range(q)]).alias("_eta"))
+        st = st.select("*", linv(F.col("_eta")).alias("_mu"), mu_eta(F.col("_eta")).alias("_d"))
+        st = st.select("*", variance(family, F.col("_mu")).alias("_v"))
+        st = st.select(qcol("_g").alias("g"), *[x.alias(f"x{i}") for i, x in enumerate(xs)],
+                       *[z.alias(f"z{j}") for j, z in enumerate(zs)],
+                       ieee_div(F.col("_w") * F.col("_d") * F.col("_d"), F.col("_v")).alias("w"),
+                       (F.col("_eta") + ieee_div(F.col("_y") - F.col("_mu"), F.col("_d"))).alias("y"),
+                       (F.col("_w") * deviance_resid(family, F.col("_y"), F.col("_mu"))).alias("_dres"))
+        W = F.col("w")
+        gx = [F.col(f"x{i}") for i in range(p)]
+        # one global pass: deviance of the current iterate and X'WX, X'Wz for the next solve
+        tot = [F.sum(W * gx[i] * gx[j]).alias(f"xx{i}_{j}") for i in range(p) for j in range(i, p)]
+        tot += [F.sum(W * gx[i] * F.col("y")).alias(f"xy{i}") for i in range(p)] + [F.sum("_dres").alias("dev")]
+        r = st.agg(*tot).first()
+        usq = 0.0 if b_table is None else float(b_table.agg(F.sum("usq")).first()[0] or 0.0)
+        dev = float(r["dev"]) + usq
+        if abs(prev - dev) <= tol * (abs(dev) + 0.1):
+            break
+        prev = dev
+        XtX = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                XtX[i, j] = XtX[j, i] = r[f"xx{i}_{j}"]
+        Xty = np.array([r[f"xy{i}"] for i in range(p)])
+        gz = [F.col(f"z{j}") for j in range(q)]
+        gaggs = [F.sum(W * gz[a] * gz[b]).alias(f"zz{a}_{b}") for a in range(q) for b in range(a, q)]
+        gaggs += [F.sum(W * gz[a] * gx[i]).alias(f"zx{a}_{i}") for a in range(q) for i in range(p)]
+        gaggs += [F.sum(W * gz[a] * F.col("y")).alias(f"zy{a}") for a in range(q)]
+        groups = st.groupBy("g").agg(*gaggs).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            logdet, M, v, _c = _partials(groups, L, p, q)
+            beta = np.linalg.solve(XtX - M, Xty - v)
+            # the modes feed the next iteration: checkpoint to keep lineage short
+            b_table = reliable_checkpoint(blups(groups, L[np.tril_indices(q)], beta, q, p))
+        finally:
+            groups.unpersist()
+    return dev + logdet, beta, b_table
+
+
 @register_card("mixed_model", "Mixed model")
 @dataclass(frozen=True)
 class MixedModelCard(Card):
@@ -206,8 +348,14 @@ class MixedModelCard(Card):
     weights: str | None = None
     partition: str | None = None
     suffix: str = "hat"
+    distribution: str = "normal"
+    link: str | None = None
 
     def __post_init__(self):
+        from cardinal.operators.glm import CANONICAL, LINKS
+
+        if self.distribution not in CANONICAL or (self.link is not None and self.link not in LINKS):
+            raise ValueError("unknown distribution or link")
         object.__setattr__(self, "fixed", tuple(tuple(t) if isinstance(t, list) else t for t in self.fixed))
         object.__setattr__(self, "random", tuple(tuple(t) if isinstance(t, list) else t for t in self.random))
         if not self.target or not self.random or not self.group:
@@ -239,13 +387,15 @@ class MixedModelCard(Card):
         _, zspec = design(train, list(self.random))
         X, Z = design_columns(xspec), design_columns(zspec)
         w = qcol(self.weights) if self.weights else F.lit(1.0)
+        if self.link_name != "identity" or self.distribution != "normal":
+            return self._fit_glmm(train, X, Z, w, xspec, zspec)
         groups, glob = group_statistics(train, X, Z, qcol(self.target), w, self.group)
         groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
         p, q = len(X), len(Z)
         try:
             f = lambda th: profiled_deviance(groups, glob, th, p, q)[0]
             if q == 1:
-                theta, dev = golden(f, 0.0, 10.0)
+                theta, dev = brent(f, 0.0, 10.0, tol=1e-5)
             else:
                 lower = np.full(q * (q + 1) // 2, -np.inf)
                 lower[[i * (i + 1) // 2 + i for i in range(q)]] = 0.0  # diagonal of L is non-negative
@@ -261,6 +411,46 @@ class MixedModelCard(Card):
                                   "deviance": dev, "fixed": xspec, "random": zspec},
                          tables={"blups": table})
 
+    @property
+    def link_name(self) -> str:
+        from cardinal.operators.glm import CANONICAL
+
+        return self.link or CANONICAL[self.distribution]
+
+    def _fit_glmm(self, train, X, Z, w, xspec, zspec) -> CardState:
+        """Laplace fit: PIRLS at each theta, theta by golden section / Nelder-Mead."""
+        from cardinal.operators.glm import irls
+
+        q = len(Z)
+        start = irls(train, X, qcol(self.target), w, self.distribution, self.link_name)["coef"]
+        cache: dict = {}
+        warm = {"beta": start, "b": None}
+
+        def f(th):
+            th = np.atleast_1d(np.asarray(th, dtype=float))
+            key = tuple(np.round(th, 10))
+            if key not in cache:
+                dev, beta, table = pirls(train, X, Z, qcol(self.target), w, self.group, th, self.distribution,
+                                         self.link_name, warm["beta"], warm["b"])
+                cache[key] = (dev, beta, table)
+                warm["beta"], warm["b"] = beta, table  # warm start for the next theta
+            return cache[key][0]
+
+        if q == 1:
+            theta, _ = brent(f, 0.0, 5.0, tol=1e-2)
+        else:
+            lower = np.full(q * (q + 1) // 2, -np.inf)
+            lower[[i * (i + 1) // 2 + i for i in range(q)]] = 0.0
+            x0 = np.zeros(q * (q + 1) // 2)
+            x0[[i * (i + 1) // 2 + i for i in range(q)]] = 1.0
+            theta, _ = nelder_mead(f, x0, tol=1e-5, lower=lower)
+        theta = np.atleast_1d(np.asarray(theta, dtype=float))
+        f(theta)
+        dev, beta, table = cache[tuple(np.round(theta, 10))]
+        return CardState(content={"beta": np.asarray(beta).tolist(), "theta": np.asarray(theta).tolist(),
+                                  "sigma2": None, "deviance": dev, "fixed": xspec, "random": zspec},
+                         tables={"blups": table.drop("usq")})
+
     def transform(self, df, state, id_var=None):
         xspec, zspec = state.content["fixed"], state.content["random"]
         X, Z = design_columns(xspec), design_columns(zspec)
@@ -276,7 +466,10 @@ class MixedModelCard(Card):
         for j, z in enumerate(Z):
             t = F.col(f"b{j}") * z
             rand = t if rand is None else rand + t
-        pred = F.when(F.col("_mm_g").isNotNull(), fixed + rand)  # unseen group level: NULL
+        from cardinal.operators.glm import link_fns
+
+        linv = link_fns(self.link_name)[1]
+        pred = F.when(F.col("_mm_g").isNotNull(), linv(fixed + rand))  # unseen group level: NULL
         keep = [qcol(c) for c in df.columns if c != self.output]
         return joined.select(*keep, pred.cast("double").alias(self.output))
 

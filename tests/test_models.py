@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cardinal.functions.distances import DISTANCES, Dissimilarity
 from cardinal.operators import cluster, dimred, glm, interp
-from cardinal.plans.flow import CardGraph
+from cardinal.plans.flow import CardGraph, Node
 from tests.conftest import table
 
 
@@ -275,3 +275,50 @@ def test_quadratic_spline_matches_recurrence(spark):
     card = interp.InterpCard(input="x", targets=("y",), method="quadraticspline", partition="p")
     out = CardGraph([card]).train_evaljoin(df, "id").where("p = 2").orderBy("id").toPandas()
     assert np.allclose(out.y_hat, exp)
+
+
+def test_glmm_poisson_laplace_matches_dense(spark):
+    from cardinal.operators import mixed
+
+    rng = np.random.default_rng(11)
+    G, m = 10, 20
+    g = np.repeat(np.arange(G), m)
+    x = rng.normal(size=G * m)
+    y = rng.poisson(np.exp(0.5 + 0.4 * x + rng.normal(scale=0.6, size=G)[g])).astype(float)
+    df = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(g, x, y)], "g long, x double, y double")
+    X = np.column_stack([np.ones_like(x), x])
+    Z = np.zeros((G * m, G))
+    Z[np.arange(G * m), g] = 1.0
+    theta = 0.7
+    # dense penalised IRLS with fixed effects inside
+    beta, u = np.zeros(2), np.zeros(G)
+    for _ in range(100):
+        eta = X @ beta + theta * (Z @ u)
+        mu = np.exp(eta)
+        W, zeta = mu, eta + (y - mu) / mu
+        ZL = theta * Z
+        A = np.block([[ZL.T @ (W[:, None] * ZL) + np.eye(G), ZL.T @ (W[:, None] * X)],
+                      [X.T @ (W[:, None] * ZL), X.T @ (W[:, None] * X)]])
+        sol = np.linalg.solve(A, np.concatenate([ZL.T @ (W * zeta), X.T @ (W * zeta)]))
+        if np.allclose(sol, np.concatenate([u, beta]), atol=1e-12, rtol=1e-12):
+            break
+        u, beta = sol[:G], sol[G:]
+    mu = np.exp(X @ beta + theta * (Z @ u))
+    devres = 2 * (np.where(y > 0, y * np.log(np.where(y > 0, y, 1) / mu), 0) - (y - mu))
+    logdet = np.linalg.slogdet(theta ** 2 * Z.T @ (mu[:, None] * Z) + np.eye(G))[1]
+    dense = devres.sum() + u @ u + logdet
+    _, xspec = glm.design(df, [1, "x"])
+    _, zspec = glm.design(df, [1])
+    dev, b, table = mixed.pirls(df, glm.design_columns(xspec), glm.design_columns(zspec), F.col("y"), F.lit(1.0),
+                                "g", [theta], "poisson", "log", [0.0, 0.0])
+    assert abs(dev - dense) < 1e-5 * abs(dense) and np.allclose(b, beta, atol=1e-5)
+    card = mixed.MixedModelCard(target="y", fixed=(1, "x"), random=(1,), group="g", distribution="poisson")
+    node = Node(card)
+    out = CardGraph([node]).train_evaljoin(df).select("y", "y_hat").toPandas()
+    assert (out.y_hat > 0).all()
+    th = node.state.content["theta"][0]
+    best = node.state.content["deviance"]
+    for other in (th * 0.7, th * 1.4):  # the fitted theta minimises the Laplace deviance
+        d_other, _, _ = mixed.pirls(df, glm.design_columns(xspec), glm.design_columns(zspec), F.col("y"), F.lit(1.0),
+                                    "g", [other], "poisson", "log", [0.0, 0.0])
+        assert best <= d_other + 1e-6 * abs(d_other)

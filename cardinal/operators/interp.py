@@ -229,8 +229,10 @@ def asof_brackets(df: DataFrame, x: Column, knots: DataFrame, num_partitions: in
     cols = list(df.columns)
     rows = df.select("*", x.alias(_X), F.lit(1).alias(_KIND), F.lit(None).cast(knots.schema[_K].dataType).alias(_K))
     ks = knots.select(F.col("x").alias(_X), F.lit(0).alias(_KIND), F.col(_K))
-    allrows = rows.unionByName(ks, allowMissingColumns=True)
-    spec = [asc(_X), asc(_KIND)]
+    # The tiebreak splits a hot input value over several range partitions; order among
+    # equal inputs does not change any bracket (knots still sort first at equal input).
+    allrows = rows.unionByName(ks, allowMissingColumns=True).withColumn("_ip_tb", F.monotonically_increasing_id())
+    spec = [asc(_X), asc(_KIND), asc("_ip_tb")]
     staged = (
         allrows.repartitionByRange(P, *spec)
         .sortWithinPartitions(*spec)

@@ -322,3 +322,15 @@ def test_glmm_poisson_laplace_matches_dense(spark):
         d_other, _, _ = mixed.pirls(df, glm.design_columns(xspec), glm.design_columns(zspec), F.col("y"), F.lit(1.0),
                                     "g", [other], "poisson", "log", [0.0, 0.0])
         assert best <= d_other + 1e-6 * abs(d_other)
+
+
+def test_interp_hot_input_value_is_split(spark):
+    # a third of the rows share one input value; brackets must still be right with many partitions
+    rows = [(i, 5.0, None, 2) for i in range(300)]
+    rows += [(1000 + i, float(i), float(2 * i), 1) for i in range(0, 11)]
+    rows += [(2000 + i, i / 10.0, None, 2) for i in range(0, 100)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, p int")
+    card = interp.InterpCard(input="x", targets=("y",), method="linear", partition="p")
+    out = interp.interpolate(df, "x", ["y"], ["y_hat"], card.fit(df).tables["knots"])
+    got = out.where("p = 2").select("x", "y_hat").toPandas()
+    assert np.allclose(got.y_hat, 2 * got.x)

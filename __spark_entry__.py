@@ -730,7 +730,7 @@ def onehot_events(spark, d):
 
 
 ONEHOT_SQL = ("SELECT event_id, " + ", ".join(
-    f"CASE WHEN event_type = '{lv}' THEN 1.0 ELSE 0.0 END AS event_type_{lv}"
+    f"CASE WHEN event_type = '{lv}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS event_type_{lv}"
     for lv in ("click", "error", "purchase", "signup", "view")) + " FROM events")
 
 

@@ -84,14 +84,22 @@ def _unpack(pdf: pd.DataFrame, p: int, q: int):
 
 
 _PART = T.StructType([T.StructField("logdet", T.DoubleType()), T.StructField("M", T.ArrayType(T.DoubleType())),
-                      T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("c", T.DoubleType())])
+                      T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("c", T.DoubleType()),
+                      T.StructField("Q", T.ArrayType(T.DoubleType())), T.StructField("r", T.ArrayType(T.DoubleType())),
+                      T.StructField("s", T.DoubleType())])
 
 
-def _partials(groups: DataFrame, L: np.ndarray, p: int, q: int) -> tuple[float, np.ndarray, np.ndarray, float]:
-    """Sum over groups of log det A_g, X'Z L A^-1 L'Z'X, X'Z L A^-1 L'Z'y, y'Z L A^-1 L'Z'y."""
+def _partials(groups: DataFrame, L: np.ndarray, p: int, q: int, norms: bool = False):
+    """Sums over groups of log det A_g, X'Z L A^-1 L'Z'X, X'Z L A^-1 L'Z'y, y'Z L A^-1 L'Z'y.
+
+    With ``norms`` also the three sums that give ``sum_g |u_g|^2`` as a quadratic
+    form in beta (``u_g = A_g^-1 L'Z'(y - X beta)``), so the penalty needs no
+    extra pass over the modes.
+    """
 
     def kernel(it):
         logdet, M, v, c = 0.0, np.zeros((p, p)), np.zeros(p), 0.0
+        Q, r, s = np.zeros((p, p)), np.zeros(p), 0.0
         for pdf in it:
             if pdf.empty:
                 continue
@@ -106,11 +114,20 @@ def _partials(groups: DataFrame, L: np.ndarray, p: int, q: int) -> tuple[float,
             M += np.einsum("gqi,gqj->ij", LX, AX)
             v += np.einsum("gqi,gq->i", LX, Ay)
             c += float(np.einsum("gq,gq->", Ly, Ay))
-        yield pd.DataFrame({"logdet": [logdet], "M": [M.ravel().tolist()], "v": [v.tolist()], "c": [c]})
+            if norms:
+                Q += np.einsum("gqi,gqj->ij", AX, AX)
+                r += np.einsum("gqi,gq->i", AX, Ay)
+                s += float(np.einsum("gq,gq->", Ay, Ay))
+        yield pd.DataFrame({"logdet": [logdet], "M": [M.ravel().tolist()], "v": [v.tolist()], "c": [c],
+                            "Q": [Q.ravel().tolist()], "r": [r.tolist()], "s": [s]})
 
     rows = groups.mapInPandas(kernel, _PART).collect()  # one row per partition
-    return (sum(r["logdet"] for r in rows), sum(np.asarray(r["M"]) for r in rows).reshape(p, p),
-            sum(np.asarray(r["v"]) for r in rows), sum(r["c"] for r in rows))
+    out = (sum(r_["logdet"] for r_ in rows), sum(np.asarray(r_["M"]) for r_ in rows).reshape(p, p),
+           sum(np.asarray(r_["v"]) for r_ in rows), sum(r_["c"] for r_ in rows))
+    if norms:
+        return out + (sum(np.asarray(r_["Q"]) for r_ in rows).reshape(p, p), sum(np.asarray(r_["r"]) for r_ in rows),
+                      sum(r_["s"] for r_ in rows))
+    return out
 
 
 def profiled_deviance(groups, glob, theta, p, q) -> tuple[float, np.ndarray, float]:
@@ -289,6 +306,9 @@ def pirls(df: DataFrame, X: list, Z: list, y, w, g: str, theta, family: str, lin
     logdet = 0.0
     dev = np.inf
     small = None
+    norm = None
+    if b_table is not None:  # warm start: modes given, penalty measured once
+        norm = (np.zeros((p, p)), np.zeros(p), float(b_table.agg(F.sum("usq")).first()[0] or 0.0))
     for _ in range(iterations):
         if b_table is None:
             cur = base.select("*", *[F.lit(0.0).alias(f"b{j}") for j in range(q)], F.lit(0.0).alias("usq"))
@@ -313,7 +333,8 @@ def pirls(df: DataFrame, X: list, Z: list, y, w, g: str, theta, family: str, lin
         tot = [F.sum(W * gx[i] * gx[j]).alias(f"xx{i}_{j}") for i in range(p) for j in range(i, p)]
         tot += [F.sum(W * gx[i] * F.col("y")).alias(f"xy{i}") for i in range(p)] + [F.sum("_dres").alias("dev")]
         r = st.agg(*tot).first()
-        usq = 0.0 if b_table is None else float(b_table.agg(F.sum("usq")).first()[0] or 0.0)
+        # penalty |u|^2 of the current modes, from the last solve's sums (no pass over the modes)
+        usq = 0.0 if norm is None else float(norm[2] - 2 * beta @ norm[1] + beta @ norm[0] @ beta)
         dev = float(r["dev"]) + usq
         if abs(prev - dev) <= tol * (abs(dev) + 0.1):
             break
@@ -329,8 +350,9 @@ def pirls(df: DataFrame, X: list, Z: list, y, w, g: str, theta, family: str, lin
         gaggs += [F.sum(W * gz[a] * F.col("y")).alias(f"zy{a}") for a in range(q)]
         groups = st.groupBy("g").agg(*gaggs).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            logdet, M, v, _c = _partials(groups, L, p, q)
+            logdet, M, v, _c, Qn, rn, sn = _partials(groups, L, p, q, norms=True)
             beta = np.linalg.solve(XtX - M, Xty - v)
+            norm = (Qn, rn, sn)
             # the modes feed the next iteration: checkpoint to keep lineage short
             b_table = reliable_checkpoint(blups(groups, L[np.tril_indices(q)], beta, q, p))
         finally:

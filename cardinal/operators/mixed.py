@@ -444,7 +444,8 @@ class MixedModelCard(Card):
         from cardinal.operators.glm import irls
 
         q = len(Z)
-        start = irls(train, X, qcol(self.target), w, self.distribution, self.link_name)["coef"]
+        glm_fit = irls(train, X, qcol(self.target), w, self.distribution, self.link_name)
+        start = glm_fit["coef"]
         cache: dict = {}
         warm = {"beta": start, "b": None}
 
@@ -459,6 +460,16 @@ class MixedModelCard(Card):
             return cache[key][0]
 
         if q == 1:
+            # At theta = 0 the Laplace deviance is the plain GLM deviance (already known).  The
+            # one-dimensional search assumes a unimodal profile, so when a small theta does not
+            # improve on it the optimum is the boundary.
+            delta = 0.01
+            if f(delta) >= glm_fit["deviance"]:
+                zeros = train.select(qcol(self.group).alias("g")).where(F.col("g").isNotNull()).distinct()
+                table = reliable_checkpoint(zeros.select("g", *[F.lit(0.0).alias(f"b{j}") for j in range(q)]))
+                return CardState(content={"beta": list(start), "theta": [0.0], "sigma2": None,
+                                          "deviance": glm_fit["deviance"], "fixed": xspec, "random": zspec},
+                                 tables={"blups": table})
             theta, _ = brent(f, 0.0, 5.0, tol=1e-2)
         else:
             lower = np.full(q * (q + 1) // 2, -np.inf)

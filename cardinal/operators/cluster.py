@@ -1,9 +1,11 @@
 """Clustering cards (K1, K4) with any dissimilarity D1-D9.
 
-k-means is a distributed Lloyd loop: centres (k x d numbers) are literals in
-the assignment expression, and each iteration is one ``groupBy(label)``
-with partial aggregation of ``sum(w*x)`` and ``sum(w)``; only k x d numbers
-reach the driver.  The loop reads the same cached training rows every time,
+k-means is a distributed Lloyd loop: each iteration assigns points to the
+k centres in Arrow-batched numpy and emits per-partition partial sums of
+``w*x``, ``w`` and the objective; they are added on the driver when the
+partition count bounds them, else by a ``groupBy(label)``.  Only k x d
+numbers per partition move.  Prediction assigns labels with JVM-side column
+expressions (centres are literals).  The loop reads the same cached training rows every time,
 so its lineage does not grow.  Initial centres come from k-means++ on a
 bounded, seeded sample.
 
@@ -59,83 +61,14 @@ def _kmeanspp(X: np.ndarray, w: np.ndarray, k: int, dist: Dissimilarity, rng: np
     return np.asarray(centres)
 
 
-def kmeans_fit(df: DataFrame, inputs: list[str], k: int, *, weights: str | None = None,
-               dist: Dissimilarity = Dissimilarity(), iterations: int = 100, tol: float = 1e-6,
-               seed: int = 0) -> dict:
-    """Fit centres on all rows of ``df``; returns ``{"centres", "iterations", "objective"}``.
+# Largest number of partial-sum values (partitions x k x (d + 2)) collected per Lloyd
+# step; beyond it the partials are added by a Spark groupBy instead.
+MAX_PARTIAL_VALUES = 4_000_000
 
-    Features are held as one double array per row; each iteration computes
-    the k distances once per row (compact higher-order-function
-    expressions), then ``groupBy(label)`` sums ``w*x_i`` and ``w``.
-    """
-    xs = feature_columns(df, inputs)
-    d = len(xs)
-    w = qcol(weights).cast("double") if weights else F.lit(1.0)
-    wide = d > 8
-    if wide:
-        feats = df.select(F.array(*xs).alias("x"), w.alias("w")).where(
-            ~F.exists("x", lambda v: v.isNull()) & F.col("w").isNotNull())
-        comps = [F.col("x")[i] for i in range(d)]
-    else:
-        feats = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)], w.alias("w")).dropna()
-        comps = [F.col(f"x{i}") for i in range(d)]
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = feats.count()
-        if n < k:
-            raise ValueError(f"{n} rows for {k} clusters")
-        frac = min(1.0, SAMPLE_ROWS_PER_CLUSTER * k / n)
-        pts = feats.select(F.array(*comps).alias("p"), "w")
-        sample = pts.sample(fraction=frac, seed=seed).collect()
-        if len(sample) < k:
-            sample = pts.limit(SAMPLE_ROWS_PER_CLUSTER * k).collect()
-        S = np.asarray([r["p"] for r in sample], dtype=float)
-        Sw = np.asarray([r["w"] for r in sample], dtype=float)
-        rng = np.random.default_rng(seed)
-        centres = _kmeanspp(S, Sw, k, dist, rng)
-        prev_obj = np.inf
-        it = 0
-        for it in range(1, iterations + 1):
-            if wide:
-                rows = _wide_step(feats, centres, dist)
-            else:
-                dists = F.array(*[dist.column(comps, c) for c in centres])
-                staged = feats.select("*", dists.alias("_d")).select(
-                    *comps, "w", F.array_position("_d", F.array_min("_d")).cast("int").alias("label"),
-                    F.array_min("_d").alias("dmin"))
-                staged = staged.toDF(*[f"c{i}" for i in range(d)], "w", "label", "dmin")
-                x = [F.col(f"c{i}") for i in range(d)]
-                rows = (
-                    staged.groupBy("label")
-                    .agg(*[F.sum(F.col("w") * x[i]).alias(f"s{i}") for i in range(d)],
-                         F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("dmin")).alias("obj"))
-                    .collect()  # one row per cluster
-                )
-            new = centres.copy()
-            obj = 0.0
-            for r in rows:
-                j = r["label"] - 1
-                obj += r["obj"]
-                if r["sw"] > 0:
-                    new[j] = np.array([r[f"s{i}"] for i in range(d)]) / r["sw"]
-            centres = new
-            done = abs(prev_obj - obj) <= tol * max(1.0, abs(obj))
-            prev_obj = obj
-            if done:
-                break
-        return {"centres": centres, "iterations": it, "objective": float(prev_obj)}
-    finally:
-        feats.unpersist()
 
-
-def _wide_step(feats: DataFrame, centres: np.ndarray, dist: Dissimilarity) -> list:
-    """One Lloyd step for wide points: numpy distances per Arrow batch.
-
-    Each partition emits k partial rows (label, w*x sums, w, objective);
-    ``groupBy(label)`` adds them, so k rows reach the driver.
-    """
+def _partial_kernel(centres: np.ndarray, dist: Dissimilarity, per_label_rows: bool):
+    """Arrow-batch Lloyd step: nearest centres in numpy, per-partition partial sums."""
     import pandas as pd
-    from pyspark.sql import types as T
 
     k, d = centres.shape
 
@@ -149,23 +82,90 @@ def _wide_step(feats: DataFrame, centres: np.ndarray, dist: Dissimilarity) -> li
             X = np.stack(pdf["x"].to_numpy()).astype(float)
             w = pdf["w"].to_numpy(dtype=float)
             D = np.column_stack([dist.numpy(X, c) for c in centres])
-            lab = D.argmin(1)
+            lab = D.argmin(1)  # first minimum on ties, as the column expression
             np.add.at(sums, lab, X * w[:, None])
             sw += np.bincount(lab, weights=w, minlength=k)
             obj += np.bincount(lab, weights=w * D[np.arange(len(lab)), lab], minlength=k)
-        keep = sw > 0
-        yield pd.DataFrame({"label": np.arange(1, k + 1)[keep], "s": [r.tolist() for r in sums[keep]],
-                            "sw": sw[keep], "obj": obj[keep]})
+        if per_label_rows:
+            keep = sw > 0
+            yield pd.DataFrame({"label": np.arange(1, k + 1)[keep], "s": [r.tolist() for r in sums[keep]],
+                                "sw": sw[keep], "obj": obj[keep]})
+        else:
+            yield pd.DataFrame({"s": [sums.ravel().tolist()], "sw": [sw.tolist()], "obj": [obj.tolist()]})
+
+    return kernel
+
+
+def lloyd_step(feats: DataFrame, centres: np.ndarray, dist: Dissimilarity, partitions: int):
+    """One Lloyd step over ``(x array, w)`` rows; returns (sums k x d, weights k, objective k).
 
+    Each partition emits its k partial sums.  When partitions x k x (d + 2)
+    values are provably few they are added on the driver (one stage, no
+    shuffle); otherwise a ``groupBy(label)`` adds them on the executors.
+    """
+    from pyspark.sql import types as T
+
+    k, d = centres.shape
+    if partitions * k * (d + 2) <= MAX_PARTIAL_VALUES:
+        schema = "s array<double>, sw array<double>, obj array<double>"
+        rows = feats.select("x", "w").mapInPandas(_partial_kernel(centres, dist, False), schema).collect()
+        sums = sum(np.asarray(r["s"]).reshape(k, d) for r in rows)
+        return sums, sum(np.asarray(r["sw"]) for r in rows), sum(np.asarray(r["obj"]) for r in rows)
     schema = T.StructType([T.StructField("label", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
                            T.StructField("sw", T.DoubleType()), T.StructField("obj", T.DoubleType())])
-    part = feats.select("x", "w").mapInPandas(kernel, schema)
-    return (
+    part = feats.select("x", "w").mapInPandas(_partial_kernel(centres, dist, True), schema)
+    rows = (
         part.groupBy("label")
         .agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(d)], F.sum("sw").alias("sw"),
              F.sum("obj").alias("obj"))
         .collect()  # one row per cluster
     )
+    sums, sw, obj = np.zeros((k, d)), np.zeros(k), np.zeros(k)
+    for r in rows:
+        j = r["label"] - 1
+        sums[j] = [r[f"s{i}"] for i in range(d)]
+        sw[j], obj[j] = r["sw"], r["obj"]
+    return sums, sw, obj
+
+
+def kmeans_fit(df: DataFrame, inputs: list[str], k: int, *, weights: str | None = None,
+               dist: Dissimilarity = Dissimilarity(), iterations: int = 100, tol: float = 1e-6,
+               seed: int = 0) -> dict:
+    """Fit centres on all rows of ``df``; returns ``{"centres", "iterations", "objective"}``.
+
+    Points are held as one double array per row and persisted once; each
+    iteration is one Lloyd step (:func:`lloyd_step`).
+    """
+    xs = feature_columns(df, inputs)
+    w = qcol(weights).cast("double") if weights else F.lit(1.0)
+    feats = df.select(F.array(*xs).alias("x"), w.alias("w")).where(
+        ~F.exists("x", lambda v: v.isNull()) & F.col("w").isNotNull())
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = feats.count()
+        if n < k:
+            raise ValueError(f"{n} rows for {k} clusters")
+        partitions = feats.rdd.getNumPartitions()
+        frac = min(1.0, SAMPLE_ROWS_PER_CLUSTER * k / n)
+        sample = feats.sample(fraction=frac, seed=seed).collect()
+        if len(sample) < k:
+            sample = feats.limit(SAMPLE_ROWS_PER_CLUSTER * k).collect()
+        S = np.asarray([r["x"] for r in sample], dtype=float)
+        Sw = np.asarray([r["w"] for r in sample], dtype=float)
+        centres = _kmeanspp(S, Sw, k, dist, np.random.default_rng(seed))
+        prev_obj = np.inf
+        it = 0
+        for it in range(1, iterations + 1):
+            sums, sw, objs = lloyd_step(feats, centres, dist, partitions)
+            obj = float(objs.sum())
+            centres = np.where(sw[:, None] > 0, sums / np.where(sw > 0, sw, 1.0)[:, None], centres)
+            done = abs(prev_obj - obj) <= tol * max(1.0, abs(obj))
+            prev_obj = obj
+            if done:
+                break
+        return {"centres": centres, "iterations": it, "objective": float(prev_obj)}
+    finally:
+        feats.unpersist()
 
 
 @dataclass(frozen=True)

@@ -334,3 +334,19 @@ def test_interp_hot_input_value_is_split(spark):
     out = interp.interpolate(df, "x", ["y"], ["y_hat"], card.fit(df).tables["knots"])
     got = out.where("p = 2").select("x", "y_hat").toPandas()
     assert np.allclose(got.y_hat, 2 * got.x)
+
+
+def test_lloyd_step_paths_agree(spark, monkeypatch):
+    emb = table(spark, "embeddings")
+    feats = emb.select(F.col("embedding").cast("array<double>").alias("x"), F.lit(1.0).alias("w")).repartition(4)
+    C = np.random.default_rng(0).normal(size=(5, 64))
+    dist = Dissimilarity("cityblock")
+    a = cluster.lloyd_step(feats, C, dist, 4)
+    monkeypatch.setattr(cluster, "MAX_PARTIAL_VALUES", 0)
+    b = cluster.lloyd_step(feats, C, dist, 4)
+    X = np.asarray([r[0] for r in emb.select("embedding").collect()], dtype=float)
+    D = np.column_stack([dist.numpy(X, c) for c in C])
+    lab = D.argmin(1)
+    exp = np.array([X[lab == j].sum(0) for j in range(5)])
+    for got in (a, b):
+        assert np.allclose(got[0], exp) and np.allclose(got[1], np.bincount(lab, minlength=5))

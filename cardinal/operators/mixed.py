@@ -121,12 +121,13 @@ def _partials(groups: DataFrame, L: np.ndarray, p: int, q: int, norms: bool = Fa
         yield pd.DataFrame({"logdet": [logdet], "M": [M.ravel().tolist()], "v": [v.tolist()], "c": [c],
                             "Q": [Q.ravel().tolist()], "r": [r.tolist()], "s": [s]})
 
-    rows = groups.mapInPandas(kernel, _PART).collect()  # one row per partition
-    out = (sum(r_["logdet"] for r_ in rows), sum(np.asarray(r_["M"]) for r_ in rows).reshape(p, p),
-           sum(np.asarray(r_["v"]) for r_ in rows), sum(r_["c"] for r_ in rows))
+    from cardinal.functions.partials import sum_partials
+
+    arr, sc = sum_partials(groups.mapInPandas(kernel, _PART), groups.rdd.getNumPartitions(),
+                           {"M": p * p, "v": p, "Q": p * p, "r": p}, ["logdet", "c", "s"])
+    out = (sc["logdet"], arr["M"].reshape(p, p), arr["v"], sc["c"])
     if norms:
-        return out + (sum(np.asarray(r_["Q"]) for r_ in rows).reshape(p, p), sum(np.asarray(r_["r"]) for r_ in rows),
-                      sum(r_["s"] for r_ in rows))
+        return out + (arr["Q"].reshape(p, p), arr["r"], sc["s"])
     return out
 
 

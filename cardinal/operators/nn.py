@@ -305,6 +305,9 @@ def schedule_value(name: str, t: int, p: dict) -> float:
 
 # -- Spark jobs ----------------------------------------------------------------------
 
+# Largest number of partial values (partitions x parameters) added on the driver per step.
+MAX_PARTIAL_VALUES = 4_000_000
+
 _GRAD_SCHEMA = T.StructType([T.StructField("loss", T.DoubleType()), T.StructField("n", T.LongType()),
                              T.StructField("g", T.ArrayType(T.DoubleType()))])
 
@@ -329,11 +332,16 @@ def _batch_gradient(data: DataFrame, params, acts, loss: str, need_grad: bool =
                 gsum += flatten(grads)
         yield pd.DataFrame({"loss": [total], "n": [n], "g": [gsum.tolist() if need_grad else []]})
 
-    rows = data.select("x", "y").mapInPandas(kernel, _GRAD_SCHEMA).collect()  # one row per partition
-    total = sum(r["loss"] for r in rows)
-    n = sum(r["n"] for r in rows)
-    g = np.sum([np.asarray(r["g"]) for r in rows if r["n"]], axis=0) if need_grad and n else None
-    return total, n, g
+    from cardinal.functions.partials import sum_partials
+
+    part = data.select("x", "y").mapInPandas(kernel, _GRAD_SCHEMA)
+    if need_grad:
+        part = part.where(F.col("n") > 0)
+    arrays = {"g": size} if need_grad else {}
+    arr, sc = sum_partials(part, data.rdd.getNumPartitions(), arrays, ["loss", "n"],
+                           max_values=MAX_PARTIAL_VALUES)
+    n = int(sc["n"])
+    return sc["loss"], n, (arr["g"] if need_grad and n else None)
 
 
 @dataclass

@@ -85,3 +85,15 @@ def test_activation_expressions_match_numpy(spark):
     for name, (f, _) in nn.ACTIVATIONS.items():
         got = [r[0] for r in df.select(nn.activation_expr(name, F.col("z"))).collect()]
         assert np.allclose(got, f(np.array(xs)), atol=1e-12), name
+
+
+def test_gradient_reduction_fallback(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(120, 2))
+    Y = X @ np.array([[0.5], [1.0]])
+    df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(X, Y)], "x array<double>, y array<double>")
+    params = nn.init_params([2, 3, 1], 4)
+    a = nn._batch_gradient(df.repartition(3), params, ["tanh", "identity"], "mse")
+    monkeypatch.setattr(nn, "MAX_PARTIAL_VALUES", 0)
+    b = nn._batch_gradient(df.repartition(3), params, ["tanh", "identity"], "mse")
+    assert a[1] == b[1] == 120 and abs(a[0] - b[0]) < 1e-9 and np.allclose(a[2], b[2])

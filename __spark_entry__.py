@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardinal.functions.columns import qcol
 from cardinal.operators import ranking
 from cardinal.operators.filters import IntervalFilter, ListFilter, select
 from cardinal.operators.gaussian import GaussianEncodingCard

@@ -108,3 +108,18 @@ def test_replace_and_delete_table(spark):
     tables.delete_table(spark, "region_copy")
     tables.delete_table(spark, "small", virtual=True)
     assert not spark.catalog.tableExists("region_copy")
+
+
+def test_csv_skip_leading_lines(spark, tmp_path):
+    p = tmp_path / "skip.csv"
+    p.write_text("# exported file\n# second comment\nx,y\n1,a\n2,b\n")
+    df = readers.load_files(spark, [str(p)], skip=2)
+    assert sorted((r.x, r.y) for r in df.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_nullstr_list_and_normalize(spark, tmp_path):
+    p = tmp_path / "n.csv"
+    p.write_text("Col A,pm2.5\n1,NA\n2,-\n3,7\n")
+    df = readers.load_files(spark, [str(p)], nullstr=["NA", "-"], normalize_names=True)
+    assert df.columns == ["col_a", "pm2_5"]
+    assert sorted((r.col_a, r.pm2_5) for r in df.collect()) == [(1, None), (2, None), (3, "7")]

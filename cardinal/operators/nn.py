@@ -82,8 +82,26 @@ ACTIVATIONS = {
 }
 
 
+# Plug-in registries (U5, N4): user activations and input transforms.
+_USER_EXPR: dict = {}
+TRANSFORMS: dict = {"identity": lambda c: c}
+
+
+def register_activation(name: str, f, df, expr) -> None:
+    """Add an activation: numpy ``f`` and derivative ``df`` for training, Column ``expr`` for prediction."""
+    ACTIVATIONS[name] = (f, df)
+    _USER_EXPR[name] = expr
+
+
+def register_transform(name: str, fn) -> None:
+    """Add an input column transform (Column -> Column), applied before assembly."""
+    TRANSFORMS[name] = fn
+
+
 def activation_expr(name: str, z):
     """The same activations as Spark column expressions (for prediction)."""
+    if name in _USER_EXPR:
+        return _USER_EXPR[name](z)
     one, zero = F.lit(1.0), F.lit(0.0)
     sig = lambda v: one / (one + F.exp(-v))
     softplus = lambda v: F.greatest(v, zero) + F.log1p(F.exp(-F.abs(v)))
@@ -156,20 +174,23 @@ def unflatten(vec, like):
     return out
 
 
-def forward(params, acts, X):
+def forward(params, acts, X, table: dict | None = None):
+    """Layer outputs and pre-activations; ``table`` maps activation names to (f, f')."""
+    table = table or ACTIVATIONS
     hs, zs = [X], []
     h = X
     for li in range(len(acts)):
         z = h @ params[2 * li] + params[2 * li + 1]
         zs.append(z)
-        h = ACTIVATIONS[acts[li]][0](z)
+        h = table[acts[li]][0](z)
         hs.append(h)
     return hs, zs
 
 
-def loss_and_grad(params, acts, X, Y, loss: str, need_grad: bool = True):
+def loss_and_grad(params, acts, X, Y, loss: str, need_grad: bool = True, table: dict | None = None):
     """Summed loss over rows and gradient of that sum."""
-    hs, zs = forward(params, acts, X)
+    table = table or ACTIVATIONS
+    hs, zs = forward(params, acts, X, table)
     out = hs[-1]
     if loss == "mse":
         diff = out - Y
@@ -187,7 +208,7 @@ def loss_and_grad(params, acts, X, Y, loss: str, need_grad: bool = True):
         return total, None
     grads = [None] * len(params)
     for li in reversed(range(len(acts))):
-        g = g * ACTIVATIONS[acts[li]][1](zs[li])
+        g = g * table[acts[li]][1](zs[li])
         grads[2 * li] = hs[li].T @ g
         grads[2 * li + 1] = g.sum(0)
         g = g @ params[2 * li].T
@@ -316,6 +337,7 @@ def _batch_gradient(data: DataFrame, params, acts, loss: str, need_grad: bool =
     """One job: summed loss, row count and summed gradient over ``data``."""
     flat_like = [p.shape for p in params]
     size = sum(int(np.prod(s)) for s in flat_like)
+    table = {a: ACTIVATIONS[a] for a in acts}  # shipped with the closure (user activations included)
 
     def kernel(it):
         total, n = 0.0, 0
@@ -325,7 +347,7 @@ def _batch_gradient(data: DataFrame, params, acts, loss: str, need_grad: bool =
                 continue
             X = np.stack(pdf["x"].to_numpy()).astype(float)
             Y = np.stack(pdf["y"].to_numpy()).astype(float)
-            lval, grads = loss_and_grad(params, acts, X, Y, loss, need_grad)
+            lval, grads = loss_and_grad(params, acts, X, Y, loss, need_grad, table)
             total += lval
             n += len(pdf)
             if need_grad:
@@ -358,9 +380,15 @@ class Training:
     patience: int | None = None
 
 
+def input_columns(inputs: Sequence[str], transforms: dict | None = None) -> list:
+    """Input columns in config order, each through its registered transform (identity by default)."""
+    transforms = transforms or {}
+    return [TRANSFORMS[transforms.get(c, "identity")](qcol(c).cast("double")) for c in inputs]
+
+
 def assemble_inputs(df: DataFrame, inputs: Sequence[str], targets: Sequence[str], target_levels: dict,
-                    with_targets: bool = True) -> DataFrame:
-    x = F.array(*[qcol(c).cast("double") for c in inputs]).alias("x")
+                    with_targets: bool = True, transforms: dict | None = None) -> DataFrame:
+    x = F.array(*input_columns(inputs, transforms)).alias("x")
     cols = [x]
     if with_targets:
         parts = []
@@ -385,13 +413,20 @@ class DenseNetCard(Card):
     training: Training = field(default_factory=Training)
     partition: str | None = None
     suffix: str = "hat"
+    transforms: tuple = ()  # (input column, transform name) pairs
     streamable = True
 
     def __post_init__(self):
         for f in ("inputs", "targets", "order_by"):
             object.__setattr__(self, f, tuple(getattr(self, f)))
+        object.__setattr__(self, "transforms", tuple(tuple(t) for t in self.transforms))
         if not self.inputs or not self.targets or not self.order_by:
             raise ValueError("network needs order_by, inputs and targets")
+        for col, name in self.transforms:
+            if col not in self.inputs:
+                raise ValueError(f"transform on {col!r}: only numeric inputs take transforms, not one-hot targets")
+            if name not in TRANSFORMS:
+                raise ValueError(f"unknown transform {name!r}; valid: {', '.join(TRANSFORMS)}")
         for layer in self.layers:
             if layer.get("sigma", "identity") not in ACTIVATIONS:
                 raise ValueError(f"unknown activation {layer.get('sigma')!r}")
@@ -421,7 +456,7 @@ class DenseNetCard(Card):
             params = init_params(sizes, tr.seed)
             start_epoch, history = 0, []
         key = [qcol(c) for c in (id_var and [id_var] or self.order_by)]
-        assembled = assemble_inputs(df, self.inputs, self.targets, cats)
+        assembled = assemble_inputs(df, self.inputs, self.targets, cats, transforms=dict(self.transforms))
         train = split_rows(df, self.partition, 1).select(
             *assembled, F.pmod(F.xxhash64(*key, F.lit(tr.seed)), F.lit(tr.batches)).alias("_nb")
         ).dropna().persist(StorageLevel.MEMORY_AND_DISK)
@@ -470,7 +505,7 @@ class DenseNetCard(Card):
         cats = state.content["levels"]
         outs = self.outputs()
         cols = [c for c in df.columns if c not in outs]
-        h = [qcol(c).cast("double") for c in self.inputs]
+        h = input_columns(self.inputs, dict(self.transforms))
         cur = df
         for li, act in enumerate(acts):
             W, b = params[2 * li], params[2 * li + 1]

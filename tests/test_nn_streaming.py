@@ -97,3 +97,20 @@ def test_gradient_reduction_fallback(spark, monkeypatch):
     monkeypatch.setattr(nn, "MAX_PARTIAL_VALUES", 0)
     b = nn._batch_gradient(df.repartition(3), params, ["tanh", "identity"], "mse")
     assert a[1] == b[1] == 120 and abs(a[0] - b[0]) < 1e-9 and np.allclose(a[2], b[2])
+
+
+def test_registered_activation_and_transform(spark):
+    nn.register_activation("square", lambda x: x * x, lambda x: 2 * x, lambda z: z * z)
+    nn.register_transform("scaled", lambda c: c * 10.0)
+    li = table(spark, "lineitem").withColumn("rid", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"))
+    card = nn.DenseNetCard(inputs=("l_discount", "l_tax"), targets=("l_quantity",), order_by=("rid",),
+                           layers=({"features": 3, "sigma": "square"}, {"sigma": "identity"}),
+                           training=nn.Training(eta=0.01, epochs=1, seed=2), transforms=(("l_tax", "scaled"),))
+    node = Node(card)
+    out = CardGraph([node]).train_evaljoin(li, "rid").select("l_discount", "l_tax", "l_quantity_hat").limit(50).toPandas()
+    params = [np.asarray(p) for p in node.state.content["params"]]
+    X = np.column_stack([out.l_discount, out.l_tax * 10.0])
+    exp = nn.forward(params, ["square", "identity"], X)[0][-1][:, 0]
+    assert np.allclose(out.l_quantity_hat, exp)
+    with pytest.raises(ValueError):
+        nn.DenseNetCard(inputs=("a",), targets=("b",), order_by=("a",), transforms=(("b", "identity"),))

@@ -10,7 +10,7 @@ least-squares formulation (Bates et al. 2015):
 * each deviance evaluation is one ``mapInPandas`` pass over the group table
   (numpy per group, q x q Cholesky) returning p x p and p sized partial sums;
 * the relative covariance factor ``theta`` (q(q+1)/2 numbers) is optimised on
-  the driver by Nelder-Mead;
+  the driver: Brent's method for one random term, Nelder-Mead otherwise;
 * the conditional modes ``b_g`` (BLUPs) stay a DataFrame keyed by the group;
   prediction joins them back (broadcast only under a measured row bound).
 

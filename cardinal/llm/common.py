@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cardinal.session import checkpoint_dir, reliable_checkpoint
 
 __all__ = ["arrow_map", "checkpoint_dir", "components", "fold", "free_name", "group_key", "reliable_checkpoint",
-           "seeded_ranks", "table"]
+           "seeded_ranks", "shuffle_key", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,3 +108,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds:
         raise RuntimeError("components did not settle")
     return (cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+
+
+def shuffle_key(seed: int, *parts: Column) -> Column:
+    """A uniform non-negative 63-bit number of the parts and the seed: the first 60 bits of an MD5, times 8."""
+    said = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.shiftleft(F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long"), 3)

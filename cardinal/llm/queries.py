@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardinal.llm import bpe_counts, packing
+from cardinal.llm import bpe_counts, mixing, packing, sharding
 from cardinal.llm.common import table
 
 
@@ -16,6 +16,15 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its block's window and slot, for weights rows ** 0.7 in 1000 units, blocks of 8 rows."""
+    return mixing.schedule(table(spark, sf_dir, "documents")).drop("_g", "_key", "_rank")
+
+
+def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -25,6 +34,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pfair_mixing": op5_pfair_mixing,
+    "op6_stratified_shards": op6_stratified_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardinal.llm import bpe_counts, mixing, packing, sharding
-from cardinal.llm.common import table
+from cardinal.llm import bpe_counts, language, mixing, near_dup, packing, quality, sharding
+from cardinal.llm.common import fold, table
 
 
 def word_bpe() -> str:
@@ -16,6 +17,28 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
+    """Fitted on labelled documents outside the held-out fold."""
+    seen = docs.where(fold() != 0).select(F.col("doc_id").alias("_doc"), "text")
+    return quality.fit(seen.join(labels.select("doc_id", "quality"), F.col("_doc") == F.col("doc_id")))
+
+
+def op2_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_texts(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, fold() != 0))
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its block's window and slot, for weights rows ** 0.7 in 1000 units, blocks of 8 rows."""
     return mixing.schedule(table(spark, sf_dir, "documents")).drop("_g", "_key", "_rank")
@@ -34,10 +57,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minmax_hash": op1_minmax_hash,
+    "op2_byte_convolution": op2_byte_convolution,
+    "op3_subword_softmax": op3_subword_softmax,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_stratified_shards": op6_stratified_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.sh = q.sh AND p.doc_id <> q.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), r(node, comp) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node
+), m AS (
+  SELECT node, min(comp) AS component_id FROM r GROUP BY node
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN m ON node = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_minmax_hash": NEAR_DUP_SQL}

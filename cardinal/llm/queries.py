@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardinal.llm import bpe_counts, language, mixing, near_dup, packing, quality, sharding
+from cardinal.llm import bpe_counts, grid_join, impact_search, language, mixing, near_dup, packing, quality, sharding
 from cardinal.llm.common import fold, table
 
 
@@ -39,6 +39,10 @@ def op3_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its block's window and slot, for weights rows ** 0.7 in 1000 units, blocks of 8 rows."""
     return mixing.schedule(table(spark, sf_dir, "documents")).drop("_g", "_key", "_rank")
@@ -52,6 +56,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op8_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -60,9 +68,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_hash": op1_minmax_hash,
     "op2_byte_convolution": op2_byte_convolution,
     "op3_subword_softmax": op3_subword_softmax,
+    "op4_impact_search": op4_impact_search,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_stratified_shards": op6_stratified_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_grid_order_join": op8_grid_order_join,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -91,4 +101,44 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM documents JOIN m ON node = doc_id LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_minmax_hash": NEAR_DUP_SQL}
+SEARCH_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+VECTOR_LINK_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), e AS (
+  SELECT p.vec_id AS a, q.vec_id AS b
+  FROM v p JOIN v q ON p.label = q.label AND len(p.e) = len(q.e) AND p.vec_id <> q.vec_id
+  WHERE list_cosine_similarity(p.e, q.e) >= 0.93
+), r(node, comp) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node
+), m AS (
+  SELECT node, min(comp) AS component_id FROM r GROUP BY node
+), n AS (
+  SELECT a, count(*) AS n FROM e GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_minmax_hash": NEAR_DUP_SQL,
+    "op4_impact_search": SEARCH_SQL,
+    "op8_grid_order_join": VECTOR_LINK_SQL,
+}

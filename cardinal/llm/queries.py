@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardinal.llm import bpe_counts, grid_join, impact_search, language, mixing, near_dup, packing, quality, sharding
+from cardinal.llm import bpe_counts, grid_join, impact_search, language, mixing, near_dup, ngram_lm, packing, quality, sharding
 from cardinal.llm.common import fold, table
 
 
@@ -60,6 +60,11 @@ def op8_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op9_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.train_and_score(table(spark, sf_dir, "documents"), fold() != 1)
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_stratified_shards": op6_stratified_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_grid_order_join": op8_grid_order_join,
+    "op9_elias_fano_lm": op9_elias_fano_lm,
     "op10_token_counts": op10_token_counts,
 }
 

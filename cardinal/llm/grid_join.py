@@ -19,8 +19,8 @@ blocks, never the pairs.  Components come from those reports.
 
 Cases: rows with a null label, and vectors that are null, empty, zero, or hold
 null or non-finite components, link with nothing (their component is their own
-id); repeated ids are separate rows of one node; rows with a null id are
-counted as link partners and have a null component unless linked; extra columns are ignored.
+id); rows that repeat an id are separate vectors; rows with a null id are
+counted as link partners and never kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -225,4 +225,4 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     linked = usable.where("ok").select("id", F.xxhash64("g", "v").alias("c")).join(result, "c").select("id", "n_links", "component_id")
     alone = usable.where("not ok").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id",
-                                      (F.col("id") == F.col("component_id")).alias("kept"))
+                                      F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -22,7 +22,7 @@ probability 7e-5, of 0.9 with 1e-10).
 
 Cases: a null or empty text has 0 shingles and links with nothing; an id that
 occurs in several rows is one node; rows whose id is null take part only
-through the class of their text; no rows give no rows; extra columns are
+through the class of their text and are never kept; no rows give no rows; extra columns are
 ignored (`keep_one` keeps them).
 """
 
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     linked = full.drop("bands").join(named, own).select("id", "n_shingles", "component_id")
     alone = seen.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id",
-                                      (F.col("id") == F.col("component_id")).alias("kept"))
+                                      F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",

@@ -271,6 +271,8 @@ _LEVELS: dict = {}
 
 def by_shard(shard: np.ndarray):
     """(shard, positions) of each shard that occurs."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     seen, at = np.unique(shard[order], return_index=True)
     for s, part in zip(seen, np.split(order, at[1:]), strict=True):

@@ -17,6 +17,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out(remainder: int):
+    return F.coalesce(fold() == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -30,13 +34,13 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
 def op2_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_texts(docs, quality_model(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out(0), "score", "predicted")
 
 
 def op3_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs, fold() != 0))
-    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", held_out(0), "lang_pred", "score", "rejected")
 
 
 def op4_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +66,7 @@ def op8_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ngram_lm.train_and_score(table(spark, sf_dir, "documents"), fold() != 1)
-    return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out(1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 k-means is a distributed Lloyd loop: each iteration assigns points to the
 k centres in Arrow-batched numpy and emits per-partition partial sums of
-``w*x``, ``w`` and the objective; they are added on the driver when the
-partition count bounds them, else by a ``groupBy(label)``.  Only k x d
-numbers per partition move.  Prediction assigns labels with JVM-side column
-expressions (centres are literals).  The loop reads the same cached training rows every time,
-so its lineage does not grow.  Initial centres come from k-means++ on a
-bounded, seeded sample.
+``w*x``, ``w`` and the objective (k x d numbers per partition).  Prediction
+assigns labels with JVM-side column expressions (centres are literals).  The
+loop reads the same cached training rows every time, so its lineage does not
+grow.  Initial centres come from k-means|| over all rows: rounds of draws in
+proportion to a row's cost, the few drawn rows weighted by the rows nearest to
+them and reduced to k by k-means++.
 
 Not built (see README): DBSCAN and affinity propagation.  Both need the
 neighbour pairs of every point - all pairs inside dense regions, O(N^2) for
@@ -25,26 +25,28 @@ from pyspark.sql import functions as F
 
 from cardinal.functions.columns import qcol
 from cardinal.functions.distances import Dissimilarity, argmin_label
+from cardinal.functions.partials import sum_partials
 from cardinal.operators.filters import training_rows
 from cardinal.plans.card import Card, CardState, OutputVariables, SourceVariables, check_fields, method_of, register_card
 
-SAMPLE_ROWS_PER_CLUSTER = 2000
+SEED_ROUNDS = 2
+OVERSAMPLE = 2
 
 
 def feature_columns(df: DataFrame, inputs: list[str]) -> list[Column]:
-    """Numeric feature columns; a single array column expands to its elements."""
+    """Numeric feature columns; a single array column expands to its elements (all arrays equally long)."""
     if len(inputs) == 1 and df.schema[inputs[0]].dataType.typeName() == "array":
-        n = df.where(qcol(inputs[0]).isNotNull()).select(F.size(qcol(inputs[0]))).first()[0]
-        return [qcol(inputs[0])[i].cast("double") for i in range(n)]
+        sizes = df.where(qcol(inputs[0]).isNotNull()).agg(F.min(F.size(qcol(inputs[0]))), F.max(F.size(qcol(inputs[0])))).first()
+        if sizes[0] != sizes[1]:
+            raise ValueError(f"{inputs[0]!r} holds arrays of {sizes[0]} to {sizes[1]} elements")
+        return [qcol(inputs[0])[i].cast("double") for i in range(sizes[0] or 0)]
     return [qcol(c).cast("double") for c in inputs]
 
 
 def assign(xs: list[Column], centres: np.ndarray, dist: Dissimilarity) -> Column:
     """1-based nearest-centre label, as one expression."""
-    if len(xs) > 8:
-        arr = F.array(*[x.cast("double") for x in xs])
-        return argmin_label([dist.array_column(arr, c) for c in centres])
-    return argmin_label([dist.column(xs, c) for c in centres])
+    arr = F.array(*[x.cast("double") for x in xs])
+    return argmin_label([dist.array_column(arr, c) for c in centres])
 
 
 def _kmeanspp(X: np.ndarray, w: np.ndarray, k: int, dist: Dissimilarity, rng: np.random.Generator) -> np.ndarray:
@@ -61,71 +63,70 @@ def _kmeanspp(X: np.ndarray, w: np.ndarray, k: int, dist: Dissimilarity, rng: np
     return np.asarray(centres)
 
 
-# Largest number of partial-sum values (partitions x k x (d + 2)) collected per Lloyd
-# step; beyond it the partials are added by a Spark groupBy instead.
-MAX_PARTIAL_VALUES = 4_000_000
+def nearest(X: np.ndarray, centres: np.ndarray, dist: Dissimilarity) -> tuple[np.ndarray, np.ndarray]:
+    """(index, cost) of the nearest centre; the first minimum on ties, as the column expression."""
+    D = np.column_stack([dist.numpy(X, c) for c in centres])
+    lab = D.argmin(1)
+    return lab, D[np.arange(len(lab)), lab]
 
 
-def _partial_kernel(centres: np.ndarray, dist: Dissimilarity, per_label_rows: bool):
-    """Arrow-batch Lloyd step: nearest centres in numpy, per-partition partial sums."""
+def _points(pdf) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack(pdf["x"].to_numpy()).astype(float), pdf["w"].to_numpy(dtype=float)
+
+
+def lloyd_step(feats: DataFrame, centres: np.ndarray, dist: Dissimilarity, partitions: int):
+    """One Lloyd step over ``(x array, w)`` rows; returns (sums k x d, weights k, objective k)."""
     import pandas as pd
 
     k, d = centres.shape
 
     def kernel(it):
-        sums = np.zeros((k, d))
-        sw = np.zeros(k)
-        obj = np.zeros(k)
+        sums, sw, obj = np.zeros((k, d)), np.zeros(k), np.zeros(k)
         for pdf in it:
             if pdf.empty:
                 continue
-            X = np.stack(pdf["x"].to_numpy()).astype(float)
-            w = pdf["w"].to_numpy(dtype=float)
-            D = np.column_stack([dist.numpy(X, c) for c in centres])
-            lab = D.argmin(1)  # first minimum on ties, as the column expression
-            np.add.at(sums, lab, X * w[:, None])
-            sw += np.bincount(lab, weights=w, minlength=k)
-            obj += np.bincount(lab, weights=w * D[np.arange(len(lab)), lab], minlength=k)
-        if per_label_rows:
-            keep = sw > 0
-            yield pd.DataFrame({"label": np.arange(1, k + 1)[keep], "s": [r.tolist() for r in sums[keep]],
-                                "sw": sw[keep], "obj": obj[keep]})
-        else:
-            yield pd.DataFrame({"s": [sums.ravel().tolist()], "sw": [sw.tolist()], "obj": [obj.tolist()]})
-
-    return kernel
-
-
-def lloyd_step(feats: DataFrame, centres: np.ndarray, dist: Dissimilarity, partitions: int):
-    """One Lloyd step over ``(x array, w)`` rows; returns (sums k x d, weights k, objective k).
-
-    Each partition emits its k partial sums.  When partitions x k x (d + 2)
-    values are provably few they are added on the driver (one stage, no
-    shuffle); otherwise a ``groupBy(label)`` adds them on the executors.
-    """
-    from pyspark.sql import types as T
+            X, w = _points(pdf)
+            lab, cost = nearest(X, centres, dist)
+            own = np.zeros((len(lab), k))
+            own[np.arange(len(lab)), lab] = w
+            sums += own.T @ X
+            sw += own.sum(0)
+            obj += np.bincount(lab, weights=w * cost, minlength=k)
+        yield pd.DataFrame({"s": [sums.ravel().tolist()], "sw": [sw.tolist()], "obj": [obj.tolist()]})
+
+    part = feats.select("x", "w").mapInPandas(kernel, "s array<double>, sw array<double>, obj array<double>")
+    arr, _ = sum_partials(part, partitions, {"s": k * d, "sw": k, "obj": k}, [])
+    return arr["s"].reshape(k, d), arr["sw"], arr["obj"]
+
+
+def seed_centres(feats: DataFrame, k: int, dist: Dissimilarity, partitions: int, seed: int) -> np.ndarray:
+    """k-means||: about OVERSAMPLE * k rows drawn per round, whatever the number of rows, from all rows."""
+    import pandas as pd
 
-    k, d = centres.shape
-    if partitions * k * (d + 2) <= MAX_PARTIAL_VALUES:
-        schema = "s array<double>, sw array<double>, obj array<double>"
-        rows = feats.select("x", "w").mapInPandas(_partial_kernel(centres, dist, False), schema).collect()
-        sums = sum(np.asarray(r["s"]).reshape(k, d) for r in rows)
-        return sums, sum(np.asarray(r["sw"]) for r in rows), sum(np.asarray(r["obj"]) for r in rows)
-    schema = T.StructType([T.StructField("label", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
-                           T.StructField("sw", T.DoubleType()), T.StructField("obj", T.DoubleType())])
-    part = feats.select("x", "w").mapInPandas(_partial_kernel(centres, dist, True), schema)
-    rows = (
-        part.groupBy("label")
-        .agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(d)], F.sum("sw").alias("sw"),
-             F.sum("obj").alias("obj"))
-        .collect()  # one row per cluster
-    )
-    sums, sw, obj = np.zeros((k, d)), np.zeros(k), np.zeros(k)
-    for r in rows:
-        j = r["label"] - 1
-        sums[j] = [r[f"s{i}"] for i in range(d)]
-        sw[j], obj[j] = r["sw"], r["obj"]
-    return sums, sw, obj
+    power = 1 if dist.type.startswith(("sq", "weighted_sq")) else 2
+    first = feats.where("w > 0").orderBy(F.xxhash64(F.lit(seed), "x")).select("x").first()
+    if first is None:
+        raise ValueError("no row has a positive weight")
+    drawn = np.asarray([first["x"]], dtype=float)
+    for step in range(SEED_ROUNDS):
+        centres = drawn
+
+        def cost(it, centres=centres):
+            for pdf in it:
+                if not pdf.empty:
+                    X, w = _points(pdf)
+                    yield pd.DataFrame({"x": pdf["x"], "c": w * np.maximum(nearest(X, centres, dist)[1], 0) ** power})
+
+        costs = feats.select("x", "w").mapInPandas(cost, "x array<double>, c double")
+        total = costs.agg(F.sum("c")).first()[0]
+        if not total:
+            break
+        draw = (F.xxhash64(F.lit(seed), F.lit(step), "x") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
+        more = costs.where(draw < F.col("c") * (OVERSAMPLE * k / total)).select("x").distinct().collect()
+        if more:
+            drawn = np.unique(np.vstack([drawn, np.asarray([r["x"] for r in more], dtype=float)]), axis=0)
+    weights = lloyd_step(feats, drawn, dist, partitions)[1]
+    return _kmeanspp(drawn, np.maximum(weights, 1e-12), k, dist, np.random.default_rng(seed))
 
 
 def kmeans_fit(df: DataFrame, inputs: list[str], k: int, *, weights: str | None = None,
@@ -146,15 +147,9 @@ def kmeans_fit(df: DataFrame, inputs: list[str], k: int, *, weights: str | None
         if n < k:
             raise ValueError(f"{n} rows for {k} clusters")
         partitions = feats.rdd.getNumPartitions()
-        frac = min(1.0, SAMPLE_ROWS_PER_CLUSTER * k / n)
-        sample = feats.sample(fraction=frac, seed=seed).collect()
-        if len(sample) < k:
-            sample = feats.limit(SAMPLE_ROWS_PER_CLUSTER * k).collect()
-        S = np.asarray([r["x"] for r in sample], dtype=float)
-        Sw = np.asarray([r["w"] for r in sample], dtype=float)
-        centres = _kmeanspp(S, Sw, k, dist, np.random.default_rng(seed))
+        centres = seed_centres(feats, k, dist, partitions, seed)
         prev_obj = np.inf
-        it = 0
+        it, done = 0, False
         for it in range(1, iterations + 1):
             sums, sw, objs = lloyd_step(feats, centres, dist, partitions)
             obj = float(objs.sum())
@@ -163,7 +158,7 @@ def kmeans_fit(df: DataFrame, inputs: list[str], k: int, *, weights: str | None
             prev_obj = obj
             if done:
                 break
-        return {"centres": centres, "iterations": it, "objective": float(prev_obj)}
+        return {"centres": centres, "iterations": it, "objective": float(prev_obj), "converged": bool(done)}
     finally:
         feats.unpersist()
 
@@ -191,7 +186,7 @@ CLUSTER_METHODS = {"kmeans": KMeansMethod}
 @register_card("cluster", "Cluster")
 @dataclass(frozen=True)
 class ClusterCard(Card):
-    """Cluster labels (1..k) for the training rows; other rows get NULL."""
+    """Cluster labels (1..k) for the training rows; other rows keep the column's old value (NULL if it is new)."""
 
     method: KMeansMethod
     inputs: tuple
@@ -225,15 +220,17 @@ class ClusterCard(Card):
         res = kmeans_fit(training_rows(df, self.partition), list(self.inputs), m.classes, weights=self.weights,
                          dist=m.dissimilarity, iterations=m.iterations, tol=m.tol, seed=m.seed)
         return CardState(content={"centres": res["centres"].tolist(), "iterations": res["iterations"],
-                                  "objective": res["objective"]})
+                                  "objective": res["objective"], "converged": res["converged"]})
 
     def transform(self, df, state, id_var=None):
         xs = feature_columns(df, list(self.inputs))
         lab = assign(xs, np.asarray(state.content["centres"]), self.method.dissimilarity)
         if self.partition:
-            lab = F.when(qcol(self.partition) == 1, lab)
+            # Rows without a result keep the old value of an existing column.
+            old = qcol(self.output).cast("bigint") if self.output in df.columns else F.lit(None).cast("bigint")
+            lab = F.when(qcol(self.partition) == 1, lab).otherwise(old)
         keep = [qcol(c) for c in df.columns if c != self.output]
         return df.select(*keep, lab.cast("bigint").alias(self.output))
 
     def report(self, state):
-        return {"iterations": state.content.get("iterations"), "objective": state.content.get("objective")}
+        return {k: state.content.get(k) for k in ("iterations", "objective", "converged")}

@@ -6,8 +6,7 @@ Training is synchronous data-parallel gradient descent:
 * each optimizer step is one Spark job: ``mapInPandas`` runs the forward and
   backward pass in numpy over each partition's Arrow batches and emits one
   row per partition (loss sum, row count, flattened gradient sum);
-* the driver adds those rows (bounded by the number of partitions, each the
-  size of the parameter vector), applies regularisation, the learning-rate
+* they are added in two steps (`functions.partials`) and the driver applies regularisation, the learning-rate
   schedule and the optimizer rule, and broadcasts the new weights by closure.
 
 An epoch is ``batches`` global steps over a seeded hash split of the
@@ -21,6 +20,7 @@ expressions per dense layer.
 from __future__ import annotations
 
 import copy
+import dataclasses
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardinal.functions.columns import join_names, qcol
+from cardinal.functions.metrics import METRICS, metric_column
+from cardinal.functions.partials import sum_partials
 from cardinal.operators.filters import split_rows
 from cardinal.operators.funnel import levels as level_list
 from cardinal.operators.summary import is_numerical
@@ -82,6 +84,25 @@ ACTIVATIONS = {
 }
 
 
+def _softmax(z):
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+# Heads over a whole layer (N14): name -> (f, (output, gradient) -> gradient of the pre-activation).
+HEADS = {
+    "softmax": (_softmax, lambda h, g: h * (g - (g * h).sum(1, keepdims=True))),
+    "logsoftmax": (lambda z: np.log(_softmax(z)), lambda h, g: g - np.exp(h) * g.sum(1, keepdims=True)),
+}
+
+
+def head_exprs(name: str, zs: list) -> list:
+    """The heads as column expressions of the layer's pre-activations."""
+    top = F.greatest(*zs) if len(zs) > 1 else zs[0]
+    total = sum((F.exp(z - top) for z in zs[1:]), F.exp(zs[0] - top))
+    return [F.exp(z - top) / total if name == "softmax" else z - top - F.log(total) for z in zs]
+
+
 # Plug-in registries (U5, N4): user activations and input transforms.
 _USER_EXPR: dict = {}
 TRANSFORMS: dict = {"identity": lambda c: c}
@@ -182,33 +203,66 @@ def forward(params, acts, X, table: dict | None = None):
     for li in range(len(acts)):
         z = h @ params[2 * li] + params[2 * li + 1]
         zs.append(z)
-        h = table[acts[li]][0](z)
+        h = HEADS[acts[li]][0](z) if acts[li] in HEADS else table[acts[li]][0](z)
         hs.append(h)
     return hs, zs
 
 
-def loss_and_grad(params, acts, X, Y, loss: str, need_grad: bool = True, table: dict | None = None):
-    """Summed loss over rows and gradient of that sum."""
-    table = table or ACTIVATIONS
+def _sign(x):
+    return np.sign(x)
+
+
+# Training losses: (outputs, targets) -> (sum over rows, gradient).  Elementwise ones average over the outputs.
+def _elementwise(value, slope):
+    return lambda out, Y: (float(value(out, Y).sum()) / Y.shape[1], slope(out, Y) / Y.shape[1])
+
+
+def _logit_cross_entropy(out, Y):
+    m = out.max(1, keepdims=True)
+    lse = m + np.log(np.exp(out - m).sum(1, keepdims=True))
+    return float(-(Y * (out - lse)).sum()), np.exp(out - lse) * Y.sum(1, keepdims=True) - Y
+
+
+LOSSES: dict = {
+    "mse": _elementwise(lambda o, y: (o - y) ** 2, lambda o, y: 2 * (o - y)),
+    "mae": _elementwise(lambda o, y: np.abs(o - y), lambda o, y: _sign(o - y)),
+    "huber_loss": _elementwise(lambda o, y: np.where(np.abs(o - y) < 1, 0.5 * (o - y) ** 2, np.abs(o - y) - 0.5),
+                               lambda o, y: np.clip(o - y, -1, 1)),
+    "poisson_loss": _elementwise(lambda o, y: o - np.where(y == 0, 0.0, y * np.log(np.where(y == 0, 1.0, o))),
+                                 lambda o, y: 1 - np.where(y == 0, 0.0, y / np.where(y == 0, 1.0, o))),
+    "logitbinarycrossentropy": _elementwise(lambda o, y: (1 - y) * o + _softplus(-o), lambda o, y: _sigmoid(o) - y),
+    "logitcrossentropy": _logit_cross_entropy,
+}
+
+
+def register_loss(name: str, fn) -> None:
+    """Add a training loss: ``fn(outputs, targets) -> (sum over rows, gradient)`` on numpy matrices."""
+    LOSSES[name] = fn
+
+
+def loss_and_grad(params, acts, X, Y, loss, need_grad: bool = True, table: dict | None = None, losses: dict | None = None):
+    """Summed loss over rows and gradient of that sum.
+
+    ``loss`` is a name, or ``(start, stop, name)`` triples, one for each
+    target's outputs, whose losses add up.
+    """
+    table, losses = table or ACTIVATIONS, losses or LOSSES
     hs, zs = forward(params, acts, X, table)
     out = hs[-1]
-    if loss == "mse":
-        diff = out - Y
-        total = float((diff ** 2).sum())
-        g = 2 * diff
-    elif loss == "logitcrossentropy":
-        m = out.max(1, keepdims=True)
-        lse = m + np.log(np.exp(out - m).sum(1, keepdims=True))
-        total = float(-(Y * (out - lse)).sum())
-        sm = np.exp(out - lse)
-        g = sm * Y.sum(1, keepdims=True) - Y
-    else:
-        raise ValueError(f"unsupported training loss {loss!r}")
+    total, g = 0.0, np.zeros_like(out)
+    for start, stop, name in [(0, out.shape[1], loss)] if isinstance(loss, str) else loss:
+        if name not in losses:
+            raise ValueError(f"unsupported training loss {name!r}; valid: {', '.join(losses)}")
+        part, g[:, start:stop] = losses[name](out[:, start:stop], Y[:, start:stop])
+        total += part
     if not need_grad:
         return total, None
     grads = [None] * len(params)
     for li in reversed(range(len(acts))):
-        g = g * table[acts[li]][1](zs[li])
+        if acts[li] in HEADS:
+            g = HEADS[acts[li]][1](hs[li + 1], g)
+        else:
+            g = g * table[acts[li]][1](zs[li])
         grads[2 * li] = hs[li].T @ g
         grads[2 * li + 1] = g.sum(0)
         g = g @ params[2 * li].T
@@ -326,50 +380,47 @@ def schedule_value(name: str, t: int, p: dict) -> float:
 
 # -- Spark jobs ----------------------------------------------------------------------
 
-# Largest number of partial values (partitions x parameters) added on the driver per step.
-MAX_PARTIAL_VALUES = 4_000_000
-
 _GRAD_SCHEMA = T.StructType([T.StructField("loss", T.DoubleType()), T.StructField("n", T.LongType()),
                              T.StructField("g", T.ArrayType(T.DoubleType()))])
 
 
-def _batch_gradient(data: DataFrame, params, acts, loss: str, need_grad: bool = True):
+def _batch_gradient(data: DataFrame, params, acts, loss, need_grad: bool = True):
     """One job: summed loss, row count and summed gradient over ``data``."""
-    flat_like = [p.shape for p in params]
-    size = sum(int(np.prod(s)) for s in flat_like)
-    table = {a: ACTIVATIONS[a] for a in acts}  # shipped with the closure (user activations included)
+    size = sum(p.size for p in params) if need_grad else 0
+    table = {a: ACTIVATIONS[a] for a in acts if a not in HEADS}  # shipped with the closure (user activations included)
+    names = {loss} if isinstance(loss, str) else {name for *_, name in loss}
+    losses = {name: LOSSES[name] for name in names if name in LOSSES}
 
     def kernel(it):
-        total, n = 0.0, 0
-        gsum = np.zeros(size) if need_grad else None
+        total, n, gsum = 0.0, 0, np.zeros(size)
         for pdf in it:
             if pdf.empty:
                 continue
             X = np.stack(pdf["x"].to_numpy()).astype(float)
             Y = np.stack(pdf["y"].to_numpy()).astype(float)
-            lval, grads = loss_and_grad(params, acts, X, Y, loss, need_grad, table)
+            lval, grads = loss_and_grad(params, acts, X, Y, loss, need_grad, table, losses)
             total += lval
             n += len(pdf)
             if need_grad:
                 gsum += flatten(grads)
-        yield pd.DataFrame({"loss": [total], "n": [n], "g": [gsum.tolist() if need_grad else []]})
-
-    from cardinal.functions.partials import sum_partials
+        yield pd.DataFrame({"loss": [total], "n": [n], "g": [gsum.tolist()]})
 
     part = data.select("x", "y").mapInPandas(kernel, _GRAD_SCHEMA)
-    if need_grad:
-        part = part.where(F.col("n") > 0)
-    arrays = {"g": size} if need_grad else {}
-    arr, sc = sum_partials(part, data.rdd.getNumPartitions(), arrays, ["loss", "n"],
-                           max_values=MAX_PARTIAL_VALUES)
+    arr, sc = sum_partials(part, data.rdd.getNumPartitions(), {"g": size}, ["loss", "n"])
     n = int(sc["n"])
     return sc["loss"], n, (arr["g"] if need_grad and n else None)
 
 
-@dataclass
+@dataclass(frozen=True)
 class Training:
+    """How a network is trained; a plain dict in configs."""
+
     optimizer: str = "adam"
     eta: float = 1e-2
+    beta: tuple = (0.9, 0.999)
+    rho: float = 0.9
+    eps: float = 1e-8
+    decay: float = 0.0
     epochs: int = 4
     batches: int = 1
     seed: int = 0
@@ -377,31 +428,64 @@ class Training:
     schedule_params: dict = field(default_factory=dict)
     lambda_l1: float = 0.0
     lambda_l2: float = 0.0
-    patience: int | None = None
+    loss: str | None = None  # for numeric targets mse, for categorical ones logitcrossentropy
+    metrics: tuple = ()
+    patience: int | None = None  # epochs without a better score before stopping
+    plateau: int | None = None  # epochs in which the score moves by less than min_delta before stopping
+    min_delta: float = 1e-6
 
-
-def input_columns(inputs: Sequence[str], transforms: dict | None = None) -> list:
-    """Input columns in config order, each through its registered transform (identity by default)."""
-    transforms = transforms or {}
-    return [TRANSFORMS[transforms.get(c, "identity")](qcol(c).cast("double")) for c in inputs]
+    def __post_init__(self):
+        object.__setattr__(self, "beta", tuple(self.beta))
+        object.__setattr__(self, "metrics", tuple(self.metrics))
+        if self.loss is not None and self.loss not in LOSSES:
+            raise ValueError(f"unknown loss {self.loss!r}; valid: {', '.join(LOSSES)}")
+        unknown = set(self.metrics) - set(METRICS)
+        if unknown:
+            raise ValueError(f"unknown metrics {sorted(unknown)}; valid: {', '.join(METRICS)}")
+        Optimizer(self.optimizer)
+
+    @classmethod
+    def from_dict(cls, d) -> "Training":
+        if isinstance(d, cls):
+            return d
+        extra = set(d) - {f.name for f in dataclasses.fields(cls)}
+        if extra:
+            raise ValueError(f"unknown training fields: {sorted(extra)}")
+        return cls(**d)
+
+    def to_dict(self) -> dict:
+        return {k: list(v) if isinstance(v, tuple) else v for k, v in dataclasses.asdict(self).items()}
+
+
+def _onehot_columns(column: str, lvls: Sequence) -> list:
+    """A 0/1 column per level; a level unseen in training raises, NULL gives NULL."""
+    c = qcol(column)
+    unseen = F.raise_error(F.concat(F.lit(f"unseen level in {column}: "), c.cast("string"))).cast("double")
+    return [F.when(c.isNull(), F.lit(None).cast("double")).when(c == F.lit(lv), F.lit(1.0))
+            .when(c.isin(list(lvls)), F.lit(0.0)).otherwise(unseen) for lv in lvls]
+
+
+def encoded_columns(columns: Sequence[str], levels: dict, transforms: dict | None = None) -> list:
+    """Numeric columns through their registered transform, categorical ones one-hot, in config order."""
+    out, transforms = [], transforms or {}
+    for c in columns:
+        if c in levels:
+            out += _onehot_columns(c, levels[c])
+        else:
+            out.append(TRANSFORMS[transforms.get(c, "identity")](qcol(c).cast("double")))
+    return out
 
 
-def assemble_inputs(df: DataFrame, inputs: Sequence[str], targets: Sequence[str], target_levels: dict,
-                    with_targets: bool = True, transforms: dict | None = None) -> DataFrame:
-    x = F.array(*input_columns(inputs, transforms)).alias("x")
-    cols = [x]
-    if with_targets:
-        parts = []
-        for t in targets:
-            if t in target_levels:
-                parts += [F.when(qcol(t) == F.lit(lv), 1.0).otherwise(0.0) for lv in target_levels[t]]
-            else:
-                parts.append(qcol(t).cast("double"))
-        cols.append(F.array(*parts).alias("y"))
-    return cols
+def assemble(df: DataFrame, x: Sequence, y: Sequence, extra: Sequence = ()) -> DataFrame:
+    """Rows ``(x array, y array)`` of the rows without NULL or NaN in any element."""
+    cols = [c.alias(f"_x{i}") for i, c in enumerate(x)] + [c.alias(f"_y{i}") for i, c in enumerate(y)]
+    flat = df.select(*cols, *extra).dropna(subset=[f"_x{i}" for i in range(len(x))] + [f"_y{i}" for i in range(len(y))])
+    rest = [c for c in flat.columns if not c.startswith(("_x", "_y"))]
+    return flat.select(F.array(*[F.col(f"_x{i}") for i in range(len(x))]).alias("x"),
+                       F.array(*[F.col(f"_y{i}") for i in range(len(y))]).alias("y"), *rest)
 
 
-@register_card("streamliner", "Neural network")
+@register_card("dense_net", "Neural network")
 @dataclass(frozen=True)
 class DenseNetCard(Card):
     """Dense network from ``inputs`` to ``targets`` (numeric -> regression, categorical -> classifier)."""
@@ -418,8 +502,11 @@ class DenseNetCard(Card):
 
     def __post_init__(self):
         for f in ("inputs", "targets", "order_by"):
-            object.__setattr__(self, f, tuple(getattr(self, f)))
+            v = getattr(self, f)
+            object.__setattr__(self, f, (v,) if isinstance(v, str) else tuple(v))
+        object.__setattr__(self, "layers", tuple(dict(layer) for layer in self.layers))
         object.__setattr__(self, "transforms", tuple(tuple(t) for t in self.transforms))
+        object.__setattr__(self, "training", Training.from_dict(self.training))
         if not self.inputs or not self.targets or not self.order_by:
             raise ValueError("network needs order_by, inputs and targets")
         for col, name in self.transforms:
@@ -427,9 +514,15 @@ class DenseNetCard(Card):
                 raise ValueError(f"transform on {col!r}: only numeric inputs take transforms, not one-hot targets")
             if name not in TRANSFORMS:
                 raise ValueError(f"unknown transform {name!r}; valid: {', '.join(TRANSFORMS)}")
-        for layer in self.layers:
-            if layer.get("sigma", "identity") not in ACTIVATIONS:
-                raise ValueError(f"unknown activation {layer.get('sigma')!r}")
+        for i, layer in enumerate(self.layers):
+            sigma = layer.get("sigma", "identity")
+            if sigma not in ACTIVATIONS and sigma not in HEADS:
+                raise ValueError(f"unknown activation {sigma!r}")
+            if sigma in HEADS and i + 1 < len(self.layers):
+                raise ValueError(f"{sigma!r} is for the last layer only")
+
+    def to_dict(self):
+        return super().to_dict() | {"transforms": [list(t) for t in self.transforms]}
 
     def outputs(self):
         return [join_names(t, self.suffix) for t in self.targets]
@@ -441,95 +534,124 @@ class DenseNetCard(Card):
     def output_variables(self):
         return OutputVariables(self.outputs())
 
+    def slices(self, levels: dict) -> list[tuple[int, int, str]]:
+        """Each target's outputs and its loss."""
+        out, at = [], 0
+        for t in self.targets:
+            width = len(levels[t]) if t in levels else 1
+            out.append((at, at + width, self.training.loss or ("logitcrossentropy" if t in levels else "mse")))
+            at += width
+        return out
+
     def fit(self, df: DataFrame, id_var: str | None = None, warm: CardState | None = None) -> CardState:
         tr = self.training
-        cats = {t: level_list(df, t, self.partition) for t in self.targets if not is_numerical(df.schema[t].dataType)}
-        n_out = sum(len(cats[t]) if t in cats else 1 for t in self.targets)
-        loss = "logitcrossentropy" if cats else "mse"
-        sizes = [len(self.inputs)] + [int(layer["features"]) for layer in self.layers[:-1]] + [n_out]
+        levels = {c: level_list(df, c, self.partition) for c in dict.fromkeys(self.inputs + self.targets)
+                  if not is_numerical(df.schema[c].dataType)}
+        x = encoded_columns(self.inputs, levels, dict(self.transforms))
+        y = encoded_columns(self.targets, levels)
+        loss = self.slices(levels)
+        sizes = [len(x)] + [int(layer["features"]) for layer in self.layers[:-1]] + [len(y)]
         acts = [layer.get("sigma", "identity") for layer in self.layers]
-        if warm is not None:  # N7: resume from saved weights
+        start_epoch, history, best = 0, [], (math.inf, None, 0)
+        if warm is not None:  # N7: resume from saved weights; they stay the best until a better epoch comes
             params = [np.asarray(p, dtype=float) for p in warm.content["params"]]
-            start_epoch = warm.content.get("epoch", 0)
-            history = list(warm.content.get("history", []))
+            start_epoch, history = warm.content.get("epoch", 0), [tuple(h) for h in warm.content.get("history", [])]
+            best = (warm.content.get("best", math.inf), copy.deepcopy(params), start_epoch)
         else:
             params = init_params(sizes, tr.seed)
-            start_epoch, history = 0, []
         key = [qcol(c) for c in (id_var and [id_var] or self.order_by)]
-        assembled = assemble_inputs(df, self.inputs, self.targets, cats, transforms=dict(self.transforms))
-        train = split_rows(df, self.partition, 1).select(
-            *assembled, F.pmod(F.xxhash64(*key, F.lit(tr.seed)), F.lit(tr.batches)).alias("_nb")
-        ).dropna().persist(StorageLevel.MEMORY_AND_DISK)
-        valid = split_rows(df, self.partition, 2).select(*assembled).dropna().persist(StorageLevel.MEMORY_AND_DISK)
-        opt = Optimizer(tr.optimizer, tr.eta)
-        best = (math.inf, params, start_epoch)
-        bad_epochs = 0
-        it = 0
+        batch = F.pmod(F.xxhash64(*key, F.lit(tr.seed)), F.lit(tr.batches)).alias("_nb")
+        train = assemble(split_rows(df, self.partition, 1), x, y, [batch]).persist(StorageLevel.MEMORY_AND_DISK)
+        valid = assemble(split_rows(df, self.partition, 2), x, y).persist(StorageLevel.MEMORY_AND_DISK)
+        opt = Optimizer(tr.optimizer, tr.eta, tr.rho, tr.beta, tr.eps, tr.decay)
+        bad_epochs = still = it = 0
+        last_score = math.inf
         try:
             for epoch in range(start_epoch + 1, start_epoch + tr.epochs + 1):
-                tl, tn = 0.0, 0
+                batch_means = []
                 for b in range(tr.batches):
                     part = train if tr.batches == 1 else train.where(F.col("_nb") == b)
                     lval, n, g = _batch_gradient(part, params, acts, loss)
                     if not n:
                         continue
-                    tl, tn = tl + lval, tn + n
+                    if not math.isfinite(lval) or not np.isfinite(g).all():
+                        raise ArithmeticError(f"training diverged in epoch {epoch}: loss {lval}")
                     w = flatten(params)
+                    batch_means.append(lval / n + tr.lambda_l2 * float(w @ w) + tr.lambda_l1 * float(np.abs(w).sum()))
                     grad = g / n + tr.lambda_l2 * 2 * w + tr.lambda_l1 * np.sign(w)
                     it += 1
                     eta = schedule_value(tr.schedule, it, tr.schedule_params) if tr.schedule else None
                     params = unflatten(opt.step(w, grad, eta), params)
+                if not batch_means:
+                    raise ValueError("no training row has all inputs and targets")
                 vl, vn, _ = _batch_gradient(valid, params, acts, loss, need_grad=False)
-                train_loss = tl / tn if tn else math.nan
+                train_loss = float(np.mean(batch_means))
                 val_loss = vl / vn if vn else math.nan
                 history += [(epoch, "training", "loss", train_loss), (epoch, "validation", "loss", val_loss)]
+                if tr.metrics:
+                    for split, data in (("training", train), ("validation", valid)):
+                        got = self._metrics(data, params, acts, loss)
+                        history += [(epoch, split, m, v) for m, v in got.items()]
                 score = val_loss if vn else train_loss
+                if not math.isfinite(score):
+                    raise ArithmeticError(f"training diverged in epoch {epoch}: score {score}")
+                still = still + 1 if abs(score - last_score) < tr.min_delta else 0
+                last_score = score
                 if score < best[0]:
                     best = (score, copy.deepcopy(params), epoch)
                     bad_epochs = 0
                 else:
                     bad_epochs += 1
-                    if tr.patience is not None and bad_epochs > tr.patience:
-                        break
+                if tr.patience is not None and bad_epochs > tr.patience or tr.plateau is not None and still >= tr.plateau:
+                    break
         finally:
             train.unpersist()
             valid.unpersist()
-        return CardState(content={"params": [p.tolist() for p in best[1]], "acts": acts, "loss": loss,
-                                  "levels": {k: list(v) for k, v in cats.items()}, "epoch": best[2],
-                                  "successful": bool(best[0] < math.inf), "history": history})
+        return CardState(content={"params": [p.tolist() for p in best[1]], "acts": acts, "best": best[0],
+                                  "levels": {k: list(v) for k, v in levels.items()}, "epoch": best[2],
+                                  "successful": True, "history": history})
+
+    def _metrics(self, data: DataFrame, params, acts, slices) -> dict[str, float]:
+        """The chosen metrics over assembled rows, each a mean over targets, in one aggregation."""
+        out = _network(data, [F.col("x")[i] for i in range(params[0].shape[0])], params, acts, ["y"])
+        cols = []
+        for k, (start, stop, _) in enumerate(slices):
+            pred = [F.col(f"_nn{len(acts) - 1}_{j}") for j in range(start, stop)]
+            target = [F.col("y")[j] for j in range(start, stop)]
+            cols += [metric_column(m, pred, target).alias(f"{m}_{k}") for m in self.training.metrics]
+        r = out.agg(*cols).first()
+        return {m: float(np.mean([math.nan if r[f"{m}_{k}"] is None else r[f"{m}_{k}"] for k in range(len(slices))]))
+                for m in self.training.metrics}
+
+    def validate(self, df: DataFrame, state: CardState, split: int = 2) -> dict[str, float]:
+        """Loss and metrics of a fitted network on one split (N8); an unseen level raises."""
+        levels = state.content["levels"]
+        data = assemble(split_rows(df, self.partition, split), encoded_columns(self.inputs, levels, dict(self.transforms)),
+                        encoded_columns(self.targets, levels))
+        params = [np.asarray(p, dtype=float) for p in state.content["params"]]
+        total, n, _ = _batch_gradient(data, params, state.content["acts"], self.slices(levels), need_grad=False)
+        out = {"loss": total / n if n else math.nan}
+        if self.training.metrics:
+            out |= self._metrics(data, params, state.content["acts"], self.slices(levels))
+        return out
 
     def transform(self, df, state, id_var=None):
         """Prediction as column expressions: one projection per dense layer (JVM-side, codegen)."""
         params = [np.asarray(p, dtype=float) for p in state.content["params"]]
-        acts = state.content["acts"]
-        cats = state.content["levels"]
+        acts, levels = state.content["acts"], state.content["levels"]
         outs = self.outputs()
         cols = [c for c in df.columns if c not in outs]
-        h = input_columns(self.inputs, dict(self.transforms))
-        cur = df
-        for li, act in enumerate(acts):
-            W, b = params[2 * li], params[2 * li + 1]
-            units = []
-            for j in range(W.shape[1]):
-                z = F.lit(float(b[j]))
-                for i, x in enumerate(h):
-                    z = z + x * F.lit(float(W[i, j]))
-                units.append(activation_expr(act, z).alias(f"_nn{li}_{j}"))
-            cur = cur.select(*[qcol(c) for c in cols], *units)
-            h = [F.col(f"_nn{li}_{j}") for j in range(W.shape[1])]
-        preds, k = [], 0
-        for t, name in zip(self.targets, outs):
-            if t in cats:
-                width = len(cats[t])
-                block = h[k:k + width]
-                arr = F.array(*block)
-                label = F.element_at(F.array(*[F.lit(v) for v in cats[t]]),
+        cur = _network(df, encoded_columns(self.inputs, levels, dict(self.transforms)), params, acts, cols)
+        h = [F.col(f"_nn{len(acts) - 1}_{j}") for j in range(params[-1].size)]
+        preds = []
+        for t, name, (start, stop, _) in zip(self.targets, outs, self.slices(levels)):
+            if t in levels:
+                arr = F.array(*h[start:stop])
+                label = F.element_at(F.array(*[F.lit(v) for v in levels[t]]),
                                      F.array_position(arr, F.array_max(arr)).cast("int"))
                 preds.append(F.when(F.array_max(arr).isNotNull(), label).alias(name))
-                k += width
             else:
-                preds.append(h[k].alias(name))
-                k += 1
+                preds.append(h[start].alias(name))
         return cur.select(*[qcol(c) for c in cols], *preds)
 
     def report(self, state):
@@ -540,6 +662,28 @@ class DenseNetCard(Card):
         return {f"{split}_{metric}": value for e, split, metric, value in hist if e == last}
 
 
+def _network(df: DataFrame, x: list, params, acts, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns and the last layer's outputs ``_nn<layer>_<unit>``: one projection per layer."""
+    cur, h = df, x
+    for li, act in enumerate(acts):
+        W, b = params[2 * li], params[2 * li + 1]
+        zs = []
+        for j in range(W.shape[1]):
+            z = F.lit(float(b[j]))
+            for i, v in enumerate(h):
+                z = z + v * F.lit(float(W[i, j]))
+            zs.append(z)
+        if act in HEADS:
+            cur = cur.select(*[qcol(c) for c in keep], *[z.alias(f"_z{j}") for j, z in enumerate(zs)])
+            units = head_exprs(act, [F.col(f"_z{j}") for j in range(len(zs))])
+        else:
+            units = [activation_expr(act, z) for z in zs]
+        cur = cur.select(*[qcol(c) for c in keep], *[u.alias(f"_nn{li}_{j}") for j, u in enumerate(units)])
+        h = [F.col(f"_nn{li}_{j}") for j in range(W.shape[1])]
+    return cur
+
+
 def history_frame(spark, state: CardState) -> DataFrame:
     """Per-epoch metric history as a small DataFrame."""
-    return spark.createDataFrame(state.content.get("history", []), "epoch int, split string, metric string, value double")
+    rows = [tuple(h) for h in state.content.get("history", [])]
+    return spark.createDataFrame(rows, "epoch int, split string, metric string, value double")

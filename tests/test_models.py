@@ -336,14 +336,13 @@ def test_interp_hot_input_value_is_split(spark):
     assert np.allclose(got.y_hat, 2 * got.x)
 
 
-def test_lloyd_step_paths_agree(spark, monkeypatch):
+def test_lloyd_step_adds_all_partitions(spark):
     emb = table(spark, "embeddings")
     feats = emb.select(F.col("embedding").cast("array<double>").alias("x"), F.lit(1.0).alias("w")).repartition(4)
     C = np.random.default_rng(0).normal(size=(5, 64))
     dist = Dissimilarity("cityblock")
     a = cluster.lloyd_step(feats, C, dist, 4)
-    monkeypatch.setattr(cluster, "MAX_PARTIAL_VALUES", 0)
-    b = cluster.lloyd_step(feats, C, dist, 4)
+    b = cluster.lloyd_step(feats.repartition(17), C, dist, 17)
     X = np.asarray([r[0] for r in emb.select("embedding").collect()], dtype=float)
     D = np.column_stack([dist.numpy(X, c) for c in C])
     lab = D.argmin(1)

@@ -87,15 +87,14 @@ def test_activation_expressions_match_numpy(spark):
         assert np.allclose(got, f(np.array(xs)), atol=1e-12), name
 
 
-def test_gradient_reduction_fallback(spark, monkeypatch):
+def test_gradient_adds_any_number_of_partitions(spark):
     rng = np.random.default_rng(5)
     X = rng.normal(size=(120, 2))
     Y = X @ np.array([[0.5], [1.0]])
     df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(X, Y)], "x array<double>, y array<double>")
     params = nn.init_params([2, 3, 1], 4)
     a = nn._batch_gradient(df.repartition(3), params, ["tanh", "identity"], "mse")
-    monkeypatch.setattr(nn, "MAX_PARTIAL_VALUES", 0)
-    b = nn._batch_gradient(df.repartition(3), params, ["tanh", "identity"], "mse")
+    b = nn._batch_gradient(df.repartition(40), params, ["tanh", "identity"], "mse")
     assert a[1] == b[1] == 120 and abs(a[0] - b[0]) < 1e-9 and np.allclose(a[2], b[2])
 
 
@@ -114,3 +113,94 @@ def test_registered_activation_and_transform(spark):
     assert np.allclose(out.l_quantity_hat, exp)
     with pytest.raises(ValueError):
         nn.DenseNetCard(inputs=("a",), targets=("b",), order_by=("a",), transforms=(("b", "identity"),))
+
+
+def _points(spark, n=200):
+    rng = np.random.default_rng(8)
+    return spark.createDataFrame([(i, float(x), "hot" if x > 0 else "cold", float(3 * x), 1 if i % 5 else 2)
+                                  for i, x in enumerate(rng.normal(size=n))], "id int, v double, side string, t double, part int")
+
+
+def _net(**more):
+    own = {"inputs": ("v",), "targets": ("t",), "order_by": ("id",), "layers": ({"sigma": "identity"},), "partition": "part"}
+    return nn.DenseNetCard(**(own | more))
+
+
+def test_null_and_nan_rows_are_left_out(spark):
+    df = _points(spark)
+    holes = df.union(spark.createDataFrame([(900, None, "hot", 1.0, 1), (901, float("nan"), "hot", 1.0, 1), (902, 1.0, "hot", None, 2)], df.schema))
+    card = _net(training={"epochs": 3, "eta": 0.1})
+    a, b = card.fit(df, "id"), card.fit(holes, "id")
+    assert a.content["params"] == b.content["params"] and a.content["history"] == b.content["history"]
+    got = {r.id: r.t_hat for r in card.transform(holes, b).collect()}
+    assert got[900] is None and got[902] is not None
+
+
+def test_divergence_raises(spark):
+    with pytest.raises(ArithmeticError):
+        _net(training={"optimizer": "descent", "eta": 1e200, "epochs": 5}).fit(_points(spark), "id")
+
+
+def test_partial_sums_keep_nan(spark):
+    from cardinal.functions.partials import sum_partials
+
+    df = spark.createDataFrame([([1.0, 2.0], 1.0), ([3.0, None], None)], "a array<double>, s double").repartition(2)
+    arr, sc = sum_partials(df, 2, {"a": 2}, ["s"])
+    assert arr["a"][0] == 4.0 and np.isnan(arr["a"][1]) and np.isnan(sc["s"])
+
+
+def test_categorical_inputs_and_targets_metrics_and_validate(spark):
+    df = _points(spark)
+    card = _net(inputs=("side", "v"), targets=("side", "t"), layers=({"features": 4, "sigma": "tanh"}, {"sigma": "identity"}),
+                training={"epochs": 5, "eta": 0.1, "metrics": ["accuracy", "mse"], "seed": 3})
+    state = card.fit(df, "id")
+    report = card.report(state)
+    assert set(report) == {f"{s}_{m}" for s in ("training", "validation") for m in ("loss", "accuracy", "mse")}
+    out = card.transform(df, state).where("part = 2").toPandas()
+    got = card.validate(df, state)
+    acc = (out.side == out.side_hat).mean()
+    assert got["accuracy"] == pytest.approx((acc + 1.0) / 2)  # a single output is always the largest
+    unseen = df.union(spark.createDataFrame([(999, 0.1, "warm", 0.3, 2)], df.schema))
+    with pytest.raises(Exception, match="unseen level"):
+        card.validate(unseen, state)
+
+
+def test_config_round_trip_and_saved_network(spark, tmp_path):
+    import json
+
+    from cardinal.plans.card import card_from_dict
+
+    card = _net(training={"epochs": 2, "optimizer": "adamw", "decay": 0.1, "beta": [0.8, 0.99], "metrics": ["mae"]}, transforms=(("v", "identity"),))
+    assert card_from_dict(json.loads(card.to_json())) == card
+    df = _points(spark)
+    node = Node(card).fit(df, "id")
+    node.save(str(tmp_path / "n"))
+    again = Node.load(spark, str(tmp_path / "n"))
+    again.save(str(tmp_path / "n"))
+    again = Node.load(spark, str(tmp_path / "n"))
+    assert again.card == card and again.report() == node.report()
+    assert again.evaluate(df).exceptAll(node.evaluate(df)).count() == 0
+    with pytest.raises(ValueError):
+        nn.Training.from_dict({"epoch": 3})
+
+
+def test_resume_keeps_the_best_score(spark):
+    df = _points(spark)
+    first = _net(training={"epochs": 6, "eta": 0.1}).fit(df, "id")
+    worse = _net(training={"epochs": 1, "eta": 50.0}).fit(df, "id", warm=first)
+    assert worse.content["params"] == first.content["params"] and worse.content["best"] == first.content["best"]
+
+
+@pytest.mark.parametrize("loss,acts", [("mae", ["tanh", "identity"]), ("huber_loss", ["tanh", "identity"]), ("mse", ["tanh", "softmax"]),
+                                       ("logitbinarycrossentropy", ["relu", "identity"]), ("mse", ["tanh", "logsoftmax"]),
+                                       ([(0, 1, "mse"), (1, 3, "logitcrossentropy")], ["tanh", "identity"])])
+def test_every_loss_and_head_has_its_gradient(loss, acts):
+    rng = np.random.default_rng(2)
+    X, Y = rng.normal(size=(15, 3)), np.column_stack([rng.normal(size=15), np.eye(2)[rng.integers(0, 2, 15)]])
+    params = nn.init_params([3, 4, 3], 1)
+    w, g = nn.flatten(params), nn.flatten(nn.loss_and_grad(params, acts, X, Y, loss)[1])
+    for i in range(len(w)):
+        d = np.zeros_like(w)
+        d[i] = 1e-6
+        up, down = (nn.loss_and_grad(nn.unflatten(w + s * d, params), acts, X, Y, loss, False)[0] for s in (1, -1))
+        assert (up - down) / 2e-6 == pytest.approx(g[i], abs=2e-4)

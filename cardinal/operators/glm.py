@@ -48,6 +48,7 @@ def _norm_ppf(p: pd.Series) -> pd.Series:
 
 
 _PI = math.pi
+LOGIT_EDGE = 36.0
 
 
 def _phi(eta: Column) -> Column:
@@ -65,8 +66,11 @@ def link_fns(name: str, theta: float = 1.0):
     if name == "log":
         return (lambda m: ln(m)), (lambda e: F.exp(e)), (lambda e: F.exp(e))
     if name == "logit":
-        return ((lambda m: ln(div(m, one - m))), (lambda e: div(one, one + F.exp(-e))),
-                (lambda e: div(F.exp(-e), (one + F.exp(-e)) * (one + F.exp(-e)))))
+        # Beyond LOGIT_EDGE the fitted value is 0 or 1 to double precision; weight and derivative stay positive.
+        edge = lambda e: F.greatest(F.least(e, F.lit(LOGIT_EDGE)), F.lit(-LOGIT_EDGE))
+        small = lambda e: F.exp(-F.abs(edge(e)))
+        return ((lambda m: ln(div(m, one - m))), (lambda e: div(one, one + F.exp(-edge(e)))),
+                (lambda e: div(small(e), (one + small(e)) * (one + small(e)))))
     if name == "probit":
         return (lambda m: _norm_ppf(m)), (lambda e: _norm_cdf(e)), (lambda e: _phi(e))
     if name == "cloglog":
@@ -206,7 +210,8 @@ def irls(df: DataFrame, X: list[Column], y: Column, w: Column, family: str, link
         beta = None          # current iterate (None: start from the initial fitted values)
         prev = None          # last accepted (beta, deviance)
         dev = np.inf
-        it = halvings = 0
+        converged = False
+        it = halvings = lost = 0
         while it < iterations:
             it += 1
             eta = lk(initial_mu(family, F.col("y"))) if beta is None else _linear(beta, xs)
@@ -224,7 +229,7 @@ def irls(df: DataFrame, X: list[Column], y: Column, w: Column, family: str, link
             # One pass: deviance of the current iterate and the next weighted system.
             aggs = [F.sum(wok * xs[i] * xs[j]).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]
             aggs += [F.sum(wok * xs[i] * F.col("z")).alias(f"b{i}") for i in range(p)]
-            aggs += [F.sum("dres").alias("dev")]
+            aggs += [F.sum("dres").alias("dev"), F.sum((~ok).cast("long")).alias("lost")]
             r = stage.agg(*aggs).first()
             if beta is not None:
                 dev = float(r["dev"]) if r["dev"] is not None else np.inf
@@ -237,9 +242,11 @@ def irls(df: DataFrame, X: list[Column], y: Column, w: Column, family: str, link
                 if not np.isfinite(dev):
                     raise ValueError("GLM fit diverged (non-finite deviance)")
                 converged = prev is not None and abs(dev - prev[1]) <= tol * (abs(dev) + 0.1)
+                converged = converged or (family == "normal" and link == "identity")
                 prev = (beta, dev)
+                lost = int(r["lost"] or 0)
                 halvings = 0
-                if converged or (family == "normal" and link == "identity"):
+                if converged:
                     break
             A = np.zeros((p, p))
             b = np.zeros(p)
@@ -248,9 +255,11 @@ def irls(df: DataFrame, X: list[Column], y: Column, w: Column, family: str, link
                 for j in range(i, p):
                     A[i, j] = A[j, i] = r[f"a{i}_{j}"]
             beta = np.linalg.lstsq(A, b, rcond=None)[0]
+        if lost:
+            raise ValueError(f"GLM fit: {lost} rows have no finite working weight at the fitted values")
         final = prev[0] if prev is not None else beta
         return {"coef": np.asarray(final).tolist(), "deviance": float(prev[1]) if prev else float("nan"),
-                "iterations": it}
+                "iterations": it, "converged": converged}
     finally:
         data.unpersist()
 
@@ -262,12 +271,6 @@ def _linear(beta, xs) -> Column:
     return eta
 
 
-def _deviance(data, xs, beta, family, linv) -> float:
-    staged = data.select("y", "w", _linear(beta, xs).alias("eta"))
-    staged = staged.select("y", "w", linv(F.col("eta")).alias("mu"))
-    return float(staged.agg(F.sum(F.col("w") * deviance_resid(family, F.col("y"), F.col("mu")))).first()[0] or 0.0)
-
-
 @register_card("glm", "GLM")
 @dataclass(frozen=True)
 class GLMCard(Card):
@@ -281,6 +284,7 @@ class GLMCard(Card):
     partition: str | None = None
     suffix: str = "hat"
     theta: float = 1.0
+    iterations: int = 30
 
     def __post_init__(self):
         object.__setattr__(self, "formula", tuple(tuple(t) if isinstance(t, list) else t for t in self.formula))
@@ -328,11 +332,12 @@ class GLMCard(Card):
         X = design_columns(specs)
         w = qcol(self.weights) if self.weights else F.lit(1.0)
         complete = train.dropna(subset=vars_ + [self.target] + ([self.weights] if self.weights else []))
-        res = irls(complete, X, qcol(self.target), w, self.distribution, self.link_name, theta=self.theta)
+        res = irls(complete, X, qcol(self.target), w, self.distribution, self.link_name, theta=self.theta,
+                   iterations=self.iterations)
         cat_levels = {v: sorted(r[0] for r in complete.select(qcol(v)).distinct().collect())
                       for v in vars_ if not is_numerical(complete.schema[v].dataType)}
         return CardState(content={"coef": res["coef"], "columns": specs, "deviance": res["deviance"], "levels": cat_levels,
-                                  "iterations": res["iterations"]})
+                                  "iterations": res["iterations"], "converged": res["converged"]})
 
     def transform(self, df, state, id_var=None):
         specs = state.content["columns"]
@@ -355,4 +360,4 @@ class GLMCard(Card):
 
     def report(self, state):
         return {"coef": dict(zip([c["name"] for c in state.content["columns"]], state.content["coef"])),
-                "deviance": state.content.get("deviance")}
+                "deviance": state.content.get("deviance"), "converged": state.content.get("converged")}

@@ -174,24 +174,19 @@ def nelder_mead(f, x0, step=0.5, tol=1e-6, maxiter=200, lower=None):
     return pts[i], vals[i]
 
 
-def golden(f, lo=0.0, hi=10.0, tol=1e-5, maxiter=80):
-    gr = (math.sqrt(5) - 1) / 2
-    a, b = lo, hi
-    c, d = b - gr * (b - a), a + gr * (b - a)
-    fc, fd = f(c), f(d)
-    for _ in range(maxiter):
-        if abs(b - a) < tol * (1 + abs(a)):
-            break
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - gr * (b - a)
-            fc = f(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + gr * (b - a)
-            fd = f(d)
-    x = (a + b) / 2
-    return np.array([x]), f(x)
+def search_theta(f, first: float, tol: float, limit: int = 60) -> tuple[np.ndarray, float]:
+    """Minimum over theta >= 0: the bracket doubles until the minimum lies inside, then Brent's method.
+
+    A deviance that still falls after ``limit`` doublings has no finite minimum: raises.
+    """
+    lo, hi = 0.0, first
+    here, ahead = f(hi), f(2 * hi)
+    for _ in range(limit):
+        if ahead >= here:
+            return brent(f, lo, 2 * hi, tol=tol)
+        lo, hi, here = hi, 2 * hi, ahead
+        ahead = f(2 * hi)
+    raise ArithmeticError("the deviance falls without bound as the variance ratio grows")
 
 
 def brent(f, lo: float = 0.0, hi: float = 5.0, tol: float = 1e-3, maxiter: int = 60):
@@ -418,7 +413,7 @@ class MixedModelCard(Card):
         try:
             f = lambda th: profiled_deviance(groups, glob, th, p, q)[0]
             if q == 1:
-                theta, dev = brent(f, 0.0, 10.0, tol=1e-5)
+                theta, dev = search_theta(f, 5.0, tol=1e-5)
             else:
                 lower = np.full(q * (q + 1) // 2, -np.inf)
                 lower[[i * (i + 1) // 2 + i for i in range(q)]] = 0.0  # diagonal of L is non-negative
@@ -471,7 +466,7 @@ class MixedModelCard(Card):
                 return CardState(content={"beta": list(start), "theta": [0.0], "sigma2": None,
                                           "deviance": glm_fit["deviance"], "fixed": xspec, "random": zspec},
                                  tables={"blups": table})
-            theta, _ = brent(f, 0.0, 5.0, tol=1e-2)
+            theta, _ = search_theta(f, 2.0, tol=1e-2)
         else:
             lower = np.full(q * (q + 1) // 2, -np.inf)
             lower[[i * (i + 1) // 2 + i for i in range(q)]] = 0.0

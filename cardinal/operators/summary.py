@@ -48,7 +48,7 @@ class ColumnSummary:
     name: str
     kind: str  # "numerical" | "categorical"
     eltype: str
-    summary: object  # {"min":..,"max":..}, list of values, or None when too long to embed
+    summary: object  # {"min":..,"max":..} or the list of values
     values: DataFrame | None = None  # categorical: sorted distinct values, NULL last (distributed)
     n_distinct: int | None = None
 
@@ -67,27 +67,16 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(qcol(column).alias(column)).distinct().orderBy(asc(column))
 
 
-# Largest distinct list embedded in the summary metadata; larger categorical
-# summaries stay distributed DataFrames (``ColumnSummary.values``).
-DISPLAY_LEVELS = 10_000
-
-
-def summarize(df: DataFrame, display_levels: int = DISPLAY_LEVELS) -> list[ColumnSummary]:
+def summarize(df: DataFrame) -> list[ColumnSummary]:
     """Summary of every column (A1 + A2).
 
-    Numerical extrema come from one aggregation job.  Each categorical
-    column's sorted distinct values are a lazy DataFrame; the list itself is
-    materialised on the driver only after a distinct-count estimate bounds it
-    by ``display_levels`` (otherwise ``summary`` is ``None`` and the
-    caller pages through ``values``).
+    Numerical extrema come from one aggregation job.  A categorical column's
+    summary is, by definition, the list of all its distinct values; callers
+    that only want to page through them use ``distinct_values``.
     """
     fields = df.schema.fields
     num = [f.name for f in fields if is_numerical(f.dataType)]
     ext = numeric_extrema(df, num).first() if num else None
-    cats = [f.name for f in fields if f.name not in num]
-    # HyperLogLog estimates (one pass, no per-column expansion) decide what may be embedded
-    counts = (df.agg(*[F.approx_count_distinct(qcol(c), 0.02).alias(c) for c in cats]).first().asDict()
-              if cats else {})
     out = []
     for f in fields:
         if f.name in num:
@@ -95,10 +84,8 @@ def summarize(df: DataFrame, display_levels: int = DISPLAY_LEVELS) -> list[Colum
             out.append(ColumnSummary(f.name, "numerical", type_label(f.dataType), summ))
         else:
             values = distinct_values(df, f.name)
-            # +1: the estimate ignores NULL, the distinct list keeps it; 10% margin for the estimate
-            small = (counts[f.name] + 1) * 1.1 <= display_levels
-            summ = [r[0] for r in values.collect()] if small else None
-            out.append(ColumnSummary(f.name, "categorical", type_label(f.dataType), summ, values, counts[f.name]))
+            summ = [r[0] for r in values.collect()]
+            out.append(ColumnSummary(f.name, "categorical", type_label(f.dataType), summ, values, len(summ)))
     return out
 
 

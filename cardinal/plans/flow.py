@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import copy
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -83,39 +84,51 @@ class Node:
 
     # -- persistence (L16) -----------------------------------------------------
     def save(self, path: str) -> None:
-        """Card config + JSON state; keyed state tables as parquet beside it."""
-        tables = {}
+        """Card config + JSON state; keyed state tables as parquet beside it.
+
+        Everything goes to a new folder below ``path``, and the pointer
+        ``path/current`` is written last: a node may be saved over the place
+        its own tables are read from.
+        """
+        root = path.rstrip("/")
+        version = f"v-{uuid.uuid4().hex}"
         for name, t in self.state.tables.items():
-            tpath = f"{path.rstrip('/')}/{name}.parquet"
-            t.write.mode("overwrite").parquet(tpath)
-            tables[name] = tpath
+            t.write.parquet(f"{root}/{version}/{name}.parquet")
         doc = {"card": self.card.to_dict(), "train": self.train, "update": self.update, "label": self.label,
-               "state": {"content": self.state.content, "metadata": self.state.metadata, "tables": tables}}
+               "state": {"content": self.state.content, "metadata": self.state.metadata, "tables": list(self.state.tables)}}
+        text = json.dumps(doc, default=_json_default)
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps(doc, default=_json_default),)], "doc string") \
-            .coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/node.json")
+        spark.createDataFrame([(text,)], "doc string").coalesce(1).write.text(f"{root}/{version}/node.json")
+        spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Node":
-        doc = json.loads(spark.read.text(f"{path.rstrip('/')}/node.json").first()[0])
+        root = path.rstrip("/")
+        folder = f"{root}/{spark.read.text(f'{root}/current').first()[0]}"
+        doc = json.loads(spark.read.text(f"{folder}/node.json").first()[0])
         st = doc["state"]
-        tables = {k: spark.read.parquet(v) for k, v in st.get("tables", {}).items()}
+        tables = {k: spark.read.parquet(f"{folder}/{k}.parquet") for k in st.get("tables", [])}
         return cls(card_from_dict(doc["card"]), update=doc.get("update", True), train=doc.get("train", True),
                    label=doc.get("label"),
                    state=CardState(content=_restore(st["content"]), metadata=st.get("metadata", {}), tables=tables))
 
 
 def _json_default(o):
-    try:
-        import numpy as np
+    """Arrays, numpy scalars and dates have a JSON form; any other object cannot be saved."""
+    import datetime
+    import decimal
 
-        if isinstance(o, np.ndarray):
-            return {"__ndarray__": o.tolist()}
-        if isinstance(o, np.generic):
-            return o.item()
-    except ImportError:  # pragma: no cover
-        pass
-    return str(o)
+    import numpy as np
+
+    if isinstance(o, np.ndarray):
+        return {"__ndarray__": o.tolist()}
+    if isinstance(o, np.generic):
+        return o.item()
+    if isinstance(o, (datetime.date, datetime.datetime)):
+        return {"__date__" if type(o) is datetime.date else "__datetime__": o.isoformat()}
+    if isinstance(o, decimal.Decimal):
+        return {"__decimal__": str(o)}
+    raise TypeError(f"{type(o).__name__} cannot be saved as JSON")
 
 
 def _restore(o):
@@ -124,6 +137,13 @@ def _restore(o):
             import numpy as np
 
             return np.asarray(o["__ndarray__"])
+        if set(o) <= {"__date__", "__datetime__", "__decimal__"} and len(o) == 1:
+            import datetime
+            import decimal
+
+            (kind, text), = o.items()
+            return {"__date__": datetime.date.fromisoformat, "__datetime__": datetime.datetime.fromisoformat,
+                    "__decimal__": decimal.Decimal}[kind](text)
         return {k: _restore(v) for k, v in o.items()}
     if isinstance(o, list):
         return [_restore(v) for v in o]
@@ -209,13 +229,16 @@ class CardGraph:
         return df
 
     def train_evaljoin(self, df: DataFrame, id_var: str | None = None, *, incremental: bool = False,
-                       callback: Callable[[Node], None] | None = None) -> DataFrame:
+                       callback: Callable[[Node], None] | None = None,
+                       after_fit: Callable[[Node], None] | None = None) -> DataFrame:
         heights = self.update_heights() if incremental else None
         self._check_sources(df)
         for layer in self.layers(heights):
             # All fits of a layer read the same table; then all evaluations.
             for i in layer:
                 self.nodes[i].fit(df, id_var)
+                if after_fit:
+                    after_fit(self.nodes[i])
             for i in layer:
                 df = self.nodes[i].evaluate(df, id_var)
                 if callback:

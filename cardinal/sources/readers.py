@@ -26,8 +26,8 @@ FORMATS = {
     "parquet": "parquet",
 }
 
-# The default delimiter per delimited-text extension.
-DEFAULT_DELIM = {"csv": ",", "tsv": "\t", "txt": ","}
+# Delimited text has a comma by default, whatever its extension; ``delim`` says otherwise.
+DELIMITED = ("csv", "tsv", "txt")
 
 # strptime directive -> Spark datetime pattern letter(s).
 _STRPTIME = {
@@ -79,14 +79,16 @@ def list_files(spark: SparkSession, base: str, formats: Iterable[str] = tuple(FO
     metadata columns are read, never file contents.
     """
     exts = [e.lower() for e in formats]
-    root = os.path.abspath(base)
+    root = base if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", base) else os.path.abspath(base)
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
         .select("path", "length")
     )
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""), "^" + re.escape(root.rstrip("/")) + "/", "")
+    # Spark lists qualified paths: cut everything up to the base folder's own path.
+    own = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    rel = F.regexp_replace("path", r"^([A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?)?" + re.escape(own) + "/", "")
     ext = F.lower(F.regexp_extract(rel, r"\.([^./]+)$", 1))
     return listed.select(rel.alias("path"), "length").where(ext.isin(exts)).orderBy("path")
 
@@ -95,7 +97,7 @@ def _csv_options(ext: str, opts: Mapping[str, object]) -> tuple[dict, dict]:
     """Map reference CSV option names to Spark ones; return (reader, post-scan)."""
     reader: dict[str, object] = {
         "header": True,
-        "sep": DEFAULT_DELIM.get(ext, ","),
+        "sep": ",",
         "inferSchema": True,
         "ignoreLeadingWhiteSpace": True,
         "ignoreTrailingWhiteSpace": True,
@@ -126,7 +128,7 @@ def _csv_options(ext: str, opts: Mapping[str, object]) -> tuple[dict, dict]:
         elif key in ("auto_detect",):
             reader["inferSchema"] = bool(value)
         elif key == "sample_size":
-            post["sample_size"] = value
+            int(value)  # types are inferred from all rows, a superset of any sample
         elif key == "ignore_errors":
             reader["mode"] = "DROPMALFORMED" if value else "PERMISSIVE"
         elif key == "max_line_size":
@@ -134,13 +136,13 @@ def _csv_options(ext: str, opts: Mapping[str, object]) -> tuple[dict, dict]:
         elif key == "new_line":
             reader["lineSep"] = value
         elif key in ("columns", "types", "names", "normalize_names", "force_not_null",
-                     "decimal_separator", "allow_quoted_nulls", "skip"):
+                     "decimal_separator", "skip"):
             post[key] = value
-        elif key in ("null_padding", "parallel", "compression", "hive_partitioning", "union_by_name",
-                     "auto_type_candidates"):
-            post.setdefault("_ignored", []).append(key)
-        else:
-            reader[key] = value
+        elif key == "allow_quoted_nulls":
+            if not value:
+                raise ValueError("allow_quoted_nulls=False: Spark's reader does not tell quoted cells from others")
+        elif key not in ("null_padding", "parallel", "compression"):  # these need nothing here
+            raise ValueError(f"unknown CSV option {key!r}")
     return reader, post
 
 
@@ -195,73 +197,114 @@ def _file_stem():
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
 
 
+TIME_OF_DAY = r"^\s*\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*$"
+
+
+def _retyped(schema: T.StructType, kinds: Mapping[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in schema.fields])
+
+
+def _times_as_text(read, df: DataFrame) -> DataFrame:
+    """Columns of bare times of day as text: inference would give them today's date.
+
+    Only columns inferred as timestamps are looked at, in one more pass.
+    """
+    stamps = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    if not stamps:
+        return df
+    schema = _retyped(df.schema, dict.fromkeys(stamps, T.StringType()))
+    text = read(schema)
+    only = text.agg(*[F.every(qcol(c).rlike(TIME_OF_DAY)).alias(c) for c in stamps]).first()
+    times = [c for c in stamps if only[c]]
+    return read(_retyped(df.schema, dict.fromkeys(times, T.StringType()))) if times else df
+
+
+def _hive_options(r, files: Sequence[str], hive: bool):
+    """Partition columns from ``key=value`` folders, or none."""
+    if not hive:
+        return r.option("recursiveFileLookup", True)
+    above = {re.split(r"/[^/=]+=[^/]*/", f, maxsplit=1)[0] for f in files if re.search(r"/[^/=]+=[^/]*/", f)}
+    return r.option("basePath", above.pop()) if len(above) == 1 else r
+
+
+def _check(opts: Mapping[str, object], known: Iterable[str], fmt: str) -> None:
+    unknown = sorted(set(opts) - set(known))
+    if unknown:
+        raise ValueError(f"unknown {fmt} options: {unknown}")
+
+
 def _read_one_scan(spark: SparkSession, files: Sequence[str], fmt: str, opts: Mapping[str, object],
                    schema: T.StructType | None) -> tuple[DataFrame, dict]:
     opts = dict(opts)
-    hive = opts.pop("hive_partitioning", fmt == "parquet")
-    post: dict[str, object] = {}
-    if fmt in ("csv", "tsv", "txt"):
+    hive = bool(opts.pop("hive_partitioning", fmt == "parquet"))
+    if fmt in DELIMITED:
         reader_opts, post = _csv_options(fmt, opts)
         if "columns" in post:
             schema = _schema_from(post["columns"])
-            reader_opts["inferSchema"] = False
-        elif "types" in post and isinstance(post["types"], Mapping):
-            reader_opts["inferSchema"] = True
-        r = spark.read.options(**{k: v for k, v in reader_opts.items()})
-        if schema is not None:
-            r = r.schema(schema)
-        if "skip" in post and int(post["skip"]) > 0:
-            return _csv_with_skip(spark, files, reader_opts, int(post["skip"]), schema), post
-        df = r.csv(list(files))
-        if "types" in post and isinstance(post["types"], Mapping):
+
+        def read(own: T.StructType | None) -> DataFrame:
+            r = spark.read.options(**{**reader_opts, "inferSchema": reader_opts["inferSchema"] and own is None})
+            r = _hive_options(r if own is None else r.schema(own), files, hive)
+            if int(post.get("skip", 0)) > 0:
+                return _csv_with_skip(spark, files, r, int(post["skip"]))
+            return r.csv(list(files))
+
+        df = read(schema)
+        if schema is None and reader_opts["inferSchema"]:
+            df = _times_as_text(read, df)
+        types = post.get("types")
+        if types:
+            if not isinstance(types, Mapping):  # a list: by position
+                types = dict(zip(df.columns, types))
             df = df.select(*[
-                (qcol(c).cast(_TYPE_NAMES.get(str(post["types"][c]).lower(), str(post["types"][c]))).alias(c)
-                 if c in post["types"] else qcol(c)) for c in df.columns
+                (qcol(c).cast(_TYPE_NAMES.get(str(types[c]).lower(), str(types[c]))).alias(c) if c in types else qcol(c))
+                for c in df.columns
             ])
         return df, post
+    r = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "json":
-        r = spark.read
-        if opts.pop("format", None) == "array":
+        _check(opts, ("format", "ignore_errors", "compression", "maximum_sample_files", "maximum_object_size"), fmt)
+        if opts.get("format") == "array":
             r = r.option("multiLine", True)
-        if opts.pop("ignore_errors", False):
+        if opts.get("ignore_errors"):
             r = r.option("mode", "DROPMALFORMED")
-        for drop in ("compression", "maximum_sample_files", "maximum_object_size", "union_by_name"):
-            opts.pop(drop, None)
-        if schema is not None:
-            r = r.schema(schema)
-        return r.options(**opts).json(list(files)), post
+        return _hive_options(r, files, hive).json(list(files)), {}
     if fmt == "parquet":
-        r = spark.read
-        if opts.pop("binary_as_string", False):
-            spark.conf.set("spark.sql.parquet.binaryAsString", "true")
-        if opts.pop("union_by_name", False):
+        _check(opts, ("binary_as_string", "file_row_number", "merge_schema"), fmt)
+        if opts.get("merge_schema"):
             r = r.option("mergeSchema", True)
-        row_number = opts.pop("file_row_number", False)
-        opts.pop("encryption_config", None)
-        if schema is not None:
-            r = r.schema(schema)
-        df = r.options(**opts).parquet(*files)
-        if row_number:
+        df = _hive_options(r, files, hive).parquet(*files)
+        if opts.get("file_row_number"):
             df = df.withColumn("file_row_number", F.col("_metadata.row_index"))
-        del hive  # partition discovery is Spark's default for directories
-        return df, post
+        if opts.get("binary_as_string"):
+            df = df.withColumns({f.name: qcol(f.name).cast("string") for f in df.schema.fields
+                                 if isinstance(f.dataType, T.BinaryType)})
+        return df, {}
     raise ValueError(f"unsupported format {fmt!r}")
 
 
-def _csv_with_skip(spark, files, reader_opts, skip, schema):
-    """``skip`` n leading lines of each file, then parse as CSV."""
+def _csv_with_skip(spark: SparkSession, files: Sequence[str], reader, skip: int) -> DataFrame:
+    """``skip`` n leading lines of each file, then parse as CSV.
+
+    The lines of a file's first block are counted as they stream by: a split's
+    rows come in order, so no shuffle and no sort is needed.
+    """
     raw = spark.read.text(list(files)).select(
-        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
-    from pyspark.sql import Window
-    # Line index per file: the first split of a file starts at block 0; lines
-    # are numbered within it by their order in that split.
-    w = Window.partitionBy("_f", "_b").orderBy(F.monotonically_increasing_id())
-    lines = raw.withColumn("_ln", F.row_number().over(w)).where((F.col("_b") > 0) | (F.col("_ln") > skip))
-    ds = lines.select("value").rdd.map(lambda r: r[0])
-    r = spark.read.options(**reader_opts)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(ds)
+        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+
+    def beyond(batches):
+        seen: dict[str, int] = {}
+        for pdf in batches:
+            head = pdf["b"].eq(0)
+            place = pdf[head].groupby("f").cumcount() + pdf.loc[head, "f"].map(seen).fillna(0)
+            drop = place[place < skip].index
+            for f, n in pdf.loc[head, "f"].value_counts().items():
+                seen[f] = seen.get(f, 0) + int(n)
+            yield pdf.drop(index=drop)[["value"]]
+
+    lines = raw.mapInPandas(beyond, "value string")
+    text = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(text), spark)
 
 
 def load_files(
@@ -273,10 +316,15 @@ def load_files(
     filename: str | None = None,
     union_by_name: bool = False,
     base: str | None = None,
+    table: str | None = None,
+    virtual: bool = True,
     **options: object,
 ) -> DataFrame:
     """Load one or more files as a single DataFrame.
 
+    With ``table`` the result is also a temp view of that name, or a table of
+    the catalog if ``virtual`` is false.
+
     ``files`` may be a list of paths or the reference's request dict
     ``{"files": [...], "format": ..., <options>}``.  With ``filename="c"``
     the file stem (no extension) is added as column ``c``.
@@ -295,23 +343,25 @@ def load_files(
         files = [os.path.join(base, f) for f in files]
     fmt_key = infer_format(files, format)
     fmt = FORMATS.get(fmt_key, fmt_key)
-    ext_key = fmt_key if fmt_key in DEFAULT_DELIM else ("csv" if fmt == "csv" else fmt)
-
-    if union_by_name and len(files) > 1:
-        parts = []
-        for f in files:
-            df, post = _read_one_scan(spark, [f], ext_key, options, schema)
-            df = _apply_post(df, post)
-            if filename:
-                df = df.withColumn(filename, _file_stem())
-            parts.append(df)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
-
-    df, post = _read_one_scan(spark, files, ext_key, options, schema)
-    df = _apply_post(df, post)
-    if filename:
-        df = df.withColumn(filename, _file_stem())
-    return df
+    ext_key = fmt_key if fmt_key in DELIMITED else ("csv" if fmt == "csv" else fmt)
+
+    # One scan for all files, unless columns are to be matched by name.
+    groups = [[f] for f in files] if union_by_name else [list(files)]
+    parts = []
+    for own in groups:
+        df, post = _read_one_scan(spark, own, ext_key, options, schema)
+        df = _apply_post(df, post)
+        if filename:
+            if int(post.get("skip", 0)) > 0:
+                raise ValueError("filename and skip cannot be combined")
+            df = df.withColumn(filename, _file_stem())
+        parts.append(df)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    if table and virtual:
+        out.createOrReplaceTempView(table)
+    elif table:
+        out.write.mode("overwrite").saveAsTable(table)
+        out = spark.table(table)
+    return out

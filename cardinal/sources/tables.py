@@ -136,11 +136,9 @@ def execute_with_macros(spark: SparkSession, macros: Sequence[str], sql: str | C
     """Run a query with temporary SQL functions defined for its duration.
 
     Each macro is a ``name(arg type, ...) RETURNS type RETURN expr`` body.
-    The returned DataFrame is materialised into a checkpoint before the
-    functions are dropped, because a lazy plan would lose them.
+    The functions' bodies are part of the analysed plan, so the returned
+    DataFrame stays lazy and runs after they are dropped.
     """
-    from cardinal.session import reliable_checkpoint
-
     created = []
     try:
         for m in macros:
@@ -148,7 +146,8 @@ def execute_with_macros(spark: SparkSession, macros: Sequence[str], sql: str | C
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {m}")
             created.append(fname)
         df = execute(spark, sql, params) if isinstance(sql, str) else sql()
-        return reliable_checkpoint(df)
+        df.schema  # analysed while the functions exist
+        return df
     finally:
         for fname in created:
             spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {fname}")

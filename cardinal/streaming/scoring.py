@@ -44,21 +44,20 @@ def score_to_table(stream: DataFrame, nodes: Sequence[Node], name: str, id_var:
                    sink_path: str | None = None) -> DataFrame:
     """Run the scoring stream to completion (available-now trigger) and return the result.
 
-    With ``sink_path`` results are appended as parquet files (a durable sink,
-    exactly-once through the checkpoint); otherwise an in-memory table
-    ``name`` (for tests and small previews).
+    Results are appended as parquet files (a durable sink, exactly-once
+    through the checkpoint) in ``sink_path``, by default a fresh folder below the
+    shared checkpoint folder, and are registered as the view ``name``.
     """
     scored = apply_frozen(stream, nodes, id_var)
     spark = stream.sparkSession
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:8]}"
-    w = scored.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if sink_path:
-        q = w.format("parquet").option("path", sink_path).outputMode("append").start()
-        q.awaitTermination()
-        return spark.read.parquet(sink_path)
-    q = w.format("memory").queryName(name).outputMode("append").start()
-    q.awaitTermination()
-    return spark.table(name)
+    own = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    sink_path = sink_path or f"{own}/result"
+    query = (scored.writeStream.option("checkpointLocation", f"{own}/state").trigger(availableNow=True)
+             .format("parquet").option("path", sink_path).outputMode("append").start())
+    query.awaitTermination()
+    result = spark.read.schema(scored.schema).parquet(sink_path)
+    result.createOrReplaceTempView(name)
+    return result
 
 
 # Fixed-size batch iteration (T1) is distributed: see

@@ -1,73 +1,80 @@
-"""Parametric card configs (L2, N20): placeholders resolved against parameters.
+"""Parametric card configs (L2, N20): placeholders filled from parameters.
 
-A dict whose only key is a helper key is replaced:
+A dict with a placeholder's mark as its only key stands for values:
 
-* ``{"-v": name}``  -> ``params[name]``
-* ``{"-s": name}``  -> the list ``params[name]`` spliced into the enclosing list
-* ``{"-r": n}``     -> ``[1, ..., n]``
-* ``{"-j": [a, b]}`` -> every combination of the items (lists iterate, scalars
-  repeat; the last item varies fastest) joined with ``_``, spliced
+* ``{"-v": name}``      the parameter ``name``
+* ``{"-s": name}``      the elements of the parameter ``name``, one by one
+* ``{"-r": n}``         the list 1..n
+* ``{"-j": [a, b]}``    every combination of its parts joined with ``_``, one by
+  one (lists vary, the last one fastest; single values repeat)
 
-Children are resolved before their parent.  A helper's result is resolved
-again at most ``recursive`` more times.  Pure Python on small config dicts.
+Inside a list, one-by-one values take the placeholder's place; as the value of
+a key they become a list.  Arguments may hold placeholders.  What a placeholder
+gives is taken as it is, unless ``recursive`` allows it to be filled in turn,
+that many levels deep.  Plain Python on small config dicts.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from itertools import product
 from typing import Any
 
 
-class _Spliced(list):
-    """Values to be inserted into the enclosing list."""
+@dataclass(frozen=True)
+class Placeholder:
+    """What a mark stands for: ``values(argument, params)``, to be spread in a list or not."""
 
+    values: Callable[[Any, Mapping], list]
+    spread: bool
 
-def _join(items: list) -> _Spliced:
-    seqs = [x if isinstance(x, (list, tuple)) else [x] for x in items]
-    return _Spliced("_".join(str(v) for v in combo) for combo in itertools.product(*seqs))
 
+def _combinations(parts: Any, _params: Mapping) -> list:
+    axes = [part if isinstance(part, (list, tuple)) else (part,) for part in parts]
+    return ["_".join(map(str, row)) for row in product(*axes)]
 
-HELPERS = {
-    "-v": lambda arg, params: params[arg],
-    "-s": lambda arg, params: _Spliced(params[arg]),
-    "-r": lambda arg, params: list(range(1, int(arg) + 1)),
-    "-j": lambda arg, params: _join(list(arg)),
+
+# The marks.
+PLACEHOLDERS = {
+    "-v": Placeholder(lambda name, params: [params[name]], spread=False),
+    "-s": Placeholder(lambda name, params: list(params[name]), spread=True),
+    "-r": Placeholder(lambda n, params: [[k + 1 for k in range(int(n))]], spread=False),
+    "-j": Placeholder(_combinations, spread=True),
 }
 
 
-def _resolve(x: Any, params: Mapping, height: int) -> Any:
-    if isinstance(x, _Spliced):
-        return _Spliced(_resolve(list(x), params, height))
-    if isinstance(x, list):
-        out: list = []
-        for v in x:
-            r = _resolve(v, params, height)
-            if isinstance(r, _Spliced):
-                out.extend(r)
-            else:
-                out.append(r)
-        return out
-    if isinstance(x, Mapping):
-        d = _within(x, params, height)
-        if len(d) == 1:
-            (key, arg), = d.items()
-            if key in HELPERS:
-                res = HELPERS[key](arg, params)
-                height -= 1
-                return _resolve(res, params, height) if height >= 0 else res
-        return d
-    return x
-
-
-def _within(d: Mapping, params: Mapping, height: int) -> dict:
-    out = {}
-    for k, v in d.items():
-        r = _resolve(v, params, height)
-        out[k] = list(r) if isinstance(r, _Spliced) else r
-    return out
+class Filler:
+    """Walks a config; every element of it answers with the values it stands for."""
+
+    def __init__(self, params: Mapping):
+        self.params = params
+
+    def fill(self, element: Any, depth: int) -> tuple[list, bool]:
+        """(values, whether a list should take them one by one)."""
+        if isinstance(element, Mapping):
+            filled = {key: self.value(inner, depth) for key, inner in element.items()}
+            mark = next(iter(filled)) if len(filled) == 1 else None
+            if mark in PLACEHOLDERS:
+                return self.replace(PLACEHOLDERS[mark], filled[mark], depth)
+            return [filled], False
+        if isinstance(element, list):
+            return [[v for inner in element for v in self.fill(inner, depth)[0]]], False
+        return [element], False
+
+    def replace(self, placeholder: Placeholder, argument: Any, depth: int) -> tuple[list, bool]:
+        given = placeholder.values(argument, self.params)
+        if depth == 0:
+            return given, placeholder.spread
+        again = [self.fill(v, depth - 1) for v in given]
+        return [v for values, _ in again for v in values], placeholder.spread or any(s for _, s in again)
+
+    def value(self, element: Any, depth: int) -> Any:
+        values, spread = self.fill(element, depth)
+        return values if spread else values[0]
 
 
 def apply_helpers(config: Mapping, params: Mapping, recursive: int = 0) -> dict:
-    """Resolve all placeholders in ``config``."""
-    return _within(config, params, recursive)
+    """``config`` with all placeholders filled."""
+    filler = Filler(params)
+    return {key: filler.value(element, recursive) for key, element in config.items()}

@@ -610,7 +610,21 @@ _reg("factor_analysis_2d", _dr("factoranalysis"), None)
 _reg("pca_embeddings", pca_embeddings, None)
 _reg("lm_simple", lm_simple, LM_SIMPLE_SQL)
 _reg("lm_weighted", lm_weighted, LM_WEIGHTED_SQL)
-_reg("lm_categorical", lm_categorical, None)
+# Own intercept and slope per flag, one slope for tax: tax and price with quantity taken out within each flag.
+LM_CATEGORICAL_SQL = """
+WITH g AS (
+  SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mq, avg(l_tax) AS mt, avg(l_extendedprice) AS my,
+         regr_sxx(l_tax, l_quantity) AS qq, regr_sxx(l_quantity, l_tax) AS tt, regr_sxy(l_tax, l_quantity) AS tq,
+         regr_sxy(l_extendedprice, l_quantity) AS qy, regr_sxy(l_extendedprice, l_tax) AS ty
+  FROM lineitem GROUP BY l_returnflag
+), t AS (
+  SELECT sum(ty - tq * qy / qq) / sum(tt - tq * tq / qq) AS bt FROM g
+), c AS (
+  SELECT l_returnflag, bt, (qy - bt * tq) / qq AS bq, my - (qy - bt * tq) / qq * mq - bt * mt AS b0 FROM g JOIN t ON true
+)
+SELECT l_orderkey, l_linenumber, b0 + bq * l_quantity + bt * l_tax AS l_extendedprice_hat FROM lineitem JOIN c USING (l_returnflag)
+"""
+_reg("lm_categorical", lm_categorical, LM_CATEGORICAL_SQL)
 _reg("glm_poisson", glm_poisson, None)
 _reg("glm_gamma_weighted", glm_gamma_weighted, None)
 _reg("glm_binomial", glm_binomial, None)
@@ -619,9 +633,96 @@ _reg("interp_linear", _interp("linear", extrapolation_left="constant", extrapola
      INTERP_LINEAR_SQL)
 _reg("interp_constant", _interp("constant", extrapolation_left="constant", extrapolation_right="constant"),
      INTERP_CONSTANT_SQL)
-_reg("interp_quadratic", _interp("quadratic", extrapolation_left="linear", extrapolation_right="linear"), None)
-_reg("interp_pchip", _interp("pchip", extrapolation_left="constant", extrapolation_right="constant"), None)
-_reg("interp_akima", _interp("akima", extrapolation_left="extension", extrapolation_right="extension"), None)
+# Knots with two neighbours on each side, and every event between its brackets.
+_BRACKETS = """
+WITH k AS (
+  SELECT event_id::DOUBLE AS x, value AS y, lag(event_id::DOUBLE) OVER w AS xa, lag(value) OVER w AS ya,
+         lag(event_id::DOUBLE, 2) OVER w AS xb, lag(value, 2) OVER w AS yb, lead(event_id::DOUBLE) OVER w AS xc,
+         lead(value) OVER w AS yc, lead(event_id::DOUBLE, 2) OVER w AS xd, lead(value, 2) OVER w AS yd
+  FROM events WHERE event_type = 'purchase' WINDOW w AS (ORDER BY event_id)
+), s AS (
+  SELECT *, (ya - yb) / (xa - xb) AS sb, (y - ya) / (x - xa) AS sa, (yc - y) / (xc - x) AS sc, (yd - yc) / (xd - xc) AS sd FROM k
+), e AS (
+  SELECT *, {slope} AS m FROM s
+), p AS (
+  SELECT event_id, event_id::DOUBLE AS q FROM events
+), b AS (
+  SELECT p.event_id, p.q, l.x AS lx, l.y AS ly, l.xa AS lxa, l.ya AS lya, l.m AS lm,
+         h.x AS hx, h.y AS hy, h.xc AS hxc, h.yc AS hyc, h.m AS hm
+  FROM p ASOF LEFT JOIN e l ON p.q >= l.x ASOF LEFT JOIN e h ON p.q <= h.x
+)
+SELECT event_id, CASE WHEN lx IS NULL THEN {left} WHEN lx = q THEN ly WHEN hx IS NULL THEN {right} ELSE {inside} END AS value_hat
+FROM b
+"""
+_HERMITE = ("(2*pow((q-lx)/(hx-lx),3) - 3*pow((q-lx)/(hx-lx),2) + 1) * ly"
+            " + (pow((q-lx)/(hx-lx),3) - 2*pow((q-lx)/(hx-lx),2) + (q-lx)/(hx-lx)) * (hx-lx) * lm"
+            " + (-2*pow((q-lx)/(hx-lx),3) + 3*pow((q-lx)/(hx-lx),2)) * hy"
+            " + (pow((q-lx)/(hx-lx),3) - pow((q-lx)/(hx-lx),2)) * (hx-lx) * hm")
+
+
+def _parabola(*points):
+    terms = []
+    for i, (x, y) in enumerate(points):
+        (u, _), (v, _) = (pt for j, pt in enumerate(points) if j != i)
+        terms.append(f"{y} * ((q - {u}) * (q - {v})) / (({x} - {u}) * ({x} - {v}))")
+    return " + ".join(terms)
+
+
+_QUADRATIC_SQL = _BRACKETS.format(
+    slope="NULL::DOUBLE", left="hy + (hyc - hy) * (q - hx) / (hxc - hx)", right="lya + (ly - lya) * (q - lxa) / (lx - lxa)",
+    inside=f"CASE WHEN hxc IS NOT NULL THEN {_parabola(('lx', 'ly'), ('hx', 'hy'), ('hxc', 'hyc'))} "
+           f"ELSE {_parabola(('lxa', 'lya'), ('lx', 'ly'), ('hx', 'hy'))} END")
+
+
+def _pchip_end(h0, h1, d0, d1):
+    t = f"(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))"
+    return f"CASE WHEN sign({t}) <> sign({d0}) THEN 0.0 WHEN sign({d0}) <> sign({d1}) AND abs({t}) > 3 * abs({d0}) THEN 3 * {d0} ELSE {t} END"
+
+
+_PCHIP_SQL = _BRACKETS.format(
+    slope=f"CASE WHEN xa IS NULL THEN {_pchip_end('(xc - x)', '(xd - xc)', 'sc', 'sd')} "
+          f"WHEN xc IS NULL THEN {_pchip_end('(x - xa)', '(xa - xb)', 'sa', 'sb')} WHEN sa * sc <= 0 THEN 0.0 "
+          "ELSE (2*(xc-x) + (x-xa) + (xc-x) + 2*(x-xa)) / ((2*(xc-x) + (x-xa)) / sa + ((xc-x) + 2*(x-xa)) / sc) END",
+    left="hy", right="ly", inside=_HERMITE)
+_A = "coalesce(sa, 2*sc - sd)"
+_B = "coalesce(sb, CASE WHEN sa IS NULL THEN 3*sc - 2*sd ELSE 2*sa - sc END)"
+_C = "coalesce(sc, 2*sa - sb)"
+_D = "coalesce(sd, CASE WHEN sc IS NULL THEN 3*sa - 2*sb ELSE 2*sc - sa END)"
+_AKIMA_SQL = _BRACKETS.format(
+    slope=f"CASE WHEN abs({_D} - {_C}) + abs({_A} - {_B}) = 0 THEN ({_A} + {_C}) / 2 ELSE (abs({_D} - {_C}) * {_A} + "
+          f"abs({_A} - {_B}) * {_C}) / (abs({_D} - {_C}) + abs({_A} - {_B})) END",
+    left="hy + (q - hx) * hm", right="ly + (q - lx) * lm", inside=_HERMITE)
+
+_reg("interp_quadratic", _interp("quadratic", extrapolation_left="linear", extrapolation_right="linear"), _QUADRATIC_SQL)
+_reg("interp_pchip", _interp("pchip", extrapolation_left="constant", extrapolation_right="constant"), _PCHIP_SQL)
+_reg("interp_akima", _interp("akima", extrapolation_left="extension", extrapolation_right="extension"), _AKIMA_SQL)
+
+
+def _orders_knots(rule):
+    """Knots: the orders in the middle two thirds of the key range; the others lie beyond on both sides."""
+    def q(spark, d):
+        orders = _t(spark, d, "orders")
+        n = orders.agg(F.max("o_orderkey")).first()[0]
+        part = F.when(F.col("o_orderkey").between(n // 6, 5 * n // 6), 1).otherwise(2)
+        card = InterpCard(input="o_orderkey", targets=("o_totalprice",), method="linear", partition="partition",
+                          extrapolation_left=rule, extrapolation_right=rule)
+        return _card_eval(card, orders.withColumn("partition", part), "o_orderkey").select("o_orderkey", "o_totalprice_hat")
+    return q
+
+
+_FOLDED_SQL = """
+WITH n AS (SELECT max(o_orderkey) // 6 AS a, 5 * max(o_orderkey) // 6 AS z FROM orders),
+k AS (SELECT o_orderkey::DOUBLE AS x, o_totalprice AS y FROM orders, n WHERE o_orderkey BETWEEN a AND z),
+m AS (SELECT min(x) AS lo, max(x) AS hi, max(x) - min(x) AS span FROM k),
+p AS (SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN lo AND hi THEN o_orderkey::DOUBLE ELSE {fold} END AS q FROM orders, m),
+b AS (SELECT p.*, l.x AS lx, l.y AS ly, h.x AS hx, h.y AS hy
+      FROM p ASOF LEFT JOIN k l ON p.q >= l.x ASOF LEFT JOIN k h ON p.q <= h.x)
+SELECT o_orderkey, CASE WHEN lx = q THEN ly ELSE ly + (hy - ly) * ((q - lx) / (hx - lx)) END AS o_totalprice_hat FROM b
+"""
+_reg("interp_periodic", _orders_knots("periodic"),
+     _FOLDED_SQL.format(fold="lo + ((o_orderkey - lo) - span * floor((o_orderkey - lo) / span))"))
+_reg("interp_reflective", _orders_knots("reflective"),
+     _FOLDED_SQL.format(fold="lo + span - abs(((o_orderkey - lo) - 2 * span * floor((o_orderkey - lo) / (2 * span))) - span)"))
 _reg("interp_quadraticspline", _interp("quadraticspline", extrapolation_left="constant",
                                       extrapolation_right="constant"), None)
 _reg("interp_cubicspline", _interp("cubicspline", extrapolation_left="extension", extrapolation_right="extension"),
@@ -780,6 +881,35 @@ def _nn(targets, layers, epochs=4):
     return q
 
 
+# A network with given weights: prediction and validation are plain arithmetic.
+_NN_WEIGHTS = [[[0.5, -1.0], [2.0, 0.25]], [0.1, -0.2], [[1.5], [-0.75]], [0.3]]
+
+
+def _fixed_net():
+    from cardinal.plans.card import CardState
+
+    card = DenseNetCard(inputs=("l_discount", "l_tax"), targets=("l_quantity",), order_by=("l_orderkey",),
+                        layers=({"features": 2, "sigma": "relu"}, {"sigma": "identity"}),
+                        training=Training(metrics=("mae", "huber_loss")))
+    return card, CardState(content={"params": _NN_WEIGHTS, "acts": ["relu", "identity"], "levels": {}})
+
+
+def nn_predict(spark, d):
+    card, state = _fixed_net()
+    return card.transform(_t(spark, d, "lineitem"), state).select("l_orderkey", "l_linenumber", "l_quantity_hat")
+
+
+def nn_validate(spark, d):
+    card, state = _fixed_net()
+    got = card.validate(_t(spark, d, "lineitem"), state, split=1)
+    return spark.createDataFrame([(got["loss"], got["mae"], got["huber_loss"])], "loss double, mae double, huber_loss double")
+
+
+_NN_HAT = ("0.3 + 1.5 * greatest(0.1 + l_discount * 0.5 + l_tax * 2.0, 0) - 0.75 * greatest(-0.2 - l_discount + l_tax * 0.25, 0)")
+_reg("nn_predict", nn_predict, f"SELECT l_orderkey, l_linenumber, {_NN_HAT} AS l_quantity_hat FROM lineitem")
+_reg("nn_validate", nn_validate, f"""
+WITH e AS (SELECT abs(({_NN_HAT}) - l_quantity) AS e FROM lineitem)
+SELECT avg(e * e) AS loss, avg(e) AS mae, avg(CASE WHEN e < 1 THEN 0.5 * e * e ELSE e - 0.5 END) AS huber_loss FROM e""")
 _reg("nn_regression", _nn(("l_quantity",), ({"features": 5, "sigma": "relu"}, {"sigma": "identity"})), None)
 _reg("nn_classifier", _nn(("l_returnflag",), ({"features": 8, "sigma": "tanh"}, {"sigma": "identity"})), None)
 
@@ -901,6 +1031,70 @@ _reg("glmm_binomial", glmm_binomial, None)
 _reg("mixed_weighted", mixed_weighted, None)
 
 
+# ---------------------------------------------------------------------------
+# Files through load_files (S1, S2, S6, S7), the process flow (L21), an existing output column
+# ---------------------------------------------------------------------------
+
+from cardinal.plans.dashboard import process  # noqa: E402
+from cardinal.session import checkpoint_dir  # noqa: E402
+from cardinal.sources.readers import load_files  # noqa: E402
+from cardinal.sources.tables import export_table  # noqa: E402
+
+
+def _exported(spark, d, fmt):
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    orders = _t(spark, d, "orders").withColumn("opened", F.date_format(F.timestamp_seconds(F.col("o_orderkey") * 61), "HH:mm"))
+    export_table(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "opened"), path, format=fmt)
+    return path
+
+
+def load_csv(spark, d):
+    df = load_files(spark, [_exported(spark, d, "csv")], format="csv", nullstr="P")
+    return df.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "opened")
+
+
+def load_json(spark, d):
+    df = load_files(spark, [_exported(spark, d, "json")], format="json")
+    return df.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"), F.max("opened").alias("last"))
+
+
+_OPENED = "strftime(make_timestamp((o_orderkey * 61000000)::BIGINT), '%H:%M')"
+_reg("load_csv", load_csv, f"""SELECT o_orderkey::INTEGER AS o_orderkey, o_custkey::INTEGER AS o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice,
+  {_OPENED} AS opened FROM orders""")
+_reg("load_json", load_json, f"""SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS keys, max({_OPENED}) AS last
+  FROM orders GROUP BY o_orderstatus""")
+
+
+def process_flow(spark, d):
+    cards = [SplitCard(PercentileMethod(0.8), order_by=("o_orderdate",), group_by=("o_orderpriority",)),
+             RescaleCard("minmax", inputs=("o_totalprice",), partition="partition")]
+    out = process(_t(spark, d, "orders"), [ListFilter("o_orderstatus", ("F", "O"))], cards, order_rows_by=("o_orderkey",))
+    return out.select("_id", "o_orderkey", "partition", "o_totalprice_rescaled")
+
+
+_reg("process_flow", process_flow, """
+WITH i AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS _id FROM orders),
+s AS (SELECT *, CASE WHEN percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) <= 0.8 THEN 1 ELSE 2 END AS "partition"
+      FROM i WHERE o_orderstatus IN ('F', 'O')),
+m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM s WHERE "partition" = 1)
+SELECT _id, o_orderkey, "partition", (o_totalprice - lo) / (hi - lo) AS o_totalprice_rescaled FROM s JOIN m ON true""")
+
+
+def cluster_existing_column(spark, d):
+    from cardinal.plans.card import CardState
+
+    cust = _t(spark, d, "customer").withColumn("part", (F.col("c_custkey") % 3).cast("int")).withColumn("cluster", -F.col("c_custkey"))
+    card = ClusterCard(KMeansMethod(2), inputs=("c_acctbal",), partition="part")
+    return card.transform(cust, CardState(content={"centres": [[0.0], [6000.0]]})).select("c_custkey", "cluster")
+
+
+_reg("cluster_existing_column", cluster_existing_column, """
+SELECT c_custkey, CASE WHEN c_custkey % 3 <> 1 THEN -c_custkey WHEN abs(c_acctbal) <= abs(c_acctbal - 6000) THEN 1 ELSE 2 END::BIGINT AS cluster
+FROM customer""")
+
+
 # ---------------------------------------------------------------------------
 # Training-data pipeline: present only with its subpackage and corpus_pipeline.py
 # ---------------------------------------------------------------------------

@@ -290,14 +290,33 @@ def _quad(x, pts):
 
 
 INTERP_METHODS = ("constant", "linear", "quadratic", "quadraticspline", "pchip", "akima", "cubicspline")
-EXTRAPOLATIONS = ("none", "constant", "linear", "extension")
+EXTRAPOLATIONS = ("none", "constant", "linear", "extension", "periodic", "reflective")
+
+
+def folded(x: Column, knots: DataFrame, left: str, right: str) -> Column:
+    """Inputs beyond the knots brought back among them, where the side's rule is periodic or reflective."""
+    if not {left, right} & {"periodic", "reflective"}:
+        return x
+    low, high = knots.agg(F.min("x"), F.max("x")).first()
+    if low is None or low == high:
+        return x
+    span = high - low
+
+    def back(rule):
+        if rule == "periodic":
+            return F.lit(low) + F.pmod(x - F.lit(low), F.lit(span))
+        if rule == "reflective":
+            return F.lit(low) + F.lit(span) - F.abs(F.pmod(x - F.lit(low), F.lit(2 * span)) - F.lit(span))
+        return x
+
+    return F.when(x < F.lit(low), back(left)).when(x > F.lit(high), back(right)).otherwise(x)
 
 
 def interpolate(df: DataFrame, input: str, targets: list[str], outputs: list[str], knots: DataFrame,
                 method: str = "linear", dir: str = "left", extrapolation_left: str = "none",
                 extrapolation_right: str = "none") -> DataFrame:
     x = numeric_input(qcol(input), df.schema[input].dataType)
-    br = asof_brackets(df, x, knots)
+    br = asof_brackets(df, folded(x, knots, extrapolation_left, extrapolation_right), knots)
     X = F.col(_X)
     lo, hi = F.col("_ip_lo"), F.col("_ip_hi")
     exprs = []
@@ -344,7 +363,7 @@ def interpolate(df: DataFrame, input: str, targets: list[str], outputs: list[str
         def extra(rule, end, piece):
             if rule == "none":
                 return F.raise_error(F.lit(f"input {input!r} outside the knot range and extrapolation is none"))
-            if rule == "constant":
+            if rule in ("constant", "periodic", "reflective"):  # folded inputs lie among the knots
                 return end
             return piece
 

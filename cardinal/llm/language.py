@@ -161,7 +161,7 @@ def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS, reject_
     for r in per:
         rate = F.when(F.col("lang") == r["lang"], F.lit(sample_rows / len(per) / r["n"])).otherwise(rate)
     draw = (F.xxhash64(F.lit(seed), "text") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
-    picked = rows.where(draw < rate)
+    picked = rows.where(draw < rate).dropDuplicates(["lang", "text"])  # copies of a drawn text count once
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [(lang.as_py(), *hashed_counts(text.as_py())) for text, lang in zip(*batch.columns, strict=True)

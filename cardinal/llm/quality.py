@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardinal.llm.common import arrow_map
+from cardinal.llm.common import arrow_map, reliable_checkpoint
+from cardinal.operators.joins import broadcast_if_bounded
 
 DIM, WIDTH, STEP, HALF, FILTERS = 6, 16, 4, 128, 24
 EPOCHS, BATCH, RATE = 10, 32, 4e-3
@@ -175,15 +176,26 @@ def backward(p: dict, grad: dict, grid: np.ndarray, label: float, batch: int) ->
         grad["emb"][:, d] += np.bincount(flat, weights=d_vec[:, d], minlength=256)
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, text_col: str = "text",
-        label_col: str = "quality", seed: int = 0) -> QualityModel:
-    """Learn from rows with a label of 0 or 1."""
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.where("text is not null and label in (0, 1)")
-    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS,
+        sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+        seed: int = 0) -> QualityModel:
+    """Learn from the rows of ``docs`` where ``usable`` is true and whose id has a label of 0 or 1 in ``labels``.
+
+    Ids and sizes alone meet the labels and are drawn (an id counts once);
+    only the texts of the drawn ids, a bounded number, are read out.
+    """
+    own = docs.where(usable & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.octet_length(F.col(text_col).cast("string")).cast("long").alias("size"))
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    drawn = own.groupBy("id").agg(F.max("size").alias("size")).join(marks.groupBy("id").agg(F.max("label").alias("label")), "id")
+    drawn = reliable_checkpoint(drawn)
+    n, size = drawn.agg(F.count(F.lit(1)), F.sum("size")).first()
     rate = min(1.0, sample_rows / max(n, 1), sample_bytes / max(size or 0, 1))
-    draw = (F.xxhash64(F.lit(seed), "text") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
-    return learn(sorted((r["label"], r["text"]) for r in rows.where(draw < F.lit(rate)).collect()), seed)
+    draw = (F.xxhash64(F.lit(seed), "id") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
+    picked, _ = broadcast_if_bounded(drawn.where(draw < F.lit(rate)).select(F.col("id").alias("_id"), "label"), 10 * sample_rows)
+    texts = docs.where(usable & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).cast("string").alias("_text"))
+    texts = texts.join(picked, F.col(id_col) == F.col("_id")).groupBy("_id").agg(F.max("label").alias("label"), F.max("_text").alias("text"))
+    return learn(sorted((r["label"], r["text"]) for r in texts.select("label", "text").collect()), seed)
 
 
 def score_texts(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text",

@@ -27,8 +27,7 @@ def op1_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
     """Fitted on labelled documents outside the held-out fold."""
-    seen = docs.where(fold() != 0).select(F.col("doc_id").alias("_doc"), "text")
-    return quality.fit(seen.join(labels.select("doc_id", "quality"), F.col("_doc") == F.col("doc_id")))
+    return quality.fit(docs, labels, fold() != 0)
 
 
 def op2_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,9 +91,20 @@ def test_quality_awkward(spark, toy_quality):
     kept = quality.keep_good(df, toy_quality, threshold=0.0)
     assert kept.columns == df.columns and kept.count() == df.count()
     assert quality.score_texts(empty(spark), toy_quality).count() == 0
-    labelled = df.withColumn("quality", F.lit(1))
-    assert quality.fit(labelled).score("anything") == 1.0
-    assert quality.fit(labelled.limit(0)).score("anything") == 0.5
+    ones = df.select("doc_id", F.lit(1).alias("quality"))
+    assert quality.fit(df, ones, F.lit(True)).score("anything") == 1.0
+    assert quality.fit(df, ones.limit(0), F.lit(True)).score("anything") == 0.5
+    assert quality.fit(empty(spark), ones, F.lit(True)).score("anything") == 0.5
+
+
+def test_samples_stay_bounded_when_one_id_or_text_is_hot(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda sample, seed: seen.append(len(sample)))
+    monkeypatch.setattr(language, "learn", lambda sample, *_: seen.append(len(sample)))
+    df = docs(spark, [(7, "the same text", "en", "a")] * 400 + [(i, f"text number {i}", "en", "a") for i in range(100, 120)])
+    quality.fit(df, df.select("doc_id", F.lit(1).alias("quality")), F.lit(True))
+    language.fit(df, F.lit(True))
+    assert seen == [21, 21]
 
 
 # -- language ---------------------------------------------------------------

@@ -121,7 +121,7 @@ def seed_centres(feats: DataFrame, k: int, dist: Dissimilarity, partitions: int,
         total = costs.agg(F.sum("c")).first()[0]
         if not total:
             break
-        draw = (F.xxhash64(F.lit(seed), F.lit(step), "x") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
+        draw = F.rand(seed + step)  # for each row: equal rows are drawn independently
         more = costs.where(draw < F.col("c") * (OVERSAMPLE * k / total)).select("x").distinct().collect()
         if more:
             drawn = np.unique(np.vstack([drawn, np.asarray([r["x"] for r in more], dtype=float)]), axis=0)

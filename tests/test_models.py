@@ -349,3 +349,48 @@ def test_lloyd_step_adds_all_partitions(spark):
     exp = np.array([X[lab == j].sum(0) for j in range(5)])
     for got in (a, b):
         assert np.allclose(got[0], exp) and np.allclose(got[1], np.bincount(lab, minlength=5))
+
+
+def test_variance_ratio_has_no_upper_bound(spark):
+    from cardinal.operators.mixed import MixedModelCard
+
+    rng = np.random.default_rng(4)
+    shift = rng.normal(0, 50, 40)
+    rows = [(g, float(shift[g] + rng.normal())) for g in range(40) for _ in range(12)]
+    df = spark.createDataFrame(rows, "g int, y double")
+    state = MixedModelCard(target="y", fixed=(1,), random=(1,), group="g").fit(df)
+    assert 30 < state.content["theta"][0] < 80 and 0.8 < state.content["sigma2"] < 1.2
+
+
+def test_logit_is_stable_far_out(spark):
+    from cardinal.operators.glm import link_fns
+
+    _, inverse, slope = link_fns("logit")
+    rows = spark.createDataFrame([(-800.0,), (0.0,), (800.0,)], "e double").select(inverse(F.col("e")).alias("m"), slope(F.col("e")).alias("d")).collect()
+    assert [round(r.m, 12) for r in rows] == [0.0, 0.5, 1.0] and all(r.d > 0 for r in rows) and rows[1].d == 0.25
+
+
+def test_glm_reports_convergence(spark):
+    df = spark.createDataFrame([(float(x), int(x > 0)) for x in range(-10, 11)], "x double, y int")
+    card = glm.GLMCard(target="y", formula=(1, "x"), distribution="binomial", iterations=4)
+    assert card.fit(df).content["converged"] is False  # separable: no finite optimum
+    assert glm.GLMCard(target="x", formula=(1, "y")).fit(df).content["converged"] is True
+
+
+def test_arrays_of_different_lengths_are_refused(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0],)], "v array<double>")
+    with pytest.raises(ValueError, match="2 to 3"):
+        cluster.feature_columns(df, ["v"])
+
+
+def test_seeds_come_from_all_rows(spark):
+    df = spark.createDataFrame([(float(c * 100 + i % 3),) for c in range(3) for i in range(400 if c < 2 else 2)], "x double").repartition(5)
+    centres = np.sort(cluster.kmeans_fit(df, ["x"], 3)["centres"].ravel())
+    assert np.allclose(centres, [1.0, 101.0, 200.5], atol=0.6)
+
+
+def test_summary_lists_every_level(spark):
+    from cardinal.operators.summary import summarize
+
+    got = summarize(spark.range(20_000).selectExpr("concat('k', id) as k"))[0]
+    assert len(got.summary) == got.n_distinct == 20_000

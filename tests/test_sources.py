@@ -14,8 +14,8 @@ from tests.conftest import table
 @pytest.fixture(scope="module")
 def files(spark):
     base = tempfile.mkdtemp(prefix="cardinal-src-")
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "x long, y string")
-    df2 = spark.createDataFrame([(4, "d"), (5, "e"), (6, "f")], "x long, y string")
+    df = spark.createDataFrame([(31, "peru"), (17, "chad"), (8, "oman")], "x long, y string")
+    df2 = spark.createDataFrame([(40, "fiji"), (2, "mali")], "x long, y string")
     out = {}
     for fmt in ("csv", "json", "parquet"):
         for i, d in enumerate((df, df2)):
@@ -29,7 +29,7 @@ def files(spark):
             os.link(part, dest)
             out.setdefault(fmt, []).append(dest)
     with open(os.path.join(base, "dates.csv"), "w") as f:
-        f.write("row, date, time\n1, 12/9/2023, 15:25\n2, 1/31/2024, 08:05\n")
+        f.write("trip, left, at, seen\n70, 28.02.2019, 6:40, 2019-02-28 06:41:00\n71, 01.03.2019, 23:07:30, 2019-03-02 00:00:00\n")
     out["dates"] = os.path.join(base, "dates.csv")
     out["base"] = base
     return out
@@ -39,10 +39,10 @@ def files(spark):
 def test_two_files_one_scan_with_filename(spark, files, fmt):
     df = readers.load_files(spark, files[fmt], filename="file")
     rows = sorted((r.x, r.y, r.file) for r in df.collect())
-    assert [r[0] for r in rows] == [1, 2, 3, 4, 5, 6]
+    assert [r[0] for r in rows] == [2, 8, 17, 31, 40]
     assert {r[2] for r in rows} == {"file1", "file2"}
     req = readers.load_files(spark, {"files": [os.path.basename(p) for p in files[fmt]]}, base=files["base"])
-    assert req.count() == 6
+    assert req.count() == 5
 
 
 def test_union_by_name(spark, files, tmp_path):
@@ -56,12 +56,37 @@ def test_union_by_name(spark, files, tmp_path):
     assert got == [(1, "a", None), (2, "b", 9.0)]
 
 
-def test_csv_dates_with_strptime_format(spark, files):
-    assert readers.strptime_to_spark("%m/%d/%Y") == "M/d/yyyy"
-    df = readers.load_files(spark, [files["dates"]], dateformat="%m/%d/%Y",
-                            columns={"row": "int", "date": "date", "time": "string"})
-    rows = df.orderBy("row").collect()
-    assert str(rows[0].date) == "2023-12-09" and rows[1].time == "08:05"
+def test_dates_times_of_day_and_stamps(spark, files):
+    assert readers.strptime_to_spark("%d.%m.%Y") == "d.M.yyyy"
+    df = readers.load_files(spark, [files["dates"]], dateformat="%d.%m.%Y", columns={
+        "trip": "int", "left": "date", "at": "string", "seen": "datetime"})
+    assert [str(r.left) for r in df.orderBy("trip").collect()] == ["2019-02-28", "2019-03-01"]
+    inferred = readers.load_files(spark, [files["dates"]])
+    assert dict(inferred.dtypes)["at"] == "string" and dict(inferred.dtypes)["seen"].startswith("timestamp")
+    assert [r["at"] for r in inferred.orderBy("trip").collect()] == ["6:40", "23:07:30"]
+
+
+def test_partition_folders_are_a_switch(spark, tmp_path):
+    table(spark, "nation").select("n_nationkey", "n_regionkey").write.partitionBy("n_regionkey").parquet(str(tmp_path / "p"))
+    assert set(readers.load_files(spark, [str(tmp_path / "p")], format="parquet").columns) == {"n_nationkey", "n_regionkey"}
+    off = readers.load_files(spark, [str(tmp_path / "p")], format="parquet", hive_partitioning=False)
+    assert off.columns == ["n_nationkey"] and off.count() == 25
+    leaf = glob.glob(str(tmp_path / "p" / "n_regionkey=2" / "*.parquet"))
+    assert {r.n_regionkey for r in readers.load_files(spark, leaf, format="parquet").collect()} == {2}
+    table(spark, "nation").select("n_nationkey", "n_regionkey").write.partitionBy("n_regionkey").json(str(tmp_path / "j"))
+    assert readers.load_files(spark, [str(tmp_path / "j")], format="json").columns == ["n_nationkey"]
+
+
+def test_delimiters_unknown_options_and_named_results(spark, tmp_path):
+    p = tmp_path / "rows.tsv"
+    p.write_text("k,v\n9,x\n")
+    assert readers.load_files(spark, [str(p)], table="rows_view").columns == ["k", "v"]
+    assert spark.table("rows_view").count() == 1
+    p.write_text("k\tv\n9\tx\n")
+    assert readers.load_files(spark, [str(p)], delim="\t").columns == ["k", "v"]
+    for fmt, name in (("csv", "rows.tsv"), ("json", "rows.json"), ("parquet", "rows.parquet")):
+        with pytest.raises(ValueError, match="unknown"):
+            readers.load_files(spark, [str(tmp_path / name)], format=fmt, no_such_option=1)
 
 
 def test_list_files(spark, files):
@@ -70,22 +95,22 @@ def test_list_files(spark, files):
 
 
 def test_export_csv_bytes(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "x long, y string").coalesce(1)
+    df = spark.createDataFrame([(5, "nut, dry"), (-2, None)], "x long, y string").coalesce(1)
     tables.export_table(df.orderBy("x"), str(tmp_path / "out.csv"))
     part = glob.glob(str(tmp_path / "out.csv" / "part-*.csv"))[0]
-    assert open(part).read() == "x,y\n1,a\n2,b\n3,c\n"
+    assert open(part).read() == 'x,y\n-2,\n5,"nut, dry"\n'
     tables.export_table(df.where("false"), str(tmp_path / "empty.csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "empty.csv")).count() == 0
 
 
 def test_macros_are_dropped(spark):
-    spark.createDataFrame([(12, 3)], "i long, j long").createOrReplaceTempView("tbl")
-    out = tables.execute_with_macros(spark, ["f(x BIGINT, y BIGINT) RETURNS BIGINT RETURN x + y",
-                                             "g(x BIGINT) RETURNS BIGINT RETURN x * 2"],
-                                     "SELECT f(i, j) AS a, g(i) AS b FROM tbl")
-    assert [tuple(r) for r in out.collect()] == [(15, 24)]
+    table(spark, "region").createOrReplaceTempView("region_v")
+    out = tables.execute_with_macros(spark, ["square(n BIGINT) RETURNS BIGINT RETURN n * n",
+                                             "less(n BIGINT, m BIGINT) RETURNS BOOLEAN RETURN n < m"],
+                                     "SELECT r_regionkey AS k, square(r_regionkey) AS s, less(r_regionkey, 2) AS l FROM region_v")
+    assert sorted(tuple(r) for r in out.where("k > 0").collect()) == [(1, 1, True), (2, 4, False), (3, 9, False), (4, 16, False)]
     with pytest.raises(Exception):
-        spark.sql("SELECT f(1, 2)").collect()
+        spark.sql("SELECT square(3)").collect()
 
 
 def test_node_save_load_roundtrip(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardinal.session import checkpoint_dir, reliable_checkpoint
@@ -79,37 +79,46 @@ def seeded_ranks(df: DataFrame, group: str, key: str, ties: Sequence[str], bits:
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 200) -> DataFrame:
     """Connected components: (``node``, ``component`` = smallest node reachable), for nodes with an edge.
 
-    Alternating large-star and small-star steps; each step keeps the
-    components, is one pre-aggregated shuffle, and ends with a star around
-    each component's smallest node.  Steps are checkpointed in the shared
-    folder.  Reaching ``max_rounds`` raises instead of returning a partial result.
+    Alternating large-star and small-star steps; both keep the components
+    and never add edges, and they end with a star around each component's
+    smallest node.  Every round is checkpointed in the shared folder and
+    observed on the way, so that an unchanged round ends the loop.  Reaching
+    ``max_rounds`` raises instead of returning a partial result.
     """
     cur = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u != v").distinct()
-    cur = reliable_checkpoint(cur)
-    state = None
+    cur, state = observed(cur)
     for _ in range(max_rounds):
+        if not state[0]:
+            break
         # Large star: every neighbour larger than the node points to the node's smallest neighbour.
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        both = cur.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
+        both = both.select("e.u", "e.v")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.distinct()
         # Small star: the node and its smaller neighbours point to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        nxt = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-               .union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        nxt = reliable_checkpoint(nxt)
-        # The pairs (node, smaller neighbour) can only move down: an unchanged set is a fixed point.
-        now = tuple(nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        ends = F.explode(F.array(F.col("u"), F.col("v"))).alias("u")
+        small = large.join(low, "u").select(ends, F.col("m").alias("v")).where("u != v").distinct()
+        # Pairs (node, smaller neighbour) only move down: an unchanged set is a fixed point.
+        nxt, now = observed(small)
         if now == state:
             break
-        state, cur = now, nxt
+        cur, state = nxt, now
     else:
         raise RuntimeError("components did not settle")
     return (cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
+def observed(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """The pairs (u, v), checkpointed, with their number and the sum of their hashes."""
+    seen = Observation()
+    kept = reliable_checkpoint(pairs.observe(seen, F.count(F.lit(1)).alias("n"),
+                                             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    got = seen.get
+    return kept, (got["n"], got["h"])
+
+
 def shuffle_key(seed: int, *parts: Column) -> Column:
     """A uniform non-negative 63-bit number of the parts and the seed: the first 60 bits of an MD5, times 8."""
     said = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

@@ -15,9 +15,11 @@ probability 7e-5, of 0.9 with 1e-10).
 3. Candidate pairs are confirmed on the full sets, which are made from the
    texts of candidates only.
 4. Members of a bucket that are still in different components have to be
-   compared with each other, too.  Their number is counted first; while it is
-   large, further stars shrink it.  All that is left is compared, so no
-   candidate pair is given up.
+   compared with each other, too, and there may be many in a group of middling
+   likeness.  They are dealt to bounded blocks; blocks that meet in a bucket
+   are compared as wholes, by one product of their incidence matrices, and
+   report only links that connect components.  So no candidate pair is given
+   up, and pairs are never listed.
 5. Components of the confirmed links, by the smallest id.
 
 Cases: a null or empty text has 0 shingles and links with nothing; an id that
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardinal.llm.common import arrow_map, components, free_name, reliable_checkpoint
@@ -39,7 +41,8 @@ from cardinal.operators.joins import broadcast_if_bounded
 
 PERMUTATIONS, ROWS = 64, 5
 BANDS = 2 * PERMUTATIONS // ROWS
-MAX_STARS = 4
+BLOCK_TEXTS, BLOCK_SHINGLES = 128, 100_000
+COLUMNS = 50_000  # of an incidence matrix at a time
 MAX_BROADCAST_IDS = 1_000_000  # 8-byte ids: beyond, Spark joins by shuffling
 
 _rng = np.random.default_rng(11)
@@ -99,20 +102,28 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                      f"id {kind}, n_shingles bigint, x bigint, y bigint, bands array<bigint>")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = reliable_checkpoint(pairs)
-    wanted = pairs.select(F.col("a").alias("_c")).union(pairs.select("b")).distinct()
-    wanted, _ = broadcast_if_bounded(wanted, MAX_BROADCAST_IDS)
+def sets_of(docs: DataFrame, ids: DataFrame, n: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, s): the full set of each text whose id is in ``ids`` (column _c, at most n rows), checkpointed."""
+    if n <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    texts = texts.join(wanted, F.col("id") == F.col("_c"), "left_semi")
+    texts = texts.join(ids, F.col("id") == F.col("_c"), "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [s.tobytes() for s in shingle_sets(raw_texts(batch.column(1)), words)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
-    sets = reliable_checkpoint(arrow_map(texts, make, f"id {kind}, s binary").dropDuplicates())
+    return reliable_checkpoint(arrow_map(texts, make, f"id {kind}, s binary").dropDuplicates())
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The (checkpointed) pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    n = pairs.count()
+    if not n:
+        return pairs
+    kind = docs.schema[id_col].dataType.simpleString()
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct(), 2 * n, words, id_col, text_col)
 
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
@@ -125,7 +136,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col:
     one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
-    return reliable_checkpoint(arrow_map(met, test, f"a {kind}, b {kind}").distinct())
+    return arrow_map(met, test, f"a {kind}, b {kind}")
 
 
 def comparable(percent: int, n: str = "n", m: str = "m"):
@@ -133,58 +144,113 @@ def comparable(percent: int, n: str = "n", m: str = "m"):
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
 
 
-def star_pairs(members: DataFrame, order, percent: int) -> DataFrame:
-    """Distinct (a, b) of every member with its bucket's pivot, the largest by ``order``."""
-    pivots = members.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("id").alias("p"), F.col("n").alias("m"),
-                                                       F.col("component").alias("pc"))).alias("z"))
-    met = members.join(pivots.select("key", "z.p", "z.m", "z.pc"), "key")
-    met = met.where((F.col("component") != F.col("pc")) & comparable(percent))
-    return met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-
-
-def with_components(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components, with their component."""
-    found = components(links)
-    joined = members.drop("component").join(found, F.col("id") == F.col("node"), "left").drop("node")
+def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their component."""
+    joined = members.join(found, F.col("id") == F.col("node"), "left").drop("node")
     joined = joined.withColumn("component", F.coalesce("component", "id"))
     open_keys = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     return reliable_checkpoint(joined.join(open_keys.where("lo != hi").select("key"), "key"))
 
 
-def open_pairs(members: DataFrame) -> int:
-    """How many pairs of members of one bucket lie in different components."""
-    per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    per = per.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("cc"))
-    return int(per.agg(F.sum(F.expr("(c * c - cc) / 2"))).first()[0] or 0)
-
-
-def links_of(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links (a, b) between class representatives that give the components of all candidate links."""
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` components after more links (a, b) between nodes or components."""
+    joins = components(links)
+    top = joins.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = found.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    fresh = joins.join(found.select("node"), "node", "left_anti")
+    return reliable_checkpoint(moved.union(fresh.select("node", "component")))
+
+
+def in_blocks(left: DataFrame) -> DataFrame:
+    """``id``, ``component``, ``block`` of open members: those of one family (the heaviest pivot they meet) are dealt
+    by a hash to blocks of about BLOCK_TEXTS texts and BLOCK_SHINGLES shingles."""
+    own = left.groupBy("id").agg(F.max(F.struct("pw", "p")).alias("f"), F.max("n").alias("n"), F.first("component").alias("component"))
+    own = own.select("id", "n", "component", F.col("f.p").alias("f"))
+    parts = own.groupBy("f").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    block = F.concat_ws(":", F.col("f").cast("string"), F.pmod(F.xxhash64("id"), "parts").cast("string"))
+    return reliable_checkpoint(own.join(parts, "f").select("id", "component", block.alias("block")))
+
+
+def block_links(ids_a, comp_a, sets_a, ids_b, comp_b, sets_b, percent: int):
+    """Links (component, component) found between two blocks, enough of them to connect what is linked."""
+    size_a, size_b = (np.array([len(s) for s in sets]) for sets in (sets_a, sets_b))
+    shared = np.intersect1d(np.concatenate(sets_a), np.concatenate(sets_b))
+    both = np.zeros((len(sets_a), len(sets_b)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        part = shared[at:at + COLUMNS]
+        hot = []
+        for sets in (sets_a, sets_b):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                own = s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], "right")]
+                place = np.searchsorted(part, own)
+                m[i, place[part[place] == own]] = 1
+            hot.append(m)
+        both += hot[0] @ hot[1].T
+    near = (both > 0) & (100 * both >= percent * (size_a[:, None] + size_b[None, :] - both))
+    root: dict = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(near), strict=True):
+        x, y = top(comp_a[i]), top(comp_b[j])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            yield min(x, y), max(x, y)
+
+
+def rest_links(docs: DataFrame, left: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between the components of open members: blocks that meet in a bucket are compared as wholes."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    placed = in_blocks(left)
+    met = left.select("key", "id").join(placed, "id").groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    other = met.select("key", F.col("block").alias("block_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    pairs = met.withColumnRenamed("block", "block_a").join(other, "key").where(
+        (F.col("block_a") <= F.col("block_b")) & (F.least("lo", "lo_b") != F.greatest("hi", "hi_b")))
+    pairs = pairs.select("block_a", "block_b").distinct()
+
+    sets = sets_of(docs, placed.select(F.col("id").alias("_c")), placed.count(), words, id_col, text_col)
+    rows = sets.join(placed, "id").select("block", "id", "component", "s")
+
+    def gather(key, table):
+        return pa.table({"block": table.column("block").slice(0, 1), **{
+            k: pa.array([table.column(k).to_pylist()], pa.list_(table.schema.field(k).type)) for k in ("id", "component", "s")}})
+
+    packed = reliable_checkpoint(rows.groupBy("block").applyInArrow(
+        gather, f"block string, id array<{kind}>, component array<{kind}>, s array<binary>"))
+
+    def compare(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                sides = [(r[f"id_{s}"], r[f"component_{s}"], [np.frombuffer(x, np.uint64) for x in r[f"s_{s}"]]) for s in "ab"]
+                got = list(block_links(*sides[0], *sides[1], percent))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field("id_a").type.value_type)
+                                                      for c in zip(*got, strict=True)], names=["a", "b"])
+
+    sides = [packed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "id", "component", "s")]) for s in "ab"]
+    found = pairs.join(sides[0], "block_a").join(sides[1], "block_b")
+    found = found.select(*[f"{c}_{s}" for s in "ab" for c in ("id", "component", "s")])
+    return found.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
+def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) of the class representatives that link with another."""
     buckets = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = reliable_checkpoint(buckets.join(shared, "key").distinct())
-    weight = members.groupBy("id").agg(F.sum("c").alias("weight"))
-    members = reliable_checkpoint(members.drop("c").join(weight, "id").withColumn("component", F.col("id")))
-    tested = reliable_checkpoint(star_pairs(members, F.col("weight"), percent))
-    links = confirm(docs, tested, words, percent, id_col, text_col)
-    left = with_components(members, links)
-    count, size = open_pairs(left), left.count()
-    for star in range(MAX_STARS):
-        if count <= max(1_000_000, 20 * size):
-            break
-        more = star_pairs(left, F.xxhash64(F.lit(star), "id"), percent).join(tested, ["a", "b"], "left_anti")
-        more = reliable_checkpoint(more)
-        links = reliable_checkpoint(links.union(confirm(docs, more, words, percent, id_col, text_col)))
-        tested = reliable_checkpoint(tested.union(more))
-        left = with_components(left, links)
-        count, size = open_pairs(left), left.count()
-    if count:
-        other = left.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("component").alias("c2"))
-        met = left.join(other, "key").where((F.col("component") < F.col("c2")) & comparable(percent))
-        rest = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        rest = rest.join(tested, ["a", "b"], "left_anti")
-        links = reliable_checkpoint(links.union(confirm(docs, rest, words, percent, id_col, text_col)))
-    return links
+    weight = F.sum("c").over(Window.partitionBy("id"))  # at most BANDS rows of each class
+    members = reliable_checkpoint(buckets.join(shared, "key").select("key", "id", "n", weight.alias("weight")))
+    pivots = members.groupBy("key").agg(F.max(F.struct("weight", "id", "n")).alias("z"))
+    pivots = pivots.select("key", F.col("z.weight").alias("pw"), F.col("z.id").alias("p"), F.col("z.n").alias("m"))
+    members = reliable_checkpoint(members.join(pivots, "key").drop("weight"))
+    stars = members.where((F.col("id") != F.col("p")) & comparable(percent))
+    stars = reliable_checkpoint(stars.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
+    found = components(confirm(docs, stars, words, percent, id_col, text_col))
+    left = still_open(members, found)
+    return merged(found, rest_links(docs, left, words, percent, id_col, text_col))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -195,7 +261,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     full = seen.where("n_shingles > 0")
     classes = full.groupBy(*own).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     classes = reliable_checkpoint(classes)
-    found = components(links_of(docs, classes.where("id is not null"), words, percent, id_col, text_col))
+    found = link_components(docs, classes.where("id is not null"), words, percent, id_col, text_col)
     named = classes.drop("bands").join(found, F.col("id") == F.col("node"), "left")
     named = named.select(*own, F.coalesce("component", "id").alias("component_id"))
     linked = full.drop("bands").join(named, own).select("id", "n_shingles", "component_id")

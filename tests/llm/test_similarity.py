@@ -133,14 +133,29 @@ def test_chains_and_hot_copies(spark):
     assert found(df) == plain_dups(df.collect(), 4, 80)
 
 
-def test_further_stars_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "open_pairs", lambda members, real=near_dup.open_pairs: real(members) and 10**9)
+@pytest.mark.parametrize("texts,columns", [(3, 50), (128, 50_000)])
+def test_blocks_lose_nothing(spark, monkeypatch, texts, columns):
+    monkeypatch.setattr(near_dup, "BLOCK_TEXTS", texts)
+    monkeypatch.setattr(near_dup, "COLUMNS", columns)
     rng = random.Random(3)
     base = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(160)]
-    df = docs(spark, [(i, edited(rng, base, 1 + i % 4), "en", "s") for i in range(30)])
+    df = docs(spark, [(i, edited(rng, base, 1 + i % 5), "en", "s") for i in range(40)])
     assert found(df) == plain_dups(df.collect(), 4, 80)
 
 
+def test_block_links_connect_what_is_near():
+    rng = np.random.default_rng(1)
+    pool = np.unique(rng.integers(0, 1 << 60, 400, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool, int(rng.integers(60, 90)), replace=False)) if i % 3 else np.sort(pool[i:i + 80]) for i in range(40)]
+    near = [(i, j) for i in range(40) for j in range(40) if i < j
+            and 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n) and n]
+    ids = list(range(40))
+    got = [*near_dup.block_links(ids[:25], ids[:25], sets[:25], ids[25:], ids[25:], sets[25:], 80)]
+    for part in (slice(0, 25), slice(25, 40)):
+        got += near_dup.block_links(ids[part], ids[part], sets[part], ids[part], ids[part], sets[part], 80)
+    assert near and reach(ids, got) == reach(ids, near)
+
+
 # -- vectors ----------------------------------------------------------------
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, id int, v string, score double, block int"

@@ -261,20 +261,17 @@ def gauss_minuteofhour(spark, d):
 # Update join (J3), paging
 # ---------------------------------------------------------------------------
 
-def _lineitem_totals(spark, d):
-    li = _t(spark, d, "lineitem")
-    return li.where(F.col("l_returnflag") == "R").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("o_totalprice"))
-
-
 def evaljoin_update_new(spark, d):
-    keyed = _lineitem_totals(spark, d).select("o_orderkey", "qty")
-    return update_join(_t(spark, d, "orders"), keyed, "o_orderkey").select("o_orderkey", "qty")
+    """Labels cover some documents only: the others get NULL."""
+    docs = _t(spark, d, "documents").select("doc_id", "n_chars")
+    return update_join(docs, _t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
 
 
 def evaljoin_update_existing(spark, d):
-    keyed = _lineitem_totals(spark, d).select("o_orderkey", "o_totalprice")
-    return update_join(_t(spark, d, "orders"), keyed, "o_orderkey").select("o_orderkey", "o_totalprice")
+    """Labelled documents get a new value, the others keep theirs."""
+    docs = _t(spark, d, "documents").select("doc_id", "n_chars")
+    new = _t(spark, d, "labels").select("doc_id", (-F.col("toxic") - 1).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    return update_join(docs, new, "doc_id")
 
 
 def page_sort_offset(spark, d):
@@ -385,13 +382,10 @@ _reg("gauss_hourofday", gauss_hourofday, _gauss_sql("hour(ts)", 4, 24.0, "ts"))
 _reg("gauss_minuteofday", gauss_minuteofday, _gauss_sql("hour(ts) * 60 + minute(ts)", 6, 1440.0, "ts"))
 _reg("gauss_minuteofhour", gauss_minuteofhour, _gauss_sql("minute(ts)", 2, 60.0, "ts"))
 
-_LI_TOTALS = ("(SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS qty, sum(l_extendedprice) AS o_totalprice "
-              "FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)")
 _reg("evaljoin_update_new", evaljoin_update_new,
-     f"SELECT o.o_orderkey, k.qty FROM orders o LEFT JOIN {_LI_TOTALS} k ON o.o_orderkey = k.o_orderkey")
+     "SELECT doc_id, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)")
 _reg("evaljoin_update_existing", evaljoin_update_existing,
-     f"SELECT o.o_orderkey, CASE WHEN k.o_orderkey IS NOT NULL THEN k.o_totalprice ELSE o.o_totalprice END "
-     f"AS o_totalprice FROM orders o LEFT JOIN {_LI_TOTALS} k ON o.o_orderkey = k.o_orderkey")
+     "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN n_chars ELSE -toxic - 1 END AS n_chars FROM documents d LEFT JOIN labels l USING (doc_id)")
 _reg("page_sort_offset", page_sort_offset,
      "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey "
      "LIMIT 50 OFFSET 10")
@@ -598,6 +592,24 @@ SELECT event_id, coalesce(ly, hy) AS value_hat FROM lo JOIN hi USING (event_id)
 """
 
 
+def kmeans_lloyd_step(spark, d):
+    """One step from fixed centres: the new centres, their weights and their part of the objective."""
+    import numpy as np
+
+    from cardinal.operators.cluster import lloyd_step
+
+    cust = _t(spark, d, "customer").select(
+        F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double")).alias("x"), F.lit(1.0).alias("w"))
+    sums, sw, obj = lloyd_step(cust, np.array([[0.0, 5.0], [4000.0, 12.0], [8000.0, 20.0]]), Dissimilarity(), cust.rdd.getNumPartitions())
+    rows = [(k + 1, float(sums[k, 0] / sw[k]), float(sums[k, 1] / sw[k]), int(sw[k]), float(obj[k])) for k in range(3) if sw[k]]
+    return spark.createDataFrame(rows, "cluster int, acctbal double, nation double, n bigint, objective double")
+
+
+_reg("kmeans_lloyd_step", kmeans_lloyd_step, """
+WITH c(k, a, n) AS (VALUES (1, 0.0::DOUBLE, 5.0::DOUBLE), (2, 4000.0, 12.0), (3, 8000.0, 20.0)),
+x AS (SELECT c_custkey, c_acctbal, c_nationkey, k, pow(c_acctbal - a, 2) + pow(c_nationkey - n, 2) AS d FROM customer, c),
+b AS (SELECT c_custkey, any_value(c_acctbal) AS a, any_value(c_nationkey) AS n, arg_min(k, d) AS k, min(d) AS d FROM x GROUP BY c_custkey)
+SELECT k::INTEGER AS cluster, avg(a) AS acctbal, avg(n) AS nation, count(*) AS n, sum(d) AS objective FROM b GROUP BY k""")
 _reg("kmeans_fit", kmeans_fit, None)
 _reg("kmeans_fit_cityblock_weighted", kmeans_fit_cityblock_weighted, None)
 _reg("kmeans_fit_embeddings", kmeans_fit_embeddings, None)
@@ -626,7 +638,10 @@ SELECT l_orderkey, l_linenumber, b0 + bq * l_quantity + bt * l_tax AS l_extended
 """
 _reg("lm_categorical", lm_categorical, LM_CATEGORICAL_SQL)
 _reg("glm_poisson", glm_poisson, None)
-_reg("glm_gamma_weighted", glm_gamma_weighted, None)
+# With one categorical term the fitted values are the groups' weighted means, whatever the link.
+_reg("glm_gamma_weighted", glm_gamma_weighted, """
+SELECT o_orderkey, sum(o_custkey * o_totalprice) OVER w / sum(o_custkey) OVER w AS o_totalprice_hat
+FROM orders WINDOW w AS (PARTITION BY o_orderpriority)""")
 _reg("glm_binomial", glm_binomial, None)
 _reg("glm_probit", glm_probit, None)
 _reg("interp_linear", _interp("linear", extrapolation_left="constant", extrapolation_right="constant"),
@@ -723,10 +738,46 @@ _reg("interp_periodic", _orders_knots("periodic"),
      _FOLDED_SQL.format(fold="lo + ((o_orderkey - lo) - span * floor((o_orderkey - lo) / span))"))
 _reg("interp_reflective", _orders_knots("reflective"),
      _FOLDED_SQL.format(fold="lo + span - abs(((o_orderkey - lo) - 2 * span * floor((o_orderkey - lo) / (2 * span))) - span)"))
+# Spline knots in order, with the recurrences of their slopes or curvatures.
+_SPLINE = """
+WITH RECURSIVE k AS (
+  SELECT row_number() OVER (ORDER BY event_id) AS r, event_id::DOUBLE AS x, value AS y FROM events WHERE event_type = 'purchase'
+), g AS (
+  SELECT r, x, y, lag(x) OVER w AS xa, lag(y) OVER w AS ya, lead(x) OVER w AS xc, lead(y) OVER w AS yc FROM k WINDOW w AS (ORDER BY r)
+), {recurrence}, p AS (
+  SELECT event_id, event_id::DOUBLE AS q FROM events
+), b AS (
+  SELECT p.event_id, p.q, l.x AS lx, l.y AS ly, l.m AS lm, l.xa AS lxa, l.ya AS lya, l.ma AS lma,
+         h.x AS hx, h.y AS hy, h.m AS hm, h.xc AS hxc, h.yc AS hyc, h.mc AS hmc
+  FROM p ASOF LEFT JOIN e l ON p.q >= l.x ASOF LEFT JOIN e h ON p.q <= h.x
+)
+SELECT event_id, CASE WHEN lx IS NULL THEN {left} WHEN lx = q THEN ly WHEN hx IS NULL THEN {right} ELSE {inside} END AS value_hat
+FROM b
+"""
+_AROUND = ("e AS (SELECT g.*, m, lag(m) OVER w AS ma, lead(m) OVER w AS mc FROM g JOIN {s} USING (r) WINDOW w AS (ORDER BY g.r))")
+_QUADSPLINE_SQL = _SPLINE.format(
+    recurrence="z AS (SELECT 1::BIGINT AS r, 0.0::DOUBLE AS m UNION ALL SELECT z.r + 1, 2 * (g.yc - g.y) / (g.xc - g.x) - z.m "
+               "FROM z JOIN g ON g.r = z.r WHERE g.xc IS NOT NULL), " + _AROUND.format(s="z"),
+    left="hy", right="ly", inside="ly + lm * (q - lx) + ((hy - ly) / (hx - lx) - lm) * (q - lx) * (q - lx) / (hx - lx)")
+_CUBIC_SQL = _SPLINE.format(
+    recurrence="""t AS (
+  SELECT r, x - xa AS a, 2 * (xc - xa) AS d, xc - x AS c, 6 * ((yc - y) / (xc - x) - (y - ya) / (x - xa)) AS v
+  FROM g WHERE xa IS NOT NULL AND xc IS NOT NULL
+), f AS (
+  SELECT 1::BIGINT AS r, 0.0::DOUBLE AS cp, 0.0::DOUBLE AS dp
+  UNION ALL SELECT t.r, t.c / (t.d - t.a * f.cp), (t.v - t.a * f.dp) / (t.d - t.a * f.cp) FROM f JOIN t ON t.r = f.r + 1
+), u AS (
+  SELECT (SELECT max(r) FROM k) AS r, 0.0::DOUBLE AS m
+  UNION ALL SELECT f.r, CASE WHEN f.r = 1 THEN 0.0 ELSE f.dp - f.cp * u.m END FROM u JOIN f ON f.r = u.r - 1
+), """ + _AROUND.format(s="u"),
+    left="hy + (q - hx) * ((hyc - hy) / (hxc - hx) - (hxc - hx) * hmc / 6)",
+    right="ly + (q - lx) * ((ly - lya) / (lx - lxa) + (lx - lxa) * lma / 6)",
+    inside="lm * pow(hx - q, 3) / (6 * (hx - lx)) + hm * pow(q - lx, 3) / (6 * (hx - lx)) + (ly / (hx - lx) - lm * (hx - lx) / 6) * (hx - q)"
+           " + (hy / (hx - lx) - hm * (hx - lx) / 6) * (q - lx)")
 _reg("interp_quadraticspline", _interp("quadraticspline", extrapolation_left="constant",
-                                      extrapolation_right="constant"), None)
+                                      extrapolation_right="constant"), _QUADSPLINE_SQL)
 _reg("interp_cubicspline", _interp("cubicspline", extrapolation_left="extension", extrapolation_right="extension"),
-     None)
+     _CUBIC_SQL)
 
 
 # ---------------------------------------------------------------------------
@@ -843,13 +894,13 @@ def onehot_roundtrip(spark, d):
 
 
 def batch_stats(spark, d):
-    ev = _t(spark, d, "events").where(F.col("event_type") != "error")
+    ev = _t(spark, d, "events")
     b = funnel.with_batches(ev, ["ts", "event_id"], 32, tiebreak=["event_id"])
     return b.groupBy(F.col(funnel.BATCH).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 BATCH_SQL = """SELECT batch, count(*) AS n, sum(value) AS total FROM (
-  SELECT value, (row_number() OVER (ORDER BY ts, event_id) - 1) // 32 AS batch FROM events WHERE event_type <> 'error')
+  SELECT value, (row_number() OVER (ORDER BY ts, event_id) - 1) // 32 AS batch FROM events)
 GROUP BY batch"""
 
 
@@ -954,7 +1005,7 @@ from cardinal.sources.tables import execute_with_macros  # noqa: E402
 
 
 def _median_fit(df):
-    # a small model: per-segment approximate medians computed by Spark
+    # a small model: the exact median of each segment
     rows = df.groupBy("c_mktsegment").agg(F.percentile("c_acctbal", 0.5).alias("m")).collect()
     return {r["c_mktsegment"]: r["m"] for r in rows}
 

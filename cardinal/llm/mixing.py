@@ -56,7 +56,7 @@ def target_units(sources: DataFrame, weights: Mapping[str | None, float] | None,
     t = t.withColumn("span", F.greatest(F.lit(units), 2 * F.sum("live").over(everyone)))
     share = F.try_divide((F.col("span") - F.sum("live").over(everyone)) * F.col("w"), F.sum("w").over(everyone))
     t = t.withColumn("share", F.coalesce(share, F.lit(0.0)))
-    t = t.withColumn("whole", F.floor("share"))
+    t = t.withColumn("whole", F.floor(F.col("share") + 1e-9))  # equal sources get whole shares despite rounding
     spare = F.col("span") - F.sum("live").over(everyone) - F.sum("whole").over(everyone)
     by_rest = Window.partitionBy(F.lit(0)).orderBy(F.col("live").desc(), (F.col("share") - F.col("whole")).desc(), "g")
     extra = ((F.row_number().over(by_rest) <= spare) & (F.col("live") == 1)).cast("long")

@@ -146,7 +146,47 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings JOIN m ON node = vec_id LEFT JOIN n ON a = vec_id
 """
 
+MIXING_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS g,
+         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS k
+  FROM documents
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY g ORDER BY k, doc_id) - 1) // 8 + 1 AS block FROM d
+), n AS (
+  SELECT g, count(*) AS rows, pow(count(*)::DOUBLE, 0.7) AS w FROM d GROUP BY g
+), s AS (
+  SELECT g, rows, greatest(1000, 2 * count(*) OVER ()) AS span, count(*) OVER () AS live,
+         (greatest(1000, 2 * count(*) OVER ()) - count(*) OVER ()) * w / sum(w) OVER () AS share FROM n
+), f AS (
+  SELECT *, floor(share + 1e-9)::BIGINT AS whole FROM s
+), u AS (
+  SELECT g, rows, span, 1 + whole + (row_number() OVER (ORDER BY share - whole DESC, g) <= span - live - sum(whole) OVER ())::BIGINT AS u FROM f
+), c AS (
+  SELECT any_value(span)::BIGINT AS span, list(g ORDER BY g) AS gs, list(u::BIGINT ORDER BY g) AS us FROM u
+), sim(tick, done, pick) AS (
+  SELECT -1::BIGINT, list_transform(us, lambda x: 0::BIGINT), 0::BIGINT FROM c
+  UNION ALL
+  SELECT tick, list_transform(done, lambda x, i: x + (i = pick)::BIGINT), pick
+  FROM (SELECT sim.tick + 1 AS tick, done, list_min(list_transform(
+          list_filter(range(1, len(us) + 1), lambda i: done[i] * span // us[i] <= sim.tick + 1),
+          lambda i: {'due': ((done[i] + 1) * span + us[i] - 1) // us[i], 'i': i})).i AS pick
+        FROM sim, c WHERE sim.tick + 1 < span)
+), p AS (
+  SELECT gs[pick] AS g, tick, row_number() OVER (PARTITION BY pick ORDER BY tick) AS j FROM sim, c WHERE tick >= 0
+), t AS (
+  SELECT r.*, u.u, u.span, ((block - 1) // u) * u.span + p.tick AS slot
+  FROM r JOIN u USING (g) JOIN p ON p.g = r.g AND p.j = (block - 1) % u + 1
+), e AS (
+  SELECT min(((rows + 7) // 8 // u) * span + p.tick) AS stop FROM u JOIN p ON p.g = u.g AND p.j = (rows + 7) // 8 % u + 1
+)
+SELECT doc_id, source, block::BIGINT AS block, ((block - 1) * span // u)::BIGINT AS release,
+       ((block * span + u - 1) // u)::BIGINT AS deadline, slot::BIGINT AS slot, slot < stop AS in_mixture
+FROM t, e
+"""
+
 ORACLES: dict[str, str] = {
+    "op5_pfair_mixing": MIXING_SQL,
     "op1_minmax_hash": NEAR_DUP_SQL,
     "op4_impact_search": SEARCH_SQL,
     "op8_grid_order_join": VECTOR_LINK_SQL,

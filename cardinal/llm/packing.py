@@ -120,41 +120,61 @@ def undominated(counts: dict[int, int], room: int, waste: int, width: int) -> li
 
 def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = SEARCH_NODES,
                   width: int = SEARCH_WIDTH) -> list[tuple[int, Filling]]:
-    """Fillings with multiplicities that pack ``counts`` (length -> how many) into few sequences."""
-    counts = {x: n for x, n in counts.items() if n}
-    total = sum(x * n for x, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
-    best = best_fit(counts, capacity)
+    """Fillings with multiplicities that pack ``counts`` (length -> how many) into few sequences.
+
+    Depth first over one histogram that is changed and restored, so the memory
+    is that of one path.
+    """
+    left = {x: n for x, n in counts.items() if n}
+    total = sum(x * n for x, n in left.items())
+    bound = max(-(-total // capacity), sum(n for x, n in left.items() if 2 * x > capacity))
+    best = best_fit(left, capacity)
     used = sum(many for many, _ in best)
-    stack: list[tuple[dict[int, int], int, list]] = [(counts, 0, [])]
-    nodes = 0
-    while stack and used > bound and nodes < max_nodes:
-        left, wasted, plan = stack.pop()
-        nodes += 1
-        afford = (used - 1) * capacity - total - wasted  # waste that a better packing may still have
-        if afford < 0:
-            continue
-        if not left:
-            best, used = plan, sum(many for many, _ in plan)
-            continue
-        if nodes % 16 == 0:  # now and then, finish a partial plan by best fit: a new incumbent
-            rest = best_fit(left, capacity)
-            if (n := sum(m for m, _ in plan) + sum(m for m, _ in rest)) < used:
-                best, used = [*plan, *rest], n
-                continue
+    path: list[tuple[int, Filling]] = []
+    wasted = nodes = 0
+
+    def afford() -> int:
+        """Waste that a better packing may still have."""
+        return (used - 1) * capacity - total - wasted
+
+    def change(many: int, filling: Filling) -> None:
+        for x, k in filling:
+            left[x] = left.get(x, 0) + many * k
+            if not left[x]:
+                del left[x]
+
+    def branches():
         top = max(left)
         others = {**left, top: left[top] - 1}
-        branches = undominated(others, capacity - top, afford, width) or ([()] if capacity - top <= afford else [])
-        for filling in reversed(branches):
+        found = undominated(others, capacity - top, afford(), width)
+        for filling in found or ([()] if capacity - top <= afford() else []):
             one = dict(filling)
             one[top] = one.get(top, 0) + 1
             lost = capacity - sum(x * k for x, k in one.items())
             many = min(left[x] // k for x, k in one.items())
-            if lost:
-                many = min(many, max(1, afford // lost))
-            after = {x: n - many * one.get(x, 0) for x, n in left.items()}
-            stack.append(({x: n for x, n in after.items() if n}, wasted + lost * many,
-                          [*plan, (many, tuple(sorted(one.items(), reverse=True)))]))
+            yield min(many, max(1, afford() // lost)) if lost else many, tuple(sorted(one.items(), reverse=True)), lost
+
+    stack = [branches()] if left and used > bound else []
+    while stack and used > bound and nodes < max_nodes:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                many, filling = path.pop()
+                change(many, filling)
+                wasted -= many * (capacity - sum(x * k for x, k in filling))
+            continue
+        many, filling, lost = step
+        if lost * many > afford():
+            continue
+        nodes += 1
+        change(-many, filling)
+        wasted += lost * many
+        path.append((many, filling))
+        rest = best_fit(left, capacity) if nodes % 16 == 0 or not left else None  # now and then, finish by best fit
+        if rest is not None and (n := sum(m for m, _ in path) + sum(m for m, _ in rest)) < used:
+            best, used = [*path, *rest], n
+        stack.append(branches() if left and afford() >= 0 else iter(()))
     return best
 
 

@@ -37,15 +37,20 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with ``fn(batch) -> record batch or None`` applied to each non-empty batch."""
+def arrow_map(df: DataFrame, fn, schema: str, rows: int = 2_000) -> DataFrame:
+    """``mapInArrow`` with ``fn(batch) -> record batch or None`` applied to every batch, ``rows`` rows at a time.
+
+    What Python holds at once is bounded by the slice, and the Arrow pool gives
+    back what a task has used (workers live on for other stages).
+    """
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            if b.num_rows:
-                got = fn(b)
+            for at in range(0, b.num_rows, rows):
+                got = fn(b.slice(at, rows))
                 if got is not None:
                     yield got
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -205,9 +205,10 @@ def locate(place: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -
 # -- tokens and pieces ------------------------------------------------------
 
 _ENCODERS: dict[str, Generations] = {}
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
-def encoder(path: str, entries: int = 400_000) -> Generations:
+def encoder(path: str, entries: int = 250_000) -> Generations:
     """This worker's cache of chunk -> little-endian 32-bit ids, filled by the tokenizer library.
 
     White space separates chunks and never takes part in a token of the
@@ -219,6 +220,11 @@ def encoder(path: str, entries: int = 400_000) -> Generations:
         tok = Tokenizer.from_file(path)
 
         def ids(chunk: bytes) -> bytes:
+            core = chunk.rstrip(MARKS)
+            if core != chunk and core[-1:].isalnum() and b"<|" not in chunk:
+                # Every pattern ends a token between a letter or digit and a mark that no letter follows.
+                cache = _ENCODERS[path]
+                return cache[core] + cache[chunk[len(core):]]
             text = chunk.decode("utf-8", "surrogatepass")
             return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

@@ -49,7 +49,8 @@ from cardinal.llm.elias_fano import Level, encode_level
 from cardinal.llm.shingles import word_hashes
 
 K2, K3 = 300.0, 20.0
-STRETCH = 1 << 21  # tokens of a task that are counted or scored at once
+STRETCH = 1 << 21  # tokens of a task that are counted at once
+SCORE_STRETCH = 1 << 20  # and that are scored at once
 SHARD_TOKENS = 2_000_000
 END = np.uint64(0xE0D0_0000_0000_0001)
 CODES = 256
@@ -131,7 +132,7 @@ def unsqueeze(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 # -- tokens -----------------------------------------------------------------
 
-def stretches(batches, limit: int = STRETCH):
+def stretches(batches, limit: int):
     """Yield (rows, hash, text number, place) for runs of rows of (text, ...) batches, of like size."""
     for b in batches:
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(0).to_pylist()]
@@ -163,7 +164,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, text, np.minimum(place, 2)
 
 
-def pieces(n: int, limit: int = STRETCH):
+def pieces(n: int, limit: int):
     for at in range(0, n, limit):
         yield at, min(n, at + limit)
 
@@ -306,8 +307,8 @@ def tables(docs: DataFrame, count, schema: str = "shard int, blob binary") -> Da
     """Each task's count tables: ``count(hashes, place, lo, hi)`` yields (shard, blob) of a stretch."""
 
     def run(batches):
-        for _, h, _, place in stretches(batches):
-            for lo, hi in pieces(len(h)):
+        for _, h, _, place in stretches(batches, STRETCH):
+            for lo, hi in pieces(len(h), STRETCH):
                 got = list(count(h, place, lo, hi))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()),
@@ -511,10 +512,10 @@ def score(docs: DataFrame, trie: Trie, id_col: str = "doc_id", text_col: str = "
     names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches):
-        for rows, h, text, place in stretches(batches):
+        for rows, h, text, place in stretches(batches, SCORE_STRETCH):
             n = rows.num_rows
             sums = [np.zeros(n) for _ in range(4)]
-            for lo, hi in pieces(len(h)):
+            for lo, hi in pieces(len(h), SCORE_STRETCH):
                 count, base, full = score_stretch(trie, h, place, lo, hi)
                 of = text[lo:hi]
                 for total, x in zip(sums, (None, count > 0, base, full), strict=True):

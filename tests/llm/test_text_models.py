@@ -208,7 +208,7 @@ def plain_model(rows, trained):
 def test_lm_query_matches_plain_model(spark, monkeypatch, shard_tokens, stretch):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", shard_tokens)
     monkeypatch.setattr(ngram_lm, "STRETCH", stretch)
-    monkeypatch.setattr(ngram_lm.pieces, "__defaults__", (stretch,))
+    monkeypatch.setattr(ngram_lm, "SCORE_STRETCH", stretch)
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     got = {r.doc_id: r for r in op9_elias_fano_lm(spark, SMALL).collect()}
     base = full = 0.0
@@ -233,7 +233,8 @@ def test_lm_awkward(spark):
 
 def test_lm_hot_pair_and_one_giant_text(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 500)
-    monkeypatch.setattr(ngram_lm.pieces, "__defaults__", (700,))
+    monkeypatch.setattr(ngram_lm, "STRETCH", 700)
+    monkeypatch.setattr(ngram_lm, "SCORE_STRETCH", 300)
     df = docs(spark, [(i, "of the w%d " % (i % 50) * 9, None, None) for i in range(200)] + [(900, "of the end " * 1500, None, None)])
     for (doc_id, n, k, _, b, s), r in zip(sorted(plain_model(df.collect(), lambda r: True)),
                                           sorted(ngram_lm.train_and_score(df, F.lit(True)).collect()), strict=True):

@@ -35,21 +35,27 @@ from cardinal.llm.vectors import finite, matrix
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
-POSSIBLE = 64  # rows that may be rescored before the proof is pushed further
+POSSIBLE, RESCORED = 64, 2  # so many rows, or this part of a block, may be rescored instead of reading on
 
 
 class ImpactIndex:
     """Posting lists of one block of integer vectors, each by descending magnitude."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
+        self.ids, self.rows, self.exact = ids, rows, rows.astype(np.float64)
         n, self.width = rows.shape
         size = np.abs(rows)
         self.order = [np.argsort(-size[:, d], kind="stable") for d in range(self.width)]
-        self.values = [rows[o, d] for d, o in enumerate(self.order)]
-        # Postings of at least a magnitude: a search in each ascending list of negated magnitudes.
-        self.falling = [-size[o, d] for d, o in enumerate(self.order)]
-        self.largest = size.max(axis=0) if n else np.zeros(self.width)
+        self.values = [rows[o, d].astype(np.float64) for d, o in enumerate(self.order)]
+        self.largest = size.max(axis=0) if n else np.zeros(self.width, np.int64)
+        # All lists' falling magnitudes as one rising sequence: one search finds every segment's end.
+        self.span = int(self.largest.max()) + 2 if n else 2
+        self.rising = np.concatenate([d * self.span - size[o, d] for d, o in enumerate(self.order)]) if n else size.ravel()
+
+    def ends(self, dims: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """How many postings of each list have at least a magnitude."""
+        least = np.minimum(least, self.span - 1)
+        return np.searchsorted(self.rising, dims * self.span - least, "right") - dims * len(self.ids)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the block's k best rows for the query, best first."""
@@ -57,36 +63,46 @@ class ImpactIndex:
         if not n:
             return self.ids[:0], np.zeros(0, np.int64)
         weight = np.abs(query)
-        live = np.flatnonzero((weight > 0) & (self.largest > 0))
-        mine = self.ids == own
-        score, read = np.zeros(n), np.zeros(n, np.int64)
-        done = dict.fromkeys(live.tolist(), 0)
-        level = float((weight * self.largest).max()) if len(live) else 0.0
-        possible = np.flatnonzero(~mine)
+        dims = np.flatnonzero((weight > 0) & (self.largest > 0))
+        others = np.flatnonzero(self.ids != own)
+        w, q = weight[dims], query[dims].astype(np.float64)
+        # One accumulator holds score and number of postings read: score + unit * read, exact below 2**53.
+        unit = float(1 << int(2 * (w * self.largest[dims]).sum() + 1).bit_length())
+        if unit * (self.width + 1) >= 1 << 53:
+            raise ValueError("scores of this size are not exact in doubles")
+        total = np.zeros(n)
+        done = np.zeros(len(dims), np.int64)
+        level = int((w * self.largest[dims]).max()) if len(dims) else 0
+        possible = others
+        enough = max(POSSIBLE, 2 * k, n // RESCORED)
         while level >= 1:
-            level = float(np.floor(level / 4)) if level > 3 * self.width else float(np.floor(level / 2))
-            posts, gains = [], []
-            for d in live.tolist():
-                # |query value| * |value| >= level
-                end = n if level < 1 else int(np.searchsorted(self.falling[d], -np.ceil(level / weight[d]), "right"))
-                if end > done[d]:
-                    posts.append(self.order[d][done[d]:end])
-                    gains.append(self.values[d][done[d]:end] * query[d])
-                    done[d] = end
-            if posts:
-                at = np.concatenate(posts)
-                score += np.bincount(at, weights=np.concatenate(gains), minlength=n)
-                read += np.bincount(at, minlength=n)
-            slack = (len(live) - read) * max(level - 1, 0)
-            low = (score - slack)[~mine]
-            if len(low) > k:
+            level = level // 8 if level > 4 * self.width else level // 2
+            end = self.ends(dims, -(-level // w)) if level else np.full(len(dims), n)
+            more = np.flatnonzero(end > done)
+            if len(more):
+                cut = list(zip(dims[more].tolist(), done[more].tolist(), end[more].tolist(), strict=True))
+                at = np.concatenate([self.order[d][i:j] for d, i, j in cut])
+                gain = np.concatenate([self.values[d][i:j] for d, i, j in cut])
+                gain *= np.repeat(q[more], end[more] - done[more])
+                gain += unit
+                total += np.bincount(at, weights=gain, minlength=n)
+                done = np.maximum(done, end)
+            read = np.floor(total / unit + 0.5)
+            score, slack = total - unit * read, (len(dims) - read) * max(level - 1, 0)
+            if len(others) > k:
+                low = (score - slack)[others]
                 bar = np.partition(low, len(low) - k)[len(low) - k]  # k rows surely reach this
-                possible = np.flatnonzero((score + slack >= bar) & ~mine)
-            if len(possible) <= max(POSSIBLE, 2 * k):
+                possible = others[(score + slack)[others] >= bar]
+            if len(possible) <= enough:
                 break
-        exact = self.rows[possible] @ query
+        q = query.astype(np.float64)
+        # Many members: the product with all rows costs less than gathering theirs.
+        exact = (self.exact @ q)[possible] if len(possible) > n // 8 else self.exact[possible] @ q
+        if len(possible) > 4 * k:  # the k best and all that tie with the last of them
+            keep = np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
+            possible, exact = possible[keep], exact[keep]
         best = np.lexsort((self.ids[possible], -exact))[:k]
-        return self.ids[possible][best], exact[best]
+        return self.ids[possible][best], exact[best].astype(np.int64)
 
 
 def blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:

@@ -214,7 +214,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
                                                      names=["c", "links", "peer"])
 
     met = met.select("a_block", "b_block", "width", *[f"{s}_{c}" for s in "ab" for c in ("ids", "ws", "xs")])
-    found = reliable_checkpoint(met.mapInArrow(join, "c bigint, links bigint, peer bigint"))
+    # Skewed joins come in many small splits; what follows needs no more tasks than any shuffle.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = reliable_checkpoint(met.mapInArrow(join, "c bigint, links bigint, peer bigint").coalesce(tasks))
     totals = found.groupBy("c").agg(F.sum("links").alias("links"))
     nodes = components(found.select(F.col("c").alias("a"), F.col("peer").alias("b")))
     named = (classes.select("c", "id", "w").join(nodes, F.col("c") == F.col("node"), "left")

@@ -9,13 +9,15 @@ number of slots each source is less than one block away from its exact share.
 The schedule repeats every U slots (after U slots every source has had exactly
 its u blocks), so one period is simulated, from the weights alone, by an
 ``aggregate`` expression, and every block finds its slot by joining with that
-period: U rows at most, whatever the data.  The weights can hold only while
-every source still has blocks; the mixture is the schedule up to the first
-slot whose source has run out, and what is left over is reported with
-``in_mixture`` false.  DataFrame functions only.
+period: U rows at most, whatever the data.  The target weights hold only while
+every source still has blocks: ``in_mixture`` marks the slots before the first
+one whose source has run out.  No source ends the mixture, though: one that
+has run out leaves its slots empty, and the others go on in their own
+proportions.  `mix` returns all rows of the scheduled sources in the order of
+their slots.  DataFrame functions only.
 
 Cases: null source is a source of its own; a source of target weight zero is
-never scheduled (slot null); the last block of a source may be short; rows
+never scheduled (slot null, left out by `mix`); the last block of a source may be short; rows
 with equal id and text are interchangeable; no rows give no rows; extra
 columns are ignored (`mix` keeps them).
 """
@@ -27,7 +29,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardinal.llm.common import free_name, group_key, reliable_checkpoint, seeded_ranks, shuffle_key
+from cardinal.llm.common import group_key, reliable_checkpoint, seeded_ranks, shuffle_key
 from cardinal.operators.joins import broadcast_if_bounded
 
 UNITS = 1000
@@ -87,6 +89,20 @@ def period(units: DataFrame) -> DataFrame:
     return slots.withColumn("j", F.row_number().over(Window.partitionBy("g").orderBy("at")).cast("long"))
 
 
+def placed(rows: DataFrame, id_col: str, weights: Mapping[str | None, float] | None, temperature: float, units: int,
+           block_rows: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows`` (with ``g`` and ``key``) and each one's rank, block and slot; the sources' units; the period."""
+    sources = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    goal = reliable_checkpoint(target_units(sources, weights, temperature, units))  # a row per source
+    slots = reliable_checkpoint(period(goal))  # U rows
+    ranked = seeded_ranks(rows, "g", "key", (id_col,), bits).drop("group_rows")
+    ranked = ranked.withColumn("block", F.expr(f"(rank - 1) div {block_rows} + 1"))
+    aim, _ = broadcast_if_bounded(goal.select("g", "u", "span"), MAX_BROADCAST)  # a row per source
+    timed = ranked.join(aim, "g").withColumn("j", F.expr("(block - 1) % nullif(u, 0) + 1"))
+    timed = timed.join(broadcast_if_bounded(slots, MAX_BROADCAST)[0], ["g", "j"], "left")  # U rows
+    return timed.withColumn("slot", F.expr("((block - 1) div nullif(u, 0)) * span + at")), goal, slots
+
+
 def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = TEMPERATURE,
              units: int = UNITS, block_rows: int = BLOCK_ROWS, seed: int = 0, id_col: str = "doc_id",
              text_col: str = "text", source_col: str = "source", bits: int = 10) -> DataFrame:
@@ -95,38 +111,30 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
         F.col(id_col), F.col(source_col).alias("source"), group_key(F.col(source_col)).alias("g"),
         shuffle_key(seed, F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"),
     )
-    sources = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
-    goal = reliable_checkpoint(target_units(sources, weights, temperature, units))  # a row per source
-    slots = reliable_checkpoint(period(goal))  # U rows
+    timed, goal, slots = placed(rows, id_col, weights, temperature, units, block_rows, bits)
     last = goal.where("u > 0").withColumn("b", F.expr(f"(rows + {block_rows} - 1) div {block_rows}"))
     ends = last.select("g", F.expr("b % u + 1").alias("j"), F.expr("(b div u) * span").alias("base"))
     end = ends.join(slots, ["g", "j"]).agg(F.min(F.col("base") + F.col("at"))).first()[0]
-
-    ranked = seeded_ranks(rows, "g", "key", (id_col,), bits).drop("group_rows")
-    ranked = ranked.withColumn("block", F.expr(f"(rank - 1) div {block_rows} + 1"))
-    aim, _ = broadcast_if_bounded(goal.select("g", "u", "span"), MAX_BROADCAST)  # a row per source
-    timed = ranked.join(aim, "g").withColumn("j", F.expr("(block - 1) % nullif(u, 0) + 1"))
-    timed = timed.join(broadcast_if_bounded(slots, MAX_BROADCAST)[0], ["g", "j"], "left")  # U rows
-    slot = F.expr("((block - 1) div nullif(u, 0)) * span + at")
     return timed.select(
         id_col, "source", "block", F.expr("((block - 1) * span) div nullif(u, 0)").alias("release"),
-        F.expr("(block * span + u - 1) div nullif(u, 0)").alias("deadline"), slot.alias("slot"),
-        F.coalesce(slot < F.lit(end), F.lit(False)).alias("in_mixture"), F.col("g").alias("_g"), F.col("key").alias("_key"),
-        F.col("rank").alias("_rank"),
+        F.expr("(block * span + u - 1) div nullif(u, 0)").alias("deadline"), "slot",
+        F.coalesce(F.col("slot") < F.lit(end), F.lit(False)).alias("in_mixture"), F.col("g").alias("_g"),
+        F.col("key").alias("_key"), F.col("rank").alias("_rank"),
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0,
-        **options) -> DataFrame:
-    """The rows of ``docs`` that belong to the mixture, all columns kept.
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = TEMPERATURE,
+        units: int = UNITS, block_rows: int = BLOCK_ROWS, seed: int = 0, id_col: str = "doc_id",
+        text_col: str = "text", source_col: str = "source", bits: int = 10) -> DataFrame:
+    """The rows of all sources of positive weight, all columns kept, in the order of their slots.
 
-    A source's part of the mixture is a prefix of its seeded order, so one
-    key per source says which rows stay: texts are filtered, not shuffled.
+    The first slots hold the target weights; after a source's last block the
+    others go on without it.  Rows are shuffled twice with their texts: for
+    the rank in their source, and into the order of the slots.
     """
-    timed = schedule(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    g, top = free_name(docs, "_mix_source"), free_name(docs, "_mix_key")
-    cut = timed.where("in_mixture").groupBy(F.col("_g").alias(g)).agg(F.max("_key").alias(top))
-    cut, _ = broadcast_if_bounded(reliable_checkpoint(cut), MAX_BROADCAST)  # a row per source
-    key = shuffle_key(seed, F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    inside = (group_key(F.col(source_col)) == F.col(g)) & (key <= F.col(top))
-    return docs.join(cut, inside, "left_semi")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), group_key(F.col(source_col)).alias("g"),
+        shuffle_key(seed, F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"),
+    )
+    timed, _, _ = placed(rows, "_id", weights, temperature, units, block_rows, bits)
+    return timed.where("slot is not null").orderBy("slot", "rank").select("_row.*")

@@ -122,3 +122,22 @@ def test_mixing_awkward(spark):
     assert mixing.schedule(df).count() == df.count()
     assert mixing.mix(df).columns == df.columns
     assert mixing.schedule(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+
+
+def test_small_source_does_not_end_the_mixture(spark):
+    big = [(i, f"t{i}", None, "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(12_000)]
+    tiny = [(12_000, "alone", None, None)]
+    without, both = (mixing.mix(docs(spark, rows)).select("doc_id", "source").collect() for rows in (big, big + tiny))
+    assert sorted(r.doc_id for r in without) == list(range(12_000))
+    assert sorted(r.doc_id for r in both) == list(range(12_001))
+    # In slot order, and in the target proportions for as long as every large source lasts.
+    timed = {r.doc_id: r for r in mixing.schedule(docs(spark, big)).collect()}
+    slots = [timed[r.doc_id].slot for r in without]
+    assert slots == sorted(slots)
+    goal = {s: len([1 for r in big if r[3] == s]) ** 0.7 for s in {r[3] for r in big}}
+    head = Counter(r.source for r in both[:6_000])
+    for s, w in goal.items():
+        assert abs(head[s] / 6_000 - w / sum(goal.values())) < 0.01
+    # A source of weight zero is left out; repeated rows keep their number.
+    twice = docs(spark, [(1, "x", None, "a"), (1, "x", None, "a"), (2, "y", None, "b")])
+    assert [r.doc_id for r in mixing.mix(twice, weights={"a": 1.0}).collect()] == [1, 1]

@@ -494,8 +494,10 @@ FROM lineitem JOIN f ON true
 
 
 def pca_embeddings(spark, d):
-    emb = _t(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(8)])
-    card = DimensionalityReductionCard("pca", inputs=tuple(f"e{i}" for i in range(8)), n_components=3)
+    emb = _t(spark, d, "embeddings")
+    width = emb.agg(F.max(F.size("embedding"))).first()[0]
+    emb = emb.select("vec_id", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(width)])
+    card = DimensionalityReductionCard("pca", inputs=tuple(f"e{i}" for i in range(width)), n_components=3)
     return _card_eval(card, emb, "vec_id").select("vec_id", "component_1", "component_2", "component_3")
 
 
@@ -545,16 +547,21 @@ def glm_gamma_weighted(spark, d):
     return _card_eval(card, _t(spark, d, "orders"), "o_orderkey").select("o_orderkey", "o_totalprice_hat")
 
 
+def _documents_labelled(spark, d, target):
+    """All documents; the labelled ones are the training rows."""
+    docs = _t(spark, d, "documents").select("doc_id", "n_chars", "lang")
+    lab = docs.join(_t(spark, d, "labels").select("doc_id", target), "doc_id", "left")
+    return lab.withColumn("partition", F.when(F.col(target).isNotNull(), 1).otherwise(2))
+
+
 def glm_binomial(spark, d):
-    lab = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
-    card = GLMCard(target="quality", formula=(1, "n_chars", "lang"), distribution="binomial")
-    return _card_eval(card, lab, "doc_id").select("doc_id", "quality_hat")
+    card = GLMCard(target="quality", formula=(1, "n_chars", "lang"), distribution="binomial", partition="partition")
+    return _card_eval(card, _documents_labelled(spark, d, "quality"), "doc_id").select("doc_id", "quality_hat")
 
 
 def glm_probit(spark, d):
-    lab = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    card = GLMCard(target="toxic", formula=(1, "n_chars"), distribution="binomial", link="probit")
-    return _card_eval(card, lab, "doc_id").select("doc_id", "toxic_hat")
+    card = GLMCard(target="toxic", formula=(1, "n_chars"), distribution="binomial", link="probit", partition="partition")
+    return _card_eval(card, _documents_labelled(spark, d, "toxic"), "doc_id").select("doc_id", "toxic_hat")
 
 
 # ---------------------------------------------------------------------------

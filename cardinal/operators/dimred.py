@@ -1,7 +1,7 @@
 """Dimensionality reduction cards.
 
 The data is touched by two aggregations: the mean vector, then the centred
-cross-product matrix (d(d+1)/2 sums, partial aggregation).  Everything else
+cross-product matrix (one d x d block per partition).  Everything else
 (eigen decomposition, PPCA closed form, factor-analysis EM) works on the
 d x d covariance on the driver, and scores are linear column expressions.
 
@@ -17,10 +17,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardinal.functions.columns import join_names, qcol
+from cardinal.functions.partials import sum_partials
 from cardinal.operators.filters import training_rows
 from cardinal.plans.card import Card, CardState, OutputVariables, SourceVariables, check_fields, method_of, register_card
 
@@ -34,14 +36,17 @@ def mean_and_covariance(df: DataFrame, xs: list[Column]) -> tuple[np.ndarray, np
     if n == 0:
         raise ValueError("no complete rows to fit")
     mu = np.array([r[f"m{i}"] for i in range(d)], dtype=float)
-    cen = [F.col(f"x{i}") - F.lit(float(mu[i])) for i in range(d)]
-    aggs = [F.sum(cen[i] * cen[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    c = feats.agg(*aggs).first()
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = c[f"c{i}_{j}"] / n
-    return mu, cov, n
+
+    def kernel(batches):
+        cross = np.zeros((d, d))
+        for pdf in batches:
+            cen = pdf.to_numpy(dtype=float) - mu
+            cross += cen.T @ cen
+        yield pd.DataFrame({"c": [cross.ravel().tolist()]})
+
+    part = feats.mapInPandas(kernel, "c array<double>")
+    cross, _ = sum_partials(part, feats.rdd.getNumPartitions(), {"c": d * d}, [])
+    return mu, cross["c"].reshape(d, d) / n, n
 
 
 def _sign_fix(V: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cardinal.functions.distances import DISTANCES, Dissimilarity
 from cardinal.operators import cluster, dimred, glm, interp
 from cardinal.plans.flow import CardGraph, Node
-from tests.conftest import table
+from tests.conftest import SF, table
 
 
 def test_pca_matches_numpy(spark):
@@ -394,3 +394,33 @@ def test_summary_lists_every_level(spark):
 
     got = summarize(spark.range(20_000).selectExpr("concat('k', id) as k"))[0]
     assert len(got.summary) == got.n_distinct == 20_000
+
+
+def test_pca_embeddings_reads_every_component(spark):
+    import __spark_entry__ as e
+
+    rows = table(spark, "embeddings").select("vec_id", "embedding").collect()
+    X = np.array([r.embedding for r in rows], dtype=float)
+    assert X.shape[1] == 64
+    vals, vecs = np.linalg.eigh(np.cov(X.T, bias=True))
+    V = dimred._sign_fix(vecs[:, ::-1][:, :3])
+    exp = dict(zip([r.vec_id for r in rows], (X - X.mean(0)) @ V))
+    got = e.pca_embeddings(spark, SF).collect()
+    assert sorted(exp) == sorted(r.vec_id for r in got)
+    assert np.allclose([r[1:] for r in got], [exp[r.vec_id] for r in got], rtol=1e-6, atol=1e-8)
+
+
+@pytest.mark.parametrize("query,target,terms,link", [("glm_binomial", "quality", (1, "n_chars", "lang"), None),
+                                                     ("glm_probit", "toxic", (1, "n_chars"), "probit")])
+def test_glm_queries_predict_every_document(spark, query, target, terms, link):
+    import __spark_entry__ as e
+
+    docs, labels = table(spark, "documents").select("doc_id", "n_chars", "lang"), table(spark, "labels")
+    got = {r[0]: r[1] for r in getattr(e, query)(spark, SF).collect()}
+    assert sorted(got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert all(v is not None and 0 <= v <= 1 for v in got.values())
+    # Fitted on the labelled rows alone.
+    card = glm.GLMCard(target=target, formula=terms, distribution="binomial", link=link)
+    fitted = CardGraph([card]).train_evaljoin(labels.join(docs, "doc_id"))
+    for r in fitted.select("doc_id", f"{target}_hat").collect():
+        assert abs(got[r[0]] - r[1]) < 1e-9

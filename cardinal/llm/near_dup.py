@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardinal.llm.common import arrow_map, components, free_name, reliable_checkpoint
+from cardinal.llm.common import arrow_map, components, free_name, group_key, reliable_checkpoint
 from cardinal.llm.shingles import mix, shingle_arrays, shingle_sets
 from cardinal.operators.joins import broadcast_if_bounded
+from cardinal.operators.ranking import add_row_id
 
 PERMUTATIONS, ROWS = 64, 5
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -272,13 +273,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, all columns kept; rows with a null id stay."""
+    """One row of each group of near-duplicates, all columns kept; rows with a null id stay.
+
+    Where ids repeat, each distinct text of an id is a node of its own, so a
+    row goes only for what its own text is like.
+    """
     found = reliable_checkpoint(near_duplicates(docs, words, percent, id_col, text_col))
+    rows, ids = found.where(F.col(id_col).isNotNull()).agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
+    if rows == ids:
+        return without(docs, found, id_col)
+    node = free_name(docs, "_node")
+    told = text_nodes(docs, node, id_col, text_col)
+    left = without(told, reliable_checkpoint(near_duplicates(told, words, percent, node, text_col)), node)
+    left = left.where(F.col(node).isNotNull()).dropDuplicates([node]).unionByName(left.where(F.col(node).isNull()))
+    return left.select(*docs.columns)
+
+
+def without(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is kept or null."""
     gone_id = free_name(docs, "_gone")
     gone = found.where("kept = false").select(F.col(id_col).alias(gone_id)).distinct()
     gone, _ = broadcast_if_bounded(gone, MAX_BROADCAST_IDS)
-    left = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
-    stay = found.where("kept").agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
-    if stay[0] > stay[1]:  # rows that repeat an id: one of each stays
-        left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
-    return left
+    return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+
+
+def text_nodes(docs: DataFrame, node: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` (checkpointed) with a number for each distinct (id, text), in the order of the ids; null for a null id."""
+    said, own_id, own_said = (free_name(docs, c) for c in ("_said", "_own_id", "_own_said"))
+    told = docs.withColumn(said, F.md5(group_key(F.col(text_col))))
+    nodes = told.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(own_id), F.col(said).alias(own_said)).distinct()
+    nodes = add_row_id(nodes, node, [own_id, own_said]).withColumn(node, F.col(node).cast("bigint"))
+    same = (F.col(id_col) == F.col(own_id)) & (F.col(said) == F.col(own_said))
+    return reliable_checkpoint(told.join(nodes, same, "left").select(*docs.columns, node))

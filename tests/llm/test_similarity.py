@@ -99,6 +99,19 @@ def test_awkward_texts(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0 and near_dup.keep_one(empty(spark)).count() == 0
 
 
+def test_repeated_ids_go_by_their_own_text(spark):
+    a, b = prose(120), prose(120, 3, 7)
+    assert not word_set(a, 5) & word_set(b, 5)
+
+    def stay(*rows):
+        return sorted((r.doc_id, r.text) for r in near_dup.keep_one(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect())
+
+    assert stay((1, a), (5, a), (5, b)) == [(1, a), (5, b)]
+    assert stay((5, a), (5, b)) == sorted([(5, a), (5, b)])
+    assert stay((5, a), (5, a), (5, a.upper()), (6, b)) in ([(5, a), (6, b)], [(5, a.upper()), (6, b)])
+    assert len(stay((5, a), (5, a + " one more"))) == 1
+
+
 def edited(rng, words, changes):
     words = list(words)
     for _ in range(changes):

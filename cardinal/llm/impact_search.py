@@ -67,10 +67,14 @@ class ImpactIndex:
         others = np.flatnonzero(self.ids != own)
         w, q = weight[dims], query[dims].astype(np.float64)
         # One accumulator holds score and number of postings read: score + unit * read, exact below 2**53.
-        unit = float(1 << int(2 * (w * self.largest[dims]).sum() + 1).bit_length())
-        if unit * (self.width + 1) >= 1 << 53:
-            raise ValueError("scores of this size are not exact in doubles")
+        # Larger scores have two accumulators of integers.
+        bound = sum(a * b for a, b in zip(w.tolist(), self.largest[dims].tolist(), strict=True))
+        if bound >= 1 << 62:
+            raise ValueError("scores of this size do not fit into a long")
+        unit = float(1 << (2 * bound + 1).bit_length())
+        wide = unit * (self.width + 1) >= 1 << 53
         total = np.zeros(n)
+        score, read = np.zeros(n, np.int64), np.zeros(n, np.int64)
         done = np.zeros(len(dims), np.int64)
         level = int((w * self.largest[dims]).max()) if len(dims) else 0
         possible = others
@@ -82,22 +86,34 @@ class ImpactIndex:
             if len(more):
                 cut = list(zip(dims[more].tolist(), done[more].tolist(), end[more].tolist(), strict=True))
                 at = np.concatenate([self.order[d][i:j] for d, i, j in cut])
-                gain = np.concatenate([self.values[d][i:j] for d, i, j in cut])
-                gain *= np.repeat(q[more], end[more] - done[more])
-                gain += unit
-                total += np.bincount(at, weights=gain, minlength=n)
+                if wide:
+                    np.add.at(score, at, self.rows[at, np.repeat(dims[more], end[more] - done[more])]
+                              * np.repeat(query[dims[more]], end[more] - done[more]))
+                    read += np.bincount(at, minlength=n)
+                else:
+                    gain = np.concatenate([self.values[d][i:j] for d, i, j in cut])
+                    gain *= np.repeat(q[more], end[more] - done[more])
+                    gain += unit
+                    total += np.bincount(at, weights=gain, minlength=n)
                 done = np.maximum(done, end)
-            read = np.floor(total / unit + 0.5)
-            score, slack = total - unit * read, (len(dims) - read) * max(level - 1, 0)
+            if not wide:
+                read = np.floor(total / unit + 0.5)
+                score = total - unit * read
+            rest = max(level - 1, 0)
+            # Unread postings add less than the level each, and no more than all postings can.
+            slack = (len(dims) - read) * rest if rest * len(dims) < 1 << 62 else np.where(read < len(dims), bound, 0)
             if len(others) > k:
                 low = (score - slack)[others]
                 bar = np.partition(low, len(low) - k)[len(low) - k]  # k rows surely reach this
                 possible = others[(score + slack)[others] >= bar]
             if len(possible) <= enough:
                 break
-        q = query.astype(np.float64)
-        # Many members: the product with all rows costs less than gathering theirs.
-        exact = (self.exact @ q)[possible] if len(possible) > n // 8 else self.exact[possible] @ q
+        if wide:
+            exact = self.rows[possible] @ query
+        else:
+            q = query.astype(np.float64)
+            # Many members: the product with all rows costs less than gathering theirs.
+            exact = (self.exact @ q)[possible] if len(possible) > n // 8 else self.exact[possible] @ q
         if len(possible) > 4 * k:  # the k best and all that tie with the last of them
             keep = np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
             possible, exact = possible[keep], exact[keep]

@@ -211,6 +211,19 @@ def test_top_k_awkward(spark, monkeypatch, block, k, scale):
     assert impact_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_impact_index_takes_large_scores():
+    rng = np.random.default_rng(8)
+    for top in (6_400_000, 1 << 28):  # scores of 4e13 and more, beyond one accumulator in doubles
+        rows = rng.integers(-40, 41, (300, 64))
+        rows[7, 3], rows[8, 3], rows[9, 3] = top, top - 1, -top
+        index = impact_search.ImpactIndex(np.arange(300), rows)
+        for own in (7, 9, 20):
+            score = [sum(a * b for a, b in zip(rows[own].tolist(), r, strict=True)) for r in rows.tolist()]
+            best = sorted((-s, i) for i, s in enumerate(score) if i != own)[:5]
+            ids, got = index.top(rows[own], own, 5)
+            assert list(zip(ids.tolist(), got.tolist(), strict=True)) == [(i, -s) for s, i in best]
+
+
 def test_impact_index_is_exact_for_any_data():
     rng = np.random.default_rng(6)
     for n, width, spread in ((1, 3, 5), (50, 1, 3), (700, 16, 40), (900, 64, 8), (300, 8, 0)):

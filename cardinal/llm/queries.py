@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardinal.llm import bpe_counts, grid_join, impact_search, language, mixing, near_dup, ngram_lm, packing, quality, sharding
+from cardinal.llm import (
+    bpe_counts,
+    grid_join,
+    hard_negatives,
+    impact_search,
+    language,
+    main_text,
+    mixing,
+    near_dup,
+    ngram_lm,
+    packing,
+    quality,
+    runs,
+    sharding,
+)
 from cardinal.llm.common import fold, table
 
 
@@ -72,6 +86,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op11_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_hash": op1_minmax_hash,
     "op2_byte_convolution": op2_byte_convolution,
@@ -83,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_grid_order_join": op8_grid_order_join,
     "op9_elias_fano_lm": op9_elias_fano_lm,
     "op10_token_counts": op10_token_counts,
+    "op11_tree_scoring": op11_tree_scoring,
+    "op12_residue_negatives": op12_residue_negatives,
+    "op13_repair_runs": op13_repair_runs,
 }
 
 NEAR_DUP_SQL = r"""
@@ -185,7 +216,29 @@ SELECT doc_id, source, block::BIGINT AS block, ((block - 1) * span // u)::BIGINT
 FROM t, e
 """
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_residue_negatives": NEGATIVES_SQL,
     "op5_pfair_mixing": MIXING_SQL,
     "op1_minmax_hash": NEAR_DUP_SQL,
     "op4_impact_search": SEARCH_SQL,

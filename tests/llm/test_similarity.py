@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardinal.llm import grid_join, impact_search, near_dup, queries, shingles
+from cardinal.llm import grid_join, hard_negatives, impact_search, near_dup, queries, shingles
 from cardinal.llm.common import components
 from tests.llm.cases import WORDS, awkward, docs, empty, prose
 from tests.oracle import compare, duck
@@ -279,3 +279,70 @@ def test_search_queries_many_copies(spark):
     rows = impact_search.top_k(df, F.col("vec_id") % 20 == 0).collect()
     assert len(rows) == 15 * 20
     assert all(r.vec_id == (r.rank - 1 if r.rank <= r.query_id else r.rank) for r in rows)
+
+
+# -- hard negatives ---------------------------------------------------------
+
+def plain_negatives(rows, is_anchor, k=5, m=10, scale=256.0, window=(30, 90)):
+    ok = [(i, y, [math.floor(scale * x) for x in v]) for i, y, v in rows
+          if i is not None and y is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    score = lambda u, v: sum(a * b for a, b in zip(u, v, strict=True))
+    out = []
+    for a in sorted({i for i, _, _ in ok if is_anchor(i)}):
+        _, y, v = max((r for r in ok if r[0] == a), key=lambda r: (r[1], [*r[2]]))
+        others = sorted((-score(v, w), j, z) for j, z, w in ok if j != a and len(w) == len(v))
+        for s, p, _ in [r for r in others if r[2] == y][:k]:
+            inside = [r for r in others if r[2] != y and window[0] * -s <= 100 * -r[0] <= window[1] * -s][:m]
+            out += [(a, p, rank, j, -s, -t) for rank, (t, j, _) in enumerate(inside, 1)]
+    return sorted(out)
+
+
+def mined(df, **kw):
+    return sorted(tuple(r) for r in hard_negatives.mine(df, F.col("vec_id") % 10 == 0, **kw).collect())
+
+
+VECTORS = "vec_id bigint, embedding array<double>, label int, score string, width int, n int"
+
+
+def test_hard_negatives_of_awkward_rows(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.25, 0.5, 1.0]) for _ in range(6)], rng.randrange(3)) for i in range(120)]
+    rows += [(i, [1.0] * 6, 1) for i in range(120, 150)]  # ties
+    rows += [(200, None, 1), (210, [], 1), (220, [None] * 6, 1), (230, [float("nan")] * 6, 1), (240, [math.inf] * 6, 0), (250, [1.0] * 6, None),
+             (None, [1.0] * 6, 1), (260, [0.5] * 3, 1), (261, [0.5] * 3, 1), (262, [0.25] * 3, 2), (270, [0.0] * 6, 2), (10, [0.5] * 6, 2), (11, [0.5] * 6, 2)]
+    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], VECTORS)
+    want = plain_negatives([(i, y, v) for i, v, y in rows], lambda i: i % 10 == 0)
+    assert want
+    assert mined(df) == want
+    assert mined(df.limit(0)) == []
+    assert mined(df.where("vec_id % 10 <> 0")) == []
+
+
+def test_hard_negatives_with_large_scores(spark, monkeypatch):
+    """Scores up to the end of the longs are exact; beyond, the query raises; many packs, strips and groups."""
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) * 2.0 ** rng.choice([3, 10, 20]) for _ in range(70)], i % 4) for i in range(300)]
+    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], VECTORS).repartition(7)
+    for name, value in (("PACK_ROWS", 16), ("GROUP_ANCHORS", 8), ("STRIP_ROWS", 40)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    want = plain_negatives([(i, y, v) for i, v, y in rows], lambda i: i % 10 == 0, window=(-50, 95), k=3)
+    assert max(r[4] for r in want) > 1 << 53
+    assert mined(df, window=(-50, 95), k_positive=3) == want
+    huge = spark.createDataFrame([(10, [1e18] * 4, 1, "s", 1, 2), (11, [1e18] * 4, 1, "s", 1, 2)], VECTORS)
+    with pytest.raises(Exception, match="do not fit"):
+        mined(huge)
+
+
+def test_residues_give_exact_products():
+    rng = np.random.default_rng(6)
+    for width in (1, 64, 65, 300):
+        for size in (3, 1 << 10, 1 << 24):
+            a, b = (rng.integers(-size, size + 1, (9, width)) for _ in range(2))
+            bound = float(width * size * size)
+            got = hard_negatives.exact_scores(hard_negatives.Residues(a.astype(float)), hard_negatives.Residues(b.astype(float)), bound)
+            assert np.array_equal(got, a @ b.T)
+    top = (1 << 31) - 1
+    for sign in (1, -1):
+        a, b = np.array([[top, 3.0]]), np.array([[sign * 4294967296.0, sign * 1.0]])
+        got = hard_negatives.exact_scores(hard_negatives.Residues(a), hard_negatives.Residues(b), 2.0**63 - 1024)
+        assert got[0, 0] == sign * (top * 4294967296 + 3)

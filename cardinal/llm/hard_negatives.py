@@ -252,12 +252,16 @@ def mine(vectors: DataFrame, is_anchor: Column, k_positive: int = 5, k_negative:
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     strips = max(1, -(-n // STRIP_ROWS), min(-(-n // PACK_ROWS), 2 * cores))
     groups = max(1, -(-m // GROUP_ANCHORS))
-    number = F.monotonically_increasing_id()
+
+    def dealt(parts: int) -> Column:
+        """A part from 0 by the number of the pack; an int on both sides, as cogroup does not align key types."""
+        return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+
     per_strip = F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip")
     per_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp")
     cell = ["width", "strip", "grp"]
-    left = packed.withColumn("strip", (F.xxhash64(number) % strips + strips) % strips).select("*", per_group)
-    anchors = asked.withColumn("grp", (F.xxhash64(number) % groups + groups) % groups)
+    left = packed.withColumn("strip", dealt(strips)).select("*", per_group)
+    anchors = asked.withColumn("grp", dealt(groups))
     of_anchor = anchors.select("grp", "ids", "width")
 
     def first_pass(_, rows: pa.Table, other: pa.Table) -> pa.Table:

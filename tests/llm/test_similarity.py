@@ -318,6 +318,22 @@ def test_hard_negatives_of_awkward_rows(spark):
     assert mined(df.where("vec_id % 10 <> 0")) == []
 
 
+def test_hard_negatives_over_many_partitions(spark, monkeypatch):
+    """The cells of the grid meet also where Spark does not merge all shuffle partitions into one."""
+    for name, value in (("PACK_ROWS", 8), ("GROUP_ANCHORS", 4), ("STRIP_ROWS", 30)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], rng.randrange(3)) for i in range(200)]
+    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], VECTORS)
+    want = plain_negatives([(i, y, v) for i, v, y in rows], lambda i: i % 10 == 0)
+    assert len({r[0] for r in want}) == 20
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert mined(df) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_hard_negatives_with_large_scores(spark, monkeypatch):
     """Scores up to the end of the longs are exact; beyond, the query raises; many packs, strips and groups."""
     rng = random.Random(4)

@@ -397,7 +397,7 @@ _reg("count_rows", count_rows, "SELECT count(*) AS n FROM lineitem")
 # ---------------------------------------------------------------------------
 
 from cardinal.functions.distances import Dissimilarity  # noqa: E402
-from cardinal.operators.cluster import ClusterCard, KMeansMethod, assign  # noqa: E402
+from cardinal.operators.cluster import ClusterCard, DBSCANMethod, KMeansMethod, assign  # noqa: E402
 from cardinal.operators.dimred import DimensionalityReductionCard  # noqa: E402
 from cardinal.operators.glm import GLMCard  # noqa: E402
 from cardinal.operators.interp import InterpCard  # noqa: E402
@@ -465,6 +465,41 @@ def kmeans_fit_embeddings(spark, d):
     return _card_eval(card, _t(spark, d, "embeddings"), "vec_id").select("vec_id", "label", "cluster")
 
 
+def dbscan_customer(spark, d):
+    card = ClusterCard(DBSCANMethod(18.0, min_neighbors=4, min_cluster_size=8), inputs=("c_acctbal", "c_nationkey"))
+    return _card_eval(card, _t(spark, d, "customer"), "c_custkey").select("c_custkey", "cluster")
+
+
+def dbscan_events_cityblock(spark, d):
+    """Amount and hour of the events of one split, in weighted city-block distance."""
+    ev = _t(spark, d, "events").withColumns({"hour": F.hour("ts"), "part": (F.col("event_id") % 3).cast("int")})
+    dist = Dissimilarity("weighted_cityblock", weights=(1.0, 2.0))
+    card = ClusterCard(DBSCANMethod(1.0, min_neighbors=9, min_cluster_size=20, dissimilarity=dist), inputs=("value", "hour"), partition="part")
+    return _card_eval(card, ev, "event_id").select("event_id", "cluster")
+
+
+def _dbscan_sql(points: str, rows: str, id_name: str, dist: str, radius: float, min_neighbors: int, min_size: int) -> str:
+    return f"""
+WITH RECURSIVE p AS ({points}), n AS (
+  SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= {radius} AND {dist} <= {radius}
+), core AS (
+  SELECT a AS id FROM n GROUP BY a HAVING count(*) >= {min_neighbors}
+), e AS (
+  SELECT n.a, n.b FROM n SEMI JOIN core c ON c.id = n.a SEMI JOIN core k ON k.id = n.b
+), r(node, comp) AS (
+  SELECT id, id FROM core UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.node WHERE r.comp < e.b
+), k AS (
+  SELECT node AS id, min(comp) AS comp FROM r GROUP BY node
+), t AS (
+  SELECT id, comp FROM k UNION SELECT n.a, k.comp FROM n JOIN k ON k.id = n.b ANTI JOIN core ON core.id = n.a
+), s AS (
+  SELECT comp, row_number() OVER (ORDER BY comp) AS label FROM t GROUP BY comp HAVING count(*) >= {min_size}
+), l AS (
+  SELECT t.id, min(s.label) AS label FROM t JOIN s USING (comp) GROUP BY t.id
+)
+SELECT q.id AS {id_name}, CASE WHEN mine THEN coalesce(l.label, 0) END AS cluster FROM ({rows}) q LEFT JOIN l ON l.id = q.id"""
+
+
 # ---------------------------------------------------------------------------
 # Dimensionality reduction
 # ---------------------------------------------------------------------------
@@ -618,6 +653,12 @@ x AS (SELECT c_custkey, c_acctbal, c_nationkey, k, pow(c_acctbal - a, 2) + pow(c
 b AS (SELECT c_custkey, any_value(c_acctbal) AS a, any_value(c_nationkey) AS n, arg_min(k, d) AS k, min(d) AS d FROM x GROUP BY c_custkey)
 SELECT k::INTEGER AS cluster, avg(a) AS acctbal, avg(n) AS nation, count(*) AS n, sum(d) AS objective FROM b GROUP BY k""")
 _reg("kmeans_fit", kmeans_fit, None)
+_reg("dbscan_customer", dbscan_customer, _dbscan_sql(
+    "SELECT c_custkey AS id, c_acctbal AS x, c_nationkey AS y FROM customer", "SELECT c_custkey AS id, true AS mine FROM customer",
+    "c_custkey", "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))", 18.0, 4, 8))
+_reg("dbscan_events_cityblock", dbscan_events_cityblock, _dbscan_sql(
+    "SELECT event_id AS id, value AS x, hour(ts) * 2.0::DOUBLE AS y FROM events WHERE event_id % 3 = 1",
+    "SELECT event_id AS id, event_id % 3 = 1 AS mine FROM events", "event_id", "abs(a.x - b.x) + abs(a.y - b.y)", 1.0, 9, 20))
 _reg("kmeans_fit_cityblock_weighted", kmeans_fit_cityblock_weighted, None)
 _reg("kmeans_fit_embeddings", kmeans_fit_embeddings, None)
 for _name, _dist in _KM_DISTS.items():
@@ -1160,18 +1201,16 @@ FROM customer""")
 try:
     from cardinal.llm.queries import ORACLES as _LLM_SQL
     from cardinal.llm.queries import QUERIES as _LLM_QUERIES
-except ModuleNotFoundError as _e:
-    if not (_e.name or "").startswith("cardinal.llm"):
-        raise
+except ImportError:  # the subpackage or one of its optional packages is absent
+    pass
 else:
     for _name, _fn in _LLM_QUERIES.items():
         _reg(_name, _fn, _LLM_SQL.get(_name))
 
 try:
     import corpus_pipeline as _pipeline
-except ModuleNotFoundError as _e:
-    if not ((_e.name or "") == "corpus_pipeline" or (_e.name or "").startswith("cardinal.llm")):
-        raise
+except ImportError:
+    pass
 else:
     _reg("pipeline", _pipeline.run, _pipeline.ORACLE_SQL)
 

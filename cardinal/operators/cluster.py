@@ -9,13 +9,16 @@ grow.  Initial centres come from k-means|| over all rows: rounds of draws in
 proportion to a row's cost, the few drawn rows weighted by the rows nearest to
 them and reduced to k by k-means++.
 
-Not built (see README): DBSCAN and affinity propagation.  Both need the
-neighbour pairs of every point - all pairs inside dense regions, O(N^2) for
-affinity propagation by definition - which this library does not emit.
+DBSCAN (K2) lives in ``density``; its fitted state is the table of distinct
+training points with their labels, and prediction is a join on the point.
+
+Not built (see README): affinity propagation, which needs the N x N similarity
+matrix by definition.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from cardinal.functions.columns import qcol
 from cardinal.functions.distances import Dissimilarity, argmin_label
 from cardinal.functions.partials import sum_partials
+from cardinal.operators.density import dbscan_points
 from cardinal.operators.filters import training_rows
 from cardinal.plans.card import Card, CardState, OutputVariables, SourceVariables, check_fields, method_of, register_card
+from cardinal.session import reliable_checkpoint
 
 SEED_ROUNDS = 2
 OVERSAMPLE = 2
@@ -180,15 +185,44 @@ class KMeansMethod:
                 "seed": self.seed, "dissimilarity": self.dissimilarity.to_dict()}
 
 
-CLUSTER_METHODS = {"kmeans": KMeansMethod}
+@dataclass(frozen=True)
+class DBSCANMethod:
+    """Points within ``radius``; ``min_neighbors`` others make a core point; smaller clusters are dropped."""
+
+    radius: float
+    min_neighbors: int = 1
+    min_cluster_size: int = 1
+    dissimilarity: Dissimilarity = field(default_factory=lambda: Dissimilarity("euclidean"))
+
+    def __post_init__(self):
+        if not self.radius > 0 or self.min_neighbors < 1 or self.min_cluster_size < 1:
+            raise ValueError("dbscan: radius > 0, min_neighbors >= 1, min_cluster_size >= 1")
+        if not self.dissimilarity.is_metric:
+            raise ValueError(f"dbscan needs a true metric, not {self.dissimilarity.type!r}")
+
+    def to_dict(self):
+        return {"type": "dbscan", "radius": self.radius, "min_neighbors": self.min_neighbors,
+                "min_cluster_size": self.min_cluster_size, "dissimilarity": self.dissimilarity.to_dict()}
+
+
+CLUSTER_METHODS = {"kmeans": KMeansMethod, "dbscan": DBSCANMethod}
+
+
+def finite_point(xs: list[Column]) -> Column:
+    """The coordinates as one array; NULL if one is NULL, NaN or infinite."""
+    arr = F.array(*xs)
+    return F.when(F.forall(arr, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))), arr)
 
 
 @register_card("cluster", "Cluster")
 @dataclass(frozen=True)
 class ClusterCard(Card):
-    """Cluster labels (1..k) for the training rows; other rows keep the column's old value (NULL if it is new)."""
+    """Cluster labels (1..k; dbscan: 0 is noise) for the training rows; other rows keep the column's old value (NULL if it is new).
+
+    DBSCAN has no weights (they are ignored with a warning); rows with a NULL, NaN or infinite input get no label from it.
+    """
 
-    method: KMeansMethod
+    method: KMeansMethod | DBSCANMethod
     inputs: tuple
     weights: str | None = None
     partition: str | None = None
@@ -217,12 +251,37 @@ class ClusterCard(Card):
 
     def fit(self, df, id_var=None):
         m = self.method
+        if isinstance(m, DBSCANMethod):
+            return self._fit_dbscan(training_rows(df, self.partition), id_var)
         res = kmeans_fit(training_rows(df, self.partition), list(self.inputs), m.classes, weights=self.weights,
                          dist=m.dissimilarity, iterations=m.iterations, tol=m.tol, seed=m.seed)
         return CardState(content={"centres": res["centres"].tolist(), "iterations": res["iterations"],
                                   "objective": res["objective"], "converged": res["converged"]})
 
+    def _fit_dbscan(self, train, id_var):
+        m = self.method
+        if self.weights:
+            warnings.warn("dbscan ignores weights", stacklevel=3)
+        number = qcol(id_var).cast("bigint") if id_var else F.monotonically_increasing_id()
+        points = train.select(number.alias("id"), finite_point(feature_columns(train, list(self.inputs))).alias("x"))
+        labels = dbscan_points(points.where(F.col("x").isNotNull()), m.radius, m.min_neighbors, m.min_cluster_size, m.dissimilarity)
+        labels = reliable_checkpoint(labels)
+        found = labels.agg(F.coalesce(F.max("label"), F.lit(0))).first()[0]
+        return CardState(content={"clusters": found}, tables={"labels": labels})
+
+    def _transform_dbscan(self, df, state):
+        mine = F.lit(True) if self.partition is None else F.coalesce(qcol(self.partition) == 1, F.lit(False))
+        point = finite_point(feature_columns(df, list(self.inputs)))
+        old = qcol(self.output).cast("bigint") if self.output in df.columns else F.lit(None).cast("bigint")
+        asked = df.select("*", F.when(mine, point).alias("_cd_x"), mine.alias("_cd_mine"))
+        known = state.tables["labels"].select(F.col("x").alias("_cd_x"), F.col("label").alias("_cd_label"))
+        out = F.when(F.col("_cd_mine"), F.col("_cd_label")).otherwise(old)
+        keep = [qcol(c) for c in df.columns if c != self.output]
+        return asked.join(known, "_cd_x", "left").select(*keep, out.alias(self.output))
+
     def transform(self, df, state, id_var=None):
+        if isinstance(self.method, DBSCANMethod):
+            return self._transform_dbscan(df, state)
         xs = feature_columns(df, list(self.inputs))
         lab = assign(xs, np.asarray(state.content["centres"]), self.method.dissimilarity)
         if self.partition:
@@ -233,4 +292,6 @@ class ClusterCard(Card):
         return df.select(*keep, lab.cast("bigint").alias(self.output))
 
     def report(self, state):
+        if isinstance(self.method, DBSCANMethod):
+            return {"clusters": state.content.get("clusters")}
         return {k: state.content.get(k) for k in ("iterations", "objective", "converged")}

@@ -1044,6 +1044,39 @@ def _stream_sql():
 _reg("stream_score", stream_score, _stream_sql())
 
 
+def _least_squares_net(spark, d, optimizer):
+    """A network without hidden layers: its optimum is the least-squares plane, whatever the way there."""
+    li = _t(spark, d, "lineitem").withColumns({
+        "price": F.col("l_extendedprice") / 10000, "amount": F.col("l_quantity") / 50, "cut": F.col("l_discount") * 10})
+    card = DenseNetCard(inputs=("amount", "cut"), targets=("price",), order_by=("l_orderkey",), layers=({"sigma": "identity"},),
+                           training=Training(optimizer=optimizer, epochs=60, seed=5, g_tol=1e-11))
+    state = card.fit(li)
+    out = card.transform(li, state).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("price_hat", 3).alias("price_hat"))
+    return out.distinct()
+
+
+def nn_lbfgs_plane(spark, d):
+    return _least_squares_net(spark, d, "lbfgs")
+
+
+def nn_bfgs_plane(spark, d):
+    return _least_squares_net(spark, d, "bfgs")
+
+
+_PLANE_SQL = """
+WITH x AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / 10000 AS y, l_quantity / 50 AS a, l_discount * 10 AS b FROM lineitem
+), s AS (
+  SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+         covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM x
+), w AS (
+  SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM s
+)
+SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(my + wa * (a - ma) + wb * (b - mb), 3) AS price_hat FROM x, w"""
+_reg("nn_lbfgs_plane", nn_lbfgs_plane, _PLANE_SQL)
+_reg("nn_bfgs_plane", nn_bfgs_plane, _PLANE_SQL)
+
+
 # ---------------------------------------------------------------------------
 # User-defined card (U1), SQL macros (S23), min-by-group dedup
 # ---------------------------------------------------------------------------
@@ -1089,6 +1122,63 @@ MACRO_SQL = """SELECT l_returnflag, l_linestatus, sum(l_extendedprice * (1 - l_d
   sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS charge FROM lineitem GROUP BY l_returnflag, l_linestatus"""
 
 
+def row_id_file_order(spark, d):
+    """Ids in file order; the filter comes after the numbering and still reaches the scan."""
+    li = ranking.add_row_id(_t(spark, d, "lineitem"), "_id")
+    return li.where("l_quantity > 25").select("_id", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+def summary_events(spark, d):
+    from cardinal.operators.summary import summary_table
+
+    return summary_table(_t(spark, d, "events")).drop("column_no")
+
+
+def page_deep(spark, d):
+    """The page at nine tenths of lineitem."""
+    from cardinal.plans.dashboard import PageIndex
+
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    order = [{"colId": "l_shipdate", "sort": "desc"}] + [{"colId": c} for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    index = PageIndex(li, order, slice_rows=5000)
+    return index.page(200, index.total * 9 // 10)
+
+
+def batch_shuffled(spark, d):
+    """Which batch of 32 every event is in, in two epochs."""
+    ev = _t(spark, d, "events").select("event_id", "value")
+    one = funnel.shuffled_batches(ev, ["event_id"], 32, seed=11, epoch=1).withColumnRenamed(funnel.BATCH, "first")
+    two = funnel.shuffled_batches(ev.select("event_id"), ["event_id"], 32, seed=11, epoch=2).withColumnRenamed(funnel.BATCH, "second")
+    return one.join(two, "event_id")
+
+
+def _shuffled_sql(epoch):
+    key = f"('0x' || substr(md5('11:{epoch}:' || event_id), 1, 15))::BIGINT"
+    return f"(row_number() OVER (ORDER BY {key}, event_id) - 1) // 32"
+
+
+_EVENT_TEXTS = (("ts", "datetime", "strftime(ts, '%Y-%m-%d %H:%M:%S') || rtrim(rtrim(strftime(ts, '.%f'), '0'), '.')", "ts"),
+                ("event_type", "string", "event_type", "event_type"), ("props", "string", "props", "props"))
+_reg("row_id_file_order", row_id_file_order, """SELECT _id, l_orderkey, l_linenumber, l_partkey FROM (
+  SELECT row_number() OVER () AS _id, * FROM lineitem) WHERE l_quantity > 25""")
+_reg("summary_events", summary_events, " UNION ALL ".join(
+    [f"""SELECT '{c}' AS name, 'numerical' AS kind, '{k}' AS eltype, NULL::BIGINT AS position, NULL::VARCHAR AS value,
+  min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM events""" for c, k in (("event_id", "int"), ("user_id", "int"), ("value", "float"))]
+    + [f"""SELECT '{c}', 'categorical', '{k}', row_number() OVER (ORDER BY o NULLS LAST), v, NULL, NULL
+  FROM (SELECT DISTINCT {e} AS v, {o} AS o FROM events)""" for c, k, e, o in _EVENT_TEXTS]))
+_reg("page_deep", page_deep, """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM lineitem
+  ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 200 OFFSET (SELECT count(*) * 9 // 10 FROM lineitem)""")
+_reg("batch_shuffled", batch_shuffled, f"SELECT event_id, value, {_shuffled_sql(1)} AS first, {_shuffled_sql(2)} AS second FROM events")
+
+
+def process_flow_file_order(spark, d):
+    """The process flow with rows numbered as the file holds them."""
+    cards = [SplitCard(PercentileMethod(0.8), order_by=("o_orderdate",), group_by=("o_orderpriority",)),
+             RescaleCard("minmax", inputs=("o_totalprice",), partition="partition")]
+    out = process(_t(spark, d, "orders"), [ListFilter("o_orderstatus", ("F", "O"))], cards)
+    return out.select("_id", "o_orderkey", "partition", "o_totalprice_rescaled")
+
+
 def dedup_min_id(spark, d):
     o = _t(spark, d, "orders")
     return o.groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("o_orderkey"))
@@ -1181,6 +1271,9 @@ m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM s WHERE "part
 SELECT _id, o_orderkey, "partition", (o_totalprice - lo) / (hi - lo) AS o_totalprice_rescaled FROM s JOIN m ON true""")
 
 
+_reg("process_flow_file_order", process_flow_file_order, _REGISTRY["process_flow"][1].replace("OVER (ORDER BY o_orderkey)", "OVER ()"))
+
+
 def cluster_existing_column(spark, d):
     from cardinal.plans.card import CardState
 

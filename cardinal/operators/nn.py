@@ -36,6 +36,7 @@ from cardinal.functions.columns import join_names, qcol
 from cardinal.functions.metrics import METRICS, metric_column
 from cardinal.functions.partials import sum_partials
 from cardinal.operators.filters import split_rows
+from cardinal.operators.optim import descend
 from cardinal.operators.funnel import levels as level_list
 from cardinal.operators.summary import is_numerical
 from cardinal.plans.card import Card, CardState, OutputVariables, SourceVariables, register_card
@@ -411,6 +412,9 @@ def _batch_gradient(data: DataFrame, params, acts, loss, need_grad: bool = True)
     return sc["loss"], n, (arr["g"] if need_grad and n else None)
 
 
+FULL_BATCH = ("bfgs", "lbfgs")
+
+
 @dataclass(frozen=True)
 class Training:
     """How a network is trained; a plain dict in configs."""
@@ -433,8 +437,21 @@ class Training:
     patience: int | None = None  # epochs without a better score before stopping
     plateau: int | None = None  # epochs in which the score moves by less than min_delta before stopping
     min_delta: float = 1e-6
+    memory: int = 10  # curvature pairs of lbfgs
+    g_tol: float = 1e-8  # bfgs and lbfgs end at a gradient this small
+
+    @property
+    def full_batch(self) -> bool:
+        """BFGS and L-BFGS see all training rows at once: an epoch is one iteration."""
+        return self.optimizer in FULL_BATCH
 
     def __post_init__(self):
+        if self.full_batch and (self.batches != 1 or self.schedule is not None):
+            raise ValueError(f"{self.optimizer} trains on the full batch: it takes neither batches nor a schedule")
+        if self.full_batch and self.lambda_l1:
+            raise ValueError(f"{self.optimizer} needs a smooth objective: lambda_l1 is for the other optimizers")
+        if self.memory < 1:
+            raise ValueError("memory must be >= 1")
         object.__setattr__(self, "beta", tuple(self.beta))
         object.__setattr__(self, "metrics", tuple(self.metrics))
         if self.loss is not None and self.loss not in LOSSES:
@@ -442,7 +459,8 @@ class Training:
         unknown = set(self.metrics) - set(METRICS)
         if unknown:
             raise ValueError(f"unknown metrics {sorted(unknown)}; valid: {', '.join(METRICS)}")
-        Optimizer(self.optimizer)
+        if not self.full_batch:
+            Optimizer(self.optimizer)
 
     @classmethod
     def from_dict(cls, d) -> "Training":
@@ -563,13 +581,20 @@ class DenseNetCard(Card):
         batch = F.pmod(F.xxhash64(*key, F.lit(tr.seed)), F.lit(tr.batches)).alias("_nb")
         train = assemble(split_rows(df, self.partition, 1), x, y, [batch]).persist(StorageLevel.MEMORY_AND_DISK)
         valid = assemble(split_rows(df, self.partition, 2), x, y).persist(StorageLevel.MEMORY_AND_DISK)
-        opt = Optimizer(tr.optimizer, tr.eta, tr.rho, tr.beta, tr.eps, tr.decay)
+        opt = None if tr.full_batch else Optimizer(tr.optimizer, tr.eta, tr.rho, tr.beta, tr.eps, tr.decay)
+        descent = self._descent(train, params, acts, loss) if tr.full_batch else None
         bad_epochs = still = it = 0
         last_score = math.inf
         try:
             for epoch in range(start_epoch + 1, start_epoch + tr.epochs + 1):
                 batch_means = []
-                for b in range(tr.batches):
+                if descent is not None:
+                    step = next(descent, None)
+                    if step is None:
+                        break
+                    params = unflatten(step.weights, params)
+                    batch_means.append(step.value)
+                for b in range(0 if descent is not None else tr.batches):
                     part = train if tr.batches == 1 else train.where(F.col("_nb") == b)
                     lval, n, g = _batch_gradient(part, params, acts, loss)
                     if not n:
@@ -611,6 +636,18 @@ class DenseNetCard(Card):
                                   "levels": {k: list(v) for k, v in levels.items()}, "epoch": best[2],
                                   "successful": True, "history": history})
 
+    def _descent(self, train: DataFrame, params, acts, loss):
+        """The iterations of BFGS or L-BFGS; every value and gradient is one job over the cached training rows."""
+        tr = self.training
+
+        def objective(w):
+            lval, n, g = _batch_gradient(train, unflatten(w, params), acts, loss)
+            if not n:
+                raise ValueError("no training row has all inputs and targets")
+            return lval / n + tr.lambda_l2 * float(w @ w), g / n + 2 * tr.lambda_l2 * w
+
+        return descend(objective, flatten(params), tr.epochs, tr.memory if tr.optimizer == "lbfgs" else None, tr.g_tol)
+
     def _metrics(self, data: DataFrame, params, acts, slices) -> dict[str, float]:
         """The chosen metrics over assembled rows, each a mean over targets, in one aggregation."""
         out = _network(data, [F.col("x")[i] for i in range(params[0].shape[0])], params, acts, ["y"])

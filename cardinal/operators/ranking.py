@@ -29,15 +29,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardinal.functions.columns import asc, qcol
+from cardinal.operators.joins import broadcast_if_bounded
 from cardinal.session import reliable_checkpoint
 
 _P = "_cd_pid"
 _POS = "_cd_pos"
 _TB = "_cd_tiebreak"
+FILES_BROADCAST = 200_000  # offsets of so many files or splits (path and two numbers) may be broadcast: some 40 MB
 RN, RANK, N = "_cd_rn", "_cd_rank", "_cd_n"
 _LOCAL = ("_cd_lrn", "_cd_lrank", "_cd_ln", "_cd_seg0", "_cd_seg1")
 
@@ -232,13 +235,17 @@ def ntile(df: DataFrame, buckets: int, order_by: Sequence[str], group_by: Sequen
 def add_row_id(df: DataFrame, name: str = "_id", order_by: Sequence[str] | None = None) -> DataFrame:
     """Dense 1..N row id.
 
-    With ``order_by`` the id follows that (unique) order.  Without, rows are
-    numbered in scan order: per-partition counts (one row per input
-    partition) give offsets, added to each row's index in its partition.
+    With ``order_by`` the id follows that (unique) order.  Without, rows of a
+    file scan are numbered in file order (:func:`file_row_id`: no shuffle or
+    copy of the rows); rows that come from elsewhere are numbered in the order of
+    their partitions, which needs them written once.
     """
     if order_by:
         num = ordered_numbers(df, order_by, (), tiebreak=list(order_by))
         return num.withColumn(name, F.col(RN)).drop(RN, RANK, N)
+    in_files = file_row_id(df, name)
+    if in_files is not None:
+        return in_files
     cols = list(df.columns)
     tagged = reliable_checkpoint(df.withColumn("_cd_mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_cd_mid"), 33)
@@ -256,9 +263,56 @@ def add_row_id(df: DataFrame, name: str = "_id", order_by: Sequence[str] | None
     )
 
 
-def ordered_cumsum(df: DataFrame, order_col: str, value_col: str, output: str,
+def plain_scan(df: DataFrame) -> bool:
+    """True if ``df`` is a file scan with projections only: no filter, join or limit lies between it and the files."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias", "View") and node.children().size() == 1:
+        node = node.children().head()
+    return node.children().isEmpty() and "Relation" in node.nodeName()
+
+
+def scanned(df: DataFrame, column: str) -> bool:
+    """True if the scan below ``df`` tells this field of the file metadata."""
+    try:
+        df.select(F.col(f"_metadata.{column}")).schema
+    except AnalysisException:
+        return False
+    return True
+
+
+def file_row_id(df: DataFrame, name: str = "_id") -> DataFrame | None:
+    """Row ids in the order of (file path, row in the file), or None if ``df`` is not a scan with projections only.
+
+    A row's id is the number of rows in earlier files plus its own number in
+    its file.  Parquet readers tell that number; it stays right when filters
+    are pushed into the scan and skip row groups, so the rows are read once,
+    filtered, with no shuffle.  Other formats tell the place of the split a row
+    was read from, and a task reads a split's rows in order.  The counts come
+    from a pass over the file metadata; offsets are one row per file or split.
+    """
+    if not plain_scan(df) or not scanned(df, "file_path"):
+        return None
+    cols = [qcol(c) for c in df.columns]
+    path = F.col("_metadata.file_path").alias("_cd_path")
+    if scanned(df, "row_index"):
+        keyed = df.select(*cols, path, F.col("_metadata.row_index").alias("_cd_row"))
+        counts = df.select(path).groupBy("_cd_path").agg(F.count(F.lit(1)).alias("c"))
+        keys, row = ["_cd_path"], F.col("_cd_row")
+    else:
+        place = F.col("_metadata.file_block_start").alias("_cd_block")
+        keyed = df.select(*cols, path, place, F.monotonically_increasing_id().alias("_cd_mid"))
+        counts = df.select(path, place, F.monotonically_increasing_id().alias("_cd_mid")).groupBy("_cd_path", "_cd_block").agg(
+            F.count(F.lit(1)).alias("c"), F.min("_cd_mid").alias("_cd_first"))
+        keys, row = ["_cd_path", "_cd_block"], F.col("_cd_mid") - F.col("_cd_first")
+    counts = reliable_checkpoint(counts)
+    offsets = ordered_cumsum(counts, F.struct(*keys), "c", "_cd_off")
+    offsets, _ = broadcast_if_bounded(offsets.drop("c"), FILES_BROADCAST)
+    return keyed.join(offsets, keys).select(*cols, (F.col("_cd_off") + row + 1).cast("bigint").alias(name))
+
+
+def ordered_cumsum(df: DataFrame, order_col: str | Column, value_col: str, output: str,
                    num_partitions: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``value_col`` in ``order_col`` order (unique keys).
+    """Exclusive running sum of ``value_col`` in ``order_col`` order (unique keys); of integers a long.
 
     Range partitions give ordered slices; a running window per slice gives
     local sums, and one total per slice (at most ``P`` rows) gives each
@@ -267,14 +321,16 @@ def ordered_cumsum(df: DataFrame, order_col: str, value_col: str, output: str,
     spark = df.sparkSession
     P = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     cols = list(df.columns)
+    value = "long" if df.schema[value_col].dataType.typeName() in ("byte", "short", "integer", "long") else "double"
     staged = df.repartitionByRange(P, asc(order_col)).withColumn("_cs_pid", F.spark_partition_id())
     w = Window.partitionBy("_cs_pid").orderBy(asc(order_col)).rowsBetween(Window.unboundedPreceding, -1)
-    local = reliable_checkpoint(staged.withColumn("_cs_local", F.coalesce(F.sum(value_col).over(w), F.lit(0.0))))
+    zero = F.lit(0).cast(value)
+    local = reliable_checkpoint(staged.withColumn("_cs_local", F.coalesce(F.sum(value_col).over(w), zero)))
     totals = local.groupBy("_cs_pid").agg(F.sum(value_col).alias("t")).collect()  # one row per range partition
-    carry, acc = [], 0.0
+    carry, acc = [], 0 if value == "long" else 0.0
     for r in sorted(totals, key=lambda r: r["_cs_pid"]):
         carry.append((r["_cs_pid"], acc))
-        acc += r["t"] or 0.0
-    cdf = spark.createDataFrame(carry, "_cs_pid int, _cs_carry double")
+        acc += r["t"] or 0
+    cdf = spark.createDataFrame(carry, f"_cs_pid int, _cs_carry {value}")
     return local.join(F.broadcast(cdf), "_cs_pid", "left").select(
-        *[qcol(c) for c in cols], (F.col("_cs_local") + F.coalesce("_cs_carry", F.lit(0.0))).alias(output))
+        *[qcol(c) for c in cols], (F.col("_cs_local") + F.coalesce("_cs_carry", zero)).alias(output))

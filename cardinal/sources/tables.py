@@ -66,13 +66,16 @@ def export_table(df: DataFrame, path: str, *, format: str | None = None, header:
         raise ValueError(f"unsupported export format {fmt!r}")
 
 
-def json_array_page(df: DataFrame) -> DataFrame:
-    """One-row, one-column JSON array of a *limited* page.
+def json_array_page(df: DataFrame, limit: int = 1000) -> DataFrame:
+    """One-row, one-column JSON array of a page.
 
-    Callers pass a page (sorted + limit), so the collected list is bounded by
-    the page size.
+    The array is one value, so a page must be bounded: more than ``limit``
+    rows raise instead of gathering in one task.
     """
-    return df.agg(F.to_json(F.collect_list(F.struct(*[qcol(c) for c in df.columns]))).alias("json"))
+    rows = F.struct(*[qcol(c) for c in df.columns])
+    page = df.limit(int(limit) + 1).agg(F.collect_list(rows).alias("rows"))
+    too_many = F.raise_error(F.lit(f"a page of more than {limit} rows")).cast("string")
+    return page.select(F.when(F.size("rows") > limit, too_many).otherwise(F.to_json("rows")).alias("json"))
 
 
 def load_table(spark: SparkSession, data, name: str | None = None, *, schema: T.StructType | str | None = None) -> DataFrame:

@@ -50,5 +50,5 @@ def test_summary_nulls_last(spark):
     df = spark.createDataFrame([(1, "b", True), (2, None, False), (None, "a", None)], "x int, s string, b boolean")
     s = {c.name: c for c in summarize(df)}
     assert s["x"].kind == "numerical" and s["x"].summary == {"min": 1, "max": 2}
-    assert s["s"].summary == ["a", "b", None]
-    assert s["b"].kind == "categorical" and s["b"].summary == [False, True, None]
+    assert s["s"].head(9) == ["a", "b", None]
+    assert s["b"].kind == "categorical" and s["b"].head(9) == [False, True, None]

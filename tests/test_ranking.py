@@ -1,9 +1,12 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cardinal.operators import ranking
 from cardinal.operators.ranking import N, RANK, RN, ordered_numbers
+from tests.conftest import table
 
 
 def _ref(pdf, group, order, tie):
@@ -65,3 +68,51 @@ def test_row_id_scan_order(spark):
     df = spark.range(0, 100, 1, 7).withColumn("k", F.col("id") * 2)
     got = ranking.add_row_id(df, "_id").select("_id").toPandas()["_id"].sort_values().tolist()
     assert got == list(range(1, 101))
+
+
+# -- row ids in file order ---------------------------------------------------
+
+def numbered(frame):
+    return {r.k: r._id for r in frame.select("k", "_id").collect()}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_file_row_ids_follow_paths_and_rows(spark, tmp_path, fmt):
+    """Several files, several splits of a file: the ids are those of reading one file after the other."""
+    rng = random.Random(1)
+    for name in ("b", "a", "c"):
+        keys = [f"{name}{i:04d}" for i in range(rng.randint(300, 900))]
+        rng.shuffle(keys)
+        frame = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, v long").coalesce(1)
+        frame.write.mode("overwrite").option("header", True).format(fmt).save(str(tmp_path / "in" / f"part={name}"))
+    source = spark.read.option("header", True).format(fmt).load(str(tmp_path / "in"))
+    want, at = {}, 0
+    for name in ("a", "b", "c"):
+        rows = [(int(r.v), r.k) for r in source.where(F.col("part") == name).collect()]
+        want |= {k: at + v + 1 for v, k in rows}
+        at += len(rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        ids = ranking.add_row_id(source.withColumn("w", F.col("v") * 2), "_id")
+        assert numbered(ids) == want
+        late = {r.k for r in source.where("v > 250").collect()}
+        assert numbered(ids.where("v > 250")) == {k: i for k, i in want.items() if k in late}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_file_row_ids_neither_copy_nor_shuffle_the_rows(spark):
+    li = ranking.add_row_id(table(spark, "lineitem"), "_id").where("l_quantity > 49")
+    plan = li._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scan = plan[plan.index("lineitem.parquet"):]
+    assert "GreaterThan(l_quantity,49.0)" in scan.split("ReadSchema")[0]
+    assert "hashpartitioning" not in plan
+    assert "rangepartitioning" not in plan
+
+
+def test_row_ids_above_a_filter_number_its_rows(spark):
+    part = table(spark, "orders").where("o_totalprice > 100000")
+    assert not ranking.plain_scan(part)
+    ids = sorted(r._id for r in ranking.add_row_id(part, "_id").select("_id").collect())
+    assert ids == list(range(1, len(ids) + 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cardinal.session import checkpoint_dir, reliable_checkpoint
 
-__all__ = ["arrow_map", "checkpoint_dir", "components", "fold", "free_name", "group_key", "reliable_checkpoint",
+__all__ = ["arrow_map", "checkpoint_dir", "components", "fold", "free_name", "group_key", "release_memory", "reliable_checkpoint",
            "seeded_ranks", "shuffle_key", "table"]
 
 
@@ -37,6 +38,15 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def release_memory() -> None:
+    """Give freed memory of a task back: workers live on for other stages, and an executor's share is bounded."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def arrow_map(df: DataFrame, fn, schema: str, rows: int = 2_000) -> DataFrame:
     """``mapInArrow`` with ``fn(batch) -> record batch or None`` applied to every batch, ``rows`` rows at a time.
 
@@ -50,7 +60,7 @@ def arrow_map(df: DataFrame, fn, schema: str, rows: int = 2_000) -> DataFrame:
                 got = fn(b.slice(at, rows))
                 if got is not None:
                     yield got
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

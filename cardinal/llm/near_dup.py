@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardinal.llm.common import arrow_map, components, free_name, group_key, reliable_checkpoint
+from cardinal.llm.common import arrow_map, components, free_name, group_key, release_memory, reliable_checkpoint
 from cardinal.llm.shingles import mix, shingle_arrays, shingle_sets
 from cardinal.operators.joins import broadcast_if_bounded
 from cardinal.operators.ranking import add_row_id
@@ -129,7 +129,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col:
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
         for left, right in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (left, right))
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
             both = len(np.intersect1d(p, q, assume_unique=True))
             good.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
         return batch.filter(pa.array(good, pa.bool_())).select([0, 1])
@@ -172,6 +172,12 @@ def in_blocks(left: DataFrame) -> DataFrame:
     return reliable_checkpoint(own.join(parts, "f").select("id", "component", block.alias("block")))
 
 
+def whole_list(column: pa.ChunkedArray) -> pa.Array:
+    """A list column of one row that holds all values of a column."""
+    values = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def block_links(ids_a, comp_a, sets_a, ids_b, comp_b, sets_b, percent: int):
     """Links (component, component) found between two blocks, enough of them to connect what is linked."""
     size_a, size_b = (np.array([len(s) for s in sets]) for sets in (sets_a, sets_b))
@@ -217,20 +223,26 @@ def rest_links(docs: DataFrame, left: DataFrame, words: int, percent: int, id_co
     rows = sets.join(placed, "id").select("block", "id", "component", "s")
 
     def gather(key, table):
-        return pa.table({"block": table.column("block").slice(0, 1), **{
-            k: pa.array([table.column(k).to_pylist()], pa.list_(table.schema.field(k).type)) for k in ("id", "component", "s")}})
+        # The columns become one list each, without a copy in Python.
+        return pa.table({"block": table.column("block").slice(0, 1), **{k: whole_list(table.column(k)) for k in ("id", "component", "s")}})
 
     packed = reliable_checkpoint(rows.groupBy("block").applyInArrow(
         gather, f"block string, id array<{kind}>, component array<{kind}>, s array<binary>"))
 
     def compare(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                sides = [(r[f"id_{s}"], r[f"component_{s}"], [np.frombuffer(x, np.uint64) for x in r[f"s_{s}"]]) for s in "ab"]
-                got = list(block_links(*sides[0], *sides[1], percent))
+            at = {n: k for k, n in enumerate(batch.schema.names)}
+            for k in range(batch.num_rows):  # one pair of blocks is held at a time; sets share the batch's memory
+                sides = []
+                for side in "ab":
+                    sets = batch.column(at[f"s_{side}"])[k].values
+                    sides += [batch.column(at[f"id_{side}"])[k].as_py(), batch.column(at[f"component_{side}"])[k].as_py(),
+                              [np.frombuffer(v.as_buffer(), np.uint64) for v in sets]]
+                got = list(block_links(*sides, percent))
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field("id_a").type.value_type)
                                                       for c in zip(*got, strict=True)], names=["a", "b"])
+            release_memory()
 
     sides = [packed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "id", "component", "s")]) for s in "ab"]
     found = pairs.join(sides[0], "block_a").join(sides[1], "block_b")

@@ -8,7 +8,7 @@ U = np.uint64
 #: Odd multiplier of the position-weighted byte sums and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _IS_SPACE = np.zeros(256, bool)

@@ -131,7 +131,10 @@ def blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
                 part = b.filter(pa.array(sizes == width))
                 for at in range(0, part.num_rows, rows):
                     cut = part.slice(at, rows)
-                    data = np.floor(scale * matrix(cut.column(1), int(width))).astype("<i8")
+                    data = np.floor(scale * matrix(cut.column(1), int(width)))
+                    if np.abs(data).max(initial=0) >= 1 << 62:  # as an integer it would wrap
+                        raise ValueError("scores of this size do not fit into a long")
+                    data = data.astype("<i8")
                     ids = np.asarray(cut.column(0).to_numpy(zero_copy_only=False), "<i8")
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([width], pa.int32()), pa.array([len(ids)], pa.int32()),

@@ -54,6 +54,9 @@ def directions(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows whose squares would vanish or overflow are scaled by their largest entry first."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    x = np.where((top < 1e-140) | (top > 1e140), x / top, x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -157,11 +157,10 @@ def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS, reject_
     per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()
     if not per:
         return learn([], reject_rate)
-    rate = F.lit(0.0)
-    for r in per:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(sample_rows / len(per) / r["n"])).otherwise(rate)
+    rates = docs.sparkSession.createDataFrame([(r["lang"], sample_rows / len(per) / r["n"]) for r in per], "lang string, rate double")
     draw = (F.xxhash64(F.lit(seed), "text") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003.0
-    picked = rows.where(draw < rate).dropDuplicates(["lang", "text"])  # copies of a drawn text count once
+    drawn = rows.join(F.broadcast(rates), "lang").where(draw < F.col("rate"))  # at most sample_rows rates
+    picked = drawn.select("text", "lang").dropDuplicates(["lang", "text"])  # copies of a drawn text count once
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [(lang.as_py(), *hashed_counts(text.as_py())) for text, lang in zip(*batch.columns, strict=True)

@@ -114,7 +114,7 @@ def test_mixture_query_and_mix(spark):
     assert len(rows) == df.count()
     kept = mixing.mix(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in rows if r.in_mixture)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in rows)
 
 
 def test_mixing_awkward(spark):

@@ -301,7 +301,7 @@ def mined(df, **kw):
     return sorted(tuple(r) for r in hard_negatives.mine(df, F.col("vec_id") % 10 == 0, **kw).collect())
 
 
-VECTORS = "vec_id bigint, embedding array<double>, label int, score string, width int, n int"
+MINED_VECTORS = "vec_id bigint, embedding array<double>, label int, score string, width int, n int"
 
 
 def test_hard_negatives_of_awkward_rows(spark):
@@ -310,7 +310,7 @@ def test_hard_negatives_of_awkward_rows(spark):
     rows += [(i, [1.0] * 6, 1) for i in range(120, 150)]  # ties
     rows += [(200, None, 1), (210, [], 1), (220, [None] * 6, 1), (230, [float("nan")] * 6, 1), (240, [math.inf] * 6, 0), (250, [1.0] * 6, None),
              (None, [1.0] * 6, 1), (260, [0.5] * 3, 1), (261, [0.5] * 3, 1), (262, [0.25] * 3, 2), (270, [0.0] * 6, 2), (10, [0.5] * 6, 2), (11, [0.5] * 6, 2)]
-    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], VECTORS)
+    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], MINED_VECTORS)
     want = plain_negatives([(i, y, v) for i, v, y in rows], lambda i: i % 10 == 0)
     assert want
     assert mined(df) == want
@@ -324,7 +324,7 @@ def test_hard_negatives_over_many_partitions(spark, monkeypatch):
         monkeypatch.setattr(hard_negatives, name, value)
     rng = random.Random(3)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], rng.randrange(3)) for i in range(200)]
-    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], VECTORS)
+    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], MINED_VECTORS)
     want = plain_negatives([(i, y, v) for i, v, y in rows], lambda i: i % 10 == 0)
     assert len({r[0] for r in want}) == 20
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -338,13 +338,13 @@ def test_hard_negatives_with_large_scores(spark, monkeypatch):
     """Scores up to the end of the longs are exact; beyond, the query raises; many packs, strips and groups."""
     rng = random.Random(4)
     rows = [(i, [rng.uniform(-1, 1) * 2.0 ** rng.choice([3, 10, 20]) for _ in range(70)], i % 4) for i in range(300)]
-    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], VECTORS).repartition(7)
+    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], MINED_VECTORS).repartition(7)
     for name, value in (("PACK_ROWS", 16), ("GROUP_ANCHORS", 8), ("STRIP_ROWS", 40)):
         monkeypatch.setattr(hard_negatives, name, value)
     want = plain_negatives([(i, y, v) for i, v, y in rows], lambda i: i % 10 == 0, window=(-50, 95), k=3)
     assert max(r[4] for r in want) > 1 << 53
     assert mined(df, window=(-50, 95), k_positive=3) == want
-    huge = spark.createDataFrame([(10, [1e18] * 4, 1, "s", 1, 2), (11, [1e18] * 4, 1, "s", 1, 2)], VECTORS)
+    huge = spark.createDataFrame([(10, [1e18] * 4, 1, "s", 1, 2), (11, [1e18] * 4, 1, "s", 1, 2)], MINED_VECTORS)
     with pytest.raises(Exception, match="do not fit"):
         mined(huge)
 
@@ -362,3 +362,16 @@ def test_residues_give_exact_products():
         a, b = np.array([[top, 3.0]]), np.array([[sign * 4294967296.0, sign * 1.0]])
         got = hard_negatives.exact_scores(hard_negatives.Residues(a), hard_negatives.Residues(b), 2.0**63 - 1024)
         assert got[0, 0] == sign * (top * 4294967296 + 3)
+
+
+def test_search_refuses_components_that_would_wrap(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.5]), (21, [1e18, 0.5])], "vec_id bigint, embedding array<float>")
+    with pytest.raises(Exception, match="do not fit"):
+        impact_search.top_k(df, F.col("vec_id") == 20).collect()
+
+
+def test_links_of_tiny_and_huge_vectors(spark):
+    rows = [(1, [1e-200, 1e-200], 0), (2, [3e-200, 3e-200], 0), (3, [2.0, 2.0], 0), (4, [1e200, 1e200], 0), (5, [1e-200, -1e-200], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in grid_join.link_vectors(df, threshold=0.93).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}

@@ -240,3 +240,9 @@ def test_lm_hot_pair_and_one_giant_text(spark, monkeypatch):
                                           sorted(ngram_lm.train_and_score(df, F.lit(True)).collect()), strict=True):
         assert (doc_id, n, k) == (r.doc_id, r.n_tokens, r.n_known)
         assert r.base_score == pytest.approx(b) and abs(r.score - s) < 0.02 * n
+
+
+def test_many_languages_are_learned(spark):
+    rows = [(i, " ".join(f"w{i % 300}x{k}" for k in range(12)), f"l{i % 300}", "a") for i in range(900)]
+    df = docs(spark, rows)
+    assert len(language.fit(df, F.lit(True)).names) == 300

@@ -203,7 +203,7 @@ class Trie:
             a, b = edges[k], edges[k + 1]
             if a == b or self.starts[k] == self.starts[k + 1]:
                 continue
-            got = vocabulary(self.folder, k)
+            got = vocabulary_bucket(self.folder, k)
             at = np.searchsorted(got["hash"], hashes[a:b])
             at[at == len(got["hash"])] = 0
             hit = np.flatnonzero(got["hash"][at] == hashes[a:b])
@@ -271,7 +271,7 @@ _LEVELS: dict = {}
 _VOCABULARY: dict = {}
 
 
-def vocabulary(folder: str, k: int) -> dict[str, np.ndarray]:
+def vocabulary_bucket(folder: str, k: int) -> dict[str, np.ndarray]:
     """A bucket of the vocabulary, mapped once by each worker."""
     if (folder, k) not in _VOCABULARY:
         data = load(folder, f"vocab-{k}")
@@ -401,7 +401,7 @@ def counts_of(trie: Trie, ident: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ident), np.int64)
     bucket = np.searchsorted(trie.starts, ident, side="right") - 1
     for k, at in by_shard(bucket):
-        upto = vocabulary(trie.folder, k)["upto"]
+        upto = vocabulary_bucket(trie.folder, k)["upto"]
         j = ident[at] - trie.starts[k]
         out[at] = upto[j + 1] - upto[j]
     return out
@@ -412,7 +412,7 @@ def befores_of(trie: Trie, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out, n = np.zeros(len(ident), np.int64), np.zeros(len(ident), np.int64)
     bucket = np.searchsorted(trie.starts, ident, side="right") - 1
     for k, at in by_shard(bucket):
-        upto = vocabulary(trie.folder, k)["upto"]
+        upto = vocabulary_bucket(trie.folder, k)["upto"]
         j = ident[at] - trie.starts[k]
         out[at], n[at] = trie.before[k] + upto[j], upto[j + 1] - upto[j]
     return out, n

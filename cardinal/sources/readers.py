@@ -1,7 +1,7 @@
 """File scans: CSV/TSV/TXT, JSON and Parquet into one DataFrame.
 
-All files of one call become a single lazy scan, so Catalyst pushes filters
-and column pruning into the reader.  Options use the reference's names and are
+All files of one call become a single lazy scan, or one scan for each distinct
+set of columns, so Catalyst pushes filters and column pruning into the reader.  Options use the reference's names and are
 translated to Spark reader options here.
 """
 
@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -307,6 +311,149 @@ def _csv_with_skip(spark: SparkSession, files: Sequence[str], reader, skip: int)
     return DataFrame(reader._jreader.csv(text), spark)
 
 
+HEAD_JOBS = 16  # footers or header lines that are read at the same time
+
+
+def _grouped(files: Sequence[str], head: Callable[[str], tuple]) -> list[list[str]]:
+    """Files of equal heads together, in the order of their first file; a head is one small job."""
+    with ThreadPoolExecutor(HEAD_JOBS) as pool:
+        heads = list(pool.map(head, files))
+    groups: dict[tuple, list[str]] = {}
+    for f, h in zip(files, heads, strict=True):
+        groups.setdefault(h, []).append(f)
+    return list(groups.values())
+
+
+def _merges(error: Exception) -> bool:
+    """Whether Parquet schemas could not be merged (a column of two types)."""
+    return "CANNOT_MERGE" in str(error)
+
+
+def _parquet_groups(spark: SparkSession, files: Sequence[str], hive: bool, by_name: bool) -> list[list[str]]:
+    """Files that one scan can read.
+
+    One distributed job merges all footers.  Only if it finds a column of two
+    types, or (by position) a name that the first file lacks, are the files
+    told apart by their own schemas.
+    """
+    try:
+        merged = _hive_options(spark.read.option("mergeSchema", True), files, hive).parquet(*files).schema
+        if by_name or set(merged.names) == set(_hive_options(spark.read, files[:1], hive).parquet(files[0]).columns):
+            return [list(files)]
+    except (PySparkException, Py4JJavaError) as e:  # the footer job's error arrives unconverted
+        if not _merges(e):
+            raise
+    return _grouped(files, lambda f: tuple(
+        (c.name, c.dataType.simpleString()) for c in _hive_options(spark.read, [f], hive).parquet(f).schema.fields))
+
+
+def _json_groups(spark: SparkSession, files: Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """Files of equal keys, each group with its keys in the order of their first appearance.
+
+    One job over the lines: a (file, key) row per key of a file reaches the driver.
+    """
+    lines = spark.read.text(list(files)).select(
+        F.col("_metadata.file_path").alias("f"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"),
+        F.posexplode(F.json_object_keys("value")).alias("p", "k"))
+    keys = lines.groupBy("f", "k").agg(F.min(F.struct("at", "p")).alias("at")).orderBy("f", "at").collect()
+    own: dict[str, list[str]] = {}
+    for r in keys:
+        own.setdefault(r["f"], []).append(r["k"])
+    first = {re.sub("^file:/+", "/", unquote(f)) for f in spark.read.text(files[0]).inputFiles()}
+    groups: dict[tuple, list[str]] = {}
+    for f, names in sorted(own.items(), key=lambda x: (re.sub("^file:/+", "/", unquote(x[0])) not in first, x[0])):
+        groups.setdefault(tuple(names), []).append(f)
+    return [(fs, list(names)) for names, fs in groups.items()]
+
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds the values of both columns: the wider number, or text for unlike simple types."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, _WHOLE) and isinstance(b, _WHOLE):
+        return max(a, b, key=lambda t: _WHOLE.index(type(t)))
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+            scale = max(a.scale, b.scale)
+            whole = max(a.precision - a.scale, b.precision - b.scale)
+            if whole + scale <= 38:
+                return T.DecimalType(whole + scale, scale)
+        return T.DoubleType()
+    stamps = (T.DateType, T.TimestampNTZType, T.TimestampType)
+    if isinstance(a, stamps) and isinstance(b, stamps):
+        return max(a, b, key=lambda t: stamps.index(type(t)))
+    nested = (T.StructType, T.ArrayType, T.MapType, T.BinaryType, T.VariantType)
+    if isinstance(a, nested) or isinstance(b, nested):
+        raise ValueError(f"columns of type {a.simpleString()} and {b.simpleString()} cannot be united")
+    return T.StringType()
+
+
+def unite(parts: Sequence[DataFrame]) -> DataFrame:
+    """Rows of all parts, columns matched by name; a column a part lacks is NULL there, unlike types are widened."""
+    kinds: dict[str, T.DataType] = {}
+    for p in parts:
+        for f in p.schema.fields:
+            kinds[f.name] = common_type(kinds[f.name], f.dataType) if f.name in kinds else f.dataType
+    out = None
+    for p in parts:
+        p = p.select(*[(qcol(c) if c in p.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+        out = p if out is None else out.union(p)
+    return out
+
+
+def _at_place(part: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns under the first file's names: as they are if all of them are known there, else by their position."""
+    if set(part.columns) <= set(names):
+        return part
+    if len(part.columns) != len(names):
+        raise ValueError(f"files with columns {part.columns} and {list(names)} cannot be united by position; "
+                         "use union_by_name")
+    return part.toDF(*names)
+
+
+def _scans(spark: SparkSession, files: Sequence[str], ext: str, options: Mapping[str, object],
+           schema: T.StructType | None, by_name: bool) -> tuple[list[DataFrame], Mapping[str, object]]:
+    """One scan for all files, or one for each distinct set of columns, and the options that act after a scan."""
+
+    def read(own: Sequence[str], **more: object) -> tuple[DataFrame, Mapping[str, object]]:
+        df, post = _read_one_scan(spark, own, ext, {**options, **more}, schema)
+        return df, post
+
+    if schema is not None or len(files) == 1 or {"columns", "names"} & set(options):
+        df, post = read(files)
+        return [df], post
+    if ext == "parquet":
+        groups = _parquet_groups(spark, files, bool(options.get("hive_partitioning", True)), by_name)
+        if len(groups) > 1:
+            return [read(g)[0] for g in groups], {}
+        if not by_name:
+            return [read(files)[0]], {}
+        df, post = read(files, merge_schema=True)
+        first = [c for c in read(files[:1])[0].columns if c in df.columns]
+        return [df.select(*[qcol(c) for c in [*first, *[c for c in df.columns if c not in first]]])], post
+    if ext == "json":
+        # one inference over all files merges their columns by name already
+        df, post = read(files)
+        if by_name or options.get("format") == "array" or set(df.columns) == set(read(files[:1])[0].columns):
+            return [df], post
+        parts = []
+        for own, keys in _json_groups(spark, files):
+            d = read(own)[0]
+            parts.append(d.select(*[qcol(c) for c in [k for k in keys if k in d.columns] + [c for c in d.columns if c not in keys]]))
+        return parts, post
+    if not by_name:  # the delimited reader goes by position
+        df, post = read(files)
+        return [df], post
+    got = [read(g) for g in _grouped(files, lambda f: tuple(read([f], auto_detect=False)[0].columns))]
+    return [df for df, _ in got], got[0][1]
+
+
 def load_files(
     spark: SparkSession,
     files: Sequence[str] | Mapping[str, object] | str,
@@ -328,6 +475,13 @@ def load_files(
     ``files`` may be a list of paths or the reference's request dict
     ``{"files": [...], "format": ..., <options>}``.  With ``filename="c"``
     the file stem (no extension) is added as column ``c``.
+
+    Columns are matched by position under the first file's names, or by name
+    with ``union_by_name`` (a column that a file lacks is NULL).  JSON objects
+    and Parquet files name their columns: a file whose names all occur in the first
+    one is matched by name in either case; others by position must have as
+    many columns, or they raise.  There is one scan for each distinct set of
+    columns, however many files; columns of unlike types are widened.
     """
     if isinstance(files, Mapping):
         req = dict(files)
@@ -345,20 +499,16 @@ def load_files(
     fmt = FORMATS.get(fmt_key, fmt_key)
     ext_key = fmt_key if fmt_key in DELIMITED else ("csv" if fmt == "csv" else fmt)
 
-    # One scan for all files, unless columns are to be matched by name.
-    groups = [[f] for f in files] if union_by_name else [list(files)]
+    scans, post = _scans(spark, list(files), ext_key, options, schema, union_by_name)
+    if filename and int(post.get("skip", 0)) > 0:
+        raise ValueError("filename and skip cannot be combined")
     parts = []
-    for own in groups:
-        df, post = _read_one_scan(spark, own, ext_key, options, schema)
+    for df in scans:
         df = _apply_post(df, post)
-        if filename:
-            if int(post.get("skip", 0)) > 0:
-                raise ValueError("filename and skip cannot be combined")
-            df = df.withColumn(filename, _file_stem())
-        parts.append(df)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        if not union_by_name and parts:
+            df = _at_place(df, [c for c in parts[0].columns if c != filename])
+        parts.append(df.withColumn(filename, _file_stem()) if filename else df)
+    out = parts[0] if len(parts) == 1 else unite(parts)
     if table and virtual:
         out.createOrReplaceTempView(table)
     elif table:

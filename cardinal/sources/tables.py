@@ -117,6 +117,51 @@ def with_view(df: DataFrame, name: str | None = None) -> Iterator[str]:
         df.sparkSession.catalog.dropTempView(name)
 
 
+@contextlib.contextmanager
+def with_table_names(spark: SparkSession, n: int, *, schema: str | None = None, virtual: bool = False,
+                     cleanup: bool = True) -> Iterator[list[str]]:
+    """``n`` unused names for tables of ``schema`` or for views, quoted for SQL.
+
+    What exists under them at the end is dropped, after an error too, unless
+    ``cleanup`` is false.  Names carry a random part, so sessions that share
+    a catalog do not meet.
+    """
+    if virtual and schema:
+        raise ValueError("temporary views live in the session, not in a schema")
+    if schema:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote(schema)}")
+    plain = [next(_names) for _ in range(n)]
+    try:
+        yield [table_name(p, schema) for p in plain]
+    finally:
+        if cleanup:
+            for p in plain:
+                delete_table(spark, p, schema=schema, virtual=virtual)
+
+
+@contextlib.contextmanager
+def with_table(df: DataFrame | str, *, spark: SparkSession | None = None, schema: str | None = None,
+               partition_by: Sequence[str] = (), buckets: tuple[int, Sequence[str]] | None = None) -> Iterator[str]:
+    """A query's rows as a physical table under a name of its own for the block's duration.
+
+    The query runs once, on entry; whatever reads the table in the block
+    reads the same rows, however often.  ``partition_by`` lays the files
+    out by column, ``buckets=(n, columns)`` in sorted buckets, so that
+    several joins on these columns need no shuffle of this side.  The table
+    and its files go at the end, also when writing them or the block fails;
+    a DataFrame made from it must be computed inside.
+    """
+    spark = spark or (SparkSession.getActiveSession() if isinstance(df, str) else df.sparkSession)
+    with with_table_names(spark, 1, schema=schema) as (name,):
+        writer = (spark.sql(df) if isinstance(df, str) else df).write.format("parquet")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        if buckets:
+            writer = writer.bucketBy(buckets[0], *buckets[1]).sortBy(*buckets[1])
+        writer.saveAsTable(name)
+        yield name
+
+
 def colnames(df_or_table: DataFrame | str, spark: SparkSession | None = None) -> list[str]:
     """Column names of a DataFrame or catalog table."""
     if isinstance(df_or_table, DataFrame):

@@ -148,3 +148,73 @@ def test_nullstr_list_and_normalize(spark, tmp_path):
     df = readers.load_files(spark, [str(p)], nullstr=["NA", "-"], normalize_names=True)
     assert df.columns == ["col_a", "pm2_5"]
     assert sorted((r.col_a, r.pm2_5) for r in df.collect()) == [(1, None), (2, None), (3, "7")]
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_many_files_few_scans(spark, tmp_path):
+    heads = ("a,b\n", "b,c\n", "c,a,d\n")
+    for i in range(90):
+        (tmp_path / f"f{i:03d}.csv").write_text(heads[i % 3] + ",".join(str(i * 10 + j) for j in range(3 if i % 3 == 2 else 2)) + "\n")
+    files = sorted(glob.glob(str(tmp_path / "*.csv")))
+    df = readers.load_files(spark, files, union_by_name=True, filename="src")
+    assert df.columns == ["a", "b", "src", "c", "d"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 3
+    assert [r for r in _rows(df) if r[2] in ("f000", "f001", "f002")] == sorted(
+        [(0, 1, "f000", None, None), (None, 10, "f001", 11, None), (21, None, "f002", 20, 22)], key=str)
+    assert df.count() == 90
+
+
+def test_by_name_widens_unlike_types(spark, tmp_path):
+    for name, sql in (("a", "SELECT 1 AS k, 'x' AS v"), ("b", "SELECT 3000000000 AS k, 2.5D AS v, true AS w")):
+        spark.sql(sql).write.parquet(str(tmp_path / name))
+    df = readers.load_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")], format="parquet", union_by_name=True)
+    assert dict(df.dtypes) == {"k": "bigint", "v": "string", "w": "boolean"}
+    assert _rows(df) == [(1, "x", None), (3000000000, "2.5", True)]
+    spark.sql("SELECT 1 AS k, array(1) AS v").write.parquet(str(tmp_path / "c"))
+    with pytest.raises(ValueError, match="united"):
+        readers.load_files(spark, [str(tmp_path / "a"), str(tmp_path / "c")], format="parquet", union_by_name=True)
+
+
+def test_by_position_under_the_first_names(spark, tmp_path):
+    spark.sql("SELECT 1 AS x, 'p' AS y").write.parquet(str(tmp_path / "a"))
+    spark.sql("SELECT 2L AS zz, 'q' AS aa").write.parquet(str(tmp_path / "b"))
+    spark.sql("SELECT 'r' AS y").write.parquet(str(tmp_path / "c"))
+    df = readers.load_files(spark, [str(tmp_path / n) for n in "abc"], format="parquet", filename="src")
+    assert df.columns == ["x", "y", "src"]
+    assert [r[:2] for r in _rows(df)] == [(1, "p"), (2, "q"), (None, "r")]
+    with pytest.raises(ValueError, match="position"):
+        spark.sql("SELECT 1 AS one").write.parquet(str(tmp_path / "d"))
+        readers.load_files(spark, [str(tmp_path / n) for n in "ad"], format="parquet")
+    (tmp_path / "1.json").write_text('{"y": 1, "x": "p"}\n{"y": 2, "x": "q"}\n')
+    (tmp_path / "2.json").write_text('{"p": 7, "a": "r"}\n')
+    (tmp_path / "3.json").write_text('{"x": "s"}\n\n')
+    js = [str(tmp_path / f"{i}.json") for i in (1, 2, 3)]
+    assert _rows(readers.load_files(spark, js).select("y", "x")) == [(1, "p"), (2, "q"), (7, "r"), (None, "s")]
+    assert set(readers.load_files(spark, js, union_by_name=True).columns) == {"y", "x", "p", "a"}
+    assert _rows(readers.load_files(spark, [js[0], js[2]]).select("y", "x")) == [(1, "p"), (2, "q"), (None, "s")]
+
+
+def test_scoped_tables_are_dropped(spark):
+    nation = table(spark, "nation")
+    with tables.with_table(nation, buckets=(4, ["n_regionkey"])) as name:
+        t = spark.table(name)
+        both = t.alias("l").join(t.alias("r"), "n_regionkey")
+        assert both.count() == 125 and spark.table(name).count() == 25
+    assert not spark.catalog.tableExists(name)
+    with pytest.raises(RuntimeError):
+        with tables.with_table(nation, schema="scoped_area", partition_by=["n_regionkey"]) as name:
+            assert spark.sql(f"SELECT * FROM {name} WHERE n_regionkey = 2").count() == 5
+            raise RuntimeError
+    assert not spark.catalog.tableExists(name)
+    with pytest.raises(Exception, match="zero"):  # a query that fails while it is written leaves nothing behind
+        with tables.with_table(nation.withColumn("bad", F.raise_error(F.lit("zero")).cast("int"))) as name:
+            pass
+    assert not [t.name for t in spark.catalog.listTables() if "_cardinal_tmp_" in t.name]
+    with tables.with_table_names(spark, 2, virtual=True) as (a, b):
+        nation.createOrReplaceTempView(a.strip("`"))
+    with pytest.raises(ValueError):
+        with tables.with_table_names(spark, 1, schema="s", virtual=True):
+            pass

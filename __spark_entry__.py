@@ -956,6 +956,59 @@ _reg("metrics_regression", metrics_regression, METRICS_REGRESSION_SQL)
 _reg("metrics_margin", metrics_margin, METRICS_MARGIN_SQL)
 _reg("metrics_classification", metrics_classification, METRICS_CLASSIFICATION_SQL)
 _reg("metrics_batch_mean", metrics_batch_mean, METRICS_BATCH_SQL)
+
+
+def _pinball(p, y):
+    """A user's metric: the loss of the 90 % quantile."""
+    over = [F.greatest(0.9 * (b - a), 0.1 * (a - b)) for a, b in zip(p, y)]
+    return sum(over[1:], over[0]), len(over)
+
+
+M.register_metric("pinball_90", _pinball)
+
+
+def metrics_registered(spark, d):
+    return M.evaluate_metrics(_metric_frame(spark, d), ["p", "p1"], ["y", "p2"], ["pinball_90", "mae"])
+
+
+_reg("metrics_registered", metrics_registered, _MF + """
+SELECT avg((greatest(0.9 * (y - p), 0.1 * (p - y)) + greatest(0.9 * (p2 - p1), 0.1 * (p1 - p2))) / 2) AS pinball_90,
+       avg((abs(p - y) + abs(p1 - p2)) / 2) AS mae FROM m""")
+
+
+def _vae_frame(spark, d):
+    """An autoencoder's columns: reconstructions r1, r2 of x1, x2 and a latent normal with two dimensions."""
+    li = _t(spark, d, "lineitem")
+    return li.select((F.col("l_orderkey") % 16).alias("batch"), (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"),
+                     (F.col("l_quantity") / 55 + 0.02).alias("r1"), (F.col("l_discount") * 9 + 0.05).alias("r2"),
+                     (F.col("l_tax") * 10 - 0.4).alias("m1"), (F.col("l_discount") - F.col("l_tax")).alias("m2"),
+                     (F.col("l_tax") * -20).alias("v1"), (F.col("l_discount") * 5 - 0.3).alias("v2"))
+
+
+_VAE = (["r1", "r2"], ["x1", "x2"], ["m1", "m2"], ["v1", "v2"])
+
+
+def metrics_vae(spark, d):
+    whole = _vae_frame(spark, d)
+    parts = [("mean", 0.5, None), ("sum", 1.0, None), ("mean", 2.0, "batch")]
+    out = None
+    for agg, beta, batch in parts:
+        row = M.evaluate_vae_loss(whole, *_VAE, agg=agg, beta=beta, batch=batch).select(
+            F.lit(f"{agg} {beta} {batch or 'all'}").alias("how"), "vae_loss")
+        out = row if out is None else out.union(row)
+    return out
+
+
+_reg("metrics_vae", metrics_vae, """
+WITH t AS (
+  SELECT l_orderkey % 16 AS batch, l_quantity / 50 AS x1, l_discount * 10 AS x2, l_quantity / 55 + 0.02 AS r1, l_discount * 9 + 0.05 AS r2,
+         l_tax * 10 - 0.4 AS m1, l_discount - l_tax AS m2, l_tax * -20 AS v1, l_discount * 5 - 0.3 AS v2 FROM lineitem
+), e AS (
+  SELECT batch, (r1 - x1) ** 2 + (r2 - x2) ** 2 AS sq, (exp(v1) + m1 ** 2 - 1 - v1 + exp(v2) + m2 ** 2 - 1 - v2) / 2 AS dv FROM t
+)
+SELECT 'mean 0.5 all' AS how, avg(sq) / 2 + 0.5 * avg(dv) AS vae_loss FROM e
+UNION ALL SELECT 'sum 1.0 all', sum(sq) + sum(dv) FROM e
+UNION ALL SELECT 'mean 2.0 batch', avg(l) FROM (SELECT avg(sq) / 2 + 2 * avg(dv) AS l FROM e GROUP BY batch)""")
 _reg("onehot_events", onehot_events, ONEHOT_SQL)
 _reg("onehot_roundtrip", onehot_roundtrip, "SELECT event_id, event_type AS decoded FROM events")
 _reg("batch_stats", batch_stats, BATCH_SQL)
@@ -1077,6 +1130,48 @@ _reg("nn_lbfgs_plane", nn_lbfgs_plane, _PLANE_SQL)
 _reg("nn_bfgs_plane", nn_bfgs_plane, _PLANE_SQL)
 
 
+# A network whose features lie in a second table (N21): the least-squares plane over the joined rows.
+from cardinal.operators.funnels import LookupFunnel  # noqa: E402
+
+
+def nn_funnel_two_tables(spark, d):
+    orders = _t(spark, d, "orders").withColumns({"amount": F.col("o_totalprice") / 100000})
+    customer = _t(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 5000).alias("balance"),
+                                               (F.col("c_nationkey") / 25).alias("nation"))
+    funnel = LookupFunnel(on=(("o_custkey", "c_custkey"),), columns=("balance", "nation"), targets=("amount",), order_by=("o_orderkey",))
+    card = DenseNetCard(funnel=funnel, layers=({"sigma": "identity"},),
+                        training=Training(optimizer="lbfgs", epochs=60, seed=3, g_tol=1e-11)).with_helpers({"lookup": customer})
+    out = _card_eval(card, orders, "o_orderkey")
+    return out.select("o_orderkey", "o_custkey", F.round("amount_hat", 3).alias("amount_hat"))
+
+
+_reg("nn_funnel_two_tables", nn_funnel_two_tables, """
+WITH x AS (
+  SELECT o_orderkey, o_custkey, o_totalprice / 100000 AS y, c_acctbal / 5000 AS a, c_nationkey / 25 AS b
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+), s AS (
+  SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+         covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL
+), w AS (
+  SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM s
+)
+SELECT o_orderkey, o_custkey, round(my + wa * (a - ma) + wb * (b - mb), 3) AS amount_hat FROM x, w""")
+
+
+def nn_logsumexp_predict(spark, d):
+    from cardinal.plans.card import CardState
+
+    card = DenseNetCard(inputs=("l_discount", "l_tax"), targets=("l_quantity",), order_by=("l_orderkey",),
+                        layers=({"features": 3, "sigma": "logsumexp"},))
+    state = CardState(content={"params": [[[4.0, -6.0, 0.5], [9.0, 3.0, -7.0]], [1.0, 2.0, 0.25]], "acts": ["logsumexp"], "levels": {}})
+    return card.transform(_t(spark, d, "lineitem"), state).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity_hat")
+
+
+_reg("nn_logsumexp_predict", nn_logsumexp_predict, """
+SELECT l_orderkey, l_linenumber, l_partkey, ln(exp(1 + 4 * l_discount + 9 * l_tax) + exp(2 - 6 * l_discount + 3 * l_tax)
+  + exp(0.25 + 0.5 * l_discount - 7 * l_tax)) AS l_quantity_hat FROM lineitem""")
+
+
 # ---------------------------------------------------------------------------
 # User-defined card (U1), SQL macros (S23), min-by-group dedup
 # ---------------------------------------------------------------------------
@@ -1256,6 +1351,60 @@ _reg("load_json", load_json, f"""SELECT o_orderstatus, count(*) AS n, sum(o_cust
   FROM orders GROUP BY o_orderstatus""")
 
 
+def _exported_parts(spark, d, fmt):
+    """Orders in files of three column sets; a price is text in one of them."""
+    import uuid
+
+    orders, root = _t(spark, d, "orders"), f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    sets = (["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderkey", "o_totalprice"], ["o_orderstatus", "o_orderkey", "o_shippriority"])
+    files = []
+    for i, cols in enumerate(sets):
+        part = orders.withColumn("o_shippriority", F.concat(F.lit("p"), F.col("o_custkey") % 5)).where(F.col("o_orderkey") % 3 == i)
+        export_table(part.select(*cols).repartition(24), f"{root}/{i}", format=fmt)
+        files += spark.read.format(fmt).load(f"{root}/{i}").inputFiles()
+    return files
+
+
+def load_union_by_name(spark, d):
+    return load_files(spark, _exported_parts(spark, d, "csv"), format="csv", union_by_name=True)
+
+
+_reg("load_union_by_name", load_union_by_name, """
+SELECT o_orderkey::INTEGER AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END::INTEGER AS o_custkey,
+  CASE WHEN o_orderkey % 3 <> 1 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 3 = 2 THEN 'p' || (o_custkey % 5) END AS o_shippriority FROM orders""")
+
+
+def load_union_by_position(spark, d):
+    """Parquet files of orders, then of parts with other names, under the names of the first."""
+    import uuid
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    export_table(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), f"{root}/a", format="parquet")
+    export_table(_t(spark, d, "part").select("p_partkey", "p_brand", "p_size"), f"{root}/b", format="parquet")
+    return load_files(spark, [f"{root}/a", f"{root}/b"], format="parquet")
+
+
+_reg("load_union_by_position", load_union_by_position, """
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders UNION ALL SELECT p_partkey, p_brand, p_size::DOUBLE FROM part""")
+
+
+def scoped_table_shares(spark, d):
+    """Each line's share of its order, from a bucketed table that lives as long as the query: read twice, joined without a shuffle."""
+    from cardinal.session import reliable_checkpoint
+    from cardinal.sources.tables import with_table
+
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    with with_table(lines, buckets=(8, ["l_orderkey"])) as name:
+        total = spark.table(name).groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total"))
+        out = spark.table(name).join(total, "l_orderkey")
+        return reliable_checkpoint(out.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") / F.col("total")).alias("share")))
+
+
+_reg("scoped_table_shares", scoped_table_shares, """
+SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS share FROM lineitem""")
+
+
 def process_flow(spark, d):
     cards = [SplitCard(PercentileMethod(0.8), order_by=("o_orderdate",), group_by=("o_orderpriority",)),
              RescaleCard("minmax", inputs=("o_totalprice",), partition="partition")]

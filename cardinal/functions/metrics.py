@@ -1,4 +1,4 @@
-"""Metrics and losses over (prediction, target) columns.
+"""Metrics and losses over (prediction, target) columns.
 
 Each metric is a per-row column expression plus the number of elements it
 stands for, so ``agg="mean"`` and ``agg="sum"`` are one distributed
@@ -54,6 +54,20 @@ ELEMENTWISE = ("mae", "mse", "msle", "huber_loss", "binarycrossentropy", "logitb
 PER_SAMPLE = ("accuracy", "crossentropy", "logitcrossentropy", "kldivergence", "focal_loss")
 METRICS = ELEMENTWISE + PER_SAMPLE
 
+# Metrics added by users (U5): name -> fn(predictions, targets) -> (sum of a row's terms, terms per row).
+_USER_METRICS: dict = {}
+
+
+def register_metric(name: str, fn) -> None:
+    """Add a metric: ``fn(pred, target)`` on lists of double columns gives the sum of a row's terms and how many they are."""
+    if name in METRICS:
+        raise ValueError(f"{name!r} is a metric of the library")
+    _USER_METRICS[name] = fn
+
+
+def metric_names() -> tuple[str, ...]:
+    return METRICS + tuple(_USER_METRICS)
+
 
 def metric_terms(name: str, pred: Sequence[Column], target: Sequence[Column], *, eps: float = EPS,
                  delta: float = 1.0, gamma: float = 2.0, margin: float = 1.0) -> tuple[Column, int]:
@@ -62,6 +76,8 @@ def metric_terms(name: str, pred: Sequence[Column], target: Sequence[Column], *,
     y = [c.cast("double") for c in target]
     k = len(p)
     e = F.lit(float(eps))
+    if name in _USER_METRICS:
+        return _USER_METRICS[name](p, y)
     if name in ELEMENTWISE:
         terms = []
         for a, b in zip(p, y):
@@ -103,7 +119,7 @@ def metric_terms(name: str, pred: Sequence[Column], target: Sequence[Column], *,
         return ent - _sum([_xlogy(b, a + e) for a, b in zip(p, y)]), 1
     if name == "focal_loss":
         return _sum([-b * F.pow(1 - (a + e), gamma) * ieee_ln(a + e) for a, b in zip(p, y)]), 1
-    raise ValueError(f"unknown metric {name!r}; valid: {', '.join(METRICS)}")
+    raise ValueError(f"unknown metric {name!r}; valid: {', '.join(metric_names())}")
 
 
 def metric_column(name: str, pred: Sequence[Column], target: Sequence[Column], agg: str = "mean",
@@ -133,6 +149,41 @@ def evaluate_metrics(df: DataFrame, pred: Sequence[str], target: Sequence[str],
     return per_batch.agg(*[F.avg(m).alias(m) for m in metrics])
 
 
+def vae_loss_column(pred: Sequence[Column], source: Sequence[Column], mu: Sequence[Column], logvar: Sequence[Column],
+                    agg: str = "mean", beta: float = 1.0) -> Column:
+    """Aggregate column of the variational loss: reconstruction + ``beta`` * divergence from the unit normal.
+
+    ``pred`` reconstructs ``source``; ``mu`` and ``logvar`` are the heads of
+    the latent distribution.  With ``agg="mean"`` the squared errors are averaged over all
+    elements and the divergences, summed over a row's latent numbers, over
+    rows; with ``"sum"`` both are added up.  A row with a NULL in any of the
+    columns is left out; no rows give NaN for the mean and NULL for the sum.
+    """
+    if len(pred) != len(source) or len(mu) != len(logvar) or not pred or not mu:
+        raise ValueError("as many predictions as sources and as many means as log-variances, at least one each")
+    p, x, m, v = ([c.cast("double") for c in cols] for cols in (pred, source, mu, logvar))
+    square = _sum([(a - b) * (a - b) for a, b in zip(p, x)])
+    divergence = _sum([(F.exp(lv) + a * a - 1 - lv) / 2 for a, lv in zip(m, v)])
+    whole = (square + divergence).isNotNull()
+    square, divergence = F.when(whole, square), F.when(whole, divergence)
+    if agg == "sum":
+        return F.sum(square) + float(beta) * F.sum(divergence)
+    if agg == "mean":
+        rows = F.count(square)
+        return (ieee_div(F.coalesce(F.sum(square), F.lit(0.0)), rows * F.lit(float(len(p))))
+                + float(beta) * ieee_div(F.coalesce(F.sum(divergence), F.lit(0.0)), rows.cast("double")))
+    raise ValueError("agg must be mean or sum")
+
+
+def evaluate_vae_loss(df: DataFrame, pred: Sequence[str], source: Sequence[str], mu: Sequence[str], logvar: Sequence[str],
+                      agg: str = "mean", beta: float = 1.0, batch: str | None = None) -> DataFrame:
+    """One row with ``vae_loss``; with ``batch`` the mean of the batches' losses."""
+    loss = vae_loss_column(*[[qcol(c) for c in cols] for cols in (pred, source, mu, logvar)], agg, beta).alias("vae_loss")
+    if batch is None:
+        return df.agg(loss)
+    return df.groupBy(qcol(batch)).agg(loss).agg(F.avg("vae_loss").alias("vae_loss"))
+
+
 def label_smoothing(target: Sequence[Column], alpha: float, binary: bool = False) -> list[Column]:
     """Smoothed targets: ``y (1 - a) + a / k`` (``a / 2`` for binary targets)."""
     k = 2 if binary else len(target)

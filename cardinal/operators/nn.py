@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardinal.functions.columns import join_names, qcol
-from cardinal.functions.metrics import METRICS, metric_column
+from cardinal.functions.metrics import metric_column, metric_names
 from cardinal.functions.partials import sum_partials
 from cardinal.operators.filters import split_rows
 from cardinal.operators.optim import descend
 from cardinal.operators.funnel import levels as level_list
+from cardinal.operators.funnels import Funnel, funnel_from_dict
 from cardinal.operators.summary import is_numerical
 from cardinal.plans.card import Card, CardState, OutputVariables, SourceVariables, register_card
 
@@ -90,10 +91,17 @@ def _softmax(z):
     return e / e.sum(1, keepdims=True)
 
 
-# Heads over a whole layer (N14): name -> (f, (output, gradient) -> gradient of the pre-activation).
+def _logsumexp(z):
+    top = z.max(1, keepdims=True)
+    return top + np.log(np.exp(z - top).sum(1, keepdims=True))
+
+
+# Heads over a whole layer (N14): name -> (f, (pre-activation, output, gradient) -> gradient of the pre-activation).
+# logsumexp makes one output of all units.
 HEADS = {
-    "softmax": (_softmax, lambda h, g: h * (g - (g * h).sum(1, keepdims=True))),
-    "logsoftmax": (lambda z: np.log(_softmax(z)), lambda h, g: g - np.exp(h) * g.sum(1, keepdims=True)),
+    "softmax": (_softmax, lambda z, h, g: h * (g - (g * h).sum(1, keepdims=True))),
+    "logsoftmax": (lambda z: z - _logsumexp(z), lambda z, h, g: g - np.exp(h) * g.sum(1, keepdims=True)),
+    "logsumexp": (_logsumexp, lambda z, h, g: g * np.exp(z - h)),
 }
 
 
@@ -101,6 +109,8 @@ def head_exprs(name: str, zs: list) -> list:
     """The heads as column expressions of the layer's pre-activations."""
     top = F.greatest(*zs) if len(zs) > 1 else zs[0]
     total = sum((F.exp(z - top) for z in zs[1:]), F.exp(zs[0] - top))
+    if name == "logsumexp":
+        return [top + F.log(total)]
     return [F.exp(z - top) / total if name == "softmax" else z - top - F.log(total) for z in zs]
 
 
@@ -261,7 +271,7 @@ def loss_and_grad(params, acts, X, Y, loss, need_grad: bool = True, table: dict
     grads = [None] * len(params)
     for li in reversed(range(len(acts))):
         if acts[li] in HEADS:
-            g = HEADS[acts[li]][1](hs[li + 1], g)
+            g = HEADS[acts[li]][1](zs[li], hs[li + 1], g)
         else:
             g = g * table[acts[li]][1](zs[li])
         grads[2 * li] = hs[li].T @ g
@@ -272,6 +282,28 @@ def loss_and_grad(params, acts, X, Y, loss, need_grad: bool = True, table: dict
 
 # -- optimizers (N15) and schedules (N17) --------------------------------------------
 
+# Optimizers and schedules added by users.
+_USER_OPTIMIZERS: dict = {}
+_USER_SCHEDULES: dict = {}
+
+
+def register_optimizer(name: str, factory) -> None:
+    """Add a first-order optimizer: ``factory(training)`` gives an object with ``step(weights, gradient, eta) -> weights``.
+
+    The weights are one flat numpy vector; ``eta`` is the schedule's value, or None without a schedule.
+    """
+    if name.lower() in (*Optimizer.RULES, *FULL_BATCH):
+        raise ValueError(f"{name!r} is an optimizer of the library")
+    _USER_OPTIMIZERS[name] = factory
+
+
+def register_schedule(name: str, fn) -> None:
+    """Add a learning-rate schedule: ``fn(step from 1, parameters) -> rate``."""
+    if name in SCHEDULES:
+        raise ValueError(f"{name!r} is a schedule of the library")
+    _USER_SCHEDULES[name] = fn
+
+
 class Optimizer:
     """First-order update rules on the flat parameter vector."""
 
@@ -353,6 +385,8 @@ SCHEDULES = ("step", "exp", "poly", "inv", "triangle", "triangledecay2", "triang
 
 def schedule_value(name: str, t: int, p: dict) -> float:
     """Learning rate at iteration ``t`` (1-based) for a named schedule."""
+    if name in _USER_SCHEDULES:
+        return float(_USER_SCHEDULES[name](t, p))
     s0 = p.get("start", p.get("l0", 1e-2))
     period = max(1, int(p.get("period", 10)))
     decay = p.get("decay", 0.5)
@@ -376,7 +410,7 @@ def schedule_value(name: str, t: int, p: dict) -> float:
         return lo + (s0 - lo) * (tri if name == "triangleexp" else sine) * decay ** (t - 1)
     if name == "cosanneal":
         return lo + (s0 - lo) * (1 + math.cos(math.pi * ((t - 1) % period) / period)) / 2
-    raise ValueError(f"unknown schedule {name!r}; valid: {', '.join(SCHEDULES)}")
+    raise ValueError(f"unknown schedule {name!r}; valid: {', '.join((*SCHEDULES, *_USER_SCHEDULES))}")
 
 
 # -- Spark jobs ----------------------------------------------------------------------
@@ -456,12 +490,20 @@ class Training:
         object.__setattr__(self, "metrics", tuple(self.metrics))
         if self.loss is not None and self.loss not in LOSSES:
             raise ValueError(f"unknown loss {self.loss!r}; valid: {', '.join(LOSSES)}")
-        unknown = set(self.metrics) - set(METRICS)
+        unknown = set(self.metrics) - set(metric_names())
         if unknown:
-            raise ValueError(f"unknown metrics {sorted(unknown)}; valid: {', '.join(METRICS)}")
-        if not self.full_batch:
+            raise ValueError(f"unknown metrics {sorted(unknown)}; valid: {', '.join(metric_names())}")
+        if self.schedule is not None and self.schedule not in (*SCHEDULES, *_USER_SCHEDULES):
+            raise ValueError(f"unknown schedule {self.schedule!r}; valid: {', '.join((*SCHEDULES, *_USER_SCHEDULES))}")
+        if not self.full_batch and self.optimizer not in _USER_OPTIMIZERS:
             Optimizer(self.optimizer)
 
+    def rule(self):
+        """A fresh first-order optimizer."""
+        if self.optimizer in _USER_OPTIMIZERS:
+            return _USER_OPTIMIZERS[self.optimizer](self)
+        return Optimizer(self.optimizer, self.eta, self.rho, self.beta, self.eps, self.decay)
+
     @classmethod
     def from_dict(cls, d) -> "Training":
         if isinstance(d, cls):
@@ -506,19 +548,30 @@ def assemble(df: DataFrame, x: Sequence, y: Sequence, extra: Sequence = ()) -> D
 @register_card("dense_net", "Neural network")
 @dataclass(frozen=True)
 class DenseNetCard(Card):
-    """Dense network from ``inputs`` to ``targets`` (numeric -> regression, categorical -> classifier)."""
+    """Dense network from ``inputs`` to ``targets`` (numeric -> regression, categorical -> classifier).
+
+    With a ``funnel`` the columns are those of its rows, and its helper tables are bound by :meth:`with_helpers`.
+    """
 
-    inputs: tuple
-    targets: tuple
-    order_by: tuple
+    inputs: tuple = ()
+    targets: tuple = ()
+    order_by: tuple = ()
     layers: tuple = ({"features": 16, "sigma": "relu"}, {"sigma": "identity"})
     training: Training = field(default_factory=Training)
     partition: str | None = None
     suffix: str = "hat"
     transforms: tuple = ()  # (input column, transform name) pairs
+    funnel: Funnel | None = None
+    helpers: dict = field(default_factory=dict, compare=False, repr=False)  # bound tables, not part of the config
     streamable = True
 
     def __post_init__(self):
+        if self.funnel is not None:
+            object.__setattr__(self, "funnel", funnel_from_dict(self.funnel))
+            for f in ("inputs", "targets", "order_by"):
+                if tuple(getattr(self, f)) not in ((), tuple(getattr(self.funnel, f))):
+                    raise ValueError(f"the funnel names the {f}")
+                object.__setattr__(self, f, tuple(getattr(self.funnel, f)))
         for f in ("inputs", "targets", "order_by"):
             v = getattr(self, f)
             object.__setattr__(self, f, (v,) if isinstance(v, str) else tuple(v))
@@ -538,15 +591,34 @@ class DenseNetCard(Card):
                 raise ValueError(f"unknown activation {sigma!r}")
             if sigma in HEADS and i + 1 < len(self.layers):
                 raise ValueError(f"{sigma!r} is for the last layer only")
+        if self.layers[-1].get("sigma") == "logsumexp" and "features" not in self.layers[-1]:
+            raise ValueError("a logsumexp layer names its features: they become one output")
 
     def to_dict(self):
-        return super().to_dict() | {"transforms": [list(t) for t in self.transforms]}
+        out = super().to_dict() | {"transforms": [list(t) for t in self.transforms]}
+        del out["helpers"]
+        return out
+
+    def with_helpers(self, helpers: dict) -> "DenseNetCard":
+        """The card with its funnel's helper tables, whose names must be the expected ones."""
+        if self.funnel is None:
+            raise ValueError("the card has no funnel")
+        return dataclasses.replace(self, helpers=self.funnel.bind(helpers))
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        """The rows that the network sees: the funnel's, or the table itself."""
+        if self.funnel is None:
+            return df
+        if set(self.helpers) != set(self.funnel.helper_keys()):
+            raise ValueError(f"bind the helper tables {sorted(self.funnel.helper_keys())} by with_helpers first")
+        return self.funnel.rows(df, self.helpers)
 
     def outputs(self):
         return [join_names(t, self.suffix) for t in self.targets]
 
     def source_variables(self):
-        return SourceVariables(order_by=list(self.order_by), inputs=list(self.inputs), targets=list(self.targets),
+        inputs = list(self.inputs) if self.funnel is None else self.funnel.reads()
+        return SourceVariables(order_by=list(self.order_by), inputs=inputs, targets=list(self.targets),
                                partition=[self.partition] if self.partition else [])
 
     def output_variables(self):
@@ -562,14 +634,17 @@ class DenseNetCard(Card):
         return out
 
     def fit(self, df: DataFrame, id_var: str | None = None, warm: CardState | None = None) -> CardState:
-        tr = self.training
+        tr, df = self.training, self.rows(df)
         levels = {c: level_list(df, c, self.partition) for c in dict.fromkeys(self.inputs + self.targets)
                   if not is_numerical(df.schema[c].dataType)}
         x = encoded_columns(self.inputs, levels, dict(self.transforms))
         y = encoded_columns(self.targets, levels)
         loss = self.slices(levels)
-        sizes = [len(x)] + [int(layer["features"]) for layer in self.layers[:-1]] + [len(y)]
         acts = [layer.get("sigma", "identity") for layer in self.layers]
+        if acts[-1] == "logsumexp" and len(y) != 1:
+            raise ValueError(f"logsumexp has one output, the targets take {len(y)}")
+        last = int(self.layers[-1]["features"]) if acts[-1] == "logsumexp" else len(y)
+        sizes = [len(x)] + [int(layer["features"]) for layer in self.layers[:-1]] + [last]
         start_epoch, history, best = 0, [], (math.inf, None, 0)
         if warm is not None:  # N7: resume from saved weights; they stay the best until a better epoch comes
             params = [np.asarray(p, dtype=float) for p in warm.content["params"]]
@@ -581,7 +656,7 @@ class DenseNetCard(Card):
         batch = F.pmod(F.xxhash64(*key, F.lit(tr.seed)), F.lit(tr.batches)).alias("_nb")
         train = assemble(split_rows(df, self.partition, 1), x, y, [batch]).persist(StorageLevel.MEMORY_AND_DISK)
         valid = assemble(split_rows(df, self.partition, 2), x, y).persist(StorageLevel.MEMORY_AND_DISK)
-        opt = None if tr.full_batch else Optimizer(tr.optimizer, tr.eta, tr.rho, tr.beta, tr.eps, tr.decay)
+        opt = None if tr.full_batch else tr.rule()
         descent = self._descent(train, params, acts, loss) if tr.full_batch else None
         bad_epochs = still = it = 0
         last_score = math.inf
@@ -663,7 +738,7 @@ class DenseNetCard(Card):
     def validate(self, df: DataFrame, state: CardState, split: int = 2) -> dict[str, float]:
         """Loss and metrics of a fitted network on one split (N8); an unseen level raises."""
         levels = state.content["levels"]
-        data = assemble(split_rows(df, self.partition, split), encoded_columns(self.inputs, levels, dict(self.transforms)),
+        data = assemble(split_rows(self.rows(df), self.partition, split), encoded_columns(self.inputs, levels, dict(self.transforms)),
                         encoded_columns(self.targets, levels))
         params = [np.asarray(p, dtype=float) for p in state.content["params"]]
         total, n, _ = _batch_gradient(data, params, state.content["acts"], self.slices(levels), need_grad=False)
@@ -678,8 +753,8 @@ class DenseNetCard(Card):
         acts, levels = state.content["acts"], state.content["levels"]
         outs = self.outputs()
         cols = [c for c in df.columns if c not in outs]
-        cur = _network(df, encoded_columns(self.inputs, levels, dict(self.transforms)), params, acts, cols)
-        h = [F.col(f"_nn{len(acts) - 1}_{j}") for j in range(params[-1].size)]
+        cur = _network(self.rows(df), encoded_columns(self.inputs, levels, dict(self.transforms)), params, acts, cols)
+        h = [F.col(f"_nn{len(acts) - 1}_{j}") for j in range(self.slices(levels)[-1][1])]
         preds = []
         for t, name, (start, stop, _) in zip(self.targets, outs, self.slices(levels)):
             if t in levels:
@@ -716,7 +791,7 @@ def _network(df: DataFrame, x: list, params, acts, keep: Sequence[str]) -> DataF
         else:
             units = [activation_expr(act, z) for z in zs]
         cur = cur.select(*[qcol(c) for c in keep], *[u.alias(f"_nn{li}_{j}") for j, u in enumerate(units)])
-        h = [F.col(f"_nn{li}_{j}") for j in range(W.shape[1])]
+        h = [F.col(f"_nn{li}_{j}") for j in range(len(units))]
     return cur
 
 

@@ -139,11 +139,14 @@ class Generations(dict):
             value = self.compute(key)
             if len(key) > self.longest:
                 return value
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def foldable(raw: bytes) -> bool:

@@ -21,7 +21,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -232,11 +234,91 @@ def encoder(path: str, entries: int = 250_000) -> Generations:
     return _ENCODERS[path]
 
 
+def chunks_of(text: str | None) -> list[bytes]:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return (raw.lower() if foldable(raw) else raw).split()
+
+
 def token_bytes(text: str | None, cache: Generations) -> bytes:
     """The ids of a text as consecutive little-endian 32-bit numbers."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    chunks = (raw.lower() if foldable(raw) else raw).split()
-    return b"".join(map(cache.__getitem__, chunks))
+    return b"".join(map(cache.__getitem__, chunks_of(text)))
+
+
+class Words:
+    """Ids of many unknown words by one call of the library.
+
+    The files' last token of a word is marked by a suffix, so the ids of words
+    joined by spaces can be told apart.  Every word of letters gives at least one marked token;
+    as many of them as words therefore means one each.  Otherwise, or for
+    files without the suffix, nothing is learned and words go one by one.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(path, "rb") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
+        if suffix:
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def ids(self, words: list[bytes]) -> list[bytes] | None:
+        text = b" ".join(words).decode("utf-8")
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return None
+        raw, at = ids.tobytes(), [0, *ends.tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+_WORDS: dict[str, Words] = {}
+JOINED_WORDS = 2_000  # in one call
+STRETCH_BYTES = 1 << 20  # of texts whose chunks are held at once
+
+
+def learn(chunks: set[bytes], path: str, cache: Generations) -> None:
+    """Put unknown words of Latin, Greek and Cyrillic letters, and chunks of such a word and ASCII marks, into the cache.
+
+    No mark belongs to the token of the letters before it, so a chunk's ids are those of its two parts.
+    """
+    unknown: dict[bytes, list[bytes]] = {}
+    for chunk in chunks:
+        if len(chunk) <= cache.longest and chunk not in cache and chunk not in cache.old:
+            word = chunk.rstrip(MARKS)
+            if word and (text := word.decode("utf-8", "replace")).isalpha() and max(text) < "\u0500":
+                unknown.setdefault(word, []).append(chunk)
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    words = list(unknown)
+    for at in range(0, len(words), JOINED_WORDS):
+        some = words[at:at + JOINED_WORDS]
+        for word, ids in zip(some, _WORDS[path].ids(some) or ()):
+            for chunk in unknown[word]:
+                cache.put(chunk, ids if chunk == word else ids + cache[chunk[len(word):]])
+
+
+def texts_bytes(texts: Iterable[str | None], path: str) -> Iterator[bytes]:
+    """The ids of each text, as :func:`token_bytes`; what a stretch of texts has not seen before is encoded together."""
+    cache = encoder(path)
+    held: list[list[bytes]] = []
+    size = 0
+
+    def flush() -> Iterator[bytes]:
+        learn(set().union(*held), path, cache)
+        for chunks in held:
+            yield b"".join(map(cache.__getitem__, chunks))
+        held.clear()
+
+    for text in texts:
+        held.append(chunks_of(text))
+        size += len(text or "")
+        if size >= STRETCH_BYTES:
+            yield from flush()
+            size = 0
+    yield from flush()
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id",
@@ -246,10 +328,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
     close = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cache = encoder(tokenizer)
         row, piece, start, length, crc = [], [], [], [], []
-        for i, text in enumerate(batch.column(1)):
-            ids = token_bytes(text.as_py(), cache) + close
+        for i, ids in enumerate(texts_bytes((text.as_py() for text in batch.column(1)), tokenizer)):
+            ids += close
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
                 row.append(i)

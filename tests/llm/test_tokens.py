@@ -34,6 +34,9 @@ def test_words_match_the_library(library):
         want = ids(library, text)
         assert bpe_counts.count_text(text, cache)[1] == len(want), repr(text)
         assert packing.token_bytes(text, enc) == np.array(want, "<u4").tobytes(), repr(text)
+        enc.clear()
+        enc.old = {}  # nothing known: the words of a text are learned together
+        assert list(packing.texts_bytes([text, None, text], word_bpe())) == [np.array(want, "<u4").tobytes(), b"", np.array(want, "<u4").tobytes()], repr(text)
 
 
 def test_cache_generations_stay_bounded():

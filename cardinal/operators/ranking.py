@@ -3,25 +3,24 @@
 ``rank``, ``percent_rank``, ``row_number`` and ``ntile`` are defined over
 ``PARTITION BY group_by ORDER BY order_by``.  A plain Spark window shuffles
 every row of a group into one task: one hot group (or an empty ``group_by``)
-puts the whole table in one task.  Instead:
-
-1. range-partition on ``(group_by, order_by, tiebreak)`` so that a hot group is
-   cut into many ordered, evenly sized partitions, and number rows inside each
-   partition by their sorted position (``_pos``);
-2. materialise that table in the shared checkpoint folder (partition ids
-   and positions must not change between the two reads below);
-3. compute *local* numbers with windows keyed by ``(partition id, group)``:
-   balanced, because every key is confined to one range partition;
-4. aggregate one row per range partition (first/last key, segment counts)
-   - at most ``P`` rows, ``P`` = number of range partitions - and turn them
-   into carries on the driver: rows of the same group (and of the same tie
-   run) in earlier partitions;
-5. broadcast that ``P``-row carry table (size bounded by ``P``, never by
-   the data) and add carries to the local numbers.
-
-Only groups that cross a partition boundary receive a carry, and at most one
-group starts and one ends in each partition, so the carry table never grows
-with the number of groups.
+puts the whole table in one task.  Instead the order on ``(group_by, order_by,
+tiebreak)`` is cut into slices, so that a hot group falls into many of them:
+
+1. cuts between the slices come from a sample of the key columns, once, and
+   make a row's slice an expression of its keys;
+2. *local* numbers come from windows keyed by ``(slice, group)``: the one
+   exchange of the rows;
+3. a group (or tie run) lies in several slices only if a cut lies in it, so
+   its rows per slice come from a pass over the key columns that counts, per
+   slice, the rows that share the group (or the tie run) of the slice's cuts:
+   one row per slice, whatever the number of groups;
+4. the driver turns these into carries, which are broadcast (as many rows as
+   slices, never growing with the data) and added to the local numbers.
+
+This reads the source several times, so it needs a source that gives the same
+rows each time: files or local rows under projections and filters, with a
+unique ``tiebreak``.  Any other source is range-partitioned and written to the
+shared checkpoint folder once (`staged_numbers`), with the same carries.
 """
 
 from __future__ import annotations
@@ -42,7 +41,9 @@ _POS = "_cd_pos"
 _TB = "_cd_tiebreak"
 FILES_BROADCAST = 200_000  # offsets of so many files or splits (path and two numbers) may be broadcast: some 40 MB
 RN, RANK, N = "_cd_rn", "_cd_rank", "_cd_n"
-_LOCAL = ("_cd_lrn", "_cd_lrank", "_cd_ln", "_cd_seg0", "_cd_seg1")
+SLICE, CUTS = "_cd_slice", "_cd_cuts"
+SLICES = 4  # slices for each shuffle partition, so that hashing them fills the partitions evenly
+SAMPLED = 100  # key rows drawn for each slice
 
 
 def _norm(v):
@@ -65,8 +66,109 @@ def ordered_numbers(df: DataFrame, order_by: Sequence[str], group_by: Sequence[s
     order_by, group_by = list(order_by), list(group_by)
     if not order_by:
         raise ValueError("order_by must not be empty")
+    P = int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tiebreak and repeatable(df):
+        return sliced_numbers(df, order_by, group_by, list(tiebreak), SLICES * P)
+    return staged_numbers(df, order_by, group_by, tiebreak, P)
+
+
+def repeatable(df: DataFrame) -> bool:
+    """True if every run of ``df`` gives the same rows: projections and filters over one file scan or local rows."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.children().size() == 1 and node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        if not node.deterministic():
+            return False
+        node = node.children().head()
+    return node.children().isEmpty() and ("Relation" in node.nodeName() or node.nodeName() == "Range")
+
+
+def sort_key(cols: Sequence[str]) -> Column:
+    """The columns as one struct that compares in their order, NULLS LAST."""
+    fields = []
+    for i, c in enumerate(cols):
+        fields += [qcol(c).isNull().alias(f"n{i}"), qcol(c).alias(f"k{i}")]
+    return F.struct(*fields)
+
+
+def same_head(a: Column, b: Column, size: int) -> Column:
+    """True if two key structs, none of them null, agree in their first ``size`` columns."""
+    same = a.isNotNull() & b.isNotNull()
+    for i in range(size):
+        same = same & a[f"k{i}"].eqNullSafe(b[f"k{i}"])
+    return same
+
+
+def slice_cuts(df: DataFrame, cols: Sequence[str], slices: int) -> DataFrame:
+    """One row with ``_cd_cuts``: the sorted keys at which slices 1, 2, ... begin (fewer if the rows are few)."""
+    keys = df.select(sort_key(cols).alias("k"))
+    share = min(1.0, SAMPLED * slices / max(1, keys.count()))
+    drawn = keys.sample(share, seed=0) if share < 1 else keys
+    drawn = drawn.agg(F.sort_array(F.collect_list("k")).alias("s"))  # about SAMPLED * slices keys
+    at = F.sequence(F.lit(1), F.lit(slices - 1))
+    picked = F.transform(at, lambda i: F.get("s", F.floor(i * F.size("s") / slices).cast("int")))
+    return reliable_checkpoint(drawn.select(F.array_distinct(F.filter(picked, lambda k: k.isNotNull())).alias(CUTS)))
+
+
+def sliced_numbers(df: DataFrame, order_by: list[str], group_by: list[str], tiebreak: list[str],
+                   slices: int) -> DataFrame:
+    """`ordered_numbers` of a repeatable source: one exchange of the rows, nothing written but the cuts."""
+    cols, spec = list(df.columns), group_by + order_by + tiebreak
+    ng, nk = len(group_by), len(group_by) + len(order_by)
+    cuts = slice_cuts(df, spec, max(2, slices))
+    bounds = cuts.scalar()  # evaluated once, a literal in the tasks
+    rows = df.withColumn(CUTS, bounds).withColumn("_cd_key", sort_key(spec)).withColumn(SLICE, F.lit(0))
+    for i in reversed(range(max(2, slices).bit_length())):  # how many cuts are not above the row's key, by bisection
+        above = F.get(F.col(CUTS), F.col(SLICE) + (1 << i) - 1) <= F.col("_cd_key")
+        rows = rows.withColumn(SLICE, F.col(SLICE) + F.when(above, F.lit(1 << i)).otherwise(F.lit(0)))
+    lower, upper = F.get(F.col(CUTS), F.col(SLICE) - 1), F.get(F.col(CUTS), F.col(SLICE))
+    goes_on, run_goes_on = same_head(lower, F.col("_cd_key"), ng), same_head(lower, F.col("_cd_key"), nk)
+    stays, run_stays = same_head(upper, F.col("_cd_key"), ng), same_head(upper, F.col("_cd_key"), nk)
+
+    counted = rows.groupBy(SLICE).agg(
+        F.count_if(goes_on).alias("first"), F.count_if(stays).alias("last"), F.count_if(run_stays).alias("run"))
+    counts = {r[SLICE]: r for r in counted.collect()}  # one row per slice
+    def pairs(size):
+        at = F.filter(F.sequence(F.lit(0), F.size(CUTS)), lambda i: i + 1 < F.size(CUTS))
+        return F.transform(at, lambda i: same_head(F.get(CUTS, i), F.get(CUTS, i + 1), size))
+
+    alike = cuts.select(F.size(CUTS).alias("m"), pairs(ng).alias("group"), pairs(nk).alias("run")).first()
+    m = alike["m"]
+
+    def count(s: int, name: str) -> int:
+        return counts[s][name] if s in counts else 0
+
+    open_group, open_run, total = [0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for s in range(1, m + 1):  # cut s - 1 lies between slices s - 1 and s
+        open_group[s] = count(s - 1, "last") + (open_group[s - 1] if s > 1 and alike["group"][s - 2] else 0)
+        open_run[s] = count(s - 1, "run") + (open_run[s - 1] if s > 1 and alike["run"][s - 2] else 0)
+    for s in range(m, 0, -1):  # rows of the group in which cut s - 1 lies
+        total[s] = total[s + 1] if s < m and alike["group"][s - 1] else open_group[s] + count(s, "first")
+    carries = [(s, open_group[s], open_run[s], total[s], total[s + 1] if s < m else 0) for s in range(m + 1)]
+    carries = df.sparkSession.createDataFrame(
+        carries, f"{SLICE} int, _cd_cg long, _cd_ck long, _cd_tf long, _cd_tl long")
+
+    rows = rows.select(*[qcol(c) for c in cols], SLICE, goes_on.alias("_cd_on"), run_goes_on.alias("_cd_run"),
+                       stays.alias("_cd_stays"))
+    within = Window.partitionBy(SLICE, *[qcol(g) for g in group_by])
+    rows = rows.withColumn("_cd_lrn", F.row_number().over(within.orderBy(*[asc(c) for c in order_by + tiebreak])))
+    rows = rows.withColumn("_cd_lrank", F.rank().over(within.orderBy(*[asc(c) for c in order_by])))
+    rows = rows.withColumn("_cd_ln", F.count(F.lit(1)).over(within))
+    joined = rows.join(F.broadcast(carries), SLICE, "left")
+    before = F.when(F.col("_cd_on"), F.col("_cd_cg")).otherwise(F.lit(0))
+    run = F.when(F.col("_cd_run"), F.col("_cd_ck")).otherwise(F.lit(0))
+    n = F.when(F.col("_cd_on"), F.col("_cd_tf")).when(F.col("_cd_stays"), F.col("_cd_tl")).otherwise(F.col("_cd_ln"))
+    return joined.select(
+        *[qcol(c) for c in cols],
+        (F.col("_cd_lrn") + before).cast("bigint").alias(RN),
+        (F.col("_cd_lrank") + before - run).cast("bigint").alias(RANK),
+        n.cast("bigint").alias(N),
+    )
+
+
+def staged_numbers(df: DataFrame, order_by: list[str], group_by: list[str], tiebreak: Sequence[str] | None,
+                   P: int) -> DataFrame:
+    """`ordered_numbers` of any source: range partitions and positions in them, written once."""
     spark = df.sparkSession
-    P = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     cols = list(df.columns)
     if tiebreak:
         tb = list(tiebreak)

@@ -20,24 +20,61 @@ def _ref(pdf, group, order, tie):
         f"FROM pdf WINDOW w AS ({part})").df().sort_values("id").reset_index(drop=True)
 
 
+@pytest.mark.parametrize("source", ["rows", "files"])
 @pytest.mark.parametrize("P", [1, 3, 16])
-@pytest.mark.parametrize("group", [[], ["g"]])
-def test_hot_group_nulls_and_ties(spark, P, group):
+@pytest.mark.parametrize("group", [[], ["g"], ["g", "d"]])
+def test_hot_group_nulls_and_ties(spark, tmp_path, P, group, source):
     # one hot group with a third of the rows, NULL group keys, NULL and tied order keys
     rows = []
     for i in range(600):
         g = "hot" if i % 3 == 0 else (None if i % 7 == 0 else f"g{i % 5}")
         v = None if i % 11 == 0 else (i % 13)
-        rows.append((i, g, v))
-    pdf = pd.DataFrame(rows, columns=["id", "g", "v"])
-    df = spark.createDataFrame(pdf, "id long, g string, v long")
+        rows.append((i, g, v, [0.0, float("nan"), None, -1.5][i % 4]))
+    pdf = pd.DataFrame(rows, columns=["id", "g", "v", "d"])
+    df = spark.createDataFrame(rows, "id long, g string, v long, d double")
+    if source == "files":
+        df.repartition(5).write.parquet(str(tmp_path / "t"))
+        df = spark.read.parquet(str(tmp_path / "t"))
+    assert ranking.repeatable(df) == (source == "files")
     out = ordered_numbers(df, ["v"], group, tiebreak=["id"], num_partitions=P)
     got = out.select("id", F.col(RN).alias("rn"), F.col(RANK).alias("rk"), F.col(N).alias("n")).toPandas()
     got = got.sort_values("id").reset_index(drop=True)
+    pdf["d"] = [{0: "a", 1: "nan", 2: None, 3: "b"}[i % 4] for i in range(600)]  # pandas has one mark for NaN and NULL
     exp = _ref(pdf, group, ["v"], ["id"])
     assert got[["rn", "rk", "n"]].astype("int64").equals(exp[["rn", "rk", "n"]].astype("int64"))
 
 
+def test_files_are_exchanged_once_and_not_written(spark):
+    ev = table(spark, "events").where("user_id is not null")
+    plan = ranking.window_function(ev, "rank", ["ts"], output="r", tiebreak=["event_id"])
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+    assert "FileScan" in plan and "PushedFilters: [IsNotNull(user_id)]" in plan
+
+
+def test_sources_that_may_differ_between_runs_are_written_once(spark):
+    ev = table(spark, "events")
+    assert ranking.repeatable(ev.where("event_id > 3").select("event_id", "ts"))
+    assert not ranking.repeatable(ev.withColumn("r", F.rand()))
+    assert not ranking.repeatable(ev.groupBy("user_id").count())
+    assert not ranking.repeatable(ev.sample(0.5))
+    assert not ranking.repeatable(ev.limit(5))
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_few_rows_of_a_file(spark, tmp_path, rows):
+    spark.range(rows).withColumn("v", F.lit("x")).write.parquet(str(tmp_path / "t"))
+    out = ordered_numbers(spark.read.parquet(str(tmp_path / "t")), ["v"], tiebreak=["id"])
+    assert [tuple(r) for r in out.select(RN, RANK, N).collect()] == [(1, 1, 1)] * rows
+
+
+def test_all_rows_tied(spark, tmp_path):
+    spark.range(5000).withColumn("v", F.lit(None).cast("int")).write.parquet(str(tmp_path / "t"))
+    out = ordered_numbers(spark.read.parquet(str(tmp_path / "t")), ["v"], ["v"], tiebreak=["id"], num_partitions=7)
+    got = out.agg(F.sum((F.col(RN) == F.col("id") + 1).cast("int")), F.min(RANK), F.max(RANK), F.min(N), F.max(N)).first()
+    assert tuple(got) == (5000, 1, 1, 5000, 5000)
+
+
 def test_no_single_partition_exchange(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 17)
     out = ranking.window_function(df, "percent_rank", ["v"], output="p", tiebreak=["id"])

@@ -10,11 +10,16 @@ level adds its postings to the rows' accumulators.  A row's unread
 postings have impacts below the level, so its score lies within (unread
 dimensions) * (level - 1) of its accumulator.  Processing stops only when that
 proof leaves few rows that can still be among the k best; these, and no others,
-are rescored exactly.  If the proof never comes, all levels are read.
+are rescored exactly.  If the proof never comes, all levels are read.  There
+is no product with a whole block.
 
-Query blocks meet index blocks by an equi-join on the index block's number,
-each result row carries one block of each; the k best of each block are merged
-by a window over (blocks * k) rows per query.
+Index blocks fall into strips.  A query block is searched in one strip first,
+block after block; the k-th best score found so far is a bar that k rows surely
+reach, so it is carried from block to block, and then, as a column of the query
+block, to all other strips.  A row that cannot reach the bar is out, and so is
+a block whose largest impacts cannot.  Blocks meet by an equi-join on strip and
+salt, which moves an index block as often as there are salts, not once a query
+block; the k best of each block are merged by a window over what passed the bar.
 
 Cases: vectors that are null, empty, or hold null or non-finite components
 take no part, nor do rows whose id is null; vectors of another length than the
@@ -30,19 +35,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardinal.llm.common import reliable_checkpoint
+from cardinal.llm.common import release_memory, reliable_checkpoint
 from cardinal.llm.vectors import finite, matrix
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
-POSSIBLE, RESCORED = 64, 2  # so many rows, or this part of a block, may be rescored instead of reading on
+STRIP_BLOCKS = 8  # index blocks searched one after the other, with a running bar
+SALTS = 8  # parts of the query blocks that meet a strip in tasks of their own
+BUILT_BYTES = 64 << 20  # posting lists a task keeps
+POSSIBLE = 64  # so many rows may be rescored instead of reading on
+NO_BAR = -(1 << 62)  # below every score
 
 
 class ImpactIndex:
     """Posting lists of one block of integer vectors, each by descending magnitude."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows, self.exact = ids, rows, rows.astype(np.float64)
+        self.ids, self.rows = ids, rows
+        self.postings = self.rescored = 0  # read and rescored so far, by all queries
         n, self.width = rows.shape
         size = np.abs(rows)
         self.order = [np.argsort(-size[:, d], kind="stable") for d in range(self.width)]
@@ -57,8 +67,8 @@ class ImpactIndex:
         least = np.minimum(least, self.span - 1)
         return np.searchsorted(self.rising, dims * self.span - least, "right") - dims * len(self.ids)
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the block's k best rows for the query, best first."""
+    def top(self, query: np.ndarray, own: int, k: int, floor: int = NO_BAR) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the block's k best rows for the query that reach ``floor``, best first."""
         n = len(self.ids)
         if not n:
             return self.ids[:0], np.zeros(0, np.int64)
@@ -71,6 +81,8 @@ class ImpactIndex:
         bound = sum(a * b for a, b in zip(w.tolist(), self.largest[dims].tolist(), strict=True))
         if bound >= 1 << 62:
             raise ValueError("scores of this size do not fit into a long")
+        if bound < floor:
+            return self.ids[:0], np.zeros(0, np.int64)
         unit = float(1 << (2 * bound + 1).bit_length())
         wide = unit * (self.width + 1) >= 1 << 53
         total = np.zeros(n)
@@ -78,7 +90,7 @@ class ImpactIndex:
         done = np.zeros(len(dims), np.int64)
         level = int((w * self.largest[dims]).max()) if len(dims) else 0
         possible = others
-        enough = max(POSSIBLE, 2 * k, n // RESCORED)
+        enough = max(POSSIBLE, 2 * k)
         while level >= 1:
             level = level // 8 if level > 4 * self.width else level // 2
             end = self.ends(dims, -(-level // w)) if level else np.full(len(dims), n)
@@ -95,6 +107,7 @@ class ImpactIndex:
                     gain *= np.repeat(q[more], end[more] - done[more])
                     gain += unit
                     total += np.bincount(at, weights=gain, minlength=n)
+                self.postings += len(at)
                 done = np.maximum(done, end)
             if not wide:
                 read = np.floor(total / unit + 0.5)
@@ -102,18 +115,17 @@ class ImpactIndex:
             rest = max(level - 1, 0)
             # Unread postings add less than the level each, and no more than all postings can.
             slack = (len(dims) - read) * rest if rest * len(dims) < 1 << 62 else np.where(read < len(dims), bound, 0)
+            bar = floor
             if len(others) > k:
                 low = (score - slack)[others]
-                bar = np.partition(low, len(low) - k)[len(low) - k]  # k rows surely reach this
-                possible = others[(score + slack)[others] >= bar]
+                bar = max(bar, np.partition(low, len(low) - k)[len(low) - k])  # k rows surely reach this
+            possible = others[(score + slack)[others] >= bar]
             if len(possible) <= enough:
                 break
-        if wide:
-            exact = self.rows[possible] @ query
-        else:
-            q = query.astype(np.float64)
-            # Many members: the product with all rows costs less than gathering theirs.
-            exact = (self.exact @ q)[possible] if len(possible) > n // 8 else self.exact[possible] @ q
+        self.rescored += len(possible)
+        exact = self.rows[possible] @ query if wide else self.rows[possible].astype(np.float64) @ query.astype(np.float64)
+        reach = exact >= floor
+        possible, exact = possible[reach], exact[reach]
         if len(possible) > 4 * k:  # the k best and all that tie with the last of them
             keep = np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
             possible, exact = possible[keep], exact[keep]
@@ -160,27 +172,68 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     index = reliable_checkpoint(index)
     asked = usable.where("asks").groupBy("id").agg(F.max("v").alias("v"))
     asks = blocks(asked.repartition(max(1, -(-n // (20 * QUERY_ROWS)))), QUERY_ROWS, scale)
-    asks = asks.select(F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    numbers = index.select("block", "width")
-    pairs = asks.join(numbers, F.col("q_width") == F.col("width")).select("block", "q_ids", "q_data")
-    met = pairs.join(index.select("block", "width", "ids", "data"), "block")
-    met = met.select("block", "width", "ids", "data", "q_ids", "q_data")
-
-    def run(batches):
-        held, built = None, None
-        for b in batches:
-            for row in b.to_pylist():
-                if row["block"] != held:
-                    held, built = row["block"], ImpactIndex(*decode(row["ids"], row["data"], row["width"]))
-                q_ids, q_rows = decode(row["q_ids"], row["q_data"], row["width"])
-                got = [built.top(q, i, k) for i, q in zip(q_ids, q_rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(g[0]) for g in got])),
-                     pa.array(np.concatenate([g[0] for g in got])),
-                     pa.array(np.concatenate([g[1] for g in got]).astype(np.int64))],
-                    names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    asks = reliable_checkpoint(asks.select(
+        "width", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.monotonically_increasing_id().alias("q")))
+    strips = max(1, -(-index.count() // STRIP_BLOCKS))
+    tasks = max(strips * SALTS, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["width", "strip", "salt"]
+    index = index.withColumn("strip", F.pmod(F.xxhash64("block"), F.lit(strips)).cast("int"))
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(tasks, *keys)
+    asks = asks.withColumn("salt", F.pmod(F.shiftright("q", 33) + F.col("q"), F.lit(SALTS)).cast("int"))
+    own = F.pmod(F.xxhash64("q"), F.lit(strips)).cast("int")
+
+    def search(part: DataFrame) -> DataFrame:
+        met = part.repartition(tasks, *keys).join(index, keys)
+        met = met.select("q", "q_ids", "q_data", "bars", "block", "width", "ids", "data")
+        return met.mapInArrow(lambda batches: searched(batches, k),
+                              "q bigint, bars binary, level double, found array<struct<query_id:bigint,vec_id:bigint,score:bigint>>")
+
+    first = reliable_checkpoint(search(asks.withColumn("bars", F.lit(None).cast("binary")).withColumn("strip", own)))
+    found = first
+    if strips > 1:
+        bars = first.groupBy("q").agg(F.max_by("bars", "level").alias("bars"))  # every one holds; the highest serve best
+        rest = asks.join(bars, "q", "left").withColumn("own", own)
+        rest = rest.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))).where("strip != own")
+        found = first.unionByName(search(rest.drop("own")))
+    found = found.select(F.inline("found"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
+
+
+def searched(batches, k: int):
+    """Per pair of a query block and an index block: the rows found, and the bars after it."""
+    built: dict[int, ImpactIndex] = {}
+    running: dict[int, np.ndarray] = {}  # the k best scores of each query of a block
+    for b in batches:
+        for at in range(b.num_rows):
+            row = b.slice(at, 1).to_pylist()[0]
+            if row["block"] not in built:
+                if built and (len(built) + 1) * 4 * len(row["data"]) > BUILT_BYTES:
+                    built.pop(next(iter(built)))
+                built[row["block"]] = ImpactIndex(*decode(row["ids"], row["data"], row["width"]))
+            index = built[row["block"]]
+            q_ids, q_rows = decode(row["q_ids"], row["q_data"], row["width"])
+            bars = np.full(len(q_ids), NO_BAR) if row["bars"] is None else np.frombuffer(row["bars"], "<i8").copy()
+            if row["q"] not in running:
+                if len(running) >= STRIP_BLOCKS:
+                    running.pop(next(iter(running)))
+                running[row["q"]] = np.full((len(q_ids), k), NO_BAR)
+            best = running[row["q"]]
+            bars = np.maximum(bars, best[:, 0])
+            got = []
+            for i in range(len(q_ids)):
+                ids, scores = index.top(q_rows[i], q_ids[i], k, int(bars[i]))
+                got.append((ids, scores))
+                if len(ids):
+                    best[i] = np.sort(np.concatenate([best[i], scores]))[-k:]
+            bars = np.maximum(bars, best[:, 0])
+            rows = pa.StructArray.from_arrays(
+                [pa.array(np.repeat(q_ids, [len(g[0]) for g in got])), pa.array(np.concatenate([g[0] for g in got])),
+                 pa.array(np.concatenate([g[1] for g in got]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["q"]], pa.int64()), pa.array([bars.astype("<i8").tobytes()], pa.binary()),
+                 pa.array([float(bars.astype(np.float64).sum())]),
+                 pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)],
+                names=["q", "bars", "level", "found"])
+    release_memory()

@@ -211,6 +211,37 @@ def test_top_k_awkward(spark, monkeypatch, block, k, scale):
     assert impact_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_carries_bars_between_strips(spark, monkeypatch):
+    monkeypatch.setattr(impact_search, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(impact_search, "STRIP_BLOCKS", 2)
+    rng = np.random.default_rng(21)
+    rows = rng.normal(size=(900, 12)).round(2)
+    rows[::3] = rows[0]  # a third are copies
+    df = vectors(spark, [(i, [float(x) for x in r], 1) for i, r in enumerate(rows)])
+    got = impact_search.top_k(df, F.col("vec_id") % 20 == 0, 20, 64.0).collect()
+    stored = np.array([r.embedding for r in df.orderBy("vec_id").collect()])  # as the column holds them
+    ints = np.floor(64 * stored).astype(np.int64)
+    want = set()
+    for q in range(0, 900, 20):
+        scores = ints @ ints[q]
+        order = [i for i in np.lexsort((np.arange(900), -scores)) if i != q][:20]
+        want |= {(q, rank, i, int(scores[i])) for rank, i in enumerate(order, 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_impact_index_rescores_possible_members_only():
+    rng = np.random.default_rng(5)
+    rows = np.floor(64 * rng.normal(size=(4096, 64)) / 8).astype(np.int64)
+    index = impact_search.ImpactIndex(np.arange(4096), rows)
+    for i in range(0, 400, 20):
+        free = index.top(rows[i], i, 20)
+        bar = int(free[1][9])
+        held = index.top(rows[i], i, 20, bar)
+        assert [list(x) for x in held] == [list(x[: len(held[0])]) for x in free] and len(held[0]) >= 10
+        assert len(index.top(rows[i], i, 20, int(free[1][0]) + 1)[0]) == 0
+    assert index.rescored < 0.05 * 60 * 4096
+
+
 def test_impact_index_takes_large_scores():
     rng = np.random.default_rng(8)
     for top in (6_400_000, 1 << 28):  # scores of 4e13 and more, beyond one accumulator in doubles

@@ -6,10 +6,12 @@ prefix, and so every run between two cuts, holds each source in its overall
 proportion to within a row.  Cutting at floor(k * rows / shards) gives shards
 whose row counts differ by one at most: the law is ``rows``.
 
-Both orders are numbered by uniform keys (a hash, then the fraction itself),
-so 2**bits windows share even a single source or a source with most rows
-(`common.seeded_ranks`).  Only ids, sizes and checksums are shuffled, never
-texts.  DataFrame functions only.
+Ranks in a source are numbered by a uniform hash, so 2**bits windows share even
+a single source or a source with most rows (`common.seeded_ranks`).  Fractions
+are not uniform - every source of one row has 1/2 - so the second order is cut
+into slices of equal row counts on (fraction, source, rank), which divide
+equal fractions too (`ranking.ordered_numbers`).  Only ids, sizes and checksums
+are shuffled, never texts.  DataFrame functions only.
 
 Cases: null source is a source of its own; null text has size 1 and the
 checksum of an empty text; rows with equal id and text may swap places with
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardinal.llm.common import group_key, seeded_ranks, shuffle_key
+from cardinal.operators.ranking import N, RN, ordered_numbers
 
 
 def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
@@ -40,9 +43,10 @@ def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: s
     fraction = (2 * F.col("rank") - 1) / (2 * F.col("group_rows"))
     spread = own.select(
         id_col, "size", "text_crc32", "source", F.col("_group").alias("_stratum"), F.col("rank").alias("_rank"),
-        F.lit("").alias("_group"), (fraction * F.lit(2.0**62)).cast("long").alias("_key"),
+        (fraction * F.lit(2.0**62)).cast("long").alias("_key"),
     )
-    order = seeded_ranks(spread, "_group", "_key", ("_stratum", "_rank"), bits)
+    order = ordered_numbers(spread, ["_key"], tiebreak=["_stratum", "_rank"])
+    order = order.withColumnRenamed(RN, "rank").withColumnRenamed(N, "group_rows")
     at = F.col("rank") - 1
     shard = F.expr(f"((rank * {shards}) - 1) div group_rows")
     first = F.expr(f"(_shard * group_rows + {shards} - 1) div {shards}")

@@ -7,6 +7,8 @@ from fractions import Fraction
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cardinal.llm import mixing, sharding
 from cardinal.llm.queries import op5_pfair_mixing, op6_stratified_shards
 from tests.llm.cases import awkward, docs, empty
@@ -43,6 +45,23 @@ def test_shards_match_two_sorts(spark, shards):
     assert got == plain_shards(df.collect(), shards)
 
 
+def test_shards_of_many_small_sources(spark):
+    # all fractions of one-row sources are equal: they are cut by source, not numbered in one window
+    rows = [(i, f"t{i}", f"domain{i}" if i < 3000 else "hot") for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # small partitions stay as they are cut
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        out = sharding.stratified_shards(df, 8)
+        held = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set(setting, before)
+    got = Counter((r.doc_id, r.text_crc32, r.size, r.shard, r.slot) for r in out.collect())
+    assert got == plain_shards(df.collect(), 8)
+    assert held < 3000  # the equal fractions are not one task's
+
+
 def test_shards_query(spark):
     rows = op6_stratified_shards(spark, SF).collect()
     assert Counter((r.doc_id, r.text_crc32, r.size, r.shard, r.slot) for r in rows) == plain_shards(

@@ -582,6 +582,39 @@ def glm_gamma_weighted(spark, d):
     return _card_eval(card, _t(spark, d, "orders"), "o_orderkey").select("o_orderkey", "o_totalprice_hat")
 
 
+def _glm_by_level(df, target, level, models):
+    """One card for each (suffix, family, link, options): fitted values by the levels of one column."""
+    for suffix, family, link, more in models:
+        card = GLMCard(target=target, formula=(1, level), distribution=family, link=link, suffix=suffix, **more)
+        df = _card_eval(card, df, None)
+    return df
+
+
+def glm_binomial_links(spark, d):
+    filled = _t(spark, d, "orders").withColumn("filled", (F.col("o_orderstatus") == "F").cast("double"))
+    links = ("logit", "probit", "cloglog", "cauchit")
+    out = _glm_by_level(filled, "filled", "o_orderpriority", [(k, "binomial", k, {}) for k in links])
+    return out.select("o_orderkey", *[f"filled_{k}" for k in links])
+
+
+def glm_positive_families(spark, d):
+    models = [("poisson_log", "poisson", "log", {}), ("poisson_sqrt", "poisson", "sqrt", {}),
+              ("gamma_inverse", "gamma", "inverse", {}), ("normal_identity", "normal", "identity", {}),
+              ("inversegaussian", "inversegaussian", "inversesquare", {}),
+              ("negativebinomial", "poisson", "negativebinomial", {"theta": 50.0})]
+    out = _glm_by_level(_t(spark, d, "lineitem"), "l_quantity", "l_returnflag", models)
+    return out.select("l_orderkey", "l_linenumber", *[f"l_quantity_{m[0]}" for m in models])
+
+
+def glm_unseen_level(spark, d):
+    # the last priority's orders are validation rows only: its level has no coefficient
+    held = F.when(F.col("o_orderpriority") == "5-LOW", F.lit(2)).otherwise(F.lit(1))
+    card = GLMCard(target="o_totalprice", formula=(1, "o_orderpriority"), distribution="inversegaussian", link="log",
+                   partition="part")
+    out = _card_eval(card, _t(spark, d, "orders").withColumn("part", held), "o_orderkey")
+    return out.select("o_orderkey", "part", "o_totalprice_hat")
+
+
 def _documents_labelled(spark, d, target):
     """All documents; the labelled ones are the training rows."""
     docs = _t(spark, d, "documents").select("doc_id", "n_chars", "lang")
@@ -690,6 +723,18 @@ _reg("glm_poisson", glm_poisson, None)
 _reg("glm_gamma_weighted", glm_gamma_weighted, """
 SELECT o_orderkey, sum(o_custkey * o_totalprice) OVER w / sum(o_custkey) OVER w AS o_totalprice_hat
 FROM orders WINDOW w AS (PARTITION BY o_orderpriority)""")
+_reg("glm_binomial_links", glm_binomial_links, """
+SELECT o_orderkey, p AS filled_logit, p AS filled_probit, p AS filled_cloglog, p AS filled_cauchit
+FROM (SELECT o_orderkey, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY o_orderpriority) AS p
+      FROM orders) t""")
+_reg("glm_positive_families", glm_positive_families, """
+SELECT l_orderkey, l_linenumber, m AS l_quantity_poisson_log, m AS l_quantity_poisson_sqrt, m AS l_quantity_gamma_inverse,
+       m AS l_quantity_normal_identity, m AS l_quantity_inversegaussian, m AS l_quantity_negativebinomial
+FROM (SELECT l_orderkey, l_linenumber, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS m FROM lineitem) t""")
+_reg("glm_unseen_level", glm_unseen_level, """
+SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 2 ELSE 1 END AS part,
+       CASE WHEN o_orderpriority <> '5-LOW' THEN avg(o_totalprice) OVER (PARTITION BY o_orderpriority) END AS o_totalprice_hat
+FROM orders""")
 _reg("glm_binomial", glm_binomial, None)
 _reg("glm_probit", glm_probit, None)
 _reg("interp_linear", _interp("linear", extrapolation_left="constant", extrapolation_right="constant"),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardinal.functions.columns import ieee_div, ieee_ln, join_names, qcol
+from cardinal.functions.normal import norm_cdf, norm_ppf
 from cardinal.operators.filters import training_rows
 from cardinal.operators.summary import is_numerical
 from cardinal.plans.card import Card, CardState, OutputVariables, SourceVariables, check_fields, register_card
@@ -31,20 +32,15 @@ from cardinal.plans.card import Card, CardState, OutputVariables, SourceVariable
 MAX_LEVELS = 10_000
 
 
-# -- probit helpers (no JVM builtin for the normal CDF / quantile) ----------------
+# -- probit helpers (no JVM builtin for the normal CDF / quantile): whole Arrow batches in numpy
 @F.pandas_udf(T.DoubleType())
 def _norm_cdf(x: pd.Series) -> pd.Series:
-    v = x.to_numpy(dtype=float)
-    return pd.Series(0.5 * np.vectorize(math.erfc, otypes=[float])(-v / math.sqrt(2.0)))
+    return pd.Series(norm_cdf(x.to_numpy(dtype=float)))
 
 
 @F.pandas_udf(T.DoubleType())
 def _norm_ppf(p: pd.Series) -> pd.Series:
-    from statistics import NormalDist
-
-    nd = NormalDist()
-    v = p.to_numpy(dtype=float)
-    return pd.Series(np.vectorize(lambda q: nd.inv_cdf(min(max(q, 1e-300), 1 - 1e-16)), otypes=[float])(v))
+    return pd.Series(norm_ppf(p.to_numpy(dtype=float)))
 
 
 _PI = math.pi

@@ -2,8 +2,8 @@
 
 * J1: left equi-join of a table to grouped statistics.  Zero keys turn the
   single statistics row into literals (no join at all).  With keys, the
-  statistics side is broadcast only when its measured row count is below a
-  bound; otherwise a shuffle join runs and AQE splits skewed keys.
+  statistics side is broadcast only when its measured rows and bytes are below
+  bounds; otherwise a shuffle join runs and AQE splits skewed keys.
 * J3: "update join" of a keyed result table back into the main table.
 """
 
@@ -16,20 +16,38 @@ from pyspark.sql import functions as F
 
 from cardinal.functions.columns import qcol
 
-# Largest statistics table (rows) that may be broadcast.  Statistics rows are
-# a few doubles per group, so this keeps the broadcast far below executor
-# memory even for the widest rescale card.
+# Largest table that may be broadcast, by rows and by measured bytes: far below executor memory.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 << 20
+FIELD_BYTES = 16  # a field's fixed part in a hashed row, with its share of the row's overhead
 
 
-def broadcast_if_bounded(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint only after a count proves the table is small.
+def measured(small: DataFrame) -> tuple[int, int]:
+    """Rows and about the bytes they take: fixed parts by the schema, texts and nested values by their lengths."""
+    lengths = []
+    for field in small.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            lengths.append(F.octet_length(qcol(field.name)))
+        elif kind in ("array", "map", "struct", "variant"):
+            lengths.append(F.octet_length(F.to_json(F.struct(qcol(field.name)))))
+    if not lengths:
+        rows = small.count()
+        return rows, rows * FIELD_BYTES * len(small.columns)
+    long = [F.coalesce(F.sum(n.cast("long")), F.lit(0)) for n in lengths]
+    got = small.agg(F.count(F.lit(1)), *long).first()
+    return got[0], got[0] * FIELD_BYTES * len(small.columns) + sum(got[1:])
+
+
+def broadcast_if_bounded(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                         max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast hint only after a count of its rows and bytes proves the table small.
 
     ``small`` should be materialised (checkpointed) so that the count and
     the join read the same rows.
     """
-    n = small.count()
-    return (F.broadcast(small), True) if n <= max_rows else (small, False)
+    rows, size = measured(small)
+    return (F.broadcast(small), True) if rows <= max_rows and size <= max_bytes else (small, False)
 
 
 def join_stats(df: DataFrame, stats: DataFrame | Mapping[str, object], keys: Sequence[str],

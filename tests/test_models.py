@@ -424,3 +424,26 @@ def test_glm_queries_predict_every_document(spark, query, target, terms, link):
     fitted = CardGraph([card]).train_evaljoin(labels.join(docs, "doc_id"))
     for r in fitted.select("doc_id", f"{target}_hat").collect():
         assert abs(got[r[0]] - r[1]) < 1e-9
+
+
+def test_penalised_iteration_passes_the_rows_once(spark):
+    from cardinal.operators import mixed
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for pdf in it:
+            seen.add(len(pdf))
+            yield pdf
+
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 6), float(x), int(x + k % 6 > 2.5)) for k, x in enumerate(rng.normal(size=120))]
+    df = spark.createDataFrame(rows, "g long, x double, y int").mapInPandas(counted, "g long, x double, y int")
+    X, Z = [F.lit(1.0), F.col("x")], [F.lit(1.0)]
+    _, _, modes = mixed.pirls(df, X, Z, F.col("y"), F.lit(1.0), "g", [1.0], "binomial", "logit", [0.0, 0.0], iterations=3)
+    assert seen.value == 3 * len(rows)
+    assert modes.count() == 6
+    rows_ = mixed.model_rows(spark.createDataFrame(rows, "g long, x double, y int"), X, Z, F.col("y"), F.lit(1.0), "g")
+    near, start, _ = mixed.pirls_rows(rows_, 2, 1, [1.0], "binomial", "logit", [0.0, 0.0])
+    again, beta, _ = mixed.pirls_rows(rows_, 2, 1, [1.0], "binomial", "logit", start, modes)
+    assert abs(near - again) < 1e-5 * abs(near) and np.allclose(beta, start, atol=1e-3)

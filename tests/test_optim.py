@@ -86,3 +86,27 @@ def test_network_with_ridge_meets_the_closed_form(spark):
     assert len(losses) < 40  # ends when the gradient is gone
     again = card.fit(li, warm=state)
     assert np.allclose(np.concatenate([np.ravel(p) for p in again.content["params"]]), want, atol=1e-7)
+
+
+def test_linear_net_reads_its_rows_once(spark, monkeypatch):
+    """A linear network under mse is trained from one pass; the fold has the loss and gradient of all rows."""
+    rng = np.random.default_rng(2)
+    data = [(int(k), float(a), float(b), float(3 * a - b + 2 + c), float(b - a + c)) for k, (a, b, c) in enumerate(rng.normal(size=(400, 3)))]
+    df = spark.createDataFrame(data, "id long, a double, b double, u double, v double").repartition(5)
+    rows = nn.assemble(df, [F.col("a"), F.col("b")], [F.col("u"), F.col("v")])
+    params, loss = [rng.normal(size=(2, 2)), rng.normal(size=2)], [(0, 1, "mse"), (1, 2, "mse")]
+    want, got = nn._batch_gradient(rows, params, ["identity"], loss), nn.Folded.of(rows, 5).gradient(params, loss)
+    assert got[1] == want[1] == 400 and np.allclose(got[0], want[0], rtol=1e-12) and np.allclose(got[2], want[2], rtol=1e-11)
+    assert nn.Folded.of(rows.limit(0), 5).gradient(params, loss) == (0.0, 0, None)
+
+    def passes(*_, **__):
+        raise AssertionError("the rows are read again")
+
+    monkeypatch.setattr(nn, "_batch_gradient", passes)
+    X = np.array([(1, r[1], r[2]) for r in data])
+    plane = np.linalg.lstsq(X, np.array([r[3:] for r in data]), rcond=None)[0]
+    for optimizer in ("bfgs", "lbfgs"):
+        card = nn.DenseNetCard(inputs=("a", "b"), targets=("u", "v"), order_by=("id",), layers=({"sigma": "identity"},),
+                               training=nn.Training(optimizer=optimizer, epochs=60, g_tol=1e-11))
+        W, b = card.fit(df).content["params"]
+        assert np.allclose(np.vstack([b, W]), plane, atol=1e-9)

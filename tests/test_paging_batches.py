@@ -116,3 +116,16 @@ def test_shuffled_batches_of_repeated_ids(spark):
 def test_shuffled_batches_rank_no_ranges(spark):
     plan = plan_of(funnel.shuffled_batches(table(spark, "events"), ["event_id"], 32, seed=1))
     assert plan.count("rangepartitioning") == 0
+
+
+def test_slices_of_an_index_do_not_grow_with_the_rows(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("k"), (F.col("id") % 3).alias("t"))
+    most = dashboard.SLICES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for sort, key in (([{"colId": "k"}], lambda r: r[0]), ([{"colId": "t"}, {"colId": "k", "sort": "desc"}], lambda r: (r[1], -r[0]))):
+        want = sorted((tuple(r) for r in df.collect()), key=key)
+        with PageIndex(df, sort, slice_rows=5) as index:
+            assert len(index.counts) <= most and index.total == 3000
+            for limit, offset in ((10, 0), (7, 1234), (900, 1500), (50, 2990), (3000, 0), (1, 2999), (5, 4000)):
+                assert [tuple(r) for r in index.page(limit, offset).collect()] == want[offset:offset + limit]
+    with PageIndex(df.limit(0), [{"colId": "k"}], slice_rows=5) as index:
+        assert index.total == 0 and index.page(5, 0).collect() == []

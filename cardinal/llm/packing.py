@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardinal.llm.bpe_counts import Generations, foldable
-from cardinal.llm.common import arrow_map, reliable_checkpoint, seeded_ranks
+from cardinal.llm.common import arrow_map, in_order, reliable_checkpoint, seeded_ranks
+from cardinal.operators.ranking import RN, ordered_numbers
 
 CAPACITY = 4096
 END_ID = 1
@@ -322,9 +323,10 @@ def texts_bytes(texts: Iterable[str | None], path: str) -> Iterator[bytes]:
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; one pass over the texts, no shuffle."""
+               text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece, and the columns ``keep``; one pass over the texts, no shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     close = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -339,31 +341,48 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
                 length.append(len(part) // 4)
                 crc.append(zlib.crc32(part))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
-             *[pa.array(x, pa.int64()) for x in (start, length, crc)]],
-            names=[id_col, "piece", "start", "length", "ids_crc32"])
+            [batch.column(0).take(at := pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
+             *[pa.array(x, pa.int64()) for x in (start, length, crc)], *[c.take(at) for c in batch.columns[2:]]],
+            names=[id_col, "piece", "start", "length", "ids_crc32", *keep])
 
-    return arrow_map(docs.select(id_col, text_col), run,
-                     f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return arrow_map(docs.select(id_col, text_col, *keep), run,
+                     f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{more}")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
-         max_nodes: int = SEARCH_NODES) -> DataFrame:
-    """Pieces of all documents with their sequence_id and offset."""
-    pieces = reliable_checkpoint(cut_pieces(docs, tokenizer, capacity, id_col, text_col))
+         max_nodes: int = SEARCH_NODES, ordered: bool = False) -> DataFrame:
+    """Pieces of all documents with their sequence_id and offset.
+
+    ``ordered`` keeps to the order of the rows: pieces of equal length take
+    their places in it, and sequences are numbered from 0 by their earliest
+    piece.  There are as many sequences as without.
+    """
+    docs, order = in_order(docs) if ordered else (docs, [])
+    pieces = reliable_checkpoint(cut_pieces(docs, tokenizer, capacity, id_col, text_col, order))
     histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
     place = places(complete_bins({r["length"]: r["n"] for r in histogram}, capacity, max_nodes))
-    keyed = pieces.withColumn("_group", F.col("length").cast("string")).withColumn(
-        "_key", F.xxhash64(id_col, "piece", "start", "ids_crc32"))
-    ranked = seeded_ranks(keyed, "_group", "_key", (id_col, "piece", "ids_crc32"), bits=6)
+    if ordered:
+        ranked = ordered_numbers(pieces, [*order, "piece"], ["length"]).withColumnRenamed(RN, "rank")
+    else:
+        keyed = pieces.withColumn("_group", F.col("length").cast("string")).withColumn(
+            "_key", F.xxhash64(id_col, "piece", "start", "ids_crc32"))
+        ranked = seeded_ranks(keyed, "_group", "_key", (id_col, "piece", "ids_crc32"), bits=6)
     kind = docs.schema[id_col].dataType.simpleString()
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in order)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
         sequence, offset = locate(place, length, rank - 1)
-        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)],
-                                          names=[*batch.schema.names[:5], "sequence_id", "offset"])
-
-    return arrow_map(ranked.select(id_col, "piece", "start", "length", "ids_crc32", "rank"), run,
-                     f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, "
-                     "sequence_id bigint, offset bigint")
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), *batch.columns[6:]],
+                                          names=[*batch.schema.names[:5], "sequence_id", "offset", *order])
+
+    packed = arrow_map(ranked.select(id_col, "piece", "start", "length", "ids_crc32", "rank", *order), run,
+                       f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, "
+                       f"sequence_id bigint, offset bigint{more}")
+    if not ordered:
+        return packed
+    first = packed.groupBy("sequence_id").agg(F.min(F.struct(*order, "piece")).alias("_first"))
+    first = first.select(F.col("sequence_id").alias("_old"), "_first.*")
+    number = ordered_numbers(first, [*order, "piece"]).select("_old", (F.col(RN) - 1).alias("_new"))
+    out = packed.join(number, F.col("sequence_id") == F.col("_old"))
+    return out.select(id_col, "piece", "start", "length", "ids_crc32", F.col("_new").alias("sequence_id"), "offset")

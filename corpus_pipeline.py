@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens, packed into sequences."""
-    return packing.pack(docs, word_bpe())
+    """Pieces of at most 4096 tokens, packed into sequences that follow the order of the rows."""
+    return packing.pack(docs, word_bpe(), ordered=True)
 
 
 STAGES = [

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from cardinal.llm import language, near_dup, quality, queries
+from cardinal.llm import language, near_dup, packing, quality, queries
 from cardinal.llm.common import fold
 from tests.llm.cases import awkward
 
@@ -48,3 +48,34 @@ def test_stages_take_awkward_rows(spark):
         out = stage(spark, docs, SMALL)
         assert out.count() <= docs.count() + 50
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_packing_follows_the_order_of_the_rows(spark, tmp_path):
+    rows = [(k, "word " * (900 + 7 * (k % 5))) for k in range(40)]
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    for ids in (list(range(40)), list(range(39, -1, -1)), [k * 7 % 40 for k in range(40)]):
+        docs = spark.createDataFrame([(*rows[k], "en", "web", len(rows[k][1])) for k in ids],
+                                     "doc_id long, text string, lang string, source string, n_chars long").repartitionByRange(1, "lang")
+        docs.write.parquet(str(tmp_path / f"{ids[0]}-{ids[1]}"))
+        place = {d: k for k, d in enumerate(ids)}
+        for given in (docs, spark.read.parquet(str(tmp_path / f"{ids[0]}-{ids[1]}"))):
+            got = corpus_pipeline.pack_sequences(spark, given, SMALL)
+            plain = packing.pack(given, queries.word_bpe())
+            assert sorted(got.select(key).collect()) == sorted(plain.select(key).collect())
+            found = got.collect()
+            sequences = {}
+            for r in found:
+                sequences.setdefault(r.sequence_id, []).append(r)
+            assert sorted(sequences) == list(range(plain.select("sequence_id").distinct().count()))
+            firsts = [min(place[r.doc_id] for r in sequences[s]) for s in sorted(sequences)]
+            assert firsts == sorted(firsts) and firsts[0] == 0
+            for held in sequences.values():
+                at = 0
+                for r in sorted(held, key=lambda r: r.offset):
+                    assert r.offset == at
+                    at += r.length
+                assert at <= 4096
+            by_length = {}
+            for r in sorted(found, key=lambda r: place[r.doc_id]):
+                by_length.setdefault(r.length, []).append(r.sequence_id)
+            assert all(len(set(s)) > 1 for s in by_length.values())

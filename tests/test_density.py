@@ -151,3 +151,11 @@ def test_components(spark, seed):
     df = spark.createDataFrame([(b, a) if rng.random() < 0.5 else (a, b) for a, b in edges], "a bigint, b bigint")
     assert {r.node: r.component for r in components(df).collect()} == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_rounds_are_planned_from_their_own_size(spark):
+    """The plan's estimated size does not become the product of all rounds' joins: planning a round would take ever longer."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a bigint, b bigint")
+    found = components(chain)
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(101)}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40

@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -211,7 +212,7 @@ _ENCODERS: dict[str, Generations] = {}
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
-def encoder(path: str, entries: int = 250_000) -> Generations:
+def encoder(path: str, entries: int = 500_000) -> Generations:
     """This worker's cache of chunk -> little-endian 32-bit ids, filled by the tokenizer library.
 
     White space separates chunks and never takes part in a token of the
@@ -286,10 +287,10 @@ def learn(chunks: set[bytes], path: str, cache: Generations) -> None:
     No mark belongs to the token of the letters before it, so a chunk's ids are those of its two parts.
     """
     unknown: dict[bytes, list[bytes]] = {}
-    for chunk in chunks:
-        if len(chunk) <= cache.longest and chunk not in cache and chunk not in cache.old:
+    for chunk in filterfalse(cache.old.__contains__, filterfalse(cache.__contains__, chunks)):
+        if len(chunk) <= cache.longest:
             word = chunk.rstrip(MARKS)
-            if word and (text := word.decode("utf-8", "replace")).isalpha() and max(text) < "\u0500":
+            if word.isalpha() or word and (text := word.decode("utf-8", "replace")).isalpha() and max(text) < "\u0500":
                 unknown.setdefault(word, []).append(chunk)
     if path not in _WORDS:
         _WORDS[path] = Words(path)

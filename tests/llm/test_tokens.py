@@ -47,6 +47,22 @@ def test_cache_generations_stay_bounded():
     assert cache[b"longer than five"] == 16 and b"longer than five" not in cache
 
 
+def test_many_words_stay_known():
+    enc = packing.encoder(word_bpe())
+    enc.clear()
+    enc.old = {}
+    calls, compute = [], enc.compute
+    enc.compute = lambda chunk: calls.append(chunk) or compute(chunk)
+    try:
+        for k in range(750_000):
+            enc.put(b"w%d" % k, b"")
+        assert packing.token_bytes("w0 W1 w749999", enc) == b"" and not calls
+    finally:
+        enc.compute = compute
+        enc.clear()
+        enc.old = {}
+
+
 def test_counts_query_matches_the_library(spark, library):
     for df, got in ((spark.read.parquet(f"{SF}/documents.parquet"), op10_token_counts(spark, SF)),
                     (awkward(spark), bpe_counts.token_counts(awkward(spark), word_bpe()))):

@@ -11,7 +11,11 @@ from __future__ import annotations
 import numpy as np
 
 PARTS = ("shape", "low", "upper", "ones", "zeros")
-_STEPS = [(s, np.uint64((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1)]
+RUN = 1 << 15  # queries answered at once, so that what they need stays in the processor's cache
+_PAIRS, _FOURS, _BYTES = 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F
+_ONES, _TOPS = 0x0101010101010101, 0x8080808080808080
+#: Place of the r-th set bit (from 0) of a byte, at 8 * byte + r.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -41,19 +45,30 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
 def _select(words: np.ndarray, upto: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
     """Place of the k-th set bit (from 0), or of the k-th clear bit."""
     at = np.searchsorted(upto, k.astype(upto.dtype), side="right")
-    before = np.where(at > 0, upto[np.maximum(at, 1) - 1], 0).astype(np.int64)
     x = words[at]
     if flip:
         x = ~x
-    r = k - before
-    place = at.astype(np.int64) * 64
-    for step, mask in _STEPS:
-        n = np.bitwise_count(x & mask).astype(np.int64)
-        go = r >= n
-        r -= n * go
-        place += step * go
-        x = np.where(go, x >> np.uint64(step), x)
-    return place
+    r = (k - upto[at].astype(np.int64) + np.bitwise_count(x)).astype(np.uint64)
+    # Byte i of ``sums`` counts the set bits of the bytes up to i; the bytes whose sum is at most r come before.
+    sums = x - ((x >> 1) & _PAIRS)
+    sums = (sums & _FOURS) + ((sums >> 2) & _FOURS)
+    sums = ((sums + (sums >> 4)) & _BYTES) * _ONES
+    skip = np.bitwise_count(((r * _ONES | _TOPS) - sums) & _TOPS).astype(np.uint64) << 3
+    r -= ((sums << 8) >> skip) & 255
+    byte = (x >> skip) & 255
+    return at.astype(np.int64) * 64 + skip.astype(np.int64) + _IN_BYTE[(byte << 3 | r).astype(np.int64)]
+
+
+def _after(words: np.ndarray, upto: np.ndarray, place: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+    """Place of the k-th set (or clear) bit, from the place of the one before it (-1: none is)."""
+    x = words[place >> 6]
+    if flip:
+        x = ~x
+    x = x >> (place & 63).astype(np.uint64) >> 1
+    out = place + 1 + np.bitwise_count((x & (~x + 1)) - 1)
+    far = np.flatnonzero((x == 0) | (place < 0))
+    out[far] = _select(words, upto, k[far], flip)
+    return out
 
 
 class Sequence:
@@ -75,6 +90,13 @@ class Sequence:
         high = _select(self.upper, self.ones, j, False) - j
         return (high << self.bits) | self.low_at(j).astype(np.int64)
 
+    def access_two(self, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the places j and j + 1."""
+        one = _select(self.upper, self.ones, j, False)
+        two = _after(self.upper, self.ones, one, j + 1, False)
+        return (((one - j) << self.bits) | self.low_at(j).astype(np.int64),
+                ((two - j - 1) << self.bits) | self.low_at(j + 1).astype(np.int64))
+
     def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The place of each x in [lo, hi), or -1: the run of its high part by select, then its low bits by halving."""
         out = np.full(len(x), -1, np.int64)
@@ -83,10 +105,11 @@ class Sequence:
         if not len(ask):
             return out
         h, want = high[ask], (x[ask] & ((1 << self.bits) - 1)).astype(np.uint64)
-        start = np.zeros(len(ask), np.int64)
+        gap = np.full(len(ask), -1, np.int64)  # the clear bits before and after the run
         some = np.flatnonzero(h > 0)
-        start[some] = _select(self.upper, self.zeros, h[some] - 1, True) - (h[some] - 1)
-        end = _select(self.upper, self.zeros, h, True) - h
+        gap[some] = _select(self.upper, self.zeros, h[some] - 1, True)
+        start = gap - (h - 1)
+        end = _after(self.upper, self.zeros, gap, h, True) - h
         a, b = np.maximum(start, lo[ask]), np.minimum(end, hi[ask])
         last = b.copy()
         live = np.flatnonzero(a < b)
@@ -126,9 +149,14 @@ class Level:
 
     def search(self, node: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the value in the whole level or -1, place in its node's list)."""
-        lo, hi = self.ptr.access(node), self.ptr.access(node + 1)
+        at, lo = np.empty(len(node), np.int64), np.empty(len(node), np.int64)
+        for k in range(0, len(node), RUN):
+            at[k:k + RUN], lo[k:k + RUN] = self._search(node[k:k + RUN], value[k:k + RUN])
+        return at, at - lo
+
+    def _search(self, node: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = self.ptr.access_two(node)
         base = np.zeros(len(node), np.int64)
         later = np.flatnonzero((lo > 0) & (lo < hi))
         base[later] = self.val.access(lo[later] - 1)
-        at = self.val.find(value + 1 + base, lo, hi)
-        return at, at - lo
+        return self.val.find(value + 1 + base, lo, hi), lo

@@ -51,6 +51,7 @@ from cardinal.llm.shingles import word_hashes
 K2, K3 = 300.0, 20.0
 STRETCH = 1 << 21  # tokens of a task that are counted at once
 SCORE_STRETCH = 1 << 20  # and that are scored at once
+HASH_BYTES = 1 << 17  # of whole texts hashed at once
 SHARD_TOKENS = 2_000_000
 END = np.uint64(0xE0D0_0000_0000_0001)
 CODES = 256
@@ -150,7 +151,9 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text number, place up to 2) of every token of some texts, ends included."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     first = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    h, start = word_hashes(raw)
+    cuts = np.unique(np.concatenate((first[np.searchsorted(first, np.arange(0, first[-1], HASH_BYTES))], first[-1:])))
+    parts = [(a, *word_hashes(raw[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    h, start = np.concatenate([p[1] for p in parts]), np.concatenate([p[0] + p[2] for p in parts])
     bounds = np.searchsorted(start, first)
     n = np.diff(bounds) + 1
     ends = np.cumsum(n) - 1
@@ -497,6 +500,7 @@ def score_stretch(trie: Trie, h: np.ndarray, place: np.ndarray, lo: int, hi: int
     three[deep] += weight[of[deep - 1]]
     ask = deep[found[deep]]
     if len(ask):
+        ask = ask[np.argsort(of[ask - 1])]  # in the order of the contexts: neighbours are looked up together
         context = of[ask - 1]
         hit, p3 = trie.trigrams(shard[context], node[context], rel[of[ask]])
         three[ask[hit]] = p3[hit]

@@ -174,6 +174,25 @@ def test_elias_fano_round_trip():
         assert at.tolist() == [place.get(int(y), -1) for y in x]
 
 
+@pytest.mark.parametrize("spread", [1, 3, 90, 5000])
+def test_elias_fano_neighbours_and_long_searches(spread):
+    rng = np.random.default_rng(spread)
+    v = np.cumsum(rng.integers(0, spread + 1, 50_001) * (rng.random(50_001) < 0.3))
+    seq = elias_fano.Sequence(elias_fano.encode(v))
+    at = rng.integers(0, 50_000, 70_000)
+    one, two = seq.access_two(at)
+    assert (one == v[at]).all() and (two == v[at + 1]).all()
+    lists = np.unique(rng.integers(0, 2000 * 400, 60_000))
+    node, value = lists // 400, lists % 400
+    level = elias_fano.Level(elias_fano.encode_level(node, value, 2001))
+    ask = rng.integers(0, 2000 * 400, 2 * elias_fano.RUN + 5)
+    place, own = level.search(ask // 400, ask % 400)
+    k = np.searchsorted(lists, ask)
+    hit = (k < len(lists)) & (lists[np.minimum(k, len(lists) - 1)] == ask)
+    assert (place == np.where(hit, k, -1)).all()
+    assert (own[hit] == (k - np.searchsorted(node, ask // 400))[hit]).all()
+
+
 def test_level_search():
     rng = np.random.default_rng(2)
     key = np.unique(rng.integers(0, 500, 3000) * 1000 + rng.integers(0, 300, 3000))

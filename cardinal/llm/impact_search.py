@@ -13,6 +13,13 @@ proof leaves few rows that can still be among the k best; these, and no others,
 are rescored exactly.  If the proof never comes, all levels are read.  There
 is no product with a whole block.
 
+Queries go through the lists in groups: each list is passed over once a level
+for the whole group, whose accumulators of a row lie side by side, and a posting
+adds nothing to the queries whose level it does not reach.  Every query has a
+level of its own, ends by its own proof and then leaves the group.  The first
+level is the one that ended the query's last block, as a proof seldom comes much
+earlier; it decides how much is read at once, never which rows are found.
+
 Index blocks fall into strips.  A query block is searched in one strip first,
 block after block; the k-th best score found so far is a bar that k rows surely
 reach, so it is carried from block to block, and then, as a column of the query
@@ -43,6 +50,8 @@ QUERY_ROWS = 256
 STRIP_BLOCKS = 8  # index blocks searched one after the other, with a running bar
 SALTS = 8  # parts of the query blocks that meet a strip in tasks of their own
 BUILT_BYTES = 64 << 20  # posting lists a task keeps
+GROUP = 128  # queries that a posting list is passed over for at once
+ADDED = 256  # postings added up at a time
 POSSIBLE = 64  # so many rows may be rescored instead of reading on
 NO_BAR = -(1 << 62)  # below every score
 
@@ -53,84 +62,161 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         self.postings = self.rescored = 0  # read and rescored so far, by all queries
+        self.passed = 0  # postings passed over for groups of queries
         n, self.width = rows.shape
         size = np.abs(rows)
-        self.order = [np.argsort(-size[:, d], kind="stable") for d in range(self.width)]
-        self.values = [rows[o, d].astype(np.float64) for d, o in enumerate(self.order)]
         self.largest = size.max(axis=0) if n else np.zeros(self.width, np.int64)
-        # All lists' falling magnitudes as one rising sequence: one search finds every segment's end.
-        self.span = int(self.largest.max()) + 2 if n else 2
-        self.rising = np.concatenate([d * self.span - size[o, d] for d, o in enumerate(self.order)]) if n else size.ravel()
+        self.mean = size.mean(axis=0) if n else np.zeros(self.width)
+        self.by_id = np.argsort(ids, kind="stable")
+        self.sorted_ids = ids[self.by_id]
+        # A list: its rows, the segment of each (postings of one value), and the segments' values and ends.  No zeros.
+        self.lists = []
+        for d in range(self.width):
+            value, largest = rows[:, d], int(self.largest[d])
+            key = 2 * (largest - size[:, d]) + (value > 0)
+            order = np.argsort(key.astype(np.int16) if largest < 1 << 14 else key, kind="stable")[:np.count_nonzero(value)]
+            held = value[order]
+            new = np.ones(len(held), bool)
+            new[1:] = held[1:] != held[:-1]
+            first = np.flatnonzero(new)
+            self.lists.append((order, np.cumsum(new) - 1, held[first], np.append(first, len(held))))
 
-    def ends(self, dims: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """How many postings of each list have at least a magnitude."""
-        least = np.minimum(least, self.span - 1)
-        return np.searchsorted(self.rising, dims * self.span - least, "right") - dims * len(self.ids)
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The largest score any row could have for each query."""
+        weight = np.abs(queries)
+        if (weight.astype(np.float64) @ self.largest.astype(np.float64)).max(initial=0) < 1 << 52:
+            return weight @ self.largest
+        exact = [sum(a * b for a, b in zip(w, self.largest.tolist(), strict=True)) for w in weight.tolist()]
+        if max(exact) >= 1 << 62:
+            raise ValueError("scores of this size do not fit into a long")
+        return np.array(exact, np.int64)
 
     def top(self, query: np.ndarray, own: int, k: int, floor: int = NO_BAR) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the block's k best rows for the query that reach ``floor``, best first."""
-        n = len(self.ids)
-        if not n:
-            return self.ids[:0], np.zeros(0, np.int64)
-        weight = np.abs(query)
-        dims = np.flatnonzero((weight > 0) & (self.largest > 0))
-        others = np.flatnonzero(self.ids != own)
-        w, q = weight[dims], query[dims].astype(np.float64)
-        # One accumulator holds score and number of postings read: score + unit * read, exact below 2**53.
+        return self.top_many(query[None, :], np.array([own]), k, np.array([floor]), np.zeros(1, np.int64))[0]
+
+    def top_many(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray,
+                 levels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``top`` of each query.  ``levels`` tells where to begin (0: not known) and is set to where the next block may."""
+        found = [(self.ids[:0], np.zeros(0, np.int64))] * len(queries)
+        if len(self.ids):
+            bounds = self.bounds(queries)
+            asked = np.flatnonzero(bounds >= floors)
+            for at in range(0, len(asked), GROUP):
+                group = asked[at:at + GROUP]
+                got, levels[group] = self.search(queries[group], own[group], k, floors[group], levels[group], int(bounds[group].max()))
+                for i, one in zip(group.tolist(), got, strict=True):
+                    found[i] = one
+        return found
+
+    def read(self, sums: list[np.ndarray], queries: np.ndarray, since: np.ndarray, level: np.ndarray, unit: float) -> None:
+        """Add to each query's accumulators the postings whose impacts reach its ``level`` and not ``since``.
+
+        A list is passed over once for all queries; a posting adds nothing to those whose level it does not reach.
+        """
+        weight = np.abs(queries)
+        gains = [(np.empty((ADDED, len(queries)), x.dtype), np.empty((ADDED, len(queries)), x.dtype)) for x in sums]
+        for d, (order, segment, values, ends) in enumerate(self.lists):
+            if not len(order):
+                continue
+            impact = np.multiply.outer(np.abs(values), weight[:, d])
+            new = (impact >= level) & (impact < since)
+            readers = np.count_nonzero(new, axis=1)
+            hit = np.flatnonzero(readers)
+            if not len(hit):
+                continue
+            self.postings += int(readers @ np.diff(ends))
+            impact = np.multiply.outer(values, queries[:, d])
+            if len(sums) == 1:
+                impact = impact.astype(sums[0].dtype)
+                impact += sums[0].dtype.type(unit)
+            impact *= new
+            begin, end = int(ends[hit[0]]), int(ends[hit[-1] + 1])
+            self.passed += end - begin
+            for table, total, (gain, held) in zip((impact, new.astype(sums[-1].dtype)), sums, gains):
+                for at in range(begin, end, ADDED):
+                    places = order[at:min(at + ADDED, end)]
+                    # Into buffers at hand ("clip" only spares the copy that "raise" makes of them).
+                    a, b = gain[:len(places)], held[:len(places)]
+                    table.take(segment[at:at + len(places)], axis=0, out=a, mode="clip")
+                    total.take(places, axis=0, out=b, mode="clip")
+                    a += b
+                    total[places] = a
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray, levels: np.ndarray,
+               bound: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """``top_many`` of a group of queries whose scores are at most ``bound``."""
+        n, m = len(self.ids), len(queries)
+        # One accumulator holds score and number of postings read: score + unit * read, exact below 2**24 or 2**53.
         # Larger scores have two accumulators of integers.
-        bound = sum(a * b for a, b in zip(w.tolist(), self.largest[dims].tolist(), strict=True))
-        if bound >= 1 << 62:
-            raise ValueError("scores of this size do not fit into a long")
-        if bound < floor:
-            return self.ids[:0], np.zeros(0, np.int64)
         unit = float(1 << (2 * bound + 1).bit_length())
-        wide = unit * (self.width + 1) >= 1 << 53
-        total = np.zeros(n)
-        score, read = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        done = np.zeros(len(dims), np.int64)
-        level = int((w * self.largest[dims]).max()) if len(dims) else 0
-        possible = others
+        room = 2 * unit * (self.width + 1)
+        if room <= 1 << 53:
+            sums = [np.zeros((n, m), np.float32 if room <= 1 << 24 else np.float64)]
+        else:
+            sums = [np.zeros((n, m), np.int64), np.zeros((n, m), np.int64)]
+        weight = np.abs(queries)
+        dims = np.count_nonzero((weight > 0) & (self.largest > 0), axis=1)
+        # No proof is near while most postings are unread: begin where the last block ended, or at half the mean impact.
+        level = np.where(levels > 0, levels, (weight @ self.mean / np.maximum(2 * dims, 1)).astype(np.int64))
+        level = np.clip(level, 1, bound + 1)
+        since = np.full(m, 1 << 62)
+        bars = np.maximum(floors, -bound - 1)  # every score passes the latter
+        left, right = (np.searchsorted(self.sorted_ids, own, side) for side in ("left", "right"))
+        found: list = [None] * m
+        later = level.copy()
         enough = max(POSSIBLE, 2 * k)
-        while level >= 1:
-            level = level // 8 if level > 4 * self.width else level // 2
-            end = self.ends(dims, -(-level // w)) if level else np.full(len(dims), n)
-            more = np.flatnonzero(end > done)
-            if len(more):
-                cut = list(zip(dims[more].tolist(), done[more].tolist(), end[more].tolist(), strict=True))
-                at = np.concatenate([self.order[d][i:j] for d, i, j in cut])
-                if wide:
-                    np.add.at(score, at, self.rows[at, np.repeat(dims[more], end[more] - done[more])]
-                              * np.repeat(query[dims[more]], end[more] - done[more]))
-                    read += np.bincount(at, minlength=n)
-                else:
-                    gain = np.concatenate([self.values[d][i:j] for d, i, j in cut])
-                    gain *= np.repeat(q[more], end[more] - done[more])
-                    gain += unit
-                    total += np.bincount(at, weights=gain, minlength=n)
-                self.postings += len(at)
-                done = np.maximum(done, end)
-            if not wide:
-                read = np.floor(total / unit + 0.5)
-                score = total - unit * read
-            rest = max(level - 1, 0)
+        active = np.arange(m)
+        while len(active):
+            self.read(sums, queries[active], since[active], level[active], unit)
+            rest = level[active] - 1
             # Unread postings add less than the level each, and no more than all postings can.
-            slack = (len(dims) - read) * rest if rest * len(dims) < 1 << 62 else np.where(read < len(dims), bound, 0)
-            bar = floor
-            if len(others) > k:
-                low = (score - slack)[others]
-                bar = max(bar, np.partition(low, len(low) - k)[len(low) - k])  # k rows surely reach this
-            possible = others[(score + slack)[others] >= bar]
-            if len(possible) <= enough:
-                break
+            if len(sums) == 1:
+                kind = sums[0].dtype.type
+                read = np.floor(sums[0] * kind(1 / unit) + kind(0.5))
+                score = sums[0] - read * kind(unit)
+                slack = (dims[active].astype(kind) - read) * rest.astype(kind)
+            else:
+                score, unread = sums[0], dims[active] - sums[1]
+                slack = np.where(unread > 0, np.where(rest < (1 << 62) // (self.width + 1), unread * rest, bound), 0)
+            most = score + slack
+            reach = most >= bars[active].astype(most.dtype)
+            for i in np.flatnonzero(left[active] < right[active]).tolist():
+                reach[self.by_id[left[active[i]]:right[active[i]]], i] = False
+            number = np.count_nonzero(reach, axis=0)
+            for i in np.flatnonzero(number > enough).tolist():
+                q = active[i]
+                possible = np.flatnonzero(reach[:, i])
+                low = score[possible, i] - slack[possible, i]
+                bar = np.partition(low, len(low) - k)[len(low) - k]  # k rows surely reach this
+                if bar > bars[q]:
+                    bars[q] = int(bar)
+                    reach[:, i] &= most[:, i] >= bar
+                    number[i] = np.count_nonzero(reach[:, i])
+            ended = (number <= enough) | (level[active] == 1)
+            if ended.any():
+                at, place = np.nonzero(np.ascontiguousarray(reach[:, ended].T))
+                cut = np.searchsorted(at, np.arange(np.count_nonzero(ended) + 1))
+                for i, q in enumerate(active[ended].tolist()):
+                    found[q] = self.rescore(place[cut[i]:cut[i + 1]], queries[q], k, int(floors[q]))
+                few = number[ended] <= enough // 4
+                later[active[ended]] = level[active[ended]] + few * (level[active[ended]] // 8 + 1)
+                active = active[~ended]
+                sums = [np.ascontiguousarray(x[:, ~ended]) for x in sums]  # by rows again
+            since[active] = level[active]
+            level[active] = np.maximum(level[active] * 2 // 3, 1)
+        return found, later
+
+    def rescore(self, possible: np.ndarray, query: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
         self.rescored += len(possible)
-        exact = self.rows[possible] @ query if wide else self.rows[possible].astype(np.float64) @ query.astype(np.float64)
+        exact = self.rows[possible] @ query
         reach = exact >= floor
         possible, exact = possible[reach], exact[reach]
         if len(possible) > 4 * k:  # the k best and all that tie with the last of them
             keep = np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
             possible, exact = possible[keep], exact[keep]
         best = np.lexsort((self.ids[possible], -exact))[:k]
-        return self.ids[possible][best], exact[best].astype(np.int64)
+        return self.ids[possible][best], exact[best]
 
 
 def blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
@@ -204,7 +290,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
 def searched(batches, k: int):
     """Per pair of a query block and an index block: the rows found, and the bars after it."""
     built: dict[int, ImpactIndex] = {}
-    running: dict[int, np.ndarray] = {}  # the k best scores of each query of a block
+    running: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each query of a block: the k best scores, the level to begin at
     for b in batches:
         for at in range(b.num_rows):
             row = b.slice(at, 1).to_pylist()[0]
@@ -218,14 +304,12 @@ def searched(batches, k: int):
             if row["q"] not in running:
                 if len(running) >= STRIP_BLOCKS:
                     running.pop(next(iter(running)))
-                running[row["q"]] = np.full((len(q_ids), k), NO_BAR)
-            best = running[row["q"]]
+                running[row["q"]] = np.full((len(q_ids), k), NO_BAR), np.zeros(len(q_ids), np.int64)
+            best, levels = running[row["q"]]
             bars = np.maximum(bars, best[:, 0])
-            got = []
-            for i in range(len(q_ids)):
-                ids, scores = index.top(q_rows[i], q_ids[i], k, int(bars[i]))
-                got.append((ids, scores))
-                if len(ids):
+            got = index.top_many(q_rows, q_ids, k, bars, levels)
+            for i, (_, scores) in enumerate(got):
+                if len(scores):
                     best[i] = np.sort(np.concatenate([best[i], scores]))[-k:]
             bars = np.maximum(bars, best[:, 0])
             rows = pa.StructArray.from_arrays(

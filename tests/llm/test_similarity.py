@@ -242,6 +242,46 @@ def test_impact_index_rescores_possible_members_only():
     assert index.rescored < 0.05 * 60 * 4096
 
 
+def test_impact_lists_are_passed_over_once_for_a_group():
+    rng = np.random.default_rng(13)
+    rows = np.floor(64 * rng.normal(size=(2 * 2048, 64)) / 8).astype(np.int64)
+    rows[7], ids = rows[40], np.arange(len(rows))
+    queries, own = rows[:300:3], ids[:300:3]
+    floors, levels = np.full(len(own), impact_search.NO_BAR), np.zeros(len(own), np.int64)
+    passed = []
+    for part in (slice(0, 2048), slice(2048, None)):
+        index = impact_search.ImpactIndex(ids[part], rows[part])
+        got = index.top_many(queries, own, 20, floors, levels)
+        passed.append(index.passed)
+        assert index.postings <= rows[part].size * len(own) and index.rescored < 0.05 * 2048 * len(own)
+        for q, i, (found, score) in zip(queries, own, got, strict=True):
+            s = rows[part] @ q
+            order = [j for j in np.lexsort((ids[part], -s)) if ids[part][j] != i][:20]
+            assert found.tolist() == ids[part][order].tolist() and score.tolist() == s[order].tolist()
+        high = np.array([g[1][4] for g in got])
+        held = index.top_many(queries, own, 20, high, levels.copy())
+        assert all(len(h[0]) >= 5 and h[0].tolist() == g[0][: len(h[0])].tolist() for h, g in zip(held, got, strict=True))
+    # A hundred queries pass over the lists a few times, not once each; the second block knows where to begin.
+    assert passed[0] < 4 * 2048 * 64 and passed[1] < 3 * 2048 * 64
+
+
+@pytest.mark.parametrize("start", [0, 1, 50, 1 << 40])
+def test_impact_groups_of_unlike_queries(start):
+    rng = np.random.default_rng(14)
+    for top in (3, 5_000, 1 << 20, 1 << 28):  # accumulators in float32, doubles, and integers
+        rows = rng.integers(-9, 10, (400, 12))
+        rows[5, 2], rows[6, 2], rows[50:90] = top, -top, rows[50]
+        rows[100], ids = 0, rng.permutation(400) * 3
+        ids[10] = ids[11]
+        asked = np.array([5, 6, 10, 50, 100, *range(150, 310)])
+        index = impact_search.ImpactIndex(ids, rows)
+        got = index.top_many(rows[asked], ids[asked], 7, np.full(len(asked), impact_search.NO_BAR), np.full(len(asked), start))
+        for i, (found, score) in zip(asked, got, strict=True):
+            s = rows @ rows[i]
+            order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:7]
+            assert found.tolist() == ids[order].tolist() and score.tolist() == s[order].tolist()
+
+
 def test_impact_index_takes_large_scores():
     rng = np.random.default_rng(8)
     for top in (6_400_000, 1 << 28):  # scores of 4e13 and more, beyond one accumulator in doubles
